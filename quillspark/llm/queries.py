@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, token_binary, token_counts
+from quillspark.llm import packing, quality_rules, token_binary, token_counts
 from quillspark.llm.common import scratch, table
 from quillspark.llm.tokens import default_path
 
@@ -19,10 +19,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.quality_rows(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_binary, op4_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_binary, op4_token_counts, op9_weak_supervision, op10_packing)}
 ORACLES: dict[str, str] = {}
