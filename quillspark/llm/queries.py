@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality_rules, token_binary, token_counts
+from quillspark.llm import packing, quality_rules, token_binary, token_counts, warc
 from quillspark.llm.common import scratch, table
 from quillspark.llm.tokens import default_path
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(spark, path)
+    block, about, first = F.col("record.block"), F.get("metadata", F.lit(0))["block"], F.col("record.warc_type") == "response"
+    body = warc.http_body(block)
+    return captures.select(
+        warc.field(about, "page-id").cast("long").alias("page_id"),
+        F.when(first, F.octet_length(body)).otherwise(warc.field(block, "Content-Length")).cast("long").alias("payload_bytes"),
+        F.when(first, F.sha1(body)).otherwise(F.col("record.headers")["payload-sha1"]).alias("payload_digest"),
+        F.col("record.warc_type").alias("record_type"),
+        warc.field(about, "refers-to-page-id").cast("long").alias("refers_to"),
+        F.size("requests").alias("n_requests"),
+    )
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_digests(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), default_path("word_bpe_49k.json"))
 
@@ -29,5 +45,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_binary, op4_token_counts, op9_weak_supervision, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op4_token_counts, op9_weak_supervision, op10_packing)}
+ORACLES: dict[str, str] = {
+    "op1_warc_transactions": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_page FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN last_page END AS refers_to,
+               CAST(1 AS INTEGER) AS n_requests
+        FROM w""",
+}
