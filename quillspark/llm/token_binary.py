@@ -45,7 +45,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(words.encode(x), width) for x in b.column(0).to_pylist()], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, width) for x in words.encode_many(b.column(0).to_pylist())], pa.binary())], names=["ids"])
 
     few = docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", F.xxhash64("text").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
     keep = docs.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").where(F.octet_length("text").between(1, sample_bytes))
@@ -111,8 +111,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         words, end = word_ids(tokenizer_path), np.uint32(end_id).tobytes()
         shard = Shard(dictionary, width)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                shard.add(doc_id, words.encode(text) + end)
+            for doc_id, ids in zip(b.column(0).to_pylist(), words.encode_many(b.column(1).to_pylist()), strict=True):
+                shard.add(doc_id, ids + end)
                 if shard.at >= shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([shard.blob()], pa.binary())], names=["blob"])
                     shard = Shard(dictionary, width)

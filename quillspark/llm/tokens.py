@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -33,24 +35,35 @@ def _drops_blanks(config: dict) -> bool:
     return local and split and added and not config.get("post_processor") and not config["model"].get("dropout")
 
 
+def _letters(word: str) -> bool:
+    """Whether the word is a run of letters and stays one when it is normalised: composed and lower-cased."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
+
+
 class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers, filled by the library on demand; emptied when full."""
+    """word -> its ids as little-endian unsigned 32-bit integers, filled by the library on demand.
+
+    The first most_words stay, which holds whatever is frequent; once there are so many, what a batch adds goes after it."""
 
-    def __init__(self, path: str, most_words: int = 1_500_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
         with open(path, encoding="utf-8") as f:
-            self.by_word = _drops_blanks(json.load(f))
+            config = json.load(f)
+        self.by_word = _drops_blanks(config)
+        #: Which ids end a word, where the vocabulary marks word ends.
+        self.suffix = config["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab() if self.suffix else {}
+        self.ends = np.zeros(1 + max(vocab.values(), default=0), dtype=bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most_words:
-            self.clear()
         stem = word[:-1]
         if word.isalpha() and word.isascii() and not word.islower():
             ids = self[word.lower()]  # the normalizer's doing; letters alone are no special token
-        elif len(word) > 1 and word[-1] in ".,!?" and stem.isalpha():
-            ids = self[stem] + self[word[-1]]  # letters end where punctuation begins, in any case
+        elif word[-1] in ".,!?" and _letters(stem):
+            ids = self[stem] + self[word[-1]]  # a run of letters ends where punctuation begins
         else:
             ids = self.whole(word)
         self[word] = ids
@@ -59,9 +72,38 @@ class WordIds(dict):
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of the whole text, as the library gives them without special tokens added."""
-        return b"".join(map(self.__getitem__, _CUT.findall(text))) if self.by_word else self.whole(text)
+    def _learn(self, words: set[str]) -> None:
+        """Encodes the letters of new words in one call. A run of letters is one pre-token and so ends with the only id
+        that marks a word's end; where the count of ends differs (normalisation made something else of a letter), each word is encoded alone later."""
+        stems = set()
+        for w in words:
+            stem = w[:-1] if w[-1] in ".,!?" else w
+            if _letters(stem):
+                stems.add(stem.lower() if stem.isascii() else stem)
+        stems = [w for w in stems if w not in self]
+        if not self.suffix or not stems:
+            return
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
+        if len(ends) == len(stems):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(stems, ends.tolist(), strict=True):
+                self[w] = raw[at:end]
+                at = end
+
+    def encode_many(self, texts: list[str], at_once: int = 250) -> Iterator[bytes]:
+        """The ids of each whole text, as the library gives them without special tokens added."""
+        for i in range(0, len(texts), at_once):
+            some = texts[i : i + at_once]
+            if not self.by_word:
+                yield from (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+                continue
+            split = [_CUT.findall(x) for x in some]
+            self._learn(set().union(*split).difference(self))
+            for words in split:
+                yield b"".join(map(self.__getitem__, words))
+            for _ in range(len(self) - self.most_words):
+                self.popitem()  # the last that came
 
 
 _LOADED: dict[str, WordIds] = {}
