@@ -89,8 +89,9 @@ def with_group_value(df: DataFrame, keys: list[str], agg: Column, out: str, salt
     salted_df = df.withColumn("_salt", salted(F.struct(*keys), salt_from, salts))
     per_key = salted_df.groupBy(*keys).agg(agg.alias(out), F.collect_set("_salt").alias("_salts"))
     per_salt = per_key.withColumn("_salt", F.explode("_salts")).drop("_salts")
-    cond = [salted_df[k].eqNullSafe(per_salt[k]) for k in keys] + [salted_df["_salt"] == per_salt["_salt"]]
-    return salted_df.join(per_salt, cond, "left").select(*[salted_df[c] for c in df.columns], per_salt[out])
+    per_salt = per_salt.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_salt").alias("_key_salt"), out)
+    cond = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_salt") == F.col("_key_salt")]
+    return salted_df.join(per_salt, cond, "left").select(*df.columns, out)
 
 
 def schema(text: str) -> T.StructType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality_knn, quality_rules, simhash, token_binary, token_counts, warc
+from quillspark.llm import ngram_jaccard, packing, quality_knn, quality_rules, simhash, token_binary, token_counts, warc
 from quillspark.llm.common import scratch, table
 from quillspark.llm.tokens import default_path
 
@@ -30,6 +30,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_digests(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), default_path("word_bpe_49k.json"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.linked(table(spark, sf_dir, "documents"), ngram_jaccard.Alike(k=4, percent=85))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), default_path("piece_bpe_32k.model"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op4_token_counts, op6_quality_knn, op8_simhash, op9_weak_supervision, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op6_quality_knn, op8_simhash, op9_weak_supervision, op10_packing)}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
