@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ngram_jaccard, packing, quality_knn, quality_rules, simhash, token_binary, token_counts, warc
+from quillspark.llm import ngram_jaccard, packing, quality_knn, quality_rules, simhash, suffix_tree, token_binary, token_counts, warc
 from quillspark.llm.common import scratch, table
 from quillspark.llm.tokens import default_path
 
@@ -39,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_knn.train(docs, table(spark, sf_dir, "labels"), ~quality_knn.held_out())
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op6_quality_knn, op8_simhash, op9_weak_supervision, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op5_suffix_tree, op6_quality_knn, op8_simhash, op9_weak_supervision, op10_packing)}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
