@@ -197,16 +197,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, alike: Alik
     return stored(left.join(y, "y").join(x, "x").select("a", "b", "set_x", "set_y").mapInArrow(run, "a binary, b binary"), f"jaccard-{name}-links")
 
 
-def linked(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row of docs (doc_id, text).
+def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
+    """doc_id, tag (a hash of the text), n (size of its set) and root (its component, by any name) of every row of docs (doc_id, text).
 
     Documents with equal sets are one class from the start, however many they are. Classes whose prefixes share a token
     are first compared with one of them, the token's hub; what links becomes one component, so a group of near copies takes about
     as many comparisons as it has members. Only pairs that share a token and are still in different components are then
     compared one by one; so no link that joins two components is missed, and no pairs within a group are listed.
 
-    A document without words (null, empty or blank) links with nothing, and its component is its own id. Repeated and
-    null ids: each row has its own text; a component's id is the smallest that is known, null if none is. An empty
+    A document without words (null, empty or blank) has n = 0 and no root. Null and repeated ids: each row has its own text. An empty
     table gives no rows. Other columns are not looked at."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -241,7 +240,32 @@ def linked(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     second = _verified(stored(rest, "jaccard-rest"), classes, base, alike, "rest")
 
     roots = stored(components(first.union(second)), "jaccard-roots").withColumnRenamed("node", "sig")
-    placed = rows.select("doc_id", "n", "sig", "tag").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    whole = with_group_value(placed.where("n > 0").select("doc_id", "n", "root", "tag"), ["root"], F.min("doc_id"), "component_id", "doc_id")
+    return rows.select("doc_id", "tag", "n", "sig").join(roots, "sig", "left").select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"))
+
+
+def linked(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row of docs; see linked_rows.
+
+    A document without words links with nothing: its component is its own id. A component's id is the smallest that
+    isn't null, or null if there is none."""
+    rows = linked_rows(docs, alike)
+    whole = with_group_value(rows.where("n > 0"), ["root"], F.min("doc_id"), "component_id", "tag")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return whole.select("doc_id", "n", "component_id").union(alone).withColumnRenamed("n", "n_shingles")
+
+
+def keep_one(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
+    """The rows of docs without all but one of each component: that with the smallest doc_id stays, and all its columns.
+
+    Documents without words stay. Rows that agree in id and text are one. Texts are shuffled once, by id and hash, to be kept or dropped."""
+    rows = stored(linked_rows(docs, alike), "jaccard-roots")
+    first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(_key("doc_id").alias("id"), "tag")).alias("r")).select("r.id", "r.tag")
+    keep = first.union(rows.where("n = 0").select(_key("doc_id"), "tag")).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"))
+    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.select("*", _key("doc_id").alias("_id"), tag.alias("_tag"))
+    return keyed.join(keep, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _key(name: str) -> Column:
+    """An id to join on; null becomes the largest, so that a known one is kept rather."""
+    return F.coalesce(F.col(name).cast("long"), F.lit((1 << 63) - 1))

@@ -136,9 +136,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, learns: Column | None = None, keep_at: float = 0.5) -> DataFrame:
-    """The rows of docs that score keep_at or more, with all their columns; the labels of held-out ids aren't used."""
-    model = train(docs, labels, ~held_out() if learns is None else learns)
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, learns: Column | None = None, keep_at: float = 0.5) -> DataFrame:
+    """The rows of docs that score keep_at or more, with all their columns.
+
+    It learns from the texts of learn_from (docs itself, if not given) whose ids have a label and aren't held out."""
+    model = train(docs if learn_from is None else learn_from, labels, ~held_out() if learns is None else learns)
     clash = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in clash.items()])
     return score(renamed, model, list(clash.values()), clash["text"]).where(F.col("_score") >= keep_at).select(*[F.col(n).alias(c) for c, n in clash.items()])
