@@ -12,20 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import salted, small_batches, stored
+from quillspark.llm.common import by_batch, salted, small_batches, stored
 
 RECORD = "file string, place long, warc_type string, record_id string, concurrent_to array<string>, headers map<string,string>, block binary"
 #: The records a capture is about; requests and metadata go with one of these.
 PRIMARY = ("response", "revisit", "resource")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_STEP = 8192
 _URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^#]*)")
 
 
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member of its own, which is how archives are read in part."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))]) + "\r\n"
-    coder = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return coder.compress(head.encode() + block + b"\r\n\r\n") + coder.flush()
+    data = head.encode() + block + b"\r\n\r\n"
+    # a small window and table for small records, which are most: to set up large ones takes longer than to compress
+    coder = zlib.compressobj(1, zlib.DEFLATED, 31) if len(data) > 4096 else zlib.compressobj(6, zlib.DEFLATED, 16 + 12, 3)
+    return coder.compress(data) + coder.flush()
 
 
 def _uri(url: str | None) -> str:
@@ -63,7 +66,7 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
     smaller ones are all responses. Equal rows, page_id and url and all, are numbered, so that each is a capture of its own; those with the
     largest page_id are all responses. Other columns are not looked at.
 
-    The payloads are shuffled once, by digest and a salt of page_id, so a payload that a third of all pages have is
+    The payloads are shuffled once, compressed, by digest and a salt of page_id, so a payload that a third of all pages have is
     dealt out; what is joined to them is one row per digest and salt that occurs. Spark's text writer commits the
     files: a row is a capture's three gzip members without the last byte, which is the high byte of the metadata
     record's length and so 0, and which the writer puts back as its line separator."""
@@ -75,7 +78,8 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
     large = base.where(F.octet_length("payload") >= least_bytes)
     last = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.collect_set("salt").alias("salts"))
     last = last.select("digest", F.explode("salts").alias("salt"), "last", _uuid(F.lit("response"), F.col("last.page_id"), F.col("last.url"), F.hex("digest"), F.lit(1)).alias("last_id"))
-    joined = base.join(last, ["digest", "salt"], "left")
+    packed = base.mapInArrow(by_batch(_packed), "page_id long, url string, payload binary, digest binary, salt int")
+    joined = packed.join(last, ["digest", "salt"], "left")
     # the join has brought equal rows together, so that numbering them takes no further shuffle
     numbered = joined.withColumn("nth", F.row_number().over(Window.partitionBy("digest", "salt", "page_id", "url").orderBy(F.lit(0))))
     repeats = F.col("last.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id"))
@@ -88,24 +92,38 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 page_id, url, payload, digest, response, request, metadata, refers_to, refers_page = r
                 fields = {k: str(v) for k, v in (("page-id", page_id), ("refers-to-page-id", refers_page)) if v is not None}
-                out.append(capture_records(url, payload, digest, (response, request, metadata), refers_to, fields, date)[:-1])
+                out.append(capture_records(url, zlib.decompress(payload), digest, (response, request, metadata), refers_to, fields, date)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["members"])
 
     rows.mapInArrow(run, "members binary").select(F.col("members").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", pages_per_file).text(path)
 
 
+def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    z = pa.array([zlib.compress(x, 1) for x in b.column("payload").to_pylist()], pa.binary())
+    return pa.RecordBatch.from_arrays([z if n == "payload" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+
+def _unpacked(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks of primary records, which are compressed while they are shuffled."""
+    z = pa.array([None if x is None else zlib.decompress(x) for x in b.column("block").to_pylist()], pa.binary())
+    return pa.RecordBatch.from_arrays([z if n == "block" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+
 def _members(raw: memoryview) -> Iterator[bytes]:
     """The records of an archive, compressed or not."""
     if bytes(raw[:2]) != b"\x1f\x8b":
         yield from _records(bytes(raw))
         return
-    while raw.nbytes:
-        d = zlib.decompressobj(31)
-        data = d.decompress(raw)
-        if not d.eof:
-            raise ValueError("the archive ends within a record")
-        yield from _records(data)
-        raw = memoryview(d.unused_data)
+    at = 0
+    while at < raw.nbytes:
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= raw.nbytes:
+                raise ValueError("the archive ends within a record")
+            parts.append(d.decompress(raw[at : at + _STEP]))
+            at += min(_STEP, raw.nbytes - at)
+        at -= len(d.unused_data)
+        yield from _records(b"".join(parts))
 
 
 def _records(data: bytes) -> Iterator[bytes]:
@@ -120,10 +138,10 @@ def _records(data: bytes) -> Iterator[bytes]:
         at = end + 4 * data.startswith(b"\r\n\r\n", end)
 
 
-def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, blocks: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, blocks: str = "plain") -> DataFrame:
     """RECORD rows of all archives below path, file by file; types: only those records.
 
-    Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1."""
+    blocks: plain, packed (by zlib) or other (plain, and none for primary records). Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +157,7 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
                     if algorithm.lower() == "sha1" and len(digest) == 32:
                         headers["payload-sha1"] = base64.b32decode(digest.upper()).hex()
                     if types is None or kind in types:
-                        found.append((file, place, kind, headers.get("warc-record-id"), [v for k, v in fields if k == "warc-concurrent-to"], list(headers.items()), block if blocks else None))
+                        found.append((file, place, kind, headers.get("warc-record-id"), [v for k, v in fields if k == "warc-concurrent-to"], list(headers.items()), zlib.compress(block, 1) if blocks == "packed" else block if blocks == "plain" or kind not in PRIMARY else None))
                         held += len(block)
                         if held > 4 << 20 or len(found) >= 2000:
                             yield _batch(found)
@@ -184,15 +202,18 @@ def assemble(spark: SparkSession, path: str) -> DataFrame:
     requests and metadata (arrays, ordered by record_id, empty if there are none).
 
     Requests, metadata and responses are joined by capture, which follows from the concurrent-to identifiers. Only
-    the primary records, unique by id, are shuffled with their blocks, once."""
-    narrow = stored(read_records(spark, path, blocks=False).where(F.col("record_id").isNotNull()).select("warc_type", "record_id", "concurrent_to"), "warc-ids")
-    resolved = capture_ids(narrow)
-    rows = read_records(spark, path, PRIMARY).select(F.col("record_id").alias("capture_id"), F.struct("warc_type", "record_id", "headers", "block").alias("record"))
-    for kind, name in (("request", "requests"), ("metadata", "metadata")):
-        some = read_records(spark, path, (kind,)).select("record_id", F.struct("record_id", "headers", "block").alias("r")).join(resolved, "record_id")
-        rows = rows.join(some.groupBy("capture_id").agg(F.array_sort(F.collect_list("r"), _by_id).alias(name)), "capture_id", "full_outer")
+    the primary records, unique by id, are shuffled with their blocks, once and compressed."""
+    others = stored(read_records(spark, path, blocks="other").where(F.col("record_id").isNotNull()), "warc-others")
+    resolved = capture_ids(others.select("warc_type", "record_id", "concurrent_to"))
+    rows = read_records(spark, path, PRIMARY, "packed").select(F.col("record_id").alias("capture_id"), "warc_type", "headers", "block")
+    others = others.where(F.col("warc_type").isin("request", "metadata")).select("warc_type", "record_id", F.struct("record_id", "headers", "block").alias("r")).join(resolved, "record_id")
+    # collect_list leaves out the nulls that when() makes of the other kind
+    lists = [F.array_sort(F.collect_list(F.when(F.col("warc_type") == kind, F.col("r"))), _by_id).alias(name) for kind, name in (("request", "requests"), ("metadata", "metadata"))]
+    joined = rows.join(others.groupBy("capture_id").agg(*lists), "capture_id", "full_outer")
+    whole = joined.mapInArrow(by_batch(_unpacked), joined.schema)
     empty = F.array().cast("array<struct<record_id:string,headers:map<string,string>,block:binary>>")
-    return rows.select("capture_id", "record", *[F.coalesce(n, empty).alias(n) for n in ("requests", "metadata")])
+    record = F.when(F.col("warc_type").isNotNull(), F.struct("warc_type", F.col("capture_id").alias("record_id"), "headers", "block"))
+    return whole.select("capture_id", record.alias("record"), *[F.coalesce(n, empty).alias(n) for n in ("requests", "metadata")])
 
 
 def _by_id(a: Column, b: Column) -> Column:
