@@ -90,59 +90,52 @@ def near_rows(prints: DataFrame, is_query: Column, radius: int = 3, blocks: int
     return asked.join(sizes, ["hi", "lo"]).join(far, ["hi", "lo"], "left").select("hi", "lo", (F.col("_rows") + F.coalesce("_far", F.lit(0))).alias("n_near"))
 
 
-def next_ids(docs: DataFrame, per_bucket: int = 100_000) -> DataFrame:
-    """One row per distinct doc_id: doc_id, next_id, next_digest (that of the next id's text with the smallest digest), n_chars (the most).
-
-    The next id is the next larger one; after the last comes the first; null is the smallest. Ids are dealt by range into buckets of about
-    per_bucket, sorted there, and the last of a bucket gets the first of the next one: one row per bucket meets at the driver."""
-    ids = stored(docs.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max(F.length("text")).cast("long").alias("n_chars")), "simhash-ids")
-    n = ids.count()
-    buckets = max(1, min(4096, n // per_bucket + 1))
-    # at least a few buckets even for small tables
-    buckets = max(buckets, min(64, n // 500 + 1))
-    cuts = ids.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 20_000)).head()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
-    placed = ids.withColumn("_bucket", bucket)
-    order = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first())
+def in_order(base: DataFrame, per_bucket: int = 100_000) -> DataFrame:
+    """base (doc_id, digest, ...) with _bucket: the rows in order of doc_id and digest, null first, cut into buckets of about equal size,
+    and after each bucket's rows, marked _extra, the first row of the next bucket; after the last one, that of the first.
+
+    The cuts are approximate percentiles of the ids; they and one id per bucket, of at most 4,096, meet at the driver."""
+    spark = base.sparkSession
+    want = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // per_bucket)
+    n = max(1, min(4096, want))
+    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 40_000)).head()[0] or []
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    placed = base.withColumn("_bucket", F.coalesce(F.when(F.col("doc_id").isNotNull(), bucket), F.lit(0))).withColumn("_extra", F.lit(False))
     firsts = sorted(placed.groupBy("_bucket").agg(F.min(F.struct("doc_id", "digest")).alias("f")).collect(), key=lambda r: r[0])
-    after = [(r["_bucket"], *firsts[(i + 1) % len(firsts)]["f"]) for i, r in enumerate(firsts)]
-    jump = docs.sparkSession.createDataFrame(after, "_bucket int, _jump_id long, _jump_digest binary")
-    rows = placed.withColumn("_next", F.lead(F.struct("doc_id", "digest")).over(order)).join(F.broadcast(jump), "_bucket")
-    last = F.col("_next").isNull()
-    return rows.select("doc_id", F.when(last, F.col("_jump_id")).otherwise(F.col("_next.doc_id")).alias("next_id"), F.when(last, F.col("_jump_digest")).otherwise(F.col("_next.digest")).alias("next_digest"), "n_chars")
+    before = [(firsts[i - 1]["_bucket"], *r["f"]) for i, r in enumerate(firsts)]
+    extra = F.broadcast(spark.createDataFrame(before, "_to int, _id long, _digest binary"))
+    added = base.join(extra, base["doc_id"].eqNullSafe(extra["_id"]) & (base["digest"] == extra["_digest"])).select(*base.columns, F.col("_to").alias("_bucket"), F.lit(True).alias("_extra"))
+    return placed.unionByName(added)
 
 
 def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness: one row per row of docs (doc_id, text).
 
     Edited: the last floor(n_chars/2) code points are replaced by the first as many, or all, of the next document, by doc_id.
-    Null texts count as empty. Rows with equal doc_id have the same next document, of which the text with the smallest digest is taken;
-    equal rows come out as often as they went in; null is an id like any other, the smallest. An empty table gives no rows; other columns aren't looked
-    at. n_near, for rows whose id is divisible by 20: how many rows' fingerprints lie within `radius` bits, its own row included.
+    Null texts count as empty. Rows with equal doc_id follow each other by the digest of their texts; null is an id like any other, the
+    smallest. An empty table gives no rows; other columns aren't looked at. n_near, for rows whose id is divisible by
+    20: how many rows' fingerprints lie within `radius` bits, its own row included.
 
-    Texts are shuffled once, by id, and the parts of next documents that are needed once more; all copies of a text have ids
-    of their own, so none of the keys is hot."""
+    Whole texts are shuffled once, into buckets of neighbouring ids; the next text is then the next row, and the
+    votes are summed where the texts are. Hot sources and copies have no part in how rows are dealt."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("digest", F.unhex(F.sha1(F.col("text").cast("binary"))))
-    after = stored(next_ids(base), "simhash-next")
-    lead = after.select(F.col("doc_id").alias("for_id"), "next_id", "next_digest", "n_chars")
-    donors = base.join(lead, base["doc_id"].eqNullSafe(lead["next_id"]) & (base["digest"] == lead["next_digest"]))
-    donors = donors.groupBy("for_id").agg(F.first(F.left("text", F.floor(F.col("n_chars") / 2).cast("int"))).alias("donor"))
+    order = Window.partitionBy("_bucket").orderBy("_extra", F.col("doc_id").asc_nulls_first(), "digest")
+    rows = in_order(base).select("_bucket", "_extra", "doc_id", "text", F.row_number().over(order).alias("_nth"), F.lead("text").over(order).alias("_after"))
     half = F.floor(F.length("text") / 2).cast("int")
-    both = base.join(donors, base["doc_id"].eqNullSafe(donors["for_id"]))
-    both = both.select("doc_id", "digest", "text", F.concat(F.left("text", F.length("text") - half), F.left("donor", half)).alias("edited"))
-    kinds = both.select("doc_id", "digest", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"), F.length("text").cast("long").alias("n_chars"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"), F.lit(0).cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha")))))
-    prints = stored(fingerprints(kinds, ["doc_id", "digest", "kind", "n_chars", "sha"], "t"), "simhash-prints")
-    own = prints.where("kind = 0").select("doc_id", "digest", "n_chars", "hi", "lo")
-    edited = prints.where("kind = 1").select(F.col("doc_id").alias("_e"), F.col("digest").alias("_ed"), F.col("sha").alias("edited_sha256"), F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"))
-    nexts = own.select(F.col("doc_id").alias("_n"), F.col("digest").alias("_nd"), F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
-    links = after.select(F.col("doc_id").alias("_l"), "next_id", "next_digest")
-    table = own.join(edited, own["doc_id"].eqNullSafe(F.col("_e")) & (own["digest"] == F.col("_ed")))
-    table = table.join(links, table["doc_id"].eqNullSafe(F.col("_l")))
-    table = table.join(nexts, table["next_id"].eqNullSafe(F.col("_n")) & (table["next_digest"] == F.col("_nd")))
-    counts = base.select("doc_id", "digest").groupBy("doc_id", "digest").agg(F.count("*").cast("int").alias("_times")).select(F.col("doc_id").alias("_c"), F.col("digest").alias("_cd"), "_times")
-    table = table.join(counts, table["doc_id"].eqNullSafe(F.col("_c")) & (table["digest"] == F.col("_cd"))).withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-    near = near_rows(own, F.col("doc_id") % 20 == 0, radius).withColumnsRenamed({"hi": "_h", "lo": "_lo"})
-    table = table.join(near, (table["hi"] == near["_h"]) & (table["lo"] == near["_lo"]) & (table["doc_id"] % 20 == 0), "left")
-    mine, theirs, others = ((F.col(a), F.col(b)) for a, b in (("hi", "lo"), ("e_hi", "e_lo"), ("n_hi", "n_lo")))
-    return table.select("doc_id", "n_chars", "edited_sha256", as_string(*mine).alias("fingerprint"), as_string(*theirs).alias("edited_fingerprint"), likeness(mine, theirs).alias("near_edited"), likeness(mine, others).alias("near_next"), "n_near")
+    edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("_after", F.lit("")), half))
+    keys = ["_bucket", "_nth", "_extra", "doc_id", "kind", "n_chars", "sha"]
+    rows = rows.select("_bucket", "_nth", "_extra", "doc_id", "text", edited.alias("edited"))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(t).alias("t"), n.cast("long").alias("n_chars"), sha.alias("sha")) for k, t, n, sha in ((0, "text", F.length("text"), F.lit("")), (1, "edited", F.lit(0), F.sha2(F.col("edited").cast("binary"), 256)))]
+    both = rows.select("_bucket", "_nth", "_extra", "doc_id", F.inline(F.array(*kinds))).where("kind = 0 or not _extra")
+    found = fingerprints(both, keys, "t")
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}_{kind}")
+    prints = stored(found.groupBy("_bucket", "_nth", "_extra", "doc_id").agg(*[pick(k, c) for k in (0, 1) for c in ("hi", "lo")], pick(0, "n_chars"), pick(1, "sha")), "simhash-prints")
+    follow = Window.partitionBy("_bucket").orderBy("_nth")
+    table = prints.select("*", F.lead("hi_0").over(follow).alias("n_hi"), F.lead("lo_0").over(follow).alias("n_lo")).where("not _extra")
+    own = prints.where("not _extra").select("doc_id", F.col("hi_0").alias("hi"), F.col("lo_0").alias("lo"))
+    near = near_rows(own, F.col("doc_id") % 20 == 0, radius).withColumnsRenamed({"hi": "_h", "lo": "_l"})
+    table = table.join(near, (table["hi_0"] == near["_h"]) & (table["lo_0"] == near["_l"]) & (table["doc_id"] % 20 == 0), "left")
+    mine, theirs, others = ((F.col(a), F.col(b)) for a, b in (("hi_0", "lo_0"), ("hi_1", "lo_1"), ("n_hi", "n_lo")))
+    return table.select("doc_id", F.col("n_chars_0").alias("n_chars"), F.col("sha_1").alias("edited_sha256"), as_string(*mine).alias("fingerprint"), as_string(*theirs).alias("edited_fingerprint"), likeness(mine, theirs).alias("near_edited"), likeness(mine, others).alias("near_next"), "n_near")
