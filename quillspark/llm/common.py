@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,36 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts, of at most so many bytes or a single text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The WORDs of whole texts: where each text's begin (and the last one's end), each word's number, and the distinct words.
+
+    Arrow splits and numbers them; ASCII blanks are the same set as WORD's. lower: A-Z in lower case. Null counts as empty."""
+    # a copy of its own: Arrow's ascii_lower misreads a part of an array whose offsets were widened
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+    if lower:
+        texts = pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    if "" in words:
+        full = numbers != words.index("")
+        starts = np.concatenate([[0], np.cumsum(full)])[starts]
+        numbers = numbers[full]
+    return starts, numbers, words
+
+
 def salted(key: Column | str, salt_from: Column | str, salts: int = 1024) -> Column:
     return F.pmod(F.xxhash64(salt_from, key), F.lit(salts)).cast("int")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import LOWER_AZ, WORD, small_batches, stored, texts_of, with_group_value
+from quillspark.llm.common import slices, small_batches, split_words, stored, with_group_value
 from quillspark.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -29,33 +29,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def shingles(text: str, k: int) -> np.ndarray:
-    """The hashes of a text's distinct k-word shingles, ascending. With fewer words the whole sequence is one; without words there is none."""
-    words = WORD.findall(text.translate(LOWER_AZ) if not text.islower() else text)
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    m = min(n, k)
-    g = h[: n - m + 1].copy() if n >= k else h[:1] + np.uint64(n)
-    for i in range(1, m):
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The hashes of each text's distinct k-word shingles, ascending. With fewer words the whole sequence is one; without words there is none."""
+    for some in slices(texts):
+        starts, numbers, words = split_words(some, lower=True)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))[numbers]
+        g = _rolled(h, k) if len(h) >= k else h[:0]
+        for lo, hi in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            n = hi - lo
+            if n < k:
+                yield _rolled(h[lo:hi] + np.uint64(n), n) if n else h[:0]
+                continue
+            s = np.sort(g[lo : hi - k + 1])
+            new = s[1:] != s[:-1]
+            yield s if new.all() else s[np.concatenate([[True], new])]
+
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    n = len(h) - k + 1
+    g = h[:n].copy()
+    for i in range(1, k):
         g *= _ODD
         g ^= g >> np.uint64(31)
-        g += h[i : n - m + 1 + i]
-    return np.unique(_mix(g))
+        g += h[i : n + i]
+    return _mix(g)
 
 
 @dataclass(frozen=True)
@@ -78,6 +75,11 @@ class Alike:
     def sizes(self, a: Column, b: Column) -> Column:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
+    def near(self, n_a: Column, n_b: Column, parity_a: Column, parity_b: Column) -> Column:
+        """Never false for sets that link: where their parities differ, so do the sets, and linked ones differ in few tokens."""
+        differ = sum((F.bit_count(F.get(parity_a, F.lit(i)).bitwiseXOR(F.get(parity_b, F.lit(i)))) for i in range(PARITY)), F.lit(0))
+        return self.sizes(n_a, n_b) & ((100 + self.percent) * differ <= (100 - self.percent) * (n_a + n_b))
+
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both)
@@ -98,8 +100,8 @@ def frequencies(docs: DataFrame, alike: Alike, bits: int = 22, slices: int = 16)
 
         total, held, n = np.zeros(size, np.uint32), [], 0
         for b in batches:
-            for text in texts_of(b):
-                held.append((shingles(text, alike.k) >> cut).astype(np.uint32))
+            for s in shingle_sets(b.column("text"), alike.k):
+                held.append((s >> cut).astype(np.uint32))
                 n += len(held[-1])
                 if n > 2_000_000:
                     total += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
@@ -130,7 +132,9 @@ def frequencies(docs: DataFrame, alike: Alike, bits: int = 22, slices: int = 16)
     return np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8)
 
 
-CLASS = "cid long, sig binary, n long, cold int, first array<long>, second array<int>, third array<int>"
+#: Longs of parity bits: each token of a set turns one bit over.
+PARITY = 8
+CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<int>, third array<int>"
 
 
 def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
@@ -144,19 +148,19 @@ def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
         ranks = shared.value
         for b in batches:
             rows = []
-            for text in texts_of(b):
-                s = shingles(text, alike.k)
+            for s in shingle_sets(b.column("text"), alike.k):
                 raw, n = s.tobytes(), len(s)
                 sig = xxhash.xxh3_128_digest(raw)
-                prefixes, cold = [None] * 3, 0
+                prefixes, cold = [None] * 4, 0
                 if n >= least:
                     p = alike.prefix(n)
                     rank = ranks[(s >> cut).astype(np.int64)].astype(np.uint64)
                     order = np.argsort((rank << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[:p]
                     cold = int((rank[order] <= hot).sum())
-                    prefixes = [s[order].view(np.int64)] + [(np.partition(_mix(s ^ seed), p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in _SEEDS]
+                    parity = np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+                    prefixes = [parity, s[order].view(np.int64)] + [(np.partition(_mix(s ^ seed), p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in _SEEDS]
                 rows.append((int.from_bytes(sig[:8], "little", signed=True), sig, n, cold, *prefixes))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *cols], names=["doc_id", "tag", *(c.split()[0] for c in CLASS.split(", "))])
 
@@ -166,7 +170,7 @@ def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
 def _sets(docs: DataFrame, alike: Alike) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [shingles(x, alike.k).tobytes() for x in texts_of(b)]
+            raw = [x.tobytes() for x in shingle_sets(b.column("text"), alike.k)]
             sigs = [xxhash.xxh3_128_digest(x) for x in raw]
             yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs], pa.int64()), _bytes(sigs), _bytes(raw)], names=["cid", "sig", "set"])
 
@@ -177,9 +181,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, alike: Alik
     """The pairs (x, y) of classes that link, as sigs a and b.
 
     First the other two orders' prefixes are intersected; only what is left has its texts fetched and its sets compared."""
-    side = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
+    side = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
     left = pairs.join(side["x"], "x").join(side["y"], "y")
-    left = left.where(alike.sizes(F.col("n_x"), F.col("n_y")) & F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y"))
+    left = left.where(alike.near(F.col("n_x"), F.col("n_y"), F.col("p_x"), F.col("p_y")) & F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y"))
     left = stored(left.select("x", "y"), f"jaccard-{name}-candidates")
     needed = left.select(F.col("x").alias("cid")).union(left.select("y")).distinct()
     texts = classes.join(needed, "cid", "left_semi").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"))
@@ -201,8 +205,8 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, tag (a hash of the text), n (size of its set) and root (its component, by any name) of every row of docs (doc_id, text).
 
     Documents with equal sets are one class from the start, however many they are. Classes whose prefixes share a token
-    are first compared with one of them, the token's hub; what links becomes one component, so a group of near copies takes about
-    as many comparisons as it has members. Only pairs that share a token and are still in different components are then
+    are first compared with a hub or two among them; what links becomes one component, so a group of near copies takes about
+    twice as many comparisons as it has members. Only pairs that share a token and are still in different components are then
     compared one by one; so no link that joins two components is missed, and no pairs within a group are listed.
 
     A document without words (null, empty or blank) has n = 0 and no root. Null and repeated ids: each row has its own text. An empty
@@ -212,18 +216,18 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     rows = stored(measured(base, alike, frequencies(base, alike)), "jaccard-rows")
-    one = rows.where("first is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag", "cid", "n", "cold", "first", "second", "third")).alias("r"))
+    one = rows.where("first is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag", "cid", "n", "cold", "parity", "first", "second", "third")).alias("r"))
     classes = stored(one.select("r.*"), "jaccard-classes")
 
     tokens = classes.select("cid", "n", "cold", F.posexplode("first").alias("_at", "token"))
     tokens = tokens.select("token", "cid", "n", F.when(F.col("_at") >= F.col("cold"), F.pmod(F.xxhash64("cid"), F.lit(16))).otherwise(F.lit(0)).cast("int").alias("salt"), (F.col("_at") >= F.col("cold")).alias("hot"))
     group = Window.partitionBy("token", "salt")
     shared = tokens.withColumn("hub", F.min(F.struct("cid", "n")).over(group)).withColumn("size", F.count("*").over(group)).where("size > 1 or hot")
-    shared = stored(shared.select("token", "cid", "n", "hub", "hot"), "jaccard-shared")
-    hubs = shared.where("hot").select("token", "hub").distinct().withColumn("top", F.min("hub").over(Window.partitionBy("token")))
-    stars = shared.where("cid <> hub.cid").select(F.col("hub").alias("h"), F.struct("cid", "n").alias("m")).union(hubs.where("hub <> top").select("top", "hub"))
-    stars = stars.where(alike.sizes(F.col("h.n"), F.col("m.n"))).select(F.col("h.cid").alias("x"), F.col("m.cid").alias("y")).distinct()
-    stars = stored(stars, "jaccard-stars")
+    shared = stored(shared.select("token", "cid", "n", "hub", "size", "hot"), "jaccard-shared")
+    hubs = shared.where("hot").select("token", "hub").distinct().withColumn("top", F.min("hub").over(Window.partitionBy("token"))).where("hub <> top")
+    meet = shared.where(alike.sizes(F.col("n"), F.col("hub.n"))).groupBy("cid").agg(F.min("hub.cid").alias("low"), F.max_by("hub.cid", F.struct("size", "hub.cid")).alias("large"))
+    stars = meet.select("low", "cid").union(meet.select("large", "cid")).union(hubs.groupBy("hub").agg(F.min("top.cid").alias("low")).select("low", "hub.cid"))
+    stars = stored(stars.toDF("x", "y").where("x <> y").distinct(), "jaccard-stars")
     first = _verified(stars, classes, base, alike, "star")
 
     sigs = rows.where("first is not null").select("cid", "sig").distinct()
@@ -233,8 +237,9 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     spots = stored(spots, "jaccard-spots")
     mixed = spots.groupBy("token").agg(F.min("place").alias("_lo"), F.max("place").alias("_hi")).where("_lo <> _hi").select("token")
     spots = stored(spots.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "place")]) for s in "xy")
-    meet = x.join(y, (x["token"] == y["token"]) & (F.col("cid_x") < F.col("cid_y")) & (F.col("place_x") != F.col("place_y")) & alike.sizes(F.col("n_x"), F.col("n_y")))
+    spots = spots.join(classes.select("cid", "parity"), "cid")
+    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "place", "parity")]) for s in "xy")
+    meet = x.join(y, (x["token"] == y["token"]) & (F.col("cid_x") < F.col("cid_y")) & (F.col("place_x") != F.col("place_y")) & alike.near(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y")))
     rest = meet.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y")).distinct()
     rest = rest.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     second = _verified(stored(rest, "jaccard-rest"), classes, base, alike, "rest")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, texts_of
+from quillspark.llm.common import small_batches
 from quillspark.llm.tokens import word_ids
 
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -171,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
         found: list[tuple] = []
         for batch in batches:
             starts = batch.column("_loss_start").to_pylist() if loss_start else [0] * batch.num_rows
-            for doc_id, ids, lead in zip(batch.column("doc_id").to_pylist(), words.encode_many(texts_of(batch)), starts, strict=True):
+            for doc_id, ids, lead in zip(batch.column("doc_id").to_pylist(), words.encode_many(batch.column("text")), starts, strict=True):
                 ids += end
                 row, n = next(numbers), len(ids) // 4
                 held[row], waits[row] = (doc_id, ids, min(max(lead or 0, 0), n), n), n

@@ -32,10 +32,10 @@ def _codecs(dictionary: bytes):
     import zstandard as zstd
 
     d = zstd.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstd.ZstdCompressor(level=3, dict_data=d, write_content_size=True), zstd.ZstdDecompressor(dict_data=d)
+    return zstd.ZstdCompressor(level=1, dict_data=d, write_content_size=True), zstd.ZstdDecompressor(dict_data=d)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 1000, sample_bytes: int = 32768, dict_bytes: int = 65536) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 800, sample_bytes: int = 32768, dict_bytes: int = 65536) -> bytes:
     """A dictionary from the serialized ids of at most sample_docs texts of at most sample_bytes bytes, chosen by hash.
 
     The bound only decides how well the frames compress. With too few ids to train on, the ids themselves serve as
@@ -45,11 +45,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, width) for x in words.encode_many(b.column(0).to_pylist())], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, width) for x in words.encode_many(b.column(0))], pa.binary())], names=["ids"])
 
-    few = docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", F.xxhash64("text").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
-    keep = docs.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").where(F.octet_length("text").between(1, sample_bytes))
-    samples = sorted(bytes(r[0]) for r in keep.orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("text").mapInArrow(run, "ids binary").collect())
+    fits = docs.where(F.octet_length("text").between(1, sample_bytes))
+    share = min(1.0, 3 * sample_docs / max(1, docs.count()))  # some more than wanted, so that little is sorted
+    few = fits.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    samples = sorted(bytes(r[0]) for r in few.orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("text").mapInArrow(run, "ids binary").collect())
     if sum(map(len, samples)) > 20 * dict_bytes:
         try:
             return zstd.train_dictionary(dict_bytes, samples).as_bytes()
@@ -111,7 +112,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         words, end = word_ids(tokenizer_path), np.uint32(end_id).tobytes()
         shard = Shard(dictionary, width)
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), words.encode_many(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), words.encode_many(b.column(1)), strict=True):
                 shard.add(doc_id, ids + end)
                 if shard.at >= shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([shard.blob()], pa.binary())], names=["blob"])

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Blanks at which a text may be cut for any tokenizer that drops white space.
-_CUT = re.compile(r"[^ \t\n\r]+")
-#: Regex classes in which a pattern can't reach over a blank.
+from quillspark.llm.common import slices, split_words
+
+#: What normalises a text piece by piece.
 _SAFE_NORMALIZERS = {"NFC", "Lowercase"}
 
 
@@ -45,7 +45,7 @@ class WordIds(dict):
 
     The first most_words stay, which holds whatever is frequent; once there are so many, what a batch adds goes after it."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
@@ -75,33 +75,56 @@ class WordIds(dict):
     def _learn(self, words: set[str]) -> None:
         """Encodes the letters of new words in one call. A run of letters is one pre-token and so ends with the only id
         that marks a word's end; where the count of ends differs (normalisation made something else of a letter), each word is encoded alone later."""
-        stems = set()
-        for w in words:
-            stem = w[:-1] if w[-1] in ".,!?" else w
-            if _letters(stem):
-                stems.add(stem.lower() if stem.isascii() else stem)
-        stems = [w for w in stems if w not in self]
-        if not self.suffix or not stems:
+        if not self.suffix:
             return
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
-        if len(ends) == len(stems):
+        stem_of = {}
+        for w in words:
+            if w.isalpha():
+                stem = w
+            elif w[-1] in ".,!?":
+                stem = w[:-1]
+                if not stem.isalpha():
+                    continue
+            else:
+                continue
+            if stem.isascii():
+                stem_of[w] = stem.lower()
+            elif _letters(stem):
+                stem_of[w] = stem
+        stems = list(set(stem_of.values()).difference(self))
+        for i in range(0, len(stems), 20_000):
+            some = stems[i : i + 20_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
             raw, at = ids.tobytes(), 0
-            for w, end in zip(stems, ends.tolist(), strict=True):
-                self[w] = raw[at:end]
+            for w, end in zip(some, ends.tolist(), strict=False) if len(ends) == len(some) else ((w, None) for w in some):
+                self[w] = raw[at:end] if end else self.whole(w)
                 at = end
+        for w, stem in stem_of.items():
+            if len(w) != len(stem):
+                self[w] = self[stem] + self[w[-1]]  # a run of letters ends where punctuation begins
+            elif w != stem:
+                self[w] = self[stem]
+
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each whole text, as the library gives them without special tokens added; null counts as empty.
 
-    def encode_many(self, texts: list[str], at_once: int = 250) -> Iterator[bytes]:
-        """The ids of each whole text, as the library gives them without special tokens added."""
-        for i in range(0, len(texts), at_once):
-            some = texts[i : i + at_once]
+        Words are split, numbered and put together again in bulk; only the distinct ones of a slice are looked up."""
+        for some in slices(texts, 2 << 20):
             if not self.by_word:
-                yield from (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+                yield from (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([x or "" for x in some.to_pylist()], add_special_tokens=False))
                 continue
-            split = [_CUT.findall(x) for x in some]
-            self._learn(set().union(*split).difference(self))
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+            starts, numbers, words = split_words(some)
+            self._learn(set(words).difference(self) - {""})
+            raw = [self[w] if w else b"" for w in words]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            ids, at = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+            counts = sizes[numbers]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            out = ids[np.repeat(at[numbers] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+            edges = (4 * ends[starts]).tolist()
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                yield out[lo:hi]
             for _ in range(len(self) - self.most_words):
                 self.popitem()  # the last that came
 
