@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import slices, small_batches, split_words, stored, with_group_value
+from quillspark.llm.common import drop_stored, slices, small_batches, split_words, stored, with_group_value
 from quillspark.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,8 +205,8 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, tag (a hash of the text), n (size of its set) and root (its component, by any name) of every row of docs (doc_id, text).
 
     Documents with equal sets are one class from the start, however many they are. Classes whose prefixes share a token
-    are first compared with a hub or two among them; what links becomes one component, so a group of near copies takes about
-    twice as many comparisons as it has members. Only pairs that share a token and are still in different components are then
+    are first compared with one hub, that which they meet at most of their tokens; what links becomes one component, so a group of near
+    copies takes about as many comparisons as it has members. Only pairs that share a token and are still in different components are then
     compared one by one; so no link that joins two components is missed, and no pairs within a group are listed.
 
     A document without words (null, empty or blank) has n = 0 and no root. Null and repeated ids: each row has its own text. An empty
@@ -215,31 +215,37 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    rows = stored(measured(base, alike, frequencies(base, alike)), "jaccard-rows")
-    one = rows.where("first is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag", "cid", "n", "cold", "parity", "first", "second", "third")).alias("r"))
+    whole = stored(measured(base, alike, frequencies(base, alike)), "jaccard-whole")
+    one = whole.where("first is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag", "cid", "n", "cold", "parity", "first", "second", "third")).alias("r"))
     classes = stored(one.select("r.*"), "jaccard-classes")
+    rows = stored(whole.select("doc_id", "tag", "cid", "sig", "n", F.col("first").isNotNull().alias("meets")), "jaccard-rows")
+    drop_stored(whole)
 
-    tokens = classes.select("cid", "n", "cold", F.posexplode("first").alias("_at", "token"))
-    tokens = tokens.select("token", "cid", "n", F.when(F.col("_at") >= F.col("cold"), F.pmod(F.xxhash64("cid"), F.lit(16))).otherwise(F.lit(0)).cast("int").alias("salt"), (F.col("_at") >= F.col("cold")).alias("hot"))
+    tokens = classes.select("cid", "n", "cold", F.posexplode("first").alias("at", "token"))
+    tokens = tokens.select("token", "at", "cid", "n", F.when(F.col("at") >= F.col("cold"), F.pmod(F.xxhash64("cid"), F.lit(16))).otherwise(F.lit(0)).cast("int").alias("salt"), (F.col("at") >= F.col("cold")).alias("hot"))
     group = Window.partitionBy("token", "salt")
     shared = tokens.withColumn("hub", F.min(F.struct("cid", "n")).over(group)).withColumn("size", F.count("*").over(group)).where("size > 1 or hot")
-    shared = stored(shared.select("token", "cid", "n", "hub", "size", "hot"), "jaccard-shared")
+    shared = stored(shared.select("token", "at", "cid", "n", "hub", "hot"), "jaccard-shared")
     hubs = shared.where("hot").select("token", "hub").distinct().withColumn("top", F.min("hub").over(Window.partitionBy("token"))).where("hub <> top")
-    meet = shared.where(alike.sizes(F.col("n"), F.col("hub.n"))).groupBy("cid").agg(F.min("hub.cid").alias("low"), F.max_by("hub.cid", F.struct("size", "hub.cid")).alias("large"))
-    stars = meet.select("low", "cid").union(meet.select("large", "cid")).union(hubs.groupBy("hub").agg(F.min("top.cid").alias("low")).select("low", "hub.cid"))
+    near = shared.where("cid <> hub.cid").where(alike.sizes(F.col("n"), F.col("hub.n"))).select("cid", F.col("hub.cid").alias("h"))
+    near = near.union(hubs.where(alike.sizes(F.col("hub.n"), F.col("top.n"))).select("hub.cid", F.col("top.cid").alias("h")))
+    times = near.groupBy("cid", "h").agg(F.count("*").alias("times"))
+    stars = times.groupBy("cid").agg(F.max_by("h", F.struct("times", "h")).alias("h")).select("h", "cid")
     stars = stored(stars.toDF("x", "y").where("x <> y").distinct(), "jaccard-stars")
     first = _verified(stars, classes, base, alike, "star")
 
-    sigs = rows.where("first is not null").select("cid", "sig").distinct()
+    sigs = rows.where("meets").select("cid", "sig").distinct()
     found = components(first)
     place = stored(sigs.join(found.withColumnRenamed("node", "sig"), "sig").select("cid", F.col("root").alias("place")).groupBy("cid").agg(F.min("place").alias("place")), "jaccard-places")
-    spots = shared.join(place, "cid", "left").select("token", "cid", "n", F.coalesce("place", F.col("cid").cast("string").cast("binary")).alias("place"))
+    spots = shared.join(place, "cid", "left").select("token", "at", "cid", "n", F.coalesce("place", F.col("cid").cast("string").cast("binary")).alias("place"))
     spots = stored(spots, "jaccard-spots")
     mixed = spots.groupBy("token").agg(F.min("place").alias("_lo"), F.max("place").alias("_hi")).where("_lo <> _hi").select("token")
     spots = stored(spots.join(mixed, "token", "left_semi"), "jaccard-mixed")
     spots = spots.join(classes.select("cid", "parity"), "cid")
-    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "place", "parity")]) for s in "xy")
-    meet = x.join(y, (x["token"] == y["token"]) & (F.col("cid_x") < F.col("cid_y")) & (F.col("place_x") != F.col("place_y")) & alike.near(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y")))
+    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("at", "cid", "n", "place", "parity")]) for s in "xy")
+    # what can follow the first token that two sets share must be enough; later ones needn't find the pair again
+    enough = (100 + alike.percent) * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= alike.percent * (F.col("n_x") + F.col("n_y"))
+    meet = x.join(y, (x["token"] == y["token"]) & (F.col("cid_x") < F.col("cid_y")) & enough & (F.col("place_x") != F.col("place_y")) & alike.near(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y")))
     rest = meet.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y")).distinct()
     rest = rest.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     second = _verified(stored(rest, "jaccard-rest"), classes, base, alike, "rest")
