@@ -1,28 +1,45 @@
-"""A probabilistic suffix tree over the characters of words, and the scores that it gives texts.
+"""A probabilistic suffix tree over the words of texts, and the scores that it gives texts.
 
-A text's model is the sequence of its words and one end; a word is the sequence of its characters and a word end, after a word
-start. So the tree's distributions make one over all texts. Contexts have up to `depth` symbols, within the word.
+The root's distribution is that of single tokens, (c + 0.5) / (N + 0.5 * (V + 1)). A context of up to `depth` words that training
+texts have is a state of the tree if its next words diverge from what its suffix says: if, each occurrence being left out in
+turn, it predicts them better. A state's distribution is smoothed with that of its longest suffix state,
+(n + T * P) / (N + T) with T distinct next words (Witten and Bell). A token is scored by the longest suffix of what stands before it that is a state.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch, slices, small_batches, split_words
+from quillspark.llm.common import scratch, slices, small_batches, split_words, stored
 
-WORD_END, TEXT_END, WORD_START = 0x110000, 0x110001, 0x110002
-#: As many symbols as can come next: all code points, a word's end and the text's.
-SYMBOLS = 0x110002
+#: Stands for a text's end; no word has a blank in it.
+END = "\n"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+MESSAGE = "block long, level int, part int, data binary"
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+@dataclass(frozen=True)
+class Settings:
+    """depth: words in a context at most. least_count: how often training texts must have a context. gain: what it must save, in nats
+    over its training occurrences, each left out in turn. parts: into how many the counts are dealt. block_bytes: of text in a block."""
+
+    depth: int = 2
+    least_count: int = 2
+    gain: float = 2.0
+    parts: int = 64
+    block_bytes: int = 12 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -30,350 +47,256 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@dataclass
-class Level:
-    """Contexts of one length. Both tables are sorted by key; every context that is frequent is there, also if it isn't retained."""
-
-    ctx: np.ndarray
-    total: np.ndarray
-    missing: np.ndarray
-    retained: np.ndarray
-    keys: np.ndarray
-    counts: np.ndarray
-    probs: np.ndarray
-
-
-@dataclass
-class Symbols:
-    """Words as symbols: the start, the characters and the end of each."""
-
-    codes: np.ndarray
-    first: np.ndarray
-
-    @classmethod
-    def of(cls, words: list[str]) -> Symbols:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.cumsum(lengths + 2) - (lengths + 2)
-        codes = np.full(int((lengths + 2).sum()), WORD_END, dtype=np.uint64)
-        inside = np.ones(len(codes), dtype=bool)
-        codes[first] = WORD_START
-        inside[first] = inside[first + lengths + 1] = False
-        codes[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        return cls(codes, first)
-
-    def positions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where a symbol follows, and how many symbols of its word stand before it."""
-        at = np.arange(len(self.codes))
-        before = at - np.repeat(self.first, np.diff(np.append(self.first, len(self.codes))))
-        return at[before > 0], before[before > 0]
-
-
-def _key(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return _mix(ctx * _A + symbol + np.uint64(7))
-
-
-def _longer(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return _mix(ctx * _B + symbol + np.uint64(3))
-
-
-def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in a sorted table, -1 for what isn't there."""
-    if not len(table):
-        return np.full(len(wanted), -1)
-    i = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return np.where(table[i] == wanted, i, -1)
-
-
-@dataclass
-class SuffixTree:
-    """depth: of contexts. least_share: a context, or a symbol after one, is kept if it is at least this share of all training symbols
-    (and occurs twice); so each level has at most 1 / least_share of either, whatever the corpus. gain: what a context must
-    save over its suffix, in nats over the training text, to be retained. weight: of the suffix's distribution in smoothing."""
-
-    depth: int = 8
-    least_share: float = 1e-6
-    gain: float = 12.0
-    weight: float = 4.0
-    levels: list[Level] = field(default_factory=list)
-
-    def walk(self, s: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Level by level, the positions (of positions()) whose context is frequent in the levels so far, with the keys of the
-        context and of its suffix; ends with the first level that isn't there yet."""
-        at, before = s.positions()
-        live = np.arange(len(at))
-        ctx = np.zeros(len(at), np.uint64)
-        yield live, ctx, ctx
-        for d in range(1, self.depth + 1):
-            if d > len(self.levels):
-                return
-            up = self.levels[d - 1]
-            # a context occurs as often as its last symbol does after the rest: look whether that was kept
-            ok = (before[live] >= d) & (_find(up.ctx, ctx) >= 0)
-            live, suffix = live[ok], ctx[ok]
-            ctx = _longer(suffix, s.codes[at[live] - d])
-            if d > 1 or True:
-                yield live, ctx, suffix
-
-    def log_probs(self, words: list[str]) -> np.ndarray:
-        """log10 of each word's probability, its end included."""
-        if not words:
-            return np.zeros(0)
-        s = Symbols.of(words)
-        at, _ = s.positions()
-        symbol = s.codes[at]
-        p = np.full(len(at), 1.0 / SYMBOLS)
-        for level, (live, ctx, _) in zip(self.levels, self.walk(s), strict=False):
-            p = self._step(level, p, live, ctx, symbol)
-        word = np.searchsorted(s.first, at, "right") - 1
-        return np.bincount(word, weights=np.log10(p), minlength=len(words))
-
-    def _step(self, level: Level, p: np.ndarray, live: np.ndarray, ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        i = _find(level.ctx, ctx)
-        use = i >= 0
-        use[use] = level.retained[i[use]]
-        where, i = live[use], i[use]
-        j = _find(level.keys, _key(ctx[use], symbol[where]))
-        n = np.where(j >= 0, level.counts[j] if len(level.counts) else 0, 0)
-        p = p.copy()
-        p[where] = (n + (self.weight + level.missing[i]) * p[where]) / (level.total[i] + self.weight)
-        return p
-
-    def text_end(self) -> float:
-        """log10 of the probability that a text ends where a word could begin."""
-        p, ctx = 1.0 / SYMBOLS, np.zeros(1, np.uint64)
-        for d, level in enumerate(self.levels[:2]):
-            if d:
-                ctx = _longer(ctx, np.array([WORD_START], np.uint64))
-            p = self._step(level, np.array([p]), np.array([0]), ctx, np.array([TEXT_END], np.uint64))[0]
-        return float(np.log10(p))
-
-    def grow(self, entries: dict[str, np.ndarray], totals: dict[str, np.ndarray]) -> None:
-        """Adds the level for the frequent contexts (totals: ctx, n) and symbols after them (entries: key, ctx, parent_key, n)."""
-        o = np.argsort(totals["ctx"])
-        ctx, total = totals["ctx"][o], totals["n"][o].astype(np.float64)
-        o = np.argsort(entries["key"])
-        keys, n = entries["key"][o], entries["n"][o].astype(np.float64)
-        i = _find(ctx, entries["ctx"][o])
-        missing = np.maximum(total - np.bincount(i, weights=n, minlength=len(ctx)), 0)
-        if self.levels:
-            up = self.levels[-1]
-            j = _find(up.keys, entries["parent_key"][o])  # as frequent as what is longer, hence there
-            under = np.where(j >= 0, up.probs[j] if len(up.probs) else 0, 1.0 / SYMBOLS)
-        else:
-            under = np.full(len(keys), 1.0 / SYMBOLS)
-        own = (n + (self.weight + missing[i]) * under) / (total[i] + self.weight)
-        saved = np.bincount(i, weights=n * np.log(own / under), minlength=len(ctx))
-        retained = (saved >= self.gain) if self.levels else np.ones(len(ctx), dtype=bool)
-        self.levels.append(Level(ctx, total, missing, retained, keys, n, np.where(retained[i], own, under)))
-
-
-def learn(words: DataFrame, texts: int, tree: SuffixTree | None = None) -> SuffixTree:
-    """Grows the tree from all distinct training words (word, n) and the number of texts.
-
-    One job per level: the map tasks extend the contexts that the levels so far have found frequent (broadcast: their
-    number is bounded by 1 / least_share), sums are made by key in a shuffle, and what is frequent comes to the driver."""
-    tree = tree or SuffixTree()
-    spark = words.sparkSession
-    symbols = (words.agg(F.sum((F.length("word") + 1) * F.col("n"))).head()[0] or 0) + texts
-    if not symbols:
-        return tree
-    least = max(2, int(np.ceil(tree.least_share * symbols)))
-    for d in range(tree.depth + 1):
-        shared = spark.sparkContext.broadcast(tree)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, d=d) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, ...]] = []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                for kind in (0, 1):
-                    key = np.concatenate([h[kind] for h in held])
-                    n = np.concatenate([h[4] for h in held])
-                    uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                    sums = np.bincount(inverse, weights=n, minlength=len(uniq)).astype(np.int64)
-                    ctx, parent = (np.concatenate([h[k] for h in held])[first] for k in (1, 2))
-                    for i in range(0, len(uniq), 50_000):
-                        part = slice(i, i + 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniq[part]), kind, np.int32)), *(pa.array(x[part].view(np.int64)) for x in (uniq, ctx, parent)), pa.array(sums[part])], names=["kind", "key", "ctx", "parent_key", "n"])
-
-            size = 0
-            for b in batches:
-                words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-                s = Symbols.of(words)
-                at, _ = s.positions()
-                found = None
-                for found in shared.value.walk(s):
-                    pass
-                live, ctx, suffix = found
-                if d and len(shared.value.levels) < d:
-                    continue
-                word = np.searchsorted(s.first, at[live], "right") - 1
-                symbol = s.codes[at[live]]
-                parent = _key(suffix, symbol)
-                if d:  # not where what is shorter is rare already
-                    ok = _find(shared.value.levels[d - 1].keys, parent) >= 0
-                    live, ctx, parent, word, symbol = live, ctx, np.where(ok, parent, parent), word, symbol
-                held.append((_key(ctx, symbol), ctx, parent, None, n[word]))
-                size += len(live)
-                if size > 3_000_000:
-                    yield from flush()
-                    held, size = [], 0
-            if held:
-                yield from flush()
-
-        def summed(kind: int) -> dict[str, np.ndarray]:
-            rows = counted.where(F.col("kind") == kind).toPandas()
-            return {c: rows[c].to_numpy().view(np.uint64) if c != "n" else rows[c].to_numpy() for c in ("key", "ctx", "parent_key", "n")}
-
-        raw = words.select("word", "n").mapInArrow(run, "kind int, key long, ctx long, parent_key long, n long")
-        counted = raw.groupBy("kind", "key").agg(F.first("ctx").alias("ctx"), F.first("parent_key").alias("parent_key"), F.sum("n").alias("n")).where(F.col("n") >= least)
-        counted = counted.persist()
-        entries, totals = summed(0), summed(1)
-        counted.unpersist()
-        totals = {"ctx": totals["key"], "n": totals["n"]}
-        ends = d < 2 and texts >= least  # the text's end comes where a word could begin
-        if ends:
-            ctx = np.zeros(1, np.uint64) if not d else _longer(np.zeros(1, np.uint64), np.array([WORD_START], np.uint64))
-            end = np.array([TEXT_END], np.uint64)
-            extra = {"key": _key(ctx, end), "ctx": ctx, "parent_key": _key(np.zeros(1, np.uint64), end), "n": np.array([texts])}
-            entries = {k: np.concatenate([v, extra[k].astype(v.dtype)]) for k, v in entries.items()}
-        if d < 2:
-            ctx = np.zeros(1, np.uint64) if not d else _longer(np.zeros(1, np.uint64), np.array([WORD_START], np.uint64))
-            hit = totals["ctx"] == ctx[0]
-            if hit.any():
-                totals["n"] = totals["n"] + hit * texts
-            else:
-                totals = {"ctx": np.concatenate([totals["ctx"], ctx]), "n": np.concatenate([totals["n"], [texts]])}
-        tree.grow(entries, totals)
-        if not len(entries["key"]):
-            break
-    return tree
+def _pack(**arrays: object) -> bytes:
+    """Arrays of integers go byte plane by byte plane, where their zeros vanish."""
+    planes = {k: ("planes", v.dtype.str, np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes()) if isinstance(v, np.ndarray) and v.dtype.kind == "u" and v.dtype.itemsize > 1 and len(v) else v for k, v in arrays.items()}
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes, protocol=5))
 
 
-def trains(doc_id: Column) -> Column:
-    """Whether a document is learned from; a null id counts as empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 1
+def _unpack(data: pa.Scalar) -> dict:
+    def plain(v: object) -> object:
+        if isinstance(v, tuple) and v and v[0] == "planes":
+            kind = np.dtype(v[1])
+            return np.ascontiguousarray(np.frombuffer(v[2], np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+        return v
 
+    return {k: plain(v) for k, v in pickle.loads(zstandard.ZstdDecompressor().decompress(data.as_py())).items()}
 
-def _pack(**arrays: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
+def _deltas(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.uint64(0))
 
-def _unpack(data: pa.Scalar) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data.as_py()))
 
+def _messages(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], names=["block", "level", "part", "data"])
 
-def _blocks(docs: DataFrame, parts: int, block_bytes: int) -> DataFrame:
-    """Documents as blocks of numbered words (part -1), and each block's distinct words with their training counts, by part."""
+
+def _table(rows: list[tuple]) -> pa.Table:
+    batches = list(_messages(rows))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.Table.from_batches(batches) if batches else pa.table({n: pa.array([], k) for n, k in zip(("block", "level", "part", "data"), kinds, strict=True)})
+
+
+def trains(doc_id: Column) -> Column:
+    """Whether a document is learned from; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 1
+
+
+def blocks(docs: DataFrame, set_: Settings) -> DataFrame:
+    """Documents as blocks of numbered tokens, each text's end included: block, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
 
-        def block(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows).combine_chunks()
-            text = t.column("text").combine_chunks()
-            starts, numbers, words = split_words(text if isinstance(text, pa.Array) else text.chunk(0), lower=True)
-            learns = t.column("trains").to_numpy()
-            sizes = np.diff(starts)
-            counts = np.bincount(numbers[np.repeat(learns, sizes)], minlength=len(words))
-            part = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % parts for w in words), np.int64, len(words))
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(number, -1, _pack(doc_id=t.column("doc_id").to_pylist(), trains=learns, sizes=sizes, numbers=numbers.astype(np.uint32), order=order.astype(np.uint32)))]
-            for p in range(parts):
-                here = order[bounds[p] : bounds[p + 1]]
-                if len(here):
-                    out.append((number, p, _pack(words=[words[i] for i in here], counts=counts[here].astype(np.uint32))))
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 64], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "data"])
+            texts = pa.concat_arrays(t.column("text").chunks) if t.column("text").num_chunks != 1 else t.column("text").chunk(0)
+            starts, numbers, words = split_words(texts, lower=True)
+            words = [*words, END]
+            ends = np.insert(numbers.astype(np.int64), starts[1:], len(words) - 1)
+            data = _pack(doc_id=t.column("doc_id").to_pylist(), trains=t.column("trains").to_numpy(), sizes=np.diff(starts).astype(np.uint32) + np.uint32(1), tokens=ends.astype(np.uint32), words=words)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
 
         held, size = [], 0
         for b in batches:
             at = 0
-            for texts in slices(b.column("text"), block_bytes):
+            for texts in slices(b.column("text"), set_.block_bytes):
                 held.append(b.slice(at, len(texts)))
                 at += len(texts)
-                size += texts.nbytes
-                if size >= block_bytes:
-                    yield from block(held)
+                size += pc.sum(pc.binary_length(texts)).as_py() or 0
+                if size >= set_.block_bytes:
+                    yield block(held)
                     held, size, number = [], 0, number + 1
         if held:
-            yield from block(held)
-
-    return docs.mapInArrow(run, "block long, part int, data binary")
-
-
-def _merged(t: pa.Table) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-    """The distinct words of a part, their counts over all blocks, and where each row's words are among them."""
+            yield block(held)
+
+    return docs.mapInArrow(run, "block long, data binary")
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def _slices(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+class Block:
+    """A block with what the parts have answered so far: the model's probabilities, level by level."""
+
+    def __init__(self, data: pa.Scalar, answers: list[tuple[int, int, dict]], set_: Settings, n: int = 0, v: int = 0):
+        b = _unpack(data)
+        self.set, self.doc_id, self.trains, self.sizes, self.words = set_, b["doc_id"], b["trains"], b["sizes"].astype(np.int64), b["words"]
+        self.tokens = b["tokens"].astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.learns = self.trains[self.doc]
+        self.hashes = word_hashes(self.words)
+        self.answers: dict[int, list[dict]] = {}
+        for level, _, data_ in sorted(answers, key=lambda a: a[:2]):
+            self.answers.setdefault(level, []).append(data_)
+        if 0 in self.answers or not len(self.tokens):
+            order, _ = self.word_parts()
+            self.count = np.zeros(len(self.words), np.int64)
+            if len(self.words):
+                self.count[order] = np.concatenate([a["n"] for a in self.answers[0]]).astype(np.int64)
+            self.base = (self.count[self.tokens] + 0.5) / (n + 0.5 * (v + 1))
+            self.p, self.seen = self.base, self.count[self.tokens]
+            for level in range(1, set_.depth + 1):
+                if level in self.answers:
+                    self.rise(level)
+
+    def word_parts(self) -> tuple[np.ndarray, np.ndarray]:
+        return _slices((self.hashes % np.uint64(self.set.parts)).astype(np.int64), self.set.parts)
+
+    def ask_words(self) -> Iterator[tuple[int, bytes]]:
+        counts = np.bincount(self.tokens[self.learns], minlength=len(self.words))
+        order, edges = self.word_parts()
+        for p in range(self.set.parts):
+            here = order[edges[p] : edges[p + 1]]
+            if len(here):
+                yield p, _pack(words=[self.words[i] for i in here], n=counts[here].astype(np.uint64))
+
+    def entries(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens whose context of so many words is frequent enough; of each its entry's number; the entries' contexts, next words, first
+        tokens; and how often each token's context occurs in training texts. An entry is a context and a word after it."""
+        before = np.zeros_like(self.seen)
+        before[1:] = self.seen[:-1]  # what was counted for the token before is how often the context occurs
+        at = np.flatnonzero((self.place >= level) & (before >= self.set.least_count) & (self.count[self.tokens] > 0))
+        h = self.hashes[self.tokens]
+        ctx = _mix(h[at - 1] + np.uint64(level))
+        for k in range(2, level + 1):
+            ctx = _mix(ctx * _A + h[at - k])
+        word = (_mix(ctx ^ (h[at] * _A)) >> np.uint64(32)).astype(np.uint32)
+        ctx >>= np.uint64(16)
+        order = np.lexsort((word, ctx))
+        sc, sw = ctx[order], word[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (sc[1:] != sc[:-1]) | (sw[1:] != sw[:-1])
+        number = np.empty(len(at), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return at, number, sc[new], sw[new], at[order[new]], before[at]
+
+    def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
+        at, number, ctx, word, first, _ = self.entries(level)
+        n = np.bincount(number[self.learns[at]], minlength=len(ctx))
+        q = np.clip(np.round(-8 * np.log2(self.p[first])), 0, 255).astype(np.uint8)
+        order, edges = _slices((ctx % np.uint64(self.set.parts)).astype(np.int64), self.set.parts)
+        for p in range(self.set.parts):
+            here = order[edges[p] : edges[p + 1]]
+            if len(here):
+                yield p, _pack(ctx=_deltas(ctx[here]), word=word[here], n=n[here].astype(np.uint32), q=q[here])
+
+    def rise(self, level: int) -> None:
+        at, number, ctx, _, _, total = self.entries(level)
+        order, _ = _slices((ctx % np.uint64(self.set.parts)).astype(np.int64), self.set.parts)
+        n, states = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.int64)
+        n[order] = np.concatenate([a["n"] for a in self.answers[level]] or [[]]).astype(np.int64)
+        states[order] = np.concatenate([a["states"] for a in self.answers[level]] or [[]]).astype(np.int64)
+        n, t = n[number], states[number]
+        self.seen = np.zeros_like(self.seen)
+        self.seen[at] = n
+        self.p = self.p.copy()
+        self.p[at] = np.where(t > 0, (n + t * self.p[at]) / (total + t), self.p[at])
+
+    def scores(self, n: int) -> pa.Table:
+        per = lambda v: np.bincount(self.doc, weights=v, minlength=len(self.sizes))
+        known = per((self.count[self.tokens] > 0).astype(float))
+        return pa.table({
+            "doc_id": pa.array(self.doc_id, pa.int64()), "held_out": pa.array(~self.trains), "n_tokens": pa.array(self.sizes), "n_known": pa.array(known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(self.sizes), n, np.int64)), "base_score": pa.array(per(np.log10(self.base))), "score": pa.array(per(np.log10(self.p))),
+        })
+
+
+def count_words(t: pa.Table) -> tuple[list[tuple], np.ndarray]:
+    """The answers to a part's questions about words, and the distinct words' counts."""
     rows = [_unpack(x) for x in t.column("data")]
     coded = pa.array([w for r in rows for w in r["words"]], pa.large_string()).dictionary_encode()
     number = coded.indices.to_numpy()
-    totals = np.bincount(number, weights=np.concatenate([r["counts"] for r in rows]), minlength=len(coded.dictionary)).astype(np.int64)
+    totals = np.bincount(number, weights=np.concatenate([r["n"] for r in rows]).astype(float), minlength=len(coded.dictionary)).astype(np.uint64)
     edges = np.cumsum([0, *(len(r["words"]) for r in rows)])
-    return coded.dictionary.to_pylist(), totals, [number[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    return [(b, 0, p, _pack(n=totals[number[i:j]])) for b, p, i, j in zip(t.column("block").to_pylist(), t.column("part").to_pylist(), edges, edges[1:], strict=False)], totals
 
 
-def score_texts(docs: DataFrame, tree: SuffixTree | None = None, block_bytes: int = 12 << 20) -> DataFrame:
+def count_entries(t: pa.Table, level: int, gain: float) -> list[tuple]:
+    """The answers to a part's questions about entries: their counts, and for a context that is a state the number of distinct next words, else 0."""
+    rows = [_unpack(x) for x in t.column("data")]
+    ctx = np.concatenate([np.cumsum(r["ctx"]) for r in rows])
+    word = np.concatenate([r["word"] for r in rows])
+    order = np.lexsort((word, ctx))
+    sc, sw = ctx[order], word[order]
+    same_ctx = sc[1:] == sc[:-1]
+    new = np.concatenate([[True], ~(same_ctx & (sw[1:] == sw[:-1]))])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    n = np.bincount(number, weights=np.concatenate([r["n"] for r in rows]).astype(float))
+    under = 2.0 ** (-np.concatenate([r["q"] for r in rows])[order][new].astype(float) / 8)
+    state = np.cumsum(np.concatenate([[True], ~same_ctx]))[new] - 1
+    total, distinct = np.bincount(state, weights=n), np.bincount(state, weights=(n > 0).astype(float))
+    left_out = (n - 1 + distinct[state] * under) / np.maximum(total[state] - 1 + distinct[state], 1e-9)
+    saved = np.bincount(state, weights=np.where(n > 0, n * np.log(np.maximum(left_out, 1e-300) / under), 0.0))
+    states = np.where(saved > gain, distinct, 0)[state]
+    edges = np.cumsum([0, *(len(r["word"]) for r in rows)])
+    return [(b, level, p, _pack(n=n[number[i:j]].astype(np.uint32), states=states[number[i:j]].astype(np.uint32))) for b, p, i, j in zip(t.column("block").to_pylist(), t.column("part").to_pylist(), edges, edges[1:], strict=False)]
+
+
+def _asks(level: int) -> Callable[[Block, int], pa.Table]:
+    return lambda b, number: _table([(number, level, p, q) for p, q in b.ask(level)])
+
+
+def _counts(level: int, gain: float) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: _table(count_entries(t, level, gain))
+
+
+def score_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
 
-    Learns from the rows that trains() names. The texts are read once, as blocks of numbered words with a list of distinct words each; those
-    lists alone are shuffled, by word, to be counted, and once more to be scored; a word as frequent as may be is one entry per block. Then
-    each block gets its words' counts and scores back. Null texts count as empty: their score is that of an end. Repeated and
-    null ids stay; an empty table gives no rows; other columns are not looked at."""
+    Learns from the rows that trains() names, all of them. The texts are read once, as blocks of numbered tokens. For each level, the root
+    and then contexts of one word more, each block asks for the counts of what it holds, once for each distinct
+    entry; the questions are dealt to parts by word or context, counted there over all blocks, and answered. So what is shuffled grows
+    with the distinct entries of blocks, and a word as frequent as may be is an entry per block and next word. Nothing but N and V meets at the driver.
+    The blocks lie in buckets, so they aren't shuffled to meet the answers.
+
+    Null texts count as empty: their score is that of an end. Repeated and null ids stay; an empty table gives no rows; other columns are not looked at."""
     spark = docs.sparkSession
     small_batches(spark)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    set_ = settings or Settings(parts=4 * n_parts)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), trains(F.col("doc_id")).alias("trains"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch(spark, "lm-blocks")
-    _blocks(base, parts, block_bytes).withColumn("list", F.col("part") >= 0).write.partitionBy("list").parquet(path)
-    stored = spark.read.schema("block long, part int, data binary, list boolean").parquet(path)
-    blocks, lists = stored.where("not list").select("block", "data"), stored.where("list").select("block", "part", "data")
-    texts = base.where("trains").count()
-
-    def count(t: pa.Table) -> pa.Table:
-        words, totals, _ = _merged(t)
-        known = np.flatnonzero(totals)
-        return pa.table({"word": pa.array([words[i] for i in known], pa.string()), "n": pa.array(totals[known], pa.int64())})
-
-    from quillspark.llm.common import stored as store
-
-    words = store(lists.groupBy("part").applyInArrow(lambda t: count(t), "word string, n long"), "lm-words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    n_all, n_distinct = tokens + texts, distinct + (texts > 0)
-    model = learn(words, texts, tree)
-    shared, end = spark.sparkContext.broadcast(model), model.text_end() if model.levels else float(np.log10(1 / SYMBOLS))
-
-    def answer(t: pa.Table) -> pa.Table:
-        words, totals, places = _merged(t)
-        scores = shared.value.log_probs(words)
-        data = [_pack(counts=totals[i].astype(np.uint32) if totals.max(initial=0) < 1 << 32 else totals[i], scores=scores[i]) for i in places]
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "data": pa.array(data, pa.binary())})
-
-    answers = lists.groupBy("part").applyInArrow(lambda t: answer(t), "block long, part int, data binary")
-
-    def total(block: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for x in block.column("data"):
-            b = _unpack(x)
-            got = sorted(zip(found.column("part").to_pylist(), map(_unpack, found.column("data")), strict=True), key=lambda r: r[0])
-            counts, scores = np.zeros(len(b["order"]), np.int64), np.zeros(len(b["order"]))
-            if got:
-                counts[b["order"]] = np.concatenate([r["counts"] for _, r in got])
-                scores[b["order"]] = np.concatenate([r["scores"] for _, r in got])
-            logs = np.log10((counts + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
-            doc = np.repeat(np.arange(len(b["sizes"])), b["sizes"])
-            per = lambda v: np.bincount(doc, weights=v[b["numbers"]], minlength=len(b["sizes"]))
-            end_log = np.log10((texts + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
-            out.append(pa.table({
-                "doc_id": pa.array(b["doc_id"], pa.int64()), "held_out": pa.array(~b["trains"]), "n_tokens": pa.array(b["sizes"] + 1, pa.int64()),
-                "n_known": pa.array(per((counts > 0).astype(float)).astype(np.int64) + (texts > 0), pa.int64()), "train_tokens": pa.array(np.full(len(doc_n := b["sizes"]), n_all), pa.int64()),
-                "base_score": pa.array(per(logs) + end_log), "score": pa.array(per(scores) + end),
-            }))
-        return pa.concat_tables(out) if out else pa.table({c.split()[0]: pa.array([], t) for c, t in zip(_OUT.split(", "), _KINDS, strict=True)})
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: total(a, b), _OUT)
-
-
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    blocks(base, set_).write.bucketBy(n_parts, "block").option("path", scratch(spark, "lm-blocks")).saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone; the files stay
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                yield from _messages([(number, 0, p, q) for p, q in Block(data, [], set_).ask_words()])
+
+    def answer_words(t: pa.Table) -> pa.Table:
+        rows, totals = count_words(t)
+        return _table([*rows, (-1, 0, t.column("part")[0].as_py(), pickle.dumps((int(totals.sum()), int((totals > 0).sum()))))])
+
+    answers = stored(held.mapInArrow(ask_words, MESSAGE).groupBy("part").applyInArrow(lambda t: answer_words(t), MESSAGE), "lm-words")
+    sums = [pickle.loads(bytes(r[0])) for r in answers.where("block = -1").select("data").collect()]  # one row per part
+    n, v = sum(s[0] for s in sums), sum(s[1] for s in sums)
+    answers = answers.where("block >= 0")
+
+    def with_blocks(found: DataFrame, use: Callable[[Block, int], pa.Table], out: str) -> DataFrame:
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            told = [(lv, p, _unpack(d)) for lv, p, d in zip(b.column("level").to_pylist(), b.column("part").to_pylist(), b.column("data"), strict=True)]
+            tables = [use(Block(x, told, set_, n, v), number) for number, x in zip(a.column("block").to_pylist(), a.column("data"), strict=True)]
+            return pa.concat_tables(tables)
+
+        return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: run(a, b), out)
+
+    for level in range(1, set_.depth + 1):
+        asked = with_blocks(answers, _asks(level), MESSAGE)
+        told = asked.groupBy("part").applyInArrow(_counts(level, set_.gain), MESSAGE)
+        answers = answers.unionByName(stored(told, f"lm-level-{level}"))
+    return with_blocks(answers, lambda b, number: b.scores(n), OUT)
