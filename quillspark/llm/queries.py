@@ -15,11 +15,10 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_captures(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(spark, path)
     block, about, first = F.col("record.block"), F.get("metadata", F.lit(0))["block"], F.col("record.warc_type") == "response"
-    body = warc.http_body(block)
     return captures.select(
         warc.field(about, "page-id").cast("long").alias("page_id"),
-        F.when(first, F.octet_length(body)).otherwise(warc.field(block, "Content-Length")).cast("long").alias("payload_bytes"),
-        F.when(first, F.sha1(body)).otherwise(F.col("record.headers")["payload-sha1"]).alias("payload_digest"),
+        F.when(first, F.octet_length(block) - warc.http_header_bytes(block)).otherwise(warc.field(block, "Content-Length")).cast("long").alias("payload_bytes"),
+        F.when(first, F.sha1(warc.http_body(block))).otherwise(F.col("record.headers")["payload-sha1"]).alias("payload_digest"),
         F.col("record.warc_type").alias("record_type"),
         warc.field(about, "refers-to-page-id").cast("long").alias("refers_to"),
         F.size("requests").alias("n_requests"),

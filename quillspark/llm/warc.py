@@ -6,8 +6,10 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,23 @@ RECORD = "file string, place long, warc_type string, record_id string, concurren
 #: The records a capture is about; requests and metadata go with one of these.
 PRIMARY = ("response", "revisit", "resource")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_STEP = 8192
+_STEP = 4096
+_KIND = re.compile(rb"\r\nwarc-type:[ \t]*([^\r\n]*)", re.I)
+
+
+@lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=2, write_checksum=False), zstandard.ZstdDecompressor()
+
+
+def _shrink(x: bytes) -> bytes:
+    return _codec()[0].compress(x)
+
+
+def _grow(x: bytes) -> bytes:
+    return _codec()[1].decompress(x)
+
+
 _URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^#]*)")
 
 
@@ -92,20 +110,20 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 page_id, url, payload, digest, response, request, metadata, refers_to, refers_page = r
                 fields = {k: str(v) for k, v in (("page-id", page_id), ("refers-to-page-id", refers_page)) if v is not None}
-                out.append(capture_records(url, zlib.decompress(payload), digest, (response, request, metadata), refers_to, fields, date)[:-1])
+                out.append(capture_records(url, _grow(payload), digest, (response, request, metadata), refers_to, fields, date)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["members"])
 
     rows.mapInArrow(run, "members binary").select(F.col("members").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", pages_per_file).text(path)
 
 
 def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
-    z = pa.array([zlib.compress(x, 1) for x in b.column("payload").to_pylist()], pa.binary())
+    z = pa.array([_shrink(x) for x in b.column("payload").to_pylist()], pa.binary())
     return pa.RecordBatch.from_arrays([z if n == "payload" else b.column(n) for n in b.schema.names], names=b.schema.names)
 
 
 def _unpacked(b: pa.RecordBatch) -> pa.RecordBatch:
     """Blocks of primary records, which are compressed while they are shuffled."""
-    z = pa.array([None if x is None else zlib.decompress(x) for x in b.column("block").to_pylist()], pa.binary())
+    z = pa.array([None if x is None else _grow(x) for x in b.column("block").to_pylist()], pa.binary())
     return pa.RecordBatch.from_arrays([z if n == "block" else b.column(n) for n in b.schema.names], names=b.schema.names)
 
 
@@ -141,13 +159,15 @@ def _records(data: bytes) -> Iterator[bytes]:
 def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, blocks: str = "plain") -> DataFrame:
     """RECORD rows of all archives below path, file by file; types: only those records.
 
-    blocks: plain, packed (by zlib) or other (plain, and none for primary records). Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1."""
+    blocks: plain, packed (by zstandard) or other (plain, and none for primary records). Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found, held = [], 0
                 for place, record in enumerate(_members(memoryview(content.as_buffer()))):
+                    if types is not None and (not (m := _KIND.search(record)) or m[1].strip().decode() not in types):
+                        continue
                     head, _, block = record.partition(b"\r\n\r\n")
                     lines = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
                     fields = [(k.strip().lower(), v.strip()) for k, _, v in lines]
@@ -156,12 +176,11 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
                     algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
                     if algorithm.lower() == "sha1" and len(digest) == 32:
                         headers["payload-sha1"] = base64.b32decode(digest.upper()).hex()
-                    if types is None or kind in types:
-                        found.append((file, place, kind, headers.get("warc-record-id"), [v for k, v in fields if k == "warc-concurrent-to"], list(headers.items()), zlib.compress(block, 1) if blocks == "packed" else block if blocks == "plain" or kind not in PRIMARY else None))
-                        held += len(block)
-                        if held > 4 << 20 or len(found) >= 2000:
-                            yield _batch(found)
-                            found, held = [], 0
+                    found.append((file, place, kind, headers.get("warc-record-id"), [v for k, v in fields if k == "warc-concurrent-to"], list(headers.items()), _shrink(block) if blocks == "packed" else block if blocks == "plain" or kind not in PRIMARY else None))
+                    held += len(block)
+                    if held > 4 << 20 or len(found) >= 2000:
+                        yield _batch(found)
+                        found, held = [], 0
                 if found:
                     yield _batch(found)
 
@@ -220,10 +239,14 @@ def _by_id(a: Column, b: Column) -> Column:
     return F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)
 
 
+def http_header_bytes(block: Column) -> Column:
+    """How many bytes the HTTP header of a block has, its blank line included; they are looked for in the first 64 KiB."""
+    return F.locate("\r\n\r\n", F.decode(F.substring(block, 1, 65536), "ISO-8859-1")) + 3
+
+
 def http_body(block: Column) -> Column:
     """What follows the HTTP header in a block."""
-    text = F.decode(block, "ISO-8859-1")  # one character per byte
-    return F.substring(block, F.locate("\r\n\r\n", text) + 4, F.length(text))
+    return F.substring(block, http_header_bytes(block) + 1, F.octet_length(block))
 
 
 def field(block: Column, name: str) -> Column:
