@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ngram_jaccard, packing, quality_knn, quality_rules, simhash, suffix_tree, token_binary, token_counts, warc
+from quillspark.llm import ngram_jaccard, packing, quality_knn, quality_rules, sentencepiece_scan, simhash, suffix_tree, token_binary, token_counts, warc
 from quillspark.llm.common import scratch, table
 from quillspark.llm.tokens import default_path
 
@@ -49,6 +49,12 @@ def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_knn.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = sentencepiece_scan.encode(docs, default_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "score", F.md5("decoded").alias("decoded_md5"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op5_suffix_tree, op6_quality_knn, op8_simhash, op9_weak_supervision, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op5_suffix_tree, op6_quality_knn, op7_sentencepiece_scan, op8_simhash, op9_weak_supervision, op10_packing)}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),

@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encodes every text, appends end_id and writes shards below path in ascending order of doc_id; returns the dictionary.
 
     docs: doc_id long, text string; other columns are not looked at. Null texts count as empty; rows with equal doc_id
-    follow each other by text, null ids come first; an empty table gives a folder without shards. The raw texts are
+    follow each other by a hash of their texts, null ids come first; an empty table gives a folder without shards. The raw texts are
     range-partitioned once (a hot source plays no part), and each partition is encoded and written in order. width: bytes of an id on
     disk, 2 for a vocabulary of up to 65,536 ids, else 4."""
     spark = docs.sparkSession
@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if shard.index:
             yield pa.RecordBatch.from_arrays([pa.array([shard.blob()], pa.binary())], names=["blob"])
 
-    shards = narrow.orderBy("doc_id", "text").mapInArrow(run, "blob binary")
+    shards = narrow.orderBy("doc_id", F.xxhash64("text")).mapInArrow(run, "blob binary")
     shards.select(F.col("blob").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/shards")
     return dictionary
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,11 +31,17 @@ def _drops_blanks(config: dict) -> bool:
     norms = (config.get("normalizer") or {}).get("normalizers", [])
     local = all(n["type"] in _SAFE_NORMALIZERS or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in norms)
     steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    split = bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and " " not in json.dumps(steps[0]["pattern"])[10:]
+    split = bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[0]["pattern"] == {"Regex": _PATTERN}
     added = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in config.get("added_tokens") or [])
     return local and split and added and not config.get("post_processor") and not config["model"].get("dropout")
 
 
+#: The pre-tokenizer's pattern for which words can be taken apart here; with any other, whole texts go to the library.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the pre-tokenizer makes of ASCII without apostrophes: runs of letters, single digits, runs of all else.
+_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 def _letters(word: str) -> bool:
     """Whether the word is a run of letters and stays one when it is normalised: composed and lower-cased."""
     return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
@@ -45,7 +52,7 @@ class WordIds(dict):
 
     The first most_words stay, which holds whatever is frequent; once there are so many, what a batch adds goes after it."""
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
@@ -59,58 +66,44 @@ class WordIds(dict):
         self.ends[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
 
     def __missing__(self, word: str) -> bytes:
-        stem = word[:-1]
-        if word.isalpha() and word.isascii() and not word.islower():
-            ids = self[word.lower()]  # the normalizer's doing; letters alone are no special token
-        elif word[-1] in ".,!?" and _letters(stem):
-            ids = self[stem] + self[word[-1]]  # a run of letters ends where punctuation begins
-        else:
-            ids = self.whole(word)
-        self[word] = ids
+        parts = self._parts(word)
+        ids = self[word] = self.whole(word) if parts is None else b"".join([self[p] if p != word else self.whole(p) for p in parts])
         return ids
 
+    def _parts(self, word: str) -> list[str] | None:
+        """Pre-tokens that the word surely consists of, as the normaliser leaves them; None where only the library can say."""
+        if word.isascii():
+            return None if "'" in word or "<|" in word else _RUNS.findall(word.lower())
+        if _letters(word):
+            return [word]
+        stem = word[:-1]
+        return [stem, word[-1]] if word[-1] in ".,!?" and _letters(stem) else None
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """Encodes the letters of new words in one call. A run of letters is one pre-token and so ends with the only id
         that marks a word's end; where the count of ends differs (normalisation made something else of a letter), each word is encoded alone later."""
-        if not self.suffix:
-            return
-        stem_of = {}
-        for w in words:
-            if w.isalpha():
-                stem = w
-            elif w[-1] in ".,!?":
-                stem = w[:-1]
-                if not stem.isalpha():
-                    continue
-            else:
-                continue
-            if stem.isascii():
-                stem_of[w] = stem.lower()
-            elif _letters(stem):
-                stem_of[w] = stem
-        stems = list(set(stem_of.values()).difference(self))
-        for i in range(0, len(stems), 20_000):
-            some = stems[i : i + 20_000]
+        parts_of = {w: p for w in words if (p := self._parts(w)) is not None}
+        runs = list({p for parts in parts_of.values() for p in parts if p.isalpha()}.difference(self)) if self.suffix else []
+        for i in range(0, len(runs), 20_000):
+            some = runs[i : i + 20_000]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
             raw, at = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=False) if len(ends) == len(some) else ((w, None) for w in some):
                 self[w] = raw[at:end] if end else self.whole(w)
                 at = end
-        for w, stem in stem_of.items():
-            if len(w) != len(stem):
-                self[w] = self[stem] + self[w[-1]]  # a run of letters ends where punctuation begins
-            elif w != stem:
-                self[w] = self[stem]
+        for w, parts in parts_of.items():
+            if len(parts) > 1 or parts[0] != w:
+                self[w] = b"".join([self[p] for p in parts])
 
     def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each whole text, as the library gives them without special tokens added; null counts as empty.
 
         Words are split, numbered and put together again in bulk; only the distinct ones of a slice are looked up."""
-        for some in slices(texts, 2 << 20):
+        for some in slices(texts):
             if not self.by_word:
                 yield from (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([x or "" for x in some.to_pylist()], add_special_tokens=False))
                 continue
