@@ -205,8 +205,8 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, tag (a hash of the text), n (size of its set) and root (its component, by any name) of every row of docs (doc_id, text).
 
     Documents with equal sets are one class from the start, however many they are. Classes whose prefixes share a token
-    are first compared with one hub, that which they meet at most of their tokens; what links becomes one component, so a group of near
-    copies takes about as many comparisons as it has members. Only pairs that share a token and are still in different components are then
+    are first compared with two hubs at most that their parity bits don't rule out: that which they meet at most of their tokens, and the
+    smallest. What links becomes one component, so a group of near copies takes about twice as many comparisons as it has members. Only pairs that share a token and are still in different components are then
     compared one by one; so no link that joins two components is missed, and no pairs within a group are listed.
 
     A document without words (null, empty or blank) has n = 0 and no root. Null and repeated ids: each row has its own text. An empty
@@ -230,7 +230,10 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     near = shared.where("cid <> hub.cid").where(alike.sizes(F.col("n"), F.col("hub.n"))).select("cid", F.col("hub.cid").alias("h"))
     near = near.union(hubs.where(alike.sizes(F.col("hub.n"), F.col("top.n"))).select("hub.cid", F.col("top.cid").alias("h")))
     times = near.groupBy("cid", "h").agg(F.count("*").alias("times"))
-    stars = times.groupBy("cid").agg(F.max_by("h", F.struct("times", "h")).alias("h")).select("h", "cid")
+    about = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("cid", "h")}
+    likely = times.join(about["cid"], "cid").join(about["h"], "h").where(alike.near(F.col("n_cid"), F.col("n_h"), F.col("p_cid"), F.col("p_h")))
+    chosen = likely.groupBy("cid").agg(F.max_by("h", F.struct("times", "h")).alias("often"), F.min("h").alias("least"))
+    stars = chosen.select("often", "cid").union(chosen.select("least", "cid"))
     stars = stored(stars.toDF("x", "y").where("x <> y").distinct(), "jaccard-stars")
     first = _verified(stars, classes, base, alike, "star")
 
