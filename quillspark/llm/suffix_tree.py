@@ -14,9 +14,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from quillspark.llm.common import scratch, slices, small_batches, split_words, s
 #: Stands for a text's end; no word has a blank in it.
 END = "\n"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_24 = np.uint64(24)
 MESSAGE = "block long, level int, part int, data binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -118,11 +119,11 @@ def blocks(docs: DataFrame, set_: Settings) -> DataFrame:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return pd.util.hash_array(np.asarray(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
 
 
 def _slices(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
@@ -163,7 +164,7 @@ class Block:
                 yield p, _pack(words=[self.words[i] for i in here], n=counts[here].astype(np.uint64))
 
     def entries(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens whose context of so many words is frequent enough; of each its entry's number; the entries' contexts, next words, first
+        """The tokens whose context of so many words is frequent enough; of each its entry's number; the entries' keys, parts, first
         tokens; and how often each token's context occurs in training texts. An entry is a context and a word after it."""
         before = np.zeros_like(self.seen)
         before[1:] = self.seen[:-1]  # what was counted for the token before is how often the context occurs
@@ -172,30 +173,31 @@ class Block:
         ctx = _mix(h[at - 1] + np.uint64(level))
         for k in range(2, level + 1):
             ctx = _mix(ctx * _A + h[at - k])
-        word = (_mix(ctx ^ (h[at] * _A)) >> np.uint64(32)).astype(np.uint32)
-        ctx >>= np.uint64(16)
-        order = np.lexsort((word, ctx))
-        sc, sw = ctx[order], word[order]
+        # 40 bits of the context and 24 of the word; the part, which is part of an entry's name too, comes from other bits
+        key = (ctx << _24) | (_mix(ctx ^ (h[at] * _A)) >> np.uint64(40))
+        order = np.argsort(key)
+        sorted_key = key[order]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (sc[1:] != sc[:-1]) | (sw[1:] != sw[:-1])
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
         number = np.empty(len(at), np.int64)
         number[order] = np.cumsum(new) - 1
-        return at, number, sc[new], sw[new], at[order[new]], before[at]
+        part = ((ctx[order[new]] >> np.uint64(40)) % np.uint64(self.set.parts)).astype(np.int64)
+        return at, number, sorted_key[new], part, at[order[new]], before[at]
 
     def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
-        at, number, ctx, word, first, _ = self.entries(level)
-        n = np.bincount(number[self.learns[at]], minlength=len(ctx))
+        at, number, key, part, first, _ = self.entries(level)
+        n = np.bincount(number[self.learns[at]], minlength=len(key))
         q = np.clip(np.round(-8 * np.log2(self.p[first])), 0, 255).astype(np.uint8)
-        order, edges = _slices((ctx % np.uint64(self.set.parts)).astype(np.int64), self.set.parts)
+        order, edges = _slices(part, self.set.parts)
         for p in range(self.set.parts):
             here = order[edges[p] : edges[p + 1]]
             if len(here):
-                yield p, _pack(ctx=_deltas(ctx[here]), word=word[here], n=n[here].astype(np.uint32), q=q[here])
+                yield p, _pack(ctx=_deltas(key[here] >> _24), word=(key[here] & np.uint64((1 << 24) - 1)).astype(np.uint32), n=n[here].astype(np.uint32), q=q[here])
 
     def rise(self, level: int) -> None:
-        at, number, ctx, _, _, total = self.entries(level)
-        order, _ = _slices((ctx % np.uint64(self.set.parts)).astype(np.int64), self.set.parts)
-        n, states = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.int64)
+        at, number, key, part, _, total = self.entries(level)
+        order, _ = _slices(part, self.set.parts)
+        n, states = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         n[order] = np.concatenate([a["n"] for a in self.answers[level]] or [[]]).astype(np.int64)
         states[order] = np.concatenate([a["states"] for a in self.answers[level]] or [[]]).astype(np.int64)
         n, t = n[number], states[number]
@@ -226,12 +228,11 @@ def count_words(t: pa.Table) -> tuple[list[tuple], np.ndarray]:
 def count_entries(t: pa.Table, level: int, gain: float) -> list[tuple]:
     """The answers to a part's questions about entries: their counts, and for a context that is a state the number of distinct next words, else 0."""
     rows = [_unpack(x) for x in t.column("data")]
-    ctx = np.concatenate([np.cumsum(r["ctx"]) for r in rows])
-    word = np.concatenate([r["word"] for r in rows])
-    order = np.lexsort((word, ctx))
-    sc, sw = ctx[order], word[order]
-    same_ctx = sc[1:] == sc[:-1]
-    new = np.concatenate([[True], ~(same_ctx & (sw[1:] == sw[:-1]))])
+    key = np.concatenate([(np.cumsum(r["ctx"]) << _24) | r["word"].astype(np.uint64) for r in rows])
+    order = np.argsort(key)
+    sorted_key = key[order]
+    same_ctx = (sorted_key[1:] >> _24) == (sorted_key[:-1] >> _24)
+    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     n = np.bincount(number, weights=np.concatenate([r["n"] for r in rows]).astype(float))
