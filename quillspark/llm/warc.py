@@ -7,7 +7,9 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import methodcaller
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +23,13 @@ RECORD = "file string, place long, warc_type string, record_id string, concurren
 PRIMARY = ("response", "revisit", "resource")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STEP = 4096
+_COLON = methodcaller("partition", ":")
 _KIND = re.compile(rb"\r\nwarc-type:[ \t]*([^\r\n]*)", re.I)
 
 
 @lru_cache(maxsize=1)
 def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    return zstandard.ZstdCompressor(level=2, write_checksum=False), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _shrink(x: bytes) -> bytes:
@@ -44,8 +47,7 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member of its own, which is how archives are read in part."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))]) + "\r\n"
     data = head.encode() + block + b"\r\n\r\n"
-    # a small window and table for small records, which are most: to set up large ones takes longer than to compress
-    coder = zlib.compressobj(1, zlib.DEFLATED, 31) if len(data) > 4096 else zlib.compressobj(6, zlib.DEFLATED, 16 + 12, 3)
+    coder = zlib.compressobj(4 if len(data) > 4096 else 6, zlib.DEFLATED, 31)
     return coder.compress(data) + coder.flush()
 
 
@@ -169,8 +171,7 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
                     if types is not None and (not (m := _KIND.search(record)) or m[1].strip().decode() not in types):
                         continue
                     head, _, block = record.partition(b"\r\n\r\n")
-                    lines = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
-                    fields = [(k.strip().lower(), v.strip()) for k, _, v in lines]
+                    fields = [(k.strip().lower(), v.strip()) for k, _, v in map(_COLON, head.decode("utf-8", "replace").split("\r\n")[1:])]
                     headers = dict(fields)
                     kind = headers.get("warc-type", "")
                     algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
@@ -188,8 +189,12 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[c.split()[0] for c in RECORD.split(", ")])
+    file, place, kind, record_id, to, headers, block = zip(*found, strict=True)
+    edges = pa.array(np.cumsum([0, *map(len, headers)]), pa.int32())
+    flat = [kv for h in headers for kv in h]
+    maps = pa.MapArray.from_arrays(edges, pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string()))
+    arrays = [pa.array(file, pa.string()), pa.array(place, pa.int64()), pa.array(kind, pa.string()), pa.array(record_id, pa.string()), pa.array(to, pa.list_(pa.string())), maps, pa.array(block, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in RECORD.split(", ")])
 
 
 def capture_ids(narrow: DataFrame) -> DataFrame:
