@@ -47,7 +47,7 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member of its own, which is how archives are read in part."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))]) + "\r\n"
     data = head.encode() + block + b"\r\n\r\n"
-    coder = zlib.compressobj(4 if len(data) > 4096 else 6, zlib.DEFLATED, 31)
+    coder = zlib.compressobj(4 if len(data) > 1024 else 6, zlib.DEFLATED, 31)
     return coder.compress(data) + coder.flush()
 
 
