@@ -21,6 +21,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 LOWER_AZ = {i: i + 32 for i in range(65, 91)}
 #: Rows in an Arrow batch; texts are long, so the default of 10,000 would be some 30 MB and more.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, unless the session already asks for smaller ones."""
+    """Keeps Arrow batches small in rows and bytes, unless the session already asks for smaller ones.
+
+    Texts and sets of shingles can be long; both sides of the Arrow stream hold a batch several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not re.fullmatch(r"\d+b?", spark.conf.get(key)) or not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
