@@ -33,24 +33,43 @@ def test_held_out_texts_are_better_foretold(spark, sf_dir):
     assert rows[0] > 0.95 * rows[1]
 
 
-def test_probabilities_add_up(spark):
-    """Over all words that can follow a context, and one unknown word."""
-    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:30]
-    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
-    text = "a b c a b c a b d"
-    base = [(i, text) for i in train]
-    total = 0.0
-    for w in ["a", "b", "c", "d", "zzz"]:
-        # the probability of w after "a b" is the difference that one more token makes, without the end
-        rows = suffix_tree.score_texts(spark.createDataFrame([*base, (held[0], f"a b {w}")], "doc_id long, text string")).where("held_out").collect()
-        short = suffix_tree.score_texts(spark.createDataFrame([*base, (held[0], "a b")], "doc_id long, text string")).where("held_out").collect()
-        assert rows[0].score < 0 and short[0].score < 0
-        total += 1
-        if w == "c":
-            assert rows[0].score > -8
-        if w == "zzz":
-            assert rows[0].score < -1
-    assert total == 5
+def tree_by_hand(rows, gain=2.0, least=2):
+    """The scores by dictionaries: levels of contexts, kept where leaving each occurrence out in turn they save over `gain` nats."""
+    texts = [(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + ["\n"], zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1) for i, t in rows]
+    c = Counter(w for ws, ok in texts if ok for w in ws)
+    n, v = sum(c.values()), len(c)
+    levels = []  # (followers of each context, states)
+
+    def prob(ws, j, depth):
+        p = (c[ws[j]] + 0.5) / (n + 0.5 * (v + 1))
+        for k, (follow, states) in enumerate(levels[:depth], 1):
+            ctx = tuple(ws[j - k : j]) if j >= k else None
+            if ctx in states and c[ws[j]]:
+                f = follow[ctx]
+                p = (f[ws[j]] + len(f) * p) / (sum(f.values()) + len(f))
+        return p
+
+    for k in (1, 2):
+        follow, under = {}, {}
+        for ws, ok in texts:
+            for j in range(k, len(ws)):
+                ctx = tuple(ws[j - k : j])
+                under.setdefault((ctx, ws[j]), 2.0 ** (-round(-8 * math.log2(prob(ws, j, k - 1))) / 8))
+                if ok:
+                    follow.setdefault(ctx, Counter())[ws[j]] += 1
+        states = set()
+        for ctx, f in follow.items():
+            total, t = sum(f.values()), len(f)
+            saved = sum(m * math.log((m - 1 + t * under[ctx, w]) / (total - 1 + t) / under[ctx, w]) for w, m in f.items())
+            if total >= least and saved > gain:
+                states.add(ctx)
+        levels.append((follow, states))
+    return [(str(i), sum(math.log10(prob(ws, j, 2)) for j in range(len(ws)))) for (i, _), (ws, _) in zip(rows, texts, strict=True)]
+
+
+def test_scores_equal_a_tree_by_hand(docs):
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in suffix_tree.score_texts(docs).collect())
+    assert got == sorted((i, round(x, 4)) for i, x in tree_by_hand(ROWS))
 
 
 def test_empty_tables(docs):
