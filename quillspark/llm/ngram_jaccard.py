@@ -132,6 +132,8 @@ def frequencies(docs: DataFrame, alike: Alike, bits: int = 22, slices: int = 16)
     return np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8)
 
 
+#: How many hubs a token's classes are compared with before pairs are.
+HUBS = 5
 #: Longs of parity bits: each token of a set turns one bit over.
 PARITY = 8
 CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<int>, third array<int>"
@@ -205,8 +207,8 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, tag (a hash of the text), n (size of its set) and root (its component, by any name) of every row of docs (doc_id, text).
 
     Documents with equal sets are one class from the start, however many they are. Classes whose prefixes share a token
-    are first compared with two hubs at most that their parity bits don't rule out: that which they meet at most of their tokens, and the
-    smallest. What links becomes one component, so a group of near copies takes about twice as many comparisons as it has members. Only pairs that share a token and are still in different components are then
+    are first compared with five hubs at most that their parity bits don't rule out, those which they meet at most of their tokens. What
+    links becomes one component, so a group of near copies takes about five times as many comparisons as it has members. Only pairs that share a token and are still in different components are then
     compared one by one; so no link that joins two components is missed, and no pairs within a group are listed.
 
     A document without words (null, empty or blank) has n = 0 and no root. Null and repeated ids: each row has its own text. An empty
@@ -224,16 +226,19 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     tokens = classes.select("cid", "n", "cold", F.posexplode("first").alias("at", "token"))
     tokens = tokens.select("token", "at", "cid", "n", F.when(F.col("at") >= F.col("cold"), F.pmod(F.xxhash64("cid"), F.lit(16))).otherwise(F.lit(0)).cast("int").alias("salt"), (F.col("at") >= F.col("cold")).alias("hot"))
     group = Window.partitionBy("token", "salt")
-    shared = tokens.withColumn("hub", F.min(F.struct("cid", "n")).over(group)).withColumn("size", F.count("*").over(group)).where("size > 1 or hot")
-    shared = stored(shared.select("token", "at", "cid", "n", "hub", "hot"), "jaccard-shared")
-    hubs = shared.where("hot").select("token", "hub").distinct().withColumn("top", F.min("hub").over(Window.partitionBy("token"))).where("hub <> top")
-    near = shared.where("cid <> hub.cid").where(alike.sizes(F.col("n"), F.col("hub.n"))).select("cid", F.col("hub.cid").alias("h"))
-    near = near.union(hubs.where(alike.sizes(F.col("hub.n"), F.col("top.n"))).select("hub.cid", F.col("top.cid").alias("h")))
+    seats = [F.min(F.struct((F.col("cid") if i == 0 else F.xxhash64(F.lit(i), "cid")).alias("by"), "cid", "n")).over(group) for i in range(HUBS)]
+    shared = tokens.withColumn("size", F.count("*").over(group)).withColumns({f"_{i}": w for i, w in enumerate(seats)}).where("size > 1 or hot")
+    shared = shared.select("token", "at", "cid", "n", F.array(*[F.struct(F.col(f"_{i}.cid").alias("cid"), F.col(f"_{i}.n").alias("n")) for i in range(HUBS)]).alias("hubs"), "hot")
+    shared = stored(shared, "jaccard-shared")
+    low = F.struct(F.col("hubs")[0]["cid"].alias("cid"), F.col("hubs")[0]["n"].alias("n"))
+    salts = shared.where("hot").select("token", low.alias("hub")).distinct().withColumn("top", F.min("hub").over(Window.partitionBy("token"))).where("hub <> top")
+    near = shared.select("cid", "n", F.explode(F.array_distinct("hubs")).alias("hub")).where("cid <> hub.cid").where(alike.sizes(F.col("n"), F.col("hub.n"))).select("cid", F.col("hub.cid").alias("h"))
+    near = near.union(salts.where(alike.sizes(F.col("hub.n"), F.col("top.n"))).select("hub.cid", F.col("top.cid").alias("h")))
     times = near.groupBy("cid", "h").agg(F.count("*").alias("times"))
     about = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("cid", "h")}
     likely = times.join(about["cid"], "cid").join(about["h"], "h").where(alike.near(F.col("n_cid"), F.col("n_h"), F.col("p_cid"), F.col("p_h")))
-    chosen = likely.groupBy("cid").agg(F.max_by("h", F.struct("times", "h")).alias("often"), F.min("h").alias("least"))
-    stars = chosen.select("often", "cid").union(chosen.select("least", "cid"))
+    best = Window.partitionBy("cid").orderBy(F.col("times").desc(), "h")
+    stars = likely.select("cid", "h", F.row_number().over(best).alias("nth")).where(F.col("nth") <= HUBS).select("h", "cid")
     stars = stored(stars.toDF("x", "y").where("x <> y").distinct(), "jaccard-stars")
     first = _verified(stars, classes, base, alike, "star")
 
