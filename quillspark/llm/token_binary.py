@@ -49,8 +49,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_do
 
     fits = docs.where(F.octet_length("text").between(1, sample_bytes))
     share = min(1.0, 3 * sample_docs / max(1, docs.count()))  # some more than wanted, so that little is sorted
-    few = fits.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    samples = sorted(bytes(r[0]) for r in few.orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("text").mapInArrow(run, "ids binary").collect())
+    few = fits.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    samples = sorted(bytes(r[0]) for r in few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").mapInArrow(run, "ids binary").collect())
     if sum(map(len, samples)) > 20 * dict_bytes:
         try:
             return zstd.train_dictionary(dict_bytes, samples).as_bytes()
@@ -89,9 +89,10 @@ def read_index(blob: bytes | memoryview, dictionary: bytes) -> tuple[int, np.nda
     return blob[len(MAGIC)], np.frombuffer(blob, INDEX, count=n, offset=place)
 
 
-def read_document(blob: bytes | memoryview, entry: np.void, width: int, dictionary: bytes) -> bytes:
-    """One document's ids as little-endian unsigned 32-bit integers; only its own frame is decompressed."""
-    raw = _codecs(dictionary)[1].decompress(bytes(blob[int(entry["offset"]) : int(entry["offset"]) + int(entry["size"])]))
+def read_documents(blob: bytes | memoryview, entries: np.ndarray, width: int, dictionary: bytes) -> bytes:
+    """Some documents' ids, one after the other, as little-endian unsigned 32-bit integers; only their own frames are decompressed."""
+    grow = _codecs(dictionary)[1].decompress
+    raw = b"".join([grow(blob[at : at + size]) for at, size in zip(entries["offset"].tolist(), entries["size"].tolist(), strict=True)])
     return np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes() if width < 4 else raw
 
 
@@ -137,16 +138,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                blob = content.as_buffer()
-                blob = memoryview(blob)
+                blob = memoryview(content.as_buffer())
                 width, index = read_index(blob, dictionary)
                 before = np.cumsum(index["n_tokens"]) - index["n_tokens"]
                 for lo in range(0, len(index), 1000):
                     part = index[lo : lo + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array([int(e["doc_id"]) if e["known"] else None for e in part], pa.int64()), pa.array(part["n_tokens"].astype("i8")), pa.array(before[lo : lo + 1000].astype("i8")), pa.array([read_document(blob, e, width, dictionary) for e in part], pa.binary())],
-                        names=["shard", "place", "doc_id", "n_tokens", "before", "ids"],
-                    )
+                    n = part["n_tokens"].astype(np.int64)
+                    ends = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32))
+                    ids = pa.Array.from_buffers(pa.binary(), len(part), [None, ends, pa.py_buffer(read_documents(blob, part, width, dictionary))])
+                    doc_ids = pa.array(part["doc_id"].astype(np.int64), mask=part["known"] == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(part)), pa.array(np.arange(lo, lo + len(part))), doc_ids, pa.array(n), pa.array(before[lo : lo + 1000].astype(np.int64)), ids], names=["shard", "place", "doc_id", "n_tokens", "before", "ids"])
 
     return files.mapInArrow(run, "shard string, place long, doc_id long, n_tokens long, before long, ids binary")
 
