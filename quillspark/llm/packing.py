@@ -126,14 +126,15 @@ class Packer:
                 yield out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), loss_start: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), loss_start: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1_000_000) -> DataFrame:
     """Packs whole documents, cut where need be, into sequences within `limits`; one row per piece, with its ids.
 
     One pass without a shuffle: each task encodes its documents, sets out full sequences at once and packs the rest
     from a bounded pool, so that neither hot sources nor equal texts matter. A sequence belongs to one task;
     sequence_id is task * 2^32 + its number there, the same again when a lost task runs anew over the same split.
     loss_start names a column with the number of leading ids that bear no loss (an instruction); without it all do.
-    Null texts and empty ones consist of the end id. Rows with null or repeated ids are packed like any other; other
+    most_words: how many words' ids a Python worker keeps (some 250 MB at a
+    million). Null texts and empty ones consist of the end id. Rows with null or repeated ids are packed like any other; other
     columns are not looked at. An empty table gives no rows."""
     small_batches(docs.sparkSession)
     extra = [F.col(loss_start).cast("long").alias("_loss_start")] if loss_start else []
@@ -142,7 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, end = word_ids(tokenizer_path), np.uint32(end_id).tobytes()
+        words, end = word_ids(tokenizer_path, most_words), np.uint32(end_id).tobytes()
         first = TaskContext.get().partitionId() << 32
         held: dict[int, tuple[int | None, bytes, int, int]] = {}  # row number -> id, ids, loss start, tokens not yet set out
         waits: dict[int, int] = {}

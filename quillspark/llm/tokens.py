@@ -113,9 +113,9 @@ class WordIds(dict):
             sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             ids, at = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
             counts = sizes[numbers]
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            out = ids[np.repeat(at[numbers] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
-            edges = (4 * ends[starts]).tolist()
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)  # a slice has far fewer than 2^31 ids
+            out = ids[np.repeat(at[numbers].astype(np.int32) - ends[:-1], counts) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+            edges = (4 * ends[starts].astype(np.int64)).tolist()
             for lo, hi in zip(edges, edges[1:], strict=False):
                 yield out[lo:hi]
             for _ in range(len(self) - self.most_words):
@@ -125,8 +125,10 @@ class WordIds(dict):
 _LOADED: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One cache for each Python worker; workers are kept between tasks."""
+def word_ids(path: str, most_words: int = 450_000) -> WordIds:
+    """One cache for each Python worker; workers are kept between tasks. most_words: about a quarter of a KB each."""
     if path not in _LOADED:
+        pa.set_memory_pool(pa.system_memory_pool())  # texts come and go in large arrays, and this one gives memory back
         _LOADED[path] = WordIds(path)
+    _LOADED[path].most_words = most_words
     return _LOADED[path]
