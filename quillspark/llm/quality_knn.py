@@ -41,7 +41,7 @@ def term_counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Neighbours:
-    """The labelled texts in latent space, and the way there. Its size depends on `most` and `dims` alone: 4,096 x 48 floats and 2,400 x 48."""
+    """The labelled texts in latent space, and the way there. Its size depends on `most` and `dims` alone: 4,097 x 48 floats and 1,200 x 48."""
 
     idf: np.ndarray
     basis: np.ndarray
@@ -88,7 +88,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, dims: int =
     return Neighbours(idf, basis, model.project(counts), labels, weights, k, power)
 
 
-def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 1200, label_col: str = "quality") -> Neighbours:
+def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 600, label_col: str = "quality") -> Neighbours:
     """Learns from at most `most` labelled texts of each label, those with the smallest hash of their id, where `learns` holds.
 
     Only doc_id and text are looked at. Rows without a label other than 0 and 1 don't count; of several labels for an id the
