@@ -22,6 +22,7 @@ from quillspark.llm.common import small_batches, stored
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LOW = -1e30
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -53,7 +54,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Pieces:
     """A model's pieces with their scores, taken as log probabilities."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 900_000):
         self.names: list[str] = []
         self.score: dict[str, tuple[int, float]] = {}
         self.byte: dict[int, int] = {}
@@ -75,8 +76,9 @@ class Pieces:
                 kinds.append(kind)
             elif n == 3:
                 self.dummy_prefix = bool(dict(_fields(v)).get(3, 1))
-        self.normal = [k in (NORMAL, USER) for k in kinds]
         self.byte_of = {i: b for b, i in self.byte.items()}
+        #: What each id stands for; control pieces stand for nothing.
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for i, (n, k) in enumerate(zip(self.names, kinds, strict=True))]
         self.longest = max(map(len, self.score))
         self.unknown = min(s for _, s in self.score.values()) - 10.0
         self.starts = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
@@ -136,22 +138,12 @@ class Pieces:
     def encode(self, text: str) -> tuple[bytes, float]:
         if not text:
             return b"", 0.0
-        found = [self.word(w) for w in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", self.normalised(text))]
+        found = [self.word(w) for w in _WORD.findall(self.normalised(text))]
         return b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
 
     def decode(self, ids: bytes) -> str:
-        out, held = [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if self.normal[i]:
-                out.append(self.names[i])
-        out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        """The text of ids; bytes that aren't UTF-8 are replaced."""
+        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
     def transfer(self, s: str, n: int) -> np.ndarray:
