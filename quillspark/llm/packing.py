@@ -126,7 +126,7 @@ class Packer:
                 yield out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), loss_start: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), loss_start: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 450_000) -> DataFrame:
     """Packs whole documents, cut where need be, into sequences within `limits`; one row per piece, with its ids.
 
     One pass without a shuffle: each task encodes its documents, sets out full sequences at once and packs the rest
