@@ -113,6 +113,29 @@ def test_radius_search_equals_brute_force(spark, radius, blocks):
     assert got == want
 
 
+def test_near_copies_of_texts_are_found(spark):
+    import random
+
+    rng = random.Random(8)
+    texts, want, shingles = {}, {}, lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    for i in range(0, 600, 20):
+        ws = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        texts[i], want[i] = ws, 1
+        for k, changed in enumerate((1, 2, 3, 4), 1):
+            ws2 = list(ws)
+            for at in rng.sample(range(200), changed):
+                ws2[at] = f"new{rng.randrange(3000)}"
+            texts[i + k] = ws2
+            want[i] += len(shingles(ws) & shingles(ws2)) >= 0.8 * len(shingles(ws) | shingles(ws2))
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id long, text string")
+    rows = simhash.edited_fingerprints(df).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        if r.doc_id % 20 == 0:
+            assert r.n_near == sum((prints[r.doc_id] ^ y).bit_count() <= simhash.RADIUS for y in prints.values())
+    assert sum(min(r.n_near, want[r.doc_id]) for r in rows if r.doc_id % 20 == 0) >= 0.98 * sum(want.values())
+
+
 def test_neighbours_vote(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = queries.op6_quality_knn(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
