@@ -165,11 +165,12 @@ class Block:
 
     def entries(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens whose context of so many words is frequent enough; of each its entry's number; the entries' keys, parts, first
-        tokens; and how often each token's context occurs in training texts. An entry is a context and a word after it."""
+        tokens; and how often each token's context occurs in training texts. An entry is a context and a word after it; words that
+        training texts lack are one, of the hash 0."""
         before = np.zeros_like(self.seen)
         before[1:] = self.seen[:-1]  # what was counted for the token before is how often the context occurs
-        at = np.flatnonzero((self.place >= level) & (before >= self.set.least_count) & (self.count[self.tokens] > 0))
-        h = self.hashes[self.tokens]
+        at = np.flatnonzero((self.place >= level) & (before >= self.set.least_count))
+        h = np.where(self.count > 0, np.maximum(self.hashes, np.uint64(1)), np.uint64(0))[self.tokens]
         ctx = _mix(h[at - 1] + np.uint64(level))
         for k in range(2, level + 1):
             ctx = _mix(ctx * _A + h[at - k])

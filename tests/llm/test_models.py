@@ -72,6 +72,19 @@ def test_scores_equal_a_tree_by_hand(docs):
     assert got == sorted((i, round(x, 4)) for i, x in tree_by_hand(ROWS))
 
 
+def test_unknown_words_are_smoothed_like_any_other(spark):
+    """After `cat`, a state with N occurrences and T next words, an unknown word has P * T / (N + T)."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    new = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1)
+    texts = [("cat sat " if k % 2 else "cat lay ") + " ".join(f"x{k}y{j}" for j in range(5)) for k in range(60)]
+    df = spark.createDataFrame([*zip(ids, texts, strict=True), (new, "cat zyx")], "doc_id long, text string")
+    r = suffix_tree.score_texts(df).where(f"doc_id = {new}").head()
+    n, v = 60 * 8, 4 + 60 * 5
+    base = [math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in (60, 0, 60)]
+    assert abs(r.base_score - sum(base)) < 1e-9
+    assert abs(r.score - (sum(base) + math.log10(2 / 62))) < 1e-9
+
+
 def test_empty_tables(docs):
     assert suffix_tree.score_texts(docs.limit(0)).count() == 0
     assert simhash.edited_fingerprints(docs.limit(0)).count() == 0
