@@ -127,6 +127,17 @@ def _slices(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def _order(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The order by key and then by more, which seldom matters: only keys that differ in it are sorted twice."""
+    order = np.argsort(key)
+    k, m = key[order], more[order]
+    mixed = (k[1:] == k[:-1]) & (m[1:] != m[:-1])
+    if mixed.any():
+        at = np.flatnonzero(np.isin(k, np.unique(k[1:][mixed])))
+        order[at] = order[at][np.lexsort((m[at], k[at]))]
+    return order
+
+
 class Block:
     """A block with what the parts have answered so far: the model's probabilities, level by level."""
 
@@ -163,9 +174,9 @@ class Block:
             if len(here):
                 yield p, _pack(words=[self.words[i] for i in here], n=counts[here].astype(np.uint64))
 
-    def entries(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens whose context of so many words is frequent enough; of each its entry's number; the entries' keys, parts, first
-        tokens; and how often each token's context occurs in training texts. An entry is a context and a word after it; words that
+    def entries(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens whose context of so many words is frequent enough; of each its entry's number; the entries' keys, what more names
+        their words, parts, first tokens; and how often each token's context occurs in training texts. An entry is a context and a word after it; words that
         training texts lack are one, of the hash 0."""
         before = np.zeros_like(self.seen)
         before[1:] = self.seen[:-1]  # what was counted for the token before is how often the context occurs
@@ -174,29 +185,30 @@ class Block:
         ctx = _mix(h[at - 1] + np.uint64(level))
         for k in range(2, level + 1):
             ctx = _mix(ctx * _A + h[at - k])
-        # 40 bits of the context and 24 of the word; the part, which is part of an entry's name too, comes from other bits
-        key = (ctx << _24) | (_mix(ctx ^ (h[at] * _A)) >> np.uint64(40))
-        order = np.argsort(key)
-        sorted_key = key[order]
+        # 40 bits of the context and 24 of the word, of which 8 more are kept aside; the part, which is part of an entry's name too, comes from other bits
+        word = _mix(ctx ^ (h[at] * _A))
+        key, more = (ctx << _24) | (word >> np.uint64(40)), ((word >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)
+        order = _order(key, more)
+        sorted_key, more = key[order], more[order]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (more[1:] != more[:-1])
         number = np.empty(len(at), np.int64)
         number[order] = np.cumsum(new) - 1
         part = ((ctx[order[new]] >> np.uint64(40)) % np.uint64(self.set.parts)).astype(np.int64)
-        return at, number, sorted_key[new], part, at[order[new]], before[at]
+        return at, number, sorted_key[new], more[new], part, at[order[new]], before[at]
 
     def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
-        at, number, key, part, first, _ = self.entries(level)
+        at, number, key, more, part, first, _ = self.entries(level)
         n = np.bincount(number[self.learns[at]], minlength=len(key))
         q = np.clip(np.round(-8 * np.log2(self.p[first])), 0, 255).astype(np.uint8)
         order, edges = _slices(part, self.set.parts)
         for p in range(self.set.parts):
             here = order[edges[p] : edges[p + 1]]
             if len(here):
-                yield p, _pack(ctx=_deltas(key[here] >> _24), word=(key[here] & np.uint64((1 << 24) - 1)).astype(np.uint32), n=n[here].astype(np.uint32), q=q[here])
+                yield p, _pack(ctx=_deltas(key[here] >> _24), word=(key[here] & np.uint64((1 << 24) - 1)).astype(np.uint32), more=more[here], n=n[here].astype(np.uint32), q=q[here])
 
     def rise(self, level: int) -> None:
-        at, number, key, part, _, total = self.entries(level)
+        at, number, key, _, part, _, total = self.entries(level)
         order, _ = _slices(part, self.set.parts)
         n, states = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         n[order] = np.concatenate([a["n"] for a in self.answers[level]] or [[]]).astype(np.int64)
@@ -230,10 +242,10 @@ def count_entries(t: pa.Table, level: int, gain: float) -> list[tuple]:
     """The answers to a part's questions about entries: their counts, and for a context that is a state the number of distinct next words, else 0."""
     rows = [_unpack(x) for x in t.column("data")]
     key = np.concatenate([(np.cumsum(r["ctx"]) << _24) | r["word"].astype(np.uint64) for r in rows])
-    order = np.argsort(key)
-    sorted_key = key[order]
+    order = _order(key, more := np.concatenate([r["more"] for r in rows]))
+    sorted_key, more = key[order], more[order]
     same_ctx = (sorted_key[1:] >> _24) == (sorted_key[:-1] >> _24)
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    new = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1]) | (more[1:] != more[:-1])])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     n = np.bincount(number, weights=np.concatenate([r["n"] for r in rows]).astype(float))

@@ -85,6 +85,17 @@ def test_unknown_words_are_smoothed_like_any_other(spark):
     assert abs(r.score - (sum(base) + math.log10(2 / 62))) < 1e-9
 
 
+def test_words_alike_in_24_bits_of_hash_stay_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    words = {"ctx": np.array([7, 0, 0, 0], np.uint64), "word": np.array([5, 5, 5, 6], np.uint32), "more": np.array([1, 2, 1, 1], np.uint8), "n": np.array([4, 3, 2, 1], np.uint32), "q": np.array([80] * 4, np.uint8)}
+    t = pa.table({"block": [0], "part": [0], "data": [suffix_tree._pack(**words)]})
+    ((*_, data),) = suffix_tree.count_entries(t, 1, 0.0)
+    found = suffix_tree._unpack(pa.scalar(data))
+    assert found["n"].tolist() == [6, 3, 6, 1] and set(found["states"].tolist()) == {3}
+
+
 def test_empty_tables(docs):
     assert suffix_tree.score_texts(docs.limit(0)).count() == 0
     assert simhash.edited_fingerprints(docs.limit(0)).count() == 0
