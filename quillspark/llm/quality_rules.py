@@ -100,7 +100,8 @@ def rules() -> dict[str, Column]:
         "case": _vote((c("n_upper") > 0.4 * letters) & (n >= 5)),
         "bangs": _vote(c("n_bangs") > 0.2 * n),
         "bare_words": _vote(c("n_bare_words") > 0.2 * n),
-        "variety": _vote((c("n_distinct_words") < 0.15 * n) & (n >= 50) & (n <= 5000)),
+        # longer texts repeat more of their words: the share falls slowly with their length, without an end
+        "variety": _vote((c("n_distinct_words") < 0.15 * n * F.pow(F.greatest(n, F.lit(5000)) / 5000, F.lit(-0.3))) & (n >= 50)),
         "stutters": _vote(c("n_stutters") > 0.3 * n),
         "prose": _vote((c("n_lower") < 0.2 * n) & (n >= 5), (c("n_symbols") + c("n_bangs") + c("n_bare_words") <= 0.01 * n) & (c("n_distinct_words") >= 0.3 * n) & (c("n_lower") >= 0.8 * letters)),
     }

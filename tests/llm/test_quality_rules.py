@@ -60,3 +60,13 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text,want", [("a a a a a a", 6), ("a b c d", 0), ("a b c d e a b c d e", 10)])
 def test_repeat_words(text, want):
     assert Q.repeat_words(text.split()) == want
+
+
+@pytest.mark.parametrize("n", [4900, 5100, 60_000])
+def test_long_salads_get_a_bad_vote_for_variety(spark, n):
+    import random
+
+    rng = random.Random(n)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    docs = spark.createDataFrame([(1, " ".join(rng.choices(vocabulary, k=n)))], "doc_id long, text string")
+    assert Q.with_counts(docs).select(Q.rules()["variety"].alias("v")).head().v == 0
