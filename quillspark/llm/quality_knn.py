@@ -19,11 +19,16 @@ DERIVED = 4
 TERMS = PAIRS + DERIVED
 
 
+def expected_distinct(n: int) -> float:
+    """How many of n words of prose differ, taken low: the share falls slowly with the length, whatever it is."""
+    return 0.75 * n / (1 + n / 2000) ** 0.25
+
+
 def term_counts(text: str) -> np.ndarray:
     """How often each term occurs in the whole text.
 
     Terms are pairs of adjacent bytes, hashed, and four that words give: a word like the one before it, a word that occurred
-    before, a word without a letter or digit, a word in capitals. Counts are damped by their logarithm, and derived ones are shares of the words."""
+    before (beyond what prose of that length repeats), a word without a letter or digit, a word in capitals. Counts are damped by their logarithm, and derived ones are shares of the words."""
     out = np.zeros(TERMS, dtype=np.float32)
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
     if len(b) > 1:
@@ -33,7 +38,7 @@ def term_counts(text: str) -> np.ndarray:
     if words:
         n, distinct = len(words), set(words)
         bare, loud = {w for w in distinct if not any(map(str.isalnum, w))}, {w for w in distinct if len(w) > 1 and w.isupper()}
-        counts = sum(map(eq, words, words[1:])), max(0.0, 0.75 * n - len(distinct)) if n < 2000 else 0, sum(w in bare for w in words) if bare else 0, sum(w in loud for w in words) if loud else 0
+        counts = sum(map(eq, words, words[1:])), max(0.0, expected_distinct(n) - len(distinct)), sum(w in bare for w in words) if bare else 0, sum(w in loud for w in words) if loud else 0
         norm = float(np.sqrt((out * out).sum())) or 1.0
         out[PAIRS:] = norm * np.array(counts, dtype=np.float32) / n
     return out

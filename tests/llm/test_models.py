@@ -160,6 +160,17 @@ def test_near_copies_of_texts_are_found(spark):
     assert sum(min(r.n_near, want[r.doc_id]) for r in rows if r.doc_id % 20 == 0) >= 0.98 * sum(want.values())
 
 
+def test_repeated_words_count_at_every_length():
+    import numpy as np
+
+    def share(n):
+        x = quality_knn.term_counts(" ".join(f"w{i * i % 300}" for i in range(n)))
+        return x[quality_knn.PAIRS + 1] / np.linalg.norm(x[: quality_knn.PAIRS])
+
+    assert abs(share(1999) - share(2000)) < 0.01 and share(1999) > 0.4
+    assert all(share(n) > 0.3 for n in (2500, 6000, 30_000))
+
+
 def test_neighbours_vote(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = queries.op6_quality_knn(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
