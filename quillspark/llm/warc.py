@@ -159,7 +159,8 @@ def _records(data: bytes) -> Iterator[bytes]:
 
 
 def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None = None, blocks: str = "plain") -> DataFrame:
-    """RECORD rows of all archives below path, file by file; types: only those records.
+    """RECORD rows of all archives below path (*.warc, *.warc.gz and *.txt, which write_captures makes), file by file; types: only those records.
+    Without an archive there it fails.
 
     blocks: plain, packed (by zstandard) or other (plain, and none for primary records). Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1."""
 
@@ -185,7 +186,10 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
                 if found:
                     yield _batch(found)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content").mapInArrow(run, RECORD)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc,warc.gz}").load(path)
+    if not files.inputFiles():
+        raise FileNotFoundError(f"no WARC archive below {path}")
+    return files.select("path", "content").mapInArrow(run, RECORD)
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:

@@ -1,6 +1,9 @@
+import gzip
 import hashlib
 import zlib
 
+import pytest
+
 from quillspark.llm import queries, warc
 
 BIG = "<p>é</p>" * 300
@@ -55,3 +58,11 @@ def test_links_over_several_steps_and_orphans(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path)) == []
+
+
+def test_ordinary_archives_are_read(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        warc.assemble(spark, str(tmp_path))
+    (tmp_path / "a.warc").write_bytes(records(("response", "<r1>", [], b"one")))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(records(("response", "<r2>", [], b"two"))))
+    assert sorted(bytes(r.record.block) for r in warc.assemble(spark, str(tmp_path)).collect()) == [b"one", b"two"]
