@@ -132,8 +132,12 @@ def frequencies(docs: DataFrame, alike: Alike, bits: int = 22, slices: int = 16)
     return np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8)
 
 
-#: How many hubs a token's classes are compared with before pairs are.
+#: How many classes of another component a class is compared with in a round, before pairs are.
 HUBS = 5
+#: A token with at most so many classes outside its largest place makes at most so many pairs for each of its rows, and needs no more rounds.
+SPARE = 8
+#: The rounds end when other tokens' pairs are at most so many for each row of shared tokens.
+REST = 0.25
 #: Longs of parity bits: each token of a set turns one bit over.
 PARITY = 8
 CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<int>, third array<int>"
@@ -180,36 +184,60 @@ def _sets(docs: DataFrame, alike: Alike) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, alike: Alike, name: str) -> DataFrame:
-    """The pairs (x, y) of classes that link, as sigs a and b.
+    """The pairs (x, y) of classes that link, also as sigs a and b.
 
     First the other two orders' prefixes are intersected; only what is left has its texts fetched and its sets compared."""
-    side = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
+    # tables of their own: where they are small, Spark knows so and doesn't shuffle all classes and texts to find a few
+    needed = pairs.select(F.col("x").alias("cid")).union(pairs.select("y"))
+    about = stored(classes.join(needed, "cid", "left_semi").select("cid", "doc_id", "tag", "n", "parity", "second", "third"), f"jaccard-{name}-about")
+    side = {c: about.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
     left = pairs.join(side["x"], "x").join(side["y"], "y")
     left = left.where(alike.near(F.col("n_x"), F.col("n_y"), F.col("p_x"), F.col("p_y")) & F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y"))
     left = stored(left.select("x", "y"), f"jaccard-{name}-candidates")
-    needed = left.select(F.col("x").alias("cid")).union(left.select("y")).distinct()
-    texts = classes.join(needed, "cid", "left_semi").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"))
+    needed = left.select(F.col("x").alias("cid")).union(left.select("y"))
+    texts = stored(about.join(needed, "cid", "left_semi").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), f"jaccard-{name}-needed")
     fetched = docs.join(texts, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["tag"] == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "tag"])
     sets = stored(_sets(fetched.select("text"), alike), f"jaccard-{name}-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             view = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(c)]
-            ok = [alike.links(p, q) for p, q in zip(view("set_x"), view("set_y"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array([alike.links(p, q) for p, q in zip(view("set_x"), view("set_y"), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("x", "y", "a", "b")], names=["x", "y", "a", "b"])
 
     x = sets.select(F.col("cid").alias("x"), F.col("sig").alias("a"), F.col("set").alias("set_x"))
     y = sets.select(F.col("cid").alias("y"), F.col("sig").alias("b"), F.col("set").alias("set_y"))
-    return stored(left.join(y, "y").join(x, "x").select("a", "b", "set_x", "set_y").mapInArrow(run, "a binary, b binary"), f"jaccard-{name}-links")
+    out = stored(left.join(y, "y").join(x, "x").select("x", "y", "a", "b", "set_x", "set_y").mapInArrow(run, "x long, y long, a binary, b binary"), f"jaccard-{name}-links")
+    for done in (about, left, texts, sets):
+        drop_stored(done)
+    return out
 
 
-def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
+def _hubs(turn: int) -> list[Column]:
+    return [F.min_by("cid", F.xxhash64(F.lit(HUBS * turn + i), "cid")) for i in range(HUBS)]
+
+
+def _compared(met: DataFrame, classes: DataFrame, alike: Alike, name: str) -> DataFrame:
+    """Of the hubs that classes met (cid, hubs, and `to`, the hubs' place), the five that each met at most tokens and that parity bits don't rule out: x, y, to."""
+    times = met.select("cid", F.explode(F.array_distinct("hubs")).alias("h"), "to").where("cid <> h").groupBy("cid", "h").agg(F.count("*").alias("times"), F.min("to").alias("to"))
+    times = stored(times, f"jaccard-{name}-met")
+    about = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("cid", "h")}
+    likely = times.join(about["cid"], "cid").join(about["h"], "h").where(alike.near(F.col("n_cid"), F.col("n_h"), F.col("p_cid"), F.col("p_h")))
+    best = Window.partitionBy("cid").orderBy(F.col("times").desc(), "h")
+    stars = likely.select("cid", "h", "to", F.row_number().over(best).alias("nth")).where(F.col("nth") <= HUBS)
+    return stored(stars.select(F.col("cid").alias("x"), F.col("h").alias("y"), "to"), f"jaccard-{name}")
+
+
+def linked_rows(docs: DataFrame, alike: Alike = Alike(), most_turns: int = 8) -> DataFrame:
     """doc_id, tag (a hash of the text), n (size of its set) and root (its component, by any name) of every row of docs (doc_id, text).
 
-    Documents with equal sets are one class from the start, however many they are. Classes whose prefixes share a token
-    are first compared with five hubs at most that their parity bits don't rule out, those which they meet at most of their tokens. What
-    links becomes one component, so a group of near copies takes about five times as many comparisons as it has members. Only pairs that share a token and are still in different components are then
-    compared one by one; so no link that joins two components is missed, and no pairs within a group are listed.
+    Documents with equal sets are one class from the start, however many they are. In the first turn, classes whose prefixes share a
+    token are compared with five hubs at most that their parity bits don't rule out, those which they meet at most of their
+    tokens; what links becomes one place. In each later turn, at each token with many classes outside the place that has most
+    of its classes, those are compared with other hubs, of that place. So a group of near copies takes some times as
+    many comparisons as it has members. The turns end when the pairs of different places that share a token are few for the
+    size of the table, when a turn links few of those compared, or after most_turns; all such pairs are then compared one by one. So no link that joins
+    two components is missed, whatever the turns found, and no pairs within a group are listed.
 
     A document without words (null, empty or blank) has n = 0 and no root. Null and repeated ids: each row has its own text. An empty
     table gives no rows. Other columns are not looked at."""
@@ -224,44 +252,71 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     drop_stored(whole)
 
     tokens = classes.select("cid", "n", "cold", F.posexplode("first").alias("at", "token"))
-    tokens = tokens.select("token", "at", "cid", "n", F.when(F.col("at") >= F.col("cold"), F.pmod(F.xxhash64("cid"), F.lit(16))).otherwise(F.lit(0)).cast("int").alias("salt"), (F.col("at") >= F.col("cold")).alias("hot"))
-    group = Window.partitionBy("token", "salt")
-    seats = [F.min(F.struct((F.col("cid") if i == 0 else F.xxhash64(F.lit(i), "cid")).alias("by"), "cid", "n")).over(group) for i in range(HUBS)]
-    shared = tokens.withColumn("size", F.count("*").over(group)).withColumns({f"_{i}": w for i, w in enumerate(seats)}).where("size > 1 or hot")
-    shared = shared.select("token", "at", "cid", "n", F.array(*[F.struct(F.col(f"_{i}.cid").alias("cid"), F.col(f"_{i}.n").alias("n")) for i in range(HUBS)]).alias("hubs"), "hot")
-    shared = stored(shared, "jaccard-shared")
-    low = F.struct(F.col("hubs")[0]["cid"].alias("cid"), F.col("hubs")[0]["n"].alias("n"))
-    salts = shared.where("hot").select("token", low.alias("hub")).distinct().withColumn("top", F.min("hub").over(Window.partitionBy("token"))).where("hub <> top")
-    near = shared.select("cid", "n", F.explode(F.array_distinct("hubs")).alias("hub")).where("cid <> hub.cid").where(alike.sizes(F.col("n"), F.col("hub.n"))).select("cid", F.col("hub.cid").alias("h"))
-    near = near.union(salts.where(alike.sizes(F.col("hub.n"), F.col("top.n"))).select("hub.cid", F.col("top.cid").alias("h")))
-    times = near.groupBy("cid", "h").agg(F.count("*").alias("times"))
-    about = {c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("cid", "h")}
-    likely = times.join(about["cid"], "cid").join(about["h"], "h").where(alike.near(F.col("n_cid"), F.col("n_h"), F.col("p_cid"), F.col("p_h")))
-    best = Window.partitionBy("cid").orderBy(F.col("times").desc(), "h")
-    stars = likely.select("cid", "h", F.row_number().over(best).alias("nth")).where(F.col("nth") <= HUBS).select("h", "cid")
-    stars = stored(stars.toDF("x", "y").where("x <> y").distinct(), "jaccard-stars")
-    first = _verified(stars, classes, base, alike, "star")
+    # a cold token has few rows for the size of the table, so that they can meet in a window; a hot one isn't alone and needn't be counted
+    cold = tokens.where("at < cold").withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+    shared = stored(cold.select("token", "at", "cid", "n").union(tokens.where("at >= cold").select("token", "at", "cid", "n")), "jaccard-shared")
+    tops = stored(shared.groupBy("token").agg(F.count("*").alias("size"), F.array(*_hubs(0)).alias("hubs")).where("size > 1").select("token", "hubs"), "jaccard-hubs")
+    stars = _compared(shared.join(tops, "token").select("cid", "hubs", F.lit(None).cast("long").alias("to")), classes, alike, "stars")
+    first = _verified(stars.select("x", "y"), classes, base, alike, "star")
 
     sigs = rows.where("meets").select("cid", "sig").distinct()
-    found = components(first)
-    place = stored(sigs.join(found.withColumnRenamed("node", "sig"), "sig").select("cid", F.col("root").alias("place")).groupBy("cid").agg(F.min("place").alias("place")), "jaccard-places")
-    spots = shared.join(place, "cid", "left").select("token", "at", "cid", "n", F.coalesce("place", F.col("cid").cast("string").cast("binary")).alias("place"))
-    spots = stored(spots, "jaccard-spots")
-    mixed = spots.groupBy("token").agg(F.min("place").alias("_lo"), F.max("place").alias("_hi")).where("_lo <> _hi").select("token")
-    spots = stored(spots.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    spots = spots.join(classes.select("cid", "parity"), "cid")
-    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("at", "cid", "n", "place", "parity")]) for s in "xy")
+    found = stored(components(first), "jaccard-found")
+    places = stored(_places(found, sigs), "jaccard-places")
+    spots = shared.join(places, "cid", "left").withColumn("place", F.coalesce("place", "cid"))
+    mixed = spots.groupBy("token").agg(F.min("place").alias("_lo"), F.max("place").alias("_hi"), F.count("*").alias("size")).where("_lo <> _hi").select("token", "size")
+    spots = stored(spots.join(mixed, "token"), "jaccard-spots")
+
+    def tops_of(spots: DataFrame, turn: int) -> DataFrame:
+        groups = spots.groupBy("token", "place").agg(F.count("*").alias("m"), F.array(*_hubs(turn)).alias("hubs"))
+        tops = groups.groupBy("token").agg(F.sum("m").alias("size"), F.max(F.struct("m", F.xxhash64(F.lit(turn), "place").alias("by"), "place", "hubs")).alias("top"))
+        return stored(tops.select("token", "size", F.col("top.m").alias("m"), F.col("top.place").alias("to"), "top.hubs"), "jaccard-hubs")
+
+    links, many = [found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")], REST * shared.count()
+    crowd, moves = spots.where(F.col("size") > SPARE + 1).drop("size"), None
+    for turn in range(1, most_turns + 1):
+        tops = tops_of(crowd, turn).where(F.col("size") - F.col("m") > SPARE)
+        if (tops.agg(F.sum(F.col("size") * (F.col("size") - F.col("m")))).head()[0] or 0) <= many:
+            break
+        crowd = stored(crowd.join(tops.select("token", "to", "hubs"), "token"), "jaccard-crowd")
+        stars = _compared(crowd.where("place <> to"), classes, alike, "stars")
+        more = _verified(stars.select("x", "y"), classes, base, alike, "turn")
+        moved = stored(more.join(stars, ["x", "y"]).groupBy(F.col("x").alias("cid")).agg(F.min("to").alias("to")), "jaccard-moved")
+        links.append(more.select("a", "b"))
+        n_moved = moved.count()
+        if not n_moved:
+            break
+        crowd = crowd.drop("to", "hubs").join(moved, "cid", "left").withColumn("place", F.coalesce("to", "place")).drop("to")
+        now = moved.select("cid", "to", F.lit(turn).alias("turn"))
+        moves = now if moves is None else moves.union(now)
+        if 8 * n_moved < stars.select("x").distinct().count():
+            break
+    if moves is not None:
+        moves = stored(moves.groupBy("cid").agg(F.max_by("to", "turn").alias("to")), "jaccard-moves")
+        spots = stored(spots.join(moves, "cid", "left").withColumn("place", F.coalesce("to", "place")).drop("to"), "jaccard-spots")
+    tops = tops_of(spots.where(F.col("size") > SPARE + 1).drop("size"), 0).select("token", F.col("to").alias("top"))
+
+    # what is left: a class outside the place with most, and any class of another place, that may link and share a token
+    spots = spots.join(tops, "token", "left").join(classes.select("cid", "parity"), "cid")
+    x, y = (spots.select("token", "top", *[F.col(c).alias(f"{c}_{s}") for c in ("at", "cid", "n", "place", "parity")]) for s in "xy")
     # what can follow the first token that two sets share must be enough; later ones needn't find the pair again
     enough = (100 + alike.percent) * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= alike.percent * (F.col("n_x") + F.col("n_y"))
-    meet = x.join(y, (x["token"] == y["token"]) & (F.col("cid_x") < F.col("cid_y")) & enough & (F.col("place_x") != F.col("place_y")) & alike.near(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y")))
+    once = F.coalesce(F.col("place_y") == F.col("top"), F.lit(False)) | (F.col("cid_x") < F.col("cid_y"))
+    x = x.where("top is null or place_x <> top").drop("top")
+    meet = x.join(y, (x["token"] == y["token"]) & (F.col("place_x") != F.col("place_y")) & once & enough & alike.near(F.col("n_x"), F.col("n_y"), F.col("parity_x"), F.col("parity_y")))
     rest = meet.select(F.col("cid_x").alias("x"), F.col("cid_y").alias("y")).distinct()
-    rest = rest.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     second = _verified(stored(rest, "jaccard-rest"), classes, base, alike, "rest")
 
-    roots = stored(components(first.union(second)), "jaccard-roots").withColumnRenamed("node", "sig")
+    for more in [*links[1:], second.select("a", "b")]:
+        links[0] = links[0].union(more)
+    roots = stored(components(links[0]), "jaccard-roots").withColumnRenamed("node", "sig")
     return rows.select("doc_id", "tag", "n", "sig").join(roots, "sig", "left").select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"))
 
 
+def _places(found: DataFrame, sigs: DataFrame) -> DataFrame:
+    """cid and place, a number for its component, of every class that has links."""
+    return sigs.join(found.withColumnRenamed("node", "sig"), "sig").groupBy("cid").agg(F.min(F.xxhash64("root")).alias("place"))
+
+
 def linked(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row of docs; see linked_rows.
 
@@ -281,8 +336,8 @@ def keep_one(docs: DataFrame, alike: Alike = Alike()) -> DataFrame:
     first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(_key("doc_id").alias("id"), "tag")).alias("r")).select("r.id", "r.tag")
     keep = first.union(rows.where("n = 0").select(_key("doc_id"), "tag")).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"))
     tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.select("*", _key("doc_id").alias("_id"), tag.alias("_tag"))
-    return keyed.join(keep, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct("*").alias("_row"), _key("doc_id").alias("_id"), tag.alias("_tag"))  # in a struct no column's name can clash
+    return keyed.join(keep, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select("_row.*")
 
 
 def _key(name: str) -> Column:

@@ -63,6 +63,26 @@ def test_keep_one(spark):
     assert J.keep_one(docs.limit(0)).count() == 0
 
 
+def test_large_group_about_the_threshold(spark):
+    """400 texts with up to 6 of 100 words changed: some pairs link, most are just below."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for n in range(400):
+        w = list(base)
+        for i in rng.sample(range(100), rng.choice([1, 2, 3, 4, 6])):
+            w[i] = f"w{rng.randrange(10_000)}"
+        rows.append((n, " ".join(w)))
+    got = J.linked(spark.createDataFrame(rows, "doc_id long, text string"), J.Alike(4, 85)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4, 85)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "A b c", 1, 2, 3), (3, None, None, None, None)], "doc_id long, text string, _id int, _tag int, _row int")
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_long_chain_and_hot_node(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
