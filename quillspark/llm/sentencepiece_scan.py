@@ -1,9 +1,14 @@
-"""SentencePiece encoding as the best path through the pieces of a model, in parallel also within one giant text.
+"""SentencePiece encoding by a model of the BPE kind, in parallel also within one giant text.
 
-A segmentation's score is the sum of its pieces' scores; the best one is found by dynamic programming in the (max, +) semiring.
-A giant text is cut into chunks at fixed places. A chunk's transfer matrix has, for each number of characters by which a
-piece may reach into it and out of it, the best score between; matrices are combined associatively, boundary states follow from the
-products, and then each chunk traces its own path. Texts that aren't giant go word by word: no piece has a blank after another character.
+BPE merges the neighbours whose union has the best score, the left ones first. What it leaves is the only way to cut a text
+into pieces of which any two neighbours, taken alone, are left as they are: a merge across a cut that stays would have
+come before, in the pair alone as in the text. So an encoding is the best path in the (max, +) semiring where a piece adds its score
+and neighbours that would merge add minus infinity; that path is the only finite one, and equals the library's ids.
+
+A giant text is cut into chunks at fixed places. A state at a boundary is the piece that holds the character before it. A
+chunk's transfer matrix has the best score from each state at its left boundary to each at its right one; matrices are
+combined associatively, boundary states follow from the products, and then each chunk traces its own path. No piece has a blank after
+another character, so all paths meet where a word begins, and whole words within a chunk are encoded once and kept.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from quillspark.llm.common import small_batches, stored
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+BPE = 2
 LOW = -1e30
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_BEGIN = re.compile(f"[^{SPACE}](?={SPACE})")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -52,14 +59,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Pieces:
-    """A model's pieces with their scores, taken as log probabilities."""
+    """A model's pieces with their scores. Models that merge otherwise, normalise or hold user-defined pieces are refused."""
 
     def __init__(self, path: str, most_words: int = 900_000):
         self.names: list[str] = []
         self.score: dict[str, tuple[int, float]] = {}
         self.byte: dict[int, int] = {}
-        self.dummy_prefix = True
         kinds: list[int] = []
+        trainer: dict[int, object] = {}
+        normalizer: dict[int, object] = {}
         with open(path, "rb") as f:
             data = f.read()
         for n, v in _fields(data):
@@ -68,73 +76,111 @@ class Pieces:
                 name, kind = piece[1].decode(), piece.get(3, NORMAL)
                 if kind == BYTE:
                     self.byte[int(name[3:5], 16)] = len(self.names)
-                elif kind in (NORMAL, USER):
+                elif kind == NORMAL:
                     self.score[name] = (len(self.names), float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]))
                 elif kind == UNKNOWN:
                     self.unknown_id = len(self.names)
                 self.names.append(name)
                 kinds.append(kind)
+            elif n == 2:
+                trainer = dict(_fields(v))
             elif n == 3:
-                self.dummy_prefix = bool(dict(_fields(v)).get(3, 1))
+                normalizer = dict(_fields(v))
+        self.dummy_prefix = bool(normalizer.get(3, 1))
+        if trainer.get(3, 1) != BPE or trainer.get(24, 0) or {USER, UNUSED} & set(kinds):
+            raise ValueError("only models of the BPE kind without user-defined and unused pieces can be read")
+        if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(5, 1):
+            raise ValueError("only models that leave characters and blanks as they are can be read")
+        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+            raise ValueError("a piece has a blank after another character; words can't be encoded one by one")
         self.byte_of = {i: b for b, i in self.byte.items()}
         #: What each id stands for; control pieces stand for nothing.
-        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for i, (n, k) in enumerate(zip(self.names, kinds, strict=True))]
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() if k == NORMAL else b"" for i, (n, k) in enumerate(zip(self.names, kinds, strict=True))]
         self.longest = max(map(len, self.score))
         self.unknown = min(s for _, s in self.score.values()) - 10.0
         self.starts = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
-            raise ValueError("a piece has a blank after another character; words can't be encoded one by one")
         self.words: dict[str, tuple[bytes, float]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.most_words = most_words
 
     def normalised(self, text: str) -> str:
         """Blanks as SPACE, and one before the text."""
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
-    def after(self, s: str, i: int) -> Iterator[tuple[int, int, float]]:
-        """End, id and score of every piece of s that begins at i; the id is -1 for a character that isn't a piece."""
-        one, n, j = False, len(s), i + 1
+    def merged(self, s: str) -> list[str]:
+        """The pieces that merging leaves of a short string."""
+        parts, score = list(s), self.score
+        found = [score.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while True:
+            best, at = LOW, -1
+            for i, f in enumerate(found):
+                if f is not None and f[1] > best:
+                    best, at = f[1], i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = score.get(parts[at - 1] + parts[at])
+            if at < len(found):
+                found[at] = score.get(parts[at] + parts[at + 1])
+
+    def stay(self, a: str | None, b: str) -> bool:
+        """Whether two neighbours stay as they are; without a, whether b alone is one piece."""
+        key = (a or "", b)
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= self.most_words:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merged(key[0] + b) == ([a, b] if a else [b])
+        return found
+
+    def after(self, s: str, i: int) -> Iterator[tuple[int, float]]:
+        """End and score of every piece of s that begins at i; a character that isn't a piece counts as one."""
+        n, j = len(s), i + 2
+        yield i + 1, self.score.get(s[i], (0, self.unknown))[1]
         while j <= n and (w := s[i:j]) in self.starts:
-            found = self.score.get(w)
-            if found:
-                one |= j == i + 1
-                yield j, *found
+            if found := self.score.get(w):
+                yield j, found[1]
             j += 1
-        if not one:
-            yield i + 1, -1, self.unknown
-
-    def ids_of(self, s: str, i: int, j: int, piece: int) -> list[int]:
-        if piece >= 0:
-            return [piece]
-        return [self.byte[b] for b in s[i:j].encode("utf-8", "surrogatepass")] if len(self.byte) == 256 else [self.unknown_id]
-
-    def path(self, s: str, begin: int = 0, end: int | None = None) -> tuple[list[int], float]:
-        """Ids and score of the best path from begin to end; of equal ones, that whose last pieces are found first."""
-        n = len(s) if end is None else end
-        best, back = [LOW] * (n + 1), [(-1, -1)] * (n + 1)
-        best[begin] = 0.0
-        for i in range(begin, n):
-            if best[i] > LOW:
-                for j, piece, score in self.after(s, i):
-                    if j <= n and best[i] + score > best[j]:
-                        best[j], back[j] = best[i] + score, (i, piece)
-        out: list[list[int]] = []
-        j = n
+
+    def ids_of(self, piece: str) -> list[int]:
+        if found := self.score.get(piece):
+            return [found[0]]
+        return [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")] if len(self.byte) == 256 else [self.unknown_id]
+
+    def path(self, s: str, begin: int, end: int, before: str | None = None) -> list[int]:
+        """Ids of the only path from begin to end after the piece `before`."""
+        back: dict[int, int] = {begin: -1}
+        for i in range(begin, end):
+            if i in back:
+                last = s[back[i] : i] if i > begin else before
+                for j, _ in self.after(s, i):
+                    if j <= end and j not in back and self.stay(last, s[i:j]):
+                        back[j] = i
+        out, j = [], end
         while j > begin:
-            i, piece = back[j]
-            out.append(self.ids_of(s, i, j, piece))
-            j = i
-        return [x for part in reversed(out) for x in part], best[n]
+            out.append(self.ids_of(s[back[j] : j]))
+            j = back[j]
+        return [x for part in reversed(out) for x in part]
 
     def word(self, w: str) -> tuple[bytes, float]:
+        """Ids and score of a word; a long one is one path, a short one is merged outright."""
         found = self.words.get(w)
         if found is None:
-            ids, score = self.path(w)
+            parts = self.merged(w) if len(w) <= 64 else None
+            ids = [x for p in parts for x in self.ids_of(p)] if parts else self.path(w, 0, len(w))
+            score = sum(self.score.get(p, (0, self.unknown))[1] for p in parts) if parts else self.total(ids)
             found = np.asarray(ids, "<u4").tobytes(), score
             if len(self.words) < self.most_words:
                 self.words[w] = found
         return found
 
+    def total(self, ids: list[int]) -> float:
+        """The score of ids; each run of bytes counts as its characters."""
+        text = b"".join(b"\0" if i in self.byte_of and self.byte_of[i] & 192 == 128 else b"\1" if i in self.byte_of else b"" for i in ids)
+        return text.count(b"\1") * self.unknown + sum(self.score[self.names[i]][1] for i in ids if i not in self.byte_of and self.names[i] in self.score)
+
     def encode(self, text: str) -> tuple[bytes, float]:
         if not text:
             return b"", 0.0
@@ -146,16 +192,61 @@ class Pieces:
         text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
-    def transfer(self, s: str, n: int) -> np.ndarray:
-        """Of a chunk of n characters and what follows: the best score from each overhang into it to each overhang out of it."""
-        k = self.longest
-        v = np.full((n + k, k), LOW)
-        v[np.arange(k), np.arange(k)] = 0.0
-        for i in range(n):
-            for j, _, score in self.after(s, i):
-                if j < n + k:
-                    np.maximum(v[j], v[i] + score, out=v[j])
-        return v[n : n + k].T.copy()
+    def across(self, s: str, at: int) -> list[tuple[int, int]]:
+        """The states at a boundary: begin and end of every piece that holds the character before it. At the text's begin there is one."""
+        if not at:
+            return [(0, 0)]
+        return [(i, j) for i in range(max(0, at - self.longest), at) for j, _ in self.after(s, i) if j >= at]
+
+    def meetings(self, s: str, lo: int, hi: int) -> list[int]:
+        """Where words begin from lo to hi, hi not included; no piece lies across such a place."""
+        return [m.start() + 1 for m in _BEGIN.finditer(s, max(0, lo - 1), hi) if m.start() + 1 < hi]
+
+    def walk(self, s: str, live: dict[tuple[int, int], np.ndarray], lo: int, hi: int) -> dict[tuple[int, int], np.ndarray]:
+        """From pieces with the scores of the paths that lead to them, to the pieces that hold the character before hi."""
+        at: dict[int, dict[tuple[int, int], np.ndarray]] = {}
+        out: dict[tuple[int, int], np.ndarray] = {}
+
+        def put(piece: tuple[int, int], v: np.ndarray) -> None:
+            held = out if piece[1] >= hi else at.setdefault(piece[1], {})
+            held[piece] = np.maximum(held[piece], v) if piece in held else v
+
+        for piece, v in live.items():
+            put(piece, v)
+        for p in range(lo, hi):
+            here = at.pop(p, None)
+            for q, score in self.after(s, p) if here else ():
+                for (i, _), v in here.items():
+                    if self.stay(s[i:p] or None, s[p:q]):
+                        put((p, q), v + score)
+        return out
+
+    def transfer(self, s: str, lo: int, hi: int) -> np.ndarray:
+        """Of the chunk from lo to hi of s: the best score from each state at lo to each at hi."""
+        left, right = self.across(s, lo), self.across(s, hi)
+        eye = np.where(np.eye(len(left), dtype=bool), 0.0, LOW)
+        out = np.full((len(left), len(right)), LOW)
+        live, places = dict(zip(left, eye, strict=True)), self.meetings(s, lo, hi)
+        if places:
+            first, last = places[0], places[-1]
+            met = np.full(len(left), LOW)
+            for v in self.walk(s, live, lo, first).values():
+                met = np.maximum(met, v)
+            met = met + sum([self.word(w)[1] for w in _WORD.findall(s[first:last])])
+            live, lo = {(last, last): met}, last
+        for piece, v in self.walk(s, live, lo, hi).items():
+            out[:, right.index(piece)] = v
+        return np.maximum(out, LOW)
+
+    def trace(self, s: str, lo: int, hi: int, begin: int, end: int) -> bytes:
+        """Ids of the pieces after the state `begin` at lo up to the state `end` at hi, which is included."""
+        (i, a), (_, z) = self.across(s, lo)[begin], self.across(s, hi)[end]
+        places = self.meetings(s, max(lo, a), hi)
+        if not places:
+            return np.asarray(self.path(s, a, z, s[i:a] or None), "<u4").tobytes()
+        first, last = places[0], places[-1]
+        words = b"".join([self.word(w)[0] for w in _WORD.findall(s[first:last])])
+        return np.asarray(self.path(s, a, first, s[i:a] or None), "<u4").tobytes() + words + np.asarray(self.path(s, last, z), "<u4").tobytes()
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,12 +259,12 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _states(matrices: list[np.ndarray], begin: int, end: int) -> list[int]:
-    """The best boundary states along a run of matrices, from begin to end, both included."""
+def _states(matrices: list[np.ndarray], begin: int, end: int | None) -> list[int]:
+    """The best boundary states along a run of matrices, from begin to end (or to the best last one), both included."""
     ahead = [np.where(np.arange(len(matrices[0])) == begin, 0.0, LOW)]
     for m in matrices:
         ahead.append(np.maximum((ahead[-1][:, None] + m).max(axis=0), LOW))
-    out = [end]
+    out = [int(ahead[-1].argmax()) if end is None else end]
     for v, m in zip(reversed(ahead[:-1]), reversed(matrices), strict=True):
         out.append(int((v + m[:, out[-1]]).argmax()))
     return out[::-1]
@@ -192,42 +283,41 @@ def _giants(texts: DataFrame, path: str, chunk_chars: int, run: int) -> DataFram
                 s = p.normalised(text)
                 count = max(1, len(s) // chunk_chars)  # the last one takes what is left
                 for c in range(count):
-                    n = chunk_chars if c < count - 1 else len(s) - c * chunk_chars
-                    part = s[c * chunk_chars : c * chunk_chars + n + p.longest - 1]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (digest, c, c // run, n, part)], names=["digest", "chunk", "run", "n", "part"])
+                    begin, end = c * chunk_chars, (c + 1) * chunk_chars if c < count - 1 else len(s)
+                    low = max(0, begin - 2 * p.longest)  # what the states at both boundaries can be is seen from either side
+                    part = s[low : end + p.longest]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (digest, c, c // run, begin - low, end - low, part)], names=["digest", "chunk", "run", "lo", "hi", "part"])
 
-    chunks = texts.mapInArrow(cut, "digest binary, chunk long, run long, n long, part string")
-    chunks = stored(chunks.repartition("digest", "chunk"), "pieces-chunks")
+    spark = texts.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deal = lambda df: df.repartition(tasks, "digest", "chunk")  # noqa: E731  files are small for the work that they hold
+    chunks = stored(texts.mapInArrow(cut, "digest binary, chunk long, run long, lo long, hi long, part string"), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for b in batches:
             for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([r[k]]) for k in ("digest", "chunk", "run")] + [pa.array([p.transfer(r["part"], r["n"]).tobytes()])], names=["digest", "chunk", "run", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k]]) for k in ("digest", "chunk", "run")] + [pa.array([len(m := p.transfer(r["part"], r["lo"], r["hi"]))]), pa.array([m.tobytes()])], names=["digest", "chunk", "run", "states", "m"])
 
-    made = stored(chunks.mapInArrow(matrices, "digest binary, chunk long, run long, m binary"), "pieces-matrices")
+    made = stored(deal(chunks).mapInArrow(matrices, "digest binary, chunk long, run long, states long, m binary"), "pieces-matrices")
 
     def sorted_matrices(t: pa.Table, by: str) -> tuple[list[int], list[np.ndarray]]:
-        rows = sorted(zip(t.column(by).to_pylist(), t.column("m").to_pylist(), strict=True))
-        k = pieces(path).longest
-        return [r[0] for r in rows], [np.frombuffer(r[1]).reshape(k, k) for r in rows]
+        rows = sorted(zip(t.column(by).to_pylist(), t.column("states").to_pylist(), t.column("m").to_pylist(), strict=True))
+        return [r[0] for r in rows], [np.frombuffer(r[2]).reshape(r[1], -1) for r in rows]
 
     def product(t: pa.Table) -> pa.Table:
         _, ms = sorted_matrices(t, "chunk")
         while len(ms) > 1:
             ms = [times(*ms[i : i + 2]) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
-        return pa.table({"digest": t.column("digest")[:1], "run": t.column("run")[:1], "m": pa.array([ms[0].tobytes()])})
+        return pa.table({"digest": t.column("digest")[:1], "run": t.column("run")[:1], "states": pa.array([len(ms[0])]), "m": pa.array([ms[0].tobytes()])})
 
     def outer(t: pa.Table) -> pa.Table:
         runs, ms = sorted_matrices(t, "run")
-        states = _states(ms, 0, 0)
-        total = ms[0]
-        for m in ms[1:]:
-            total = times(total, m)
-        n = len(runs)
-        return pa.table({"digest": pa.array(t.column("digest").to_pylist()[:1] * n), "run": pa.array(runs), "begin": pa.array(states[:-1]), "end": pa.array(states[1:]), "score": pa.array([float(total[0, 0])] * n)})
-
-    runs = made.groupBy("digest", "run").applyInArrow(lambda t: product(t), "digest binary, run long, m binary")
+        states = _states(ms, 0, None)
+        total, n = float(sum(m[a, b] for m, a, b in zip(ms, states, states[1:], strict=False))), len(runs)
+        return pa.table({"digest": pa.array(t.column("digest").to_pylist()[:1] * n), "run": pa.array(runs), "begin": pa.array(states[:-1]), "end": pa.array(states[1:]), "score": pa.array([total] * n)})
+
+    runs = made.groupBy("digest", "run").applyInArrow(lambda t: product(t), "digest binary, run long, states long, m binary")
     ends = stored(runs.groupBy("digest").applyInArrow(lambda t: outer(t), "digest binary, run long, begin long, end long, score double"), "pieces-runs")
 
     def inner(t: pa.Table, e: pa.Table) -> pa.Table:
@@ -241,10 +331,10 @@ def _giants(texts: DataFrame, path: str, chunk_chars: int, run: int) -> DataFram
         p = pieces(path)
         for b in batches:
             for r in b.to_pylist():
-                ids = p.path(r["part"], r["begin"], r["n"] + r["end"])[0]
-                yield pa.RecordBatch.from_arrays([pa.array([r["digest"]]), pa.array([r["chunk"]]), pa.array([r["score"]]), pa.array([np.asarray(ids, "<u4").tobytes()])], names=["digest", "chunk", "score", "ids"])
+                ids = p.trace(r["part"], r["lo"], r["hi"], r["begin"], r["end"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["digest"]]), pa.array([r["chunk"]]), pa.array([r["score"]]), pa.array([ids])], names=["digest", "chunk", "score", "ids"])
 
-    traced = chunks.join(bounds, ["digest", "chunk"]).select("digest", "chunk", "n", "part", "begin", "end", "score").mapInArrow(trace, "digest binary, chunk long, score double, ids binary")
+    traced = deal(chunks).join(bounds, ["digest", "chunk"]).select("digest", "chunk", "lo", "hi", "part", "begin", "end", "score").mapInArrow(trace, "digest binary, chunk long, score double, ids binary")
 
     def whole(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("chunk").to_pylist(), t.column("ids").to_pylist(), strict=True))
@@ -253,15 +343,15 @@ def _giants(texts: DataFrame, path: str, chunk_chars: int, run: int) -> DataFram
     return traced.groupBy("digest").applyInArrow(lambda t: whole(t), "digest binary, ids binary, score double")
 
 
-def encode(docs: DataFrame, path: str, giant_chars: int = 1 << 16, chunk_chars: int = 8192, run: int = 256) -> DataFrame:
+def encode(docs: DataFrame, path: str, giant_chars: int = 1 << 13, chunk_chars: int = 4096, run: int = 256) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), score and decoded (the ids' text) of every row of docs (doc_id, text).
 
-    Texts of more than giant_chars characters are cut into chunks of chunk_chars; the result doesn't depend on either, but for
-    paths of equal score. Null texts count as empty and give no ids. Copies of a giant text are encoded once. Repeated and null ids
+    The ids are the library's for the same model. Texts of more than giant_chars characters are cut into chunks of chunk_chars; the
+    ids don't depend on either, and scores only by the order of sums. A word of any length is one path. Null texts count as empty and give no ids. Copies of a giant text are encoded once. Repeated and null ids
     stay; an empty table gives no rows; other columns aren't looked at."""
     spark = docs.sparkSession
     small_batches(spark)
-    if chunk_chars < 64:
+    if chunk_chars <= pieces(path).longest:
         raise ValueError("a chunk must be longer than any piece")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = "doc_id long, ids binary, score double, decoded string"
