@@ -27,42 +27,53 @@ class Limits:
 
 @dataclass
 class Piece:
-    doc: int
+    doc: tuple[int | None, int, int]  # id, tokens, leading tokens that bear no loss
     start: int
-    length: int
-    loss: int
+    ids: bytes  # of this piece alone, so that what waits doesn't hold whole documents
+
+    @property
+    def length(self) -> int:
+        return len(self.ids) // 4
+
+    @property
+    def loss(self) -> int:
+        return loss_of(self.doc, self.start, self.length)
+
+
+def loss_of(doc: tuple[int | None, int, int], start: int, length: int) -> int:
+    return max(0, start + length - max(start, doc[2]))
 
 
 @dataclass
 class Packer:
-    """Packs pieces of one task. The examples wait in a pool of at most `most` pieces, so memory is bounded.
+    """Packs pieces of one task. The examples wait in a pool of at most `most` pieces, so memory is bounded: 64 MB with 2,048 tokens each.
 
     Bins are filled one by one. The next example is, of those that fit in every dimension, that with the largest dot
     product of its size vector with the bin's free space, both as shares of the limits. Examples of equal size are
-    alike, so the heuristic looks at distinct sizes only. A last bin that is not full returns to the pool, except at
+    alike, so the heuristic looks at distinct sizes only. Of equal products the longer example goes first, then that with
+    more loss; of equal sizes the one that came last. A last bin that is not full returns to the pool, except at
     the end; so a task leaves one bin that isn't full."""
 
     limits: Limits
-    loss_of: object  # (doc, start, length) -> loss-bearing tokens
     most: int = 8192
     pool: list[Piece] = field(default_factory=list)
 
-    def cut_len(self, doc: int, start: int, length: int, free_tokens: int, free_loss: int) -> int:
+    def cut_len(self, doc: tuple[int | None, int, int], start: int, length: int, free_tokens: int, free_loss: int) -> int:
         """The longest prefix of the piece that fits."""
         n = min(length, free_tokens)
-        if self.loss_of(doc, start, n) <= free_loss:
+        if loss_of(doc, start, n) <= free_loss:
             return n
         lo, hi = 0, n
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self.loss_of(doc, start, mid) <= free_loss else (lo, mid - 1)
+            lo, hi = (mid, hi) if loss_of(doc, start, mid) <= free_loss else (lo, mid - 1)
         return lo
 
-    def add(self, doc: int, n: int) -> Iterator[list[Piece]]:
-        lim, start = self.limits, 0
+    def add(self, doc: tuple[int | None, int, int], ids: bytes) -> Iterator[list[Piece]]:
+        lim, start, n = self.limits, 0, doc[1]
         while start < n:
             k = max(1, self.cut_len(doc, start, n - start, lim.tokens, lim.loss_tokens))
-            piece = Piece(doc, start, k, self.loss_of(doc, start, k))
+            piece = Piece(doc, start, ids[4 * start : 4 * (start + k)])
             start += k
             if k == lim.tokens:
                 yield [piece]
@@ -105,8 +116,7 @@ class Packer:
                     break
                 stacks[j].pop()
                 alive[j] = bool(stacks[j])
-                head = Piece(p.doc, p.start, k, self.loss_of(p.doc, p.start, k))
-                rest = Piece(p.doc, p.start + k, p.length - k, p.loss - head.loss)
+                head, rest = Piece(p.doc, p.start, p.ids[: 4 * k]), Piece(p.doc, p.start + k, p.ids[4 * k :])
                 out.append(head)
                 free -= [head.length, 1, head.loss]
                 key = (rest.length, rest.loss)
@@ -126,13 +136,14 @@ class Packer:
                 yield out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), loss_start: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 450_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), loss_start: str | None = None, lead_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", most_words: int = 450_000) -> DataFrame:
     """Packs whole documents, cut where need be, into sequences within `limits`; one row per piece, with its ids.
 
     One pass without a shuffle: each task encodes its documents, sets out full sequences at once and packs the rest
     from a bounded pool, so that neither hot sources nor equal texts matter. A sequence belongs to one task;
     sequence_id is task * 2^32 + its number there, the same again when a lost task runs anew over the same split.
-    loss_start names a column with the number of leading ids that bear no loss (an instruction); without it all do.
+    loss_start names a column with the number of leading ids that bear no loss (an instruction); without it, or where it is
+    null, that is lead_share of a document's ids, rounded down.
     most_words: how many words' ids a Python worker keeps (some 250 MB at a
     million). Null texts and empty ones consist of the end id. Rows with null or repeated ids are packed like any other; other
     columns are not looked at. An empty table gives no rows."""
@@ -145,38 +156,27 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
 
         words, end = word_ids(tokenizer_path, most_words), np.uint32(end_id).tobytes()
         first = TaskContext.get().partitionId() << 32
-        held: dict[int, tuple[int | None, bytes, int, int]] = {}  # row number -> id, ids, loss start, tokens not yet set out
-        waits: dict[int, int] = {}
-        numbers = iter(range(1 << 62))
         sequences = iter(range(first, first + (1 << 32)))
-
-        def loss_of(row: int, start: int, length: int) -> int:
-            return max(0, start + length - max(start, held[row][2]))
-
-        packer = Packer(limits, loss_of)
+        packer = Packer(limits)
 
         def rows(bins: Iterator[list[Piece]]) -> Iterator[tuple]:
             for one in bins:
                 number, offset = next(sequences), 0
                 for p in one:
-                    doc_id, ids, _, n = held[p.doc]
-                    yield doc_id, p.start, p.length, ids[4 * p.start : 4 * (p.start + p.length)], n, p.loss, number, offset
+                    yield p.doc[0], p.start, p.length, p.ids, p.doc[1], p.loss, number, offset
                     offset += p.length
-                    waits[p.doc] -= p.length
-                    if not waits[p.doc]:
-                        del held[p.doc], waits[p.doc]
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _TYPES, strict=True)], names=_NAMES)
 
         found: list[tuple] = []
         for batch in batches:
-            starts = batch.column("_loss_start").to_pylist() if loss_start else [0] * batch.num_rows
+            starts = batch.column("_loss_start").to_pylist() if loss_start else [None] * batch.num_rows
             for doc_id, ids, lead in zip(batch.column("doc_id").to_pylist(), words.encode_many(batch.column("text")), starts, strict=True):
                 ids += end
-                row, n = next(numbers), len(ids) // 4
-                held[row], waits[row] = (doc_id, ids, min(max(lead or 0, 0), n), n), n
-                found += rows(packer.add(row, n))
+                n = len(ids) // 4
+                lead = int(lead_share * n) if lead is None else min(max(lead, 0), n)
+                found += rows(packer.add((doc_id, n, lead), ids))
                 if len(found) >= 4000:
                     yield batch_of(found)
                     found = []

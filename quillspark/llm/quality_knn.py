@@ -46,7 +46,7 @@ def term_counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Neighbours:
-    """The labelled texts in latent space, and the way there. Its size depends on `most` and `dims` alone: 4,097 x 48 floats and 1,200 x 48."""
+    """The labelled texts in latent space, and the way there. Its size depends on `most` and `dims` alone: 4,097 x dims floats and 2 x most x dims."""
 
     idf: np.ndarray
     basis: np.ndarray
@@ -63,17 +63,17 @@ class Neighbours:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """The share of label 1 among the k nearest, weighted by similarity; without similar ones, among all."""
+        """The share of label 1 among the k nearest and those that tie with the last of them, weighted by similarity; without similar ones, among all."""
         n = len(self.labels)
         if not n:
             return np.full(len(counts), 0.5)
         prior = float((self.weights * self.labels).sum() / self.weights.sum())
         sims = self.project(counts) @ self.vectors.T
         k = min(self.k, n)
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(sims), 1))
-        w = np.maximum(np.take_along_axis(sims, near, axis=1), 0.0).astype(np.float64) ** self.power * self.weights[near]
+        least = np.partition(sims, n - k, axis=1)[:, n - k, None]  # all that are as similar as the k-th vote with it
+        w = np.where(sims >= least, np.maximum(sims, 0.0), 0.0).astype(np.float64) ** self.power * self.weights
         total = w.sum(axis=1)
-        return np.where(total > 1e-9, (w * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), prior)
+        return np.where(total > 1e-9, (w @ self.labels) / np.maximum(total, 1e-9), prior)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, dims: int = 48, k: int = 15, power: float = 8.0) -> Neighbours:
@@ -93,10 +93,22 @@ def fit(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, dims: int =
     return Neighbours(idf, basis, model.project(counts), labels, weights, k, power)
 
 
-def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 600, label_col: str = "quality") -> Neighbours:
+def _packed(counts: np.ndarray) -> bytes:
+    """The terms that occur, as places and counts; most don't."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n, out = len(raw) // 6, np.zeros(TERMS, dtype=np.float32)
+    out[np.frombuffer(raw[: 2 * n], np.uint16)] = np.frombuffer(raw[2 * n :], np.float32)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 1000, label_col: str = "quality") -> Neighbours:
     """Learns from at most `most` labelled texts of each label, those with the smallest hash of their id, where `learns` holds.
 
-    Only doc_id and text are looked at. Rows without a label other than 0 and 1 don't count; of several labels for an id the
+    Only doc_id and text are looked at; of rows with the same id the smallest text counts. Rows without a label other than 0 and 1 don't count; of several labels for an id the
     smallest does. A label's texts count in proportion to how many such rows there are, sampled or not."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -104,14 +116,15 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 600, l
     totals = dict(ids.groupBy("_label").count().collect())
     parts = [ids.where(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    chosen = chosen.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array([term_counts(x).astype(np.float16).tobytes() for x in texts_of(b)], pa.binary())], names=["doc_id", "_label", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array([_packed(term_counts(x)) for x in texts_of(b)], pa.binary())], names=["doc_id", "_label", "counts"])
 
-    rows = sorted(((r[0], r[1], bytes(r[2])) for r in chosen.mapInArrow(run, "doc_id long, _label int, counts binary").limit(4 * most).collect()), key=lambda r: (r[0], r[2]))
+    rows = sorted(((r[0], r[1], bytes(r[2])) for r in chosen.mapInArrow(run, "doc_id long, _label int, counts binary").collect()), key=lambda r: (r[0], r[2]))
     y = np.array([r[1] for r in rows], dtype=np.float64)
-    counts = np.array([np.frombuffer(r[2], np.float16) for r in rows], dtype=np.float32).reshape(len(rows), TERMS)
+    counts = np.array([_unpacked(r[2]) for r in rows], dtype=np.float32).reshape(len(rows), TERMS)
     share = {v: totals.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1)}
     return fit(counts, y, np.array([share[int(v)] for v in y], dtype=np.float64))
 
@@ -120,7 +133,8 @@ def score(docs: DataFrame, model: Neighbours, keep: list[str] = ("doc_id",), tex
     """The columns `keep` and `score` of every row: cosine products of a block of whole texts with all labelled vectors.
 
     The model is broadcast once; its size is bounded, see Neighbours. No shuffle: hot sources and copies don't matter.
-    Null texts count as empty and score as the labels at large do; without labels all score 0.5."""
+    Null texts count as empty and score as the labels at large do; without labels all score 0.5. Rows with null or repeated ids are
+    scored each by its own text; an empty table gives no rows. `keep` can't hold columns named _text or _score; keep_good takes any."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -138,7 +152,8 @@ def score(docs: DataFrame, model: Neighbours, keep: list[str] = ("doc_id",), tex
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """A null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, learns: Column | None = None, keep_at: float = 0.5) -> DataFrame:

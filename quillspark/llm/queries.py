@@ -17,8 +17,8 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     block, about, first = F.col("record.block"), F.get("metadata", F.lit(0))["block"], F.col("record.warc_type") == "response"
     return captures.select(
         warc.field(about, "page-id").cast("long").alias("page_id"),
-        F.when(first, F.octet_length(block) - warc.http_header_bytes(block)).otherwise(warc.field(block, "Content-Length")).cast("long").alias("payload_bytes"),
-        F.when(first, F.sha1(warc.http_body(block))).otherwise(F.col("record.headers")["payload-sha1"]).alias("payload_digest"),
+        F.when(first, F.octet_length(block) - warc.http_header_bytes(F.col("record.headers"))).otherwise(warc.field(block, "Content-Length")).cast("long").alias("payload_bytes"),
+        F.when(first, F.sha1(warc.http_body(F.col("record")))).otherwise(F.col("record.headers")["payload-sha1"]).alias("payload_digest"),
         F.col("record.warc_type").alias("record_type"),
         warc.field(about, "refers-to-page-id").cast("long").alias("refers_to"),
         F.size("requests").alias("n_requests"),
@@ -34,7 +34,9 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), default_path("piece_bpe_32k.model"))
+    docs, cache, tokenizer = table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), default_path("piece_bpe_32k.model")
+    token_counts.count_tokens(docs.where("lang = 'en'"), cache, tokenizer)  # an earlier delivery: the whole table then finds its counts in the cache
+    counts = token_counts.count_tokens(docs, cache, tokenizer)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
@@ -65,7 +67,9 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=1)
+    # the first quarter of a document is its prompt and bears no loss
+    limits = packing.Limits(tokens=2048, segments=64, loss_tokens=1792)
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=1, limits=limits, lead_share=0.25)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 

@@ -120,10 +120,10 @@ def in_order(base: DataFrame, per_bucket: int = 100_000) -> DataFrame:
     """base (doc_id, digest, ...) with _bucket: the rows in order of doc_id and digest, null first, cut into buckets of about equal size,
     and after each bucket's rows, marked _extra, the first row of the next bucket; after the last one, that of the first.
 
-    The cuts are approximate percentiles of the ids; they and one id per bucket, of at most 4,096, meet at the driver."""
+    The cuts are approximate percentiles of the ids; they and one id per bucket of 100,000 rows meet at the driver, some 16 bytes for each."""
     spark = base.sparkSession
     want = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // per_bucket)
-    n = max(1, min(4096, want))
+    n = max(1, (want))
     cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 40_000)).head()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)

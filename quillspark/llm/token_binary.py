@@ -35,11 +35,11 @@ def _codecs(dictionary: bytes):
     return zstd.ZstdCompressor(level=1, dict_data=d, write_content_size=True), zstd.ZstdDecompressor(dict_data=d)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 800, sample_bytes: int = 32768, dict_bytes: int = 65536) -> bytes:
-    """A dictionary from the serialized ids of at most sample_docs texts of at most sample_bytes bytes, chosen by hash.
+def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 800, sample_chars: int = 16384, dict_bytes: int = 65536) -> bytes:
+    """A dictionary from the serialized ids of at most sample_docs texts, chosen by hash; of a text longer than sample_chars, a part from a place chosen by hash.
 
-    The bound only decides how well the frames compress. With too few ids to train on, the ids themselves serve as
-    dictionary; with none, there is no dictionary."""
+    The bound only decides how well the frames compress. Few ids give a smaller dictionary, a twentieth of them at most;
+    where the trainer refuses even that (some ten short texts), the ids themselves serve, and with none there is no dictionary."""
     import zstandard as zstd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,15 +47,19 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_do
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, width) for x in words.encode_many(b.column(0))], pa.binary())], names=["ids"])
 
-    fits = docs.where(F.octet_length("text").between(1, sample_bytes))
+    fits = docs.where(F.octet_length("text") > 0)
     share = min(1.0, 3 * sample_docs / max(1, docs.count()))  # some more than wanted, so that little is sorted
     few = fits.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    samples = sorted(bytes(r[0]) for r in few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").mapInArrow(run, "ids binary").collect())
-    if sum(map(len, samples)) > 20 * dict_bytes:
+    spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    part = F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(1), "doc_id"), spare.cast("long") + 1) + 1).cast("int"), F.lit(sample_chars))
+    few = few.select("doc_id", part.alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
+    samples = sorted(bytes(r[0]) for r in few.select("text").mapInArrow(run, "ids binary").collect())
+    size = min(dict_bytes, sum(map(len, samples)) // 20)
+    while size >= 256:
         try:
-            return zstd.train_dictionary(dict_bytes, samples).as_bytes()
+            return zstd.train_dictionary(size, samples).as_bytes()
         except zstd.ZstdError:
-            pass
+            size //= 2
     return b"".join(samples)[-dict_bytes:]
 
 
@@ -102,9 +106,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     docs: doc_id long, text string; other columns are not looked at. Null texts count as empty; rows with equal doc_id
     follow each other by a hash of their texts, null ids come first; an empty table gives a folder without shards. The raw texts are
     range-partitioned once (a hot source plays no part), and each partition is encoded and written in order. width: bytes of an id on
-    disk, 2 for a vocabulary of up to 65,536 ids, else 4."""
+    disk, 2 for a vocabulary of up to 65,536 ids, else 4; ids that don't fit are refused."""
     spark = docs.sparkSession
     small_batches(spark)
+    largest = max(end_id, max(word_ids(tokenizer_path).tokenizer.get_vocab().values()))
+    if largest >= 1 << 8 * width:
+        raise ValueError(f"ids of up to {largest} don't fit into {width} bytes")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dictionary = train_dictionary(narrow, tokenizer_path, width)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -132,7 +139,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     start counts the ids of all documents before it, over all shards. The ids are decompressed twice, first for the counts alone."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head()["dictionary"])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
-    number = F.format_string("%s.%s", F.regexp_extract("path", r"part-(\d+)", 1), F.lpad(F.regexp_extract("path", r"-c(\d+)\.", 1), 12, "0"))
+    number = F.format_string("%s.%s", F.lpad(F.regexp_extract("path", r"part-(\d+)", 1), 12, "0"), F.lpad(F.regexp_extract("path", r"-c(\d+)\.", 1), 12, "0"))
     files = files.select(number.alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, texts_of
+from quillspark.llm.common import small_batches, stored, texts_of
 
-CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
+CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
 
 
 @lru_cache(maxsize=4)
@@ -37,21 +37,25 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def empty_cache(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], CACHE).write.mode("ignore").parquet(path)
+def _part(path: str, version: str) -> str:
+    return f"{path.rstrip('/')}/tokenizer_digest={version}"
+
+
+def empty_cache(spark: SparkSession, path: str, version: str) -> None:
+    spark.createDataFrame([], "content_digest binary, n_tokens long").write.mode("ignore").parquet(_part(path, version))
 
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and content_digest of every row, encoding each distinct text that the cache lacks once.
 
     Content is normalised only by taking null as empty: anything more could change a count. Digests of the content
-    (SHA-256) and of the tokenizer's file are the key of the cache, a Parquet folder of CACHE rows; its misses are encoded and appended
-    by Spark's committed writer before this returns. An append that runs twice adds equal rows, which count as one.
-    Equal texts meet in map-side partial aggregation, so no task gets all copies of a text; the counts go back by an
-    equi-join that AQE splits where a digest is hot. Null and repeated ids stay; other columns are not looked at."""
+    (SHA-256) and of the tokenizer's file are the key of the cache, a Parquet folder of CACHE rows in a folder for each tokenizer; its
+    misses are encoded and appended by Spark's committed writer before this returns. An append that runs twice adds equal rows, which
+    count as one. Digests are made distinct before they are joined with the cache, and texts are shuffled only for misses, by digest and id, so
+    no task gets all copies of a text; the counts go back by an equi-join that AQE splits where a digest is hot. Null and repeated ids stay; other columns are not looked at."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     small_batches(spark)
-    empty_cache(spark, cache_path)
+    empty_cache(spark, cache_path, version)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
     known = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer_digest") == version)
@@ -61,10 +65,13 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array(count(texts_of(b)), pa.int64())], names=["content_digest", "n_tokens"])
 
-    misses = keyed.select("content_digest", "text").join(known.select("content_digest"), "content_digest", "left_anti")
-    distinct = misses.groupBy("content_digest").agg(F.first("text").alias("text"))
+    # digests alone are compared with the cache; then one row of each miss has its text fetched
+    digests = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("_id"))
+    misses = stored(digests.join(known.select("content_digest"), "content_digest", "left_anti").withColumnRenamed("content_digest", "_digest"), "token-misses")
+    wanted = (F.col("content_digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    distinct = keyed.join(misses, wanted, "left_semi").dropDuplicates(["content_digest", "doc_id"]).select("content_digest", "text")
     counted = distinct.mapInArrow(run, "content_digest binary, n_tokens long")
-    counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
+    counted.select("content_digest", "n_tokens").write.mode("append").parquet(_part(cache_path, version))
 
     now = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens").distinct()
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")

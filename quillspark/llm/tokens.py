@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quillspark.llm.common import slices, split_words
 
@@ -38,13 +38,8 @@ def _drops_blanks(config: dict) -> bool:
 
 #: The pre-tokenizer's pattern for which words can be taken apart here; with any other, whole texts go to the library.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: What the pre-tokenizer makes of ASCII without apostrophes: runs of letters, single digits, runs of all else.
-_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-
-
-def _letters(word: str) -> bool:
-    """Whether the word is a run of letters and stays one when it is normalised: composed and lower-cased."""
-    return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
+#: The same in RE2's writing, for words without apostrophes and special strings: it counts a word's pre-tokens.
+_RUNS = r"\pL+|\pN|[^\s\pL\pN]+"
 
 
 class WordIds(dict):
@@ -66,49 +61,45 @@ class WordIds(dict):
         self.ends[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
 
     def __missing__(self, word: str) -> bytes:
-        parts = self._parts(word)
-        ids = self[word] = self.whole(word) if parts is None else b"".join([self[p] if p != word else self.whole(p) for p in parts])
+        ids = self[word] = self.whole(word)
         return ids
 
-    def _parts(self, word: str) -> list[str] | None:
-        """Pre-tokens that the word surely consists of, as the normaliser leaves them; None where only the library can say."""
-        if word.isascii():
-            return None if "'" in word or "<|" in word else _RUNS.findall(word.lower())
-        if _letters(word):
-            return [word]
-        stem = word[:-1]
-        return [stem, word[-1]] if word[-1] in ".,!?" and _letters(stem) else None
-
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Encodes the letters of new words in one call. A run of letters is one pre-token and so ends with the only id
-        that marks a word's end; where the count of ends differs (normalisation made something else of a letter), each word is encoded alone later."""
-        parts_of = {w: p for w in words if (p := self._parts(w)) is not None}
-        runs = list({p for parts in parts_of.values() for p in parts if p.isalpha()}.difference(self)) if self.suffix else []
-        for i in range(0, len(runs), 20_000):
-            some = runs[i : i + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new words in one call for many. Each pre-token ends with the only id that marks a word's end, so counts
+        of pre-tokens, taken from the words as the normaliser leaves them, tell whose an id is. Words with an apostrophe or
+        a special string go alone, and so does each of some where the counts of ends differ."""
+        if not self.suffix:
+            return
+        plain = [w for w in new if "'" not in w and "<|" not in w]
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            text = " ".join(some)
+            lowered = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split(" ")
+            if len(lowered) != len(some) or len(text.split()) != len(some):  # blanks beyond ASCII
+                continue
+            counts = pc.count_substring_regex(pa.array(lowered, pa.large_string()), _RUNS).to_numpy()
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
+            if counts.min() < 1 or counts.sum() != len(ends):
+                continue
             raw, at = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=False) if len(ends) == len(some) else ((w, None) for w in some):
-                self[w] = raw[at:end] if end else self.whole(w)
+            for w, end in zip(some, ends[np.cumsum(counts) - 1].tolist(), strict=True):
+                self[w] = raw[at:end]
                 at = end
-        for w, parts in parts_of.items():
-            if len(parts) > 1 or parts[0] != w:
-                self[w] = b"".join([self[p] for p in parts])
 
     def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each whole text, as the library gives them without special tokens added; null counts as empty.
 
         Words are split, numbered and put together again in bulk; only the distinct ones of a slice are looked up."""
-        for some in slices(texts):
+        for some in slices(texts, 8 << 20):
             if not self.by_word:
                 yield from (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([x or "" for x in some.to_pylist()], add_special_tokens=False))
                 continue
             starts, numbers, words = split_words(some)
-            self._learn(set(words).difference(self) - {""})
+            self._learn([w for w in words if w and w not in self])
             raw = [self[w] if w else b"" for w in words]
             sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             ids, at = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes

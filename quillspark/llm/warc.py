@@ -78,7 +78,7 @@ def _uuid(*parts: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", pages_per_file: int = 4000) -> None:
+def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", row_bytes: int = 4 << 20, rows_per_file: int = 16) -> None:
     """Writes a request, a response or revisit, and a metadata record for each row of pages (page_id, url, html).
 
     The payload is html in UTF-8; null counts as empty. Of the rows with equal payloads of at least least_bytes, that
@@ -88,8 +88,8 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
 
     The payloads are shuffled once, compressed, by digest and a salt of page_id, so a payload that a third of all pages have is
     dealt out; what is joined to them is one row per digest and salt that occurs. Spark's text writer commits the
-    files: a row is a capture's three gzip members without the last byte, which is the high byte of the metadata
-    record's length and so 0, and which the writer puts back as its line separator."""
+    files: a row is the gzip members of captures, three for each, up to row_bytes or those of one capture, and without the last byte, which is the high byte of a metadata
+    record's length and so 0, and which the writer puts back as its line separator. A file has rows_per_file rows at most."""
     spark = pages.sparkSession
     small_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -106,16 +106,24 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
     ids = [_uuid(F.lit(role), F.col("page_id"), F.col("url"), F.hex("digest"), F.col("nth")).alias(role) for role in ("response", "request", "metadata")]
     rows = numbered.select("page_id", "url", "payload", "digest", *ids, F.when(repeats, F.col("last_id")).alias("refers_to"), F.when(repeats, F.col("last.page_id")).alias("refers_page"))
 
+    def row(captures: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(captures)[:-1]], pa.binary())], names=["members"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for b in batches:
-            out = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 page_id, url, payload, digest, response, request, metadata, refers_to, refers_page = r
                 fields = {k: str(v) for k, v in (("page-id", page_id), ("refers-to-page-id", refers_page)) if v is not None}
-                out.append(capture_records(url, _grow(payload), digest, (response, request, metadata), refers_to, fields, date)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["members"])
+                out.append(capture_records(url, _grow(payload), digest, (response, request, metadata), refers_to, fields, date))
+                held += len(out[-1])
+                if held >= row_bytes:
+                    yield row(out)
+                    out, held = [], 0
+        if out:
+            yield row(out)
 
-    rows.mapInArrow(run, "members binary").select(F.col("members").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", pages_per_file).text(path)
+    rows.mapInArrow(run, "members binary").select(F.col("members").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -162,7 +170,8 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
     """RECORD rows of all archives below path (*.warc, *.warc.gz and *.txt, which write_captures makes), file by file; types: only those records.
     Without an archive there it fails.
 
-    blocks: plain, packed (by zstandard) or other (plain, and none for primary records). Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1."""
+    blocks: plain, packed (by zstandard) or other (plain, and none for primary records). Header names are in lower case; payload-sha1, in hexadecimal, is added where the payload digest is a SHA-1, and http-header-bytes to
+    primary records: where the payload begins in the block, 0 without a blank line. A record without an id goes by its file and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +187,9 @@ def read_records(spark: SparkSession, path: str, types: tuple[str, ...] | None =
                     algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
                     if algorithm.lower() == "sha1" and len(digest) == 32:
                         headers["payload-sha1"] = base64.b32decode(digest.upper()).hex()
-                    found.append((file, place, kind, headers.get("warc-record-id"), [v for k, v in fields if k == "warc-concurrent-to"], list(headers.items()), _shrink(block) if blocks == "packed" else block if blocks == "plain" or kind not in PRIMARY else None))
+                    if kind in PRIMARY:  # looked for in the whole block, here where that is cheap
+                        headers["http-header-bytes"] = str(end + 4 if (end := block.find(b"\r\n\r\n")) >= 0 else 0)
+                    found.append((file, place, kind, headers.get("warc-record-id") or f"<{file}#{place}>", [v for k, v in fields if k == "warc-concurrent-to"], list(headers.items()), _shrink(block) if blocks == "packed" else block if blocks == "plain" or kind not in PRIMARY else None))
                     held += len(block)
                     if held > 4 << 20 or len(found) >= 2000:
                         yield _batch(found)
@@ -248,17 +259,17 @@ def _by_id(a: Column, b: Column) -> Column:
     return F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)
 
 
-def http_header_bytes(block: Column) -> Column:
-    """How many bytes the HTTP header of a block has, its blank line included; they are looked for in the first 64 KiB."""
-    return F.locate("\r\n\r\n", F.decode(F.substring(block, 1, 65536), "ISO-8859-1")) + 3
+def http_header_bytes(headers: Column) -> Column:
+    """How many bytes the HTTP header of a primary record's block has, its blank line included."""
+    return F.coalesce(headers["http-header-bytes"].cast("int"), F.lit(0))
 
 
-def http_body(block: Column) -> Column:
-    """What follows the HTTP header in a block."""
-    return F.substring(block, http_header_bytes(block) + 1, F.octet_length(block))
+def http_body(record: Column) -> Column:
+    """What follows the HTTP header in a record's block."""
+    return F.substring(record["block"], http_header_bytes(record["headers"]) + 1, F.octet_length(record["block"]))
 
 
 def field(block: Column, name: str) -> Column:
     """A field of an application/warc-fields block or of an HTTP header; null if it isn't there."""
-    found = F.regexp_extract(F.decode(F.substring(block, 1, 65536), "ISO-8859-1"), rf"(?mi)^{re.escape(name)}:[ \t]*([^\r\n]*)", 1)
+    found = F.regexp_extract(F.decode(block, "ISO-8859-1"), rf"(?mi)^{re.escape(name)}:[ \t]*([^\r\n]*)", 1)
     return F.when(found != "", found)

@@ -180,3 +180,31 @@ def test_neighbours_vote(spark, sf_dir):
     assert all(0 <= r._score <= 1 for r in quality_knn.score(odd, model).collect())
     assert quality_knn.keep_good(odd, labels.limit(0), docs).count() == 4  # without labels all score 0.5
     assert quality_knn.keep_good(odd.limit(0), labels, docs).columns == odd.columns
+
+
+def test_votes_equal_brute_force(spark):
+    """Cosines and votes one by one, in the space that an SVD of the same weighted counts gives."""
+    rng = np.random.default_rng(1)
+    counts = np.abs(rng.normal(size=(60, quality_knn.TERMS))).astype(np.float32) * (rng.random((60, quality_knn.TERMS)) < 0.05)
+    labels, weights = (np.arange(60) % 3 == 0).astype(float), np.where(np.arange(60) % 2, 1.0, 2.0)
+    counts[7] = counts[8]  # a tie
+    model = quality_knn.fit(counts, labels, weights, dims=10, k=5)
+    asked = np.vstack([counts[:4], np.abs(rng.normal(size=(6, quality_knn.TERMS))).astype(np.float32)])
+    x = counts * model.idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, _, vt = np.linalg.svd(x.astype(np.float64), full_matrices=False)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    ours, theirs = unit(model.project(counts)), unit(x @ vt[:10].T)
+    assert np.allclose(ours @ ours.T, theirs @ theirs.T, atol=1e-3), "the same space but for a rotation"
+    for row, got in zip(asked, model.scores(asked), strict=True):
+        q = model.project(row[None])[0]
+        sims = model.vectors @ q
+        least = sorted(sims)[-5]
+        near = [i for i in range(60) if sims[i] >= least]
+        votes = [max(0.0, float(sims[i])) ** 8 * weights[i] for i in near]
+        assert got == pytest.approx(sum(v * labels[i] for v, i in zip(votes, near, strict=True)) / sum(votes), abs=1e-4)
+
+
+def test_held_out_is_boolean(spark):
+    rows = spark.createDataFrame([(None,), (1,)], "doc_id long").select(quality_knn.held_out().alias("h")).collect()
+    assert all(isinstance(r.h, bool) for r in rows)

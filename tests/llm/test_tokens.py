@@ -99,6 +99,31 @@ def test_packing(spark, docs, library, limits):
         assert sum(r.length for r in some) <= limits.tokens and len(some) <= limits.segments and sum(r.loss_tokens for r in some) <= limits.loss_tokens
 
 
+@pytest.mark.parametrize("limits", [packing.Limits(64, 1000, 1000, 1), packing.Limits(100_000, 2, 100_000, 1), packing.Limits(100_000, 1000, 20, 1)])
+def test_each_limit_binds_alone(spark, docs, limits):
+    rows = packing.pack_documents(docs.coalesce(1), PATH, 1, limits, lead_share=0.5).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    used = [(sum(r.length for r in x), len(x), sum(r.loss_tokens for r in x)) for x in by.values()]
+    allowed = (limits.tokens, limits.segments, limits.loss_tokens)
+    assert all(u <= a for one in used for u, a in zip(one, allowed, strict=True))
+    tight = min(range(3), key=lambda i: allowed[i])
+    assert max(one[tight] for one in used) == allowed[tight]
+    whole = {(r.doc_id, r.doc_tokens) for r in rows}
+    assert all(sum(r.loss_tokens for r in rows if (r.doc_id, r.doc_tokens) == k) % (k[1] - k[1] // 2) == 0 for k in whole)
+
+
+def test_dictionary_at_any_size_and_narrow_ids(spark, docs, tmp_path):
+    few = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 97}" for j in range(300))) for i in range(40)], "doc_id long, text string")
+    dictionary = token_binary.write_tokens(few, str(tmp_path / "a"), PATH)
+    assert dictionary[:4] == b"\x37\xa4\x30\xec", "a trained dictionary, not raw ids"
+    long = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 97}" for j in range(9000))) for i in range(40)], "doc_id long, text string")
+    assert token_binary.write_tokens(long, str(tmp_path / "b"), PATH)[:4] == b"\x37\xa4\x30\xec"
+    with pytest.raises(ValueError, match="fit"):
+        token_binary.write_tokens(docs, str(tmp_path / "c"), PATH, width=1)
+
+
 def test_packing_is_tight(spark, sf_dir):
     rows = packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1), PATH).select("sequence_id", "length").toPandas()
     assert rows.length.sum() / (2048 * rows.sequence_id.nunique()) > 0.99

@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import queries, warc
 
@@ -60,6 +61,22 @@ def test_empty_table(spark, tmp_path):
     assert run(spark, spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path)) == []
 
 
+def test_headers_beyond_64_kib_and_records_without_ids(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-%d: %s\r\n" % (i, b"y" * 1000) for i in range(90)) + b"\r\n"
+    about = b"".join(b"a-%d: %s\r\n" % (i, b"z" * 1000) for i in range(90)) + b"page-id: 77\r\n"
+    data = records(("response", "<r1>", [], head + b"body\r\n\r\nx"), ("metadata", "<m>", ["<r1>"], about), ("request", "", ["<r1>"], b"GET"))
+    (tmp_path / "a.warc").write_bytes(data.replace(b"WARC-Record-ID: \r\n", b""))
+    (row,) = warc.assemble(spark, str(tmp_path)).select(warc.http_body(F.col("record")).alias("body"), warc.field(F.col("metadata")[0]["block"], "page-id").alias("page"), "requests").collect()
+    assert bytes(row.body) == b"body\r\n\r\nx" and row.page == "77" and bytes(row.requests[0].block) == b"GET"
+
+
+def test_files_are_rolled_by_bytes(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id AS string), 512), 20) AS html").coalesce(1)
+    warc.write_captures(pages, str(tmp_path / "w"), row_bytes=4000, rows_per_file=2)
+    assert len(list((tmp_path / "w").glob("part-*"))) > 3
+    assert warc.assemble(spark, str(tmp_path / "w")).count() == 40
+
+
 def test_ordinary_archives_are_read(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         warc.assemble(spark, str(tmp_path))
