@@ -21,23 +21,33 @@ IMAGE_WORDS = ("hình", "ảnh", "biểu đồ", "chart", "figure", "graph", "di
 ENGLISH_MARKERS = ("speak", "english", "hello", "world", "the", "and", "is", "are", "this", "that", "with", "for")
 SEPARATORS = ("\n\n\n", "\n\n", "\n", "。", "．", "！", "？", "；", ".", "!", "?", ";", ":", " ", "")
 PUNCTUATION_TOKENS = ".,!?;:()[]{}\"'"
+# fixed values
 VI_WORDS = (
-    "tôi bạn anh chị em mình ta họ ai gì là có được làm đi đến về xin chào tốt đẹp lớn nhỏ mới cũ "
-    "và với từ để trong ngoài ạ ơi nhé rồi đã chưa lý viên công ty trợ giúp"
-).split()
+    "tôi", "bạn", "anh", "chị", "em", "mình", "ta", "họ", "ai", "gì", "là", "có", "được", "làm", "đi", "đến", "về", "xin", "chào", "tốt", "đẹp",
+    "lớn", "nhỏ", "mới", "cũ", "và", "với", "từ", "để", "trong", "ngoài", "ạ", "ơi", "nhé", "rồi", "đã", "chưa", "lý", "viên", "công", "ty", "trợ",
+    "giúp",
+)
 VI_ABBREVIATIONS = ("ai", "it", "hr", "ceo")
+# fixed values
 VI_STOPWORDS = (
-    "và của cho được với các có trong đã những này về như là để theo tại từ không còn bị khi sẽ nhiều phải vì trên dưới nếu cần "
-    "bởi lúc họ tôi anh chị nó một hai ba bốn năm sáu bảy tám chín mười"
-).split()
-# A common list of English function words.
+    "và", "của", "cho", "được", "với", "các", "có", "trong", "đã", "những", "này", "về", "như", "là", "để", "theo", "tại", "từ", "không", "còn", "bị",
+    "khi", "sẽ", "nhiều", "phải", "vì", "trên", "dưới", "nếu", "cần", "bởi", "lúc", "họ", "tôi", "anh", "chị", "nó", "một", "hai", "ba", "bốn", "năm",
+    "sáu", "bảy", "tám", "chín", "mười",
+)
+# fixed values: the English stop words of a well-known natural-language toolkit
 EN_STOPWORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they "
-    "them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did "
-    "doing a an the and but if or because as until while of at by for with about against between into through during before after above "
-    "below to from up down in out on off over under again further then once here there when where why how all any both each few more most "
-    "other some such no nor not only own same so than too very s t can will just don should now"
-).split()
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers", "herself", "it", "it's", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as",
+    "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above",
+    "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same",
+    "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now", "d", "ll", "m", "o", "re", "ve", "y",
+    "ain", "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't",
+    "isn", "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't",
+    "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
+)
 ALLOWED_EXTENSIONS = (".pdf", ".docx", ".txt", ".md", ".csv", ".html", ".htm")
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 RECORD_TYPES = ("BloodGlucose", "BloodPressure")
@@ -57,3 +67,4 @@ HISTORY_ROLES = {"user": "Người dùng", "assistant": "Trợ lý"}
 TEMPLATE_ROLES = {"user": "User", "assistant": "Assistant"}
 APOLOGY = {"vi": "Xin lỗi, tôi không thể tạo phản hồi phù hợp cho câu hỏi này.", "en": "Sorry, I couldn't generate an appropriate response for this question."}
 NO_CONTEXT, NO_NOTE = "Không rõ", "Không có ghi chú."
+FAILURE = {"vi": "Xin lỗi, tôi gặp sự cố khi tạo phản hồi. Vui lòng thử lại sau.", "en": "Sorry, I encountered an issue generating a response. Please try again later."}

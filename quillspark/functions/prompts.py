@@ -66,21 +66,26 @@ def _or(value: Column, other: str) -> Column:
 
 
 def care_plan_error(r: dict[str, Column]) -> Column:
-    """The first rule that a care-plan request breaks, or null."""
+    """The first rule that a care-plan request breaks, or null; a missing value breaks its rule."""
+    fails = lambda ok: ~F.coalesce(ok, F.lit(False))
     return (
-        F.when(~r["age"].between(1, 120), "age must be from 1 to 120")
-        .when(~r["bmi"].between(10.0, 50.0), "bmi must be from 10.0 to 50.0")
-        .when(~F.lower(r["gender"]).isin("nam", "nữ", "khác"), "unknown gender")
-        .when(~F.lower(r["diabetesType"]).isin("type 1", "type 2", "gestational"), "unknown diabetes type")
+        F.when(fails(r["age"].between(1, 120)), "age must be from 1 to 120")
+        .when(fails(r["bmi"].between(10.0, 50.0)), "bmi must be from 10.0 to 50.0")
+        .when(fails(F.lower(r["gender"]).isin("nam", "nữ", "khác")), "unknown gender")
+        .when(fails(F.lower(r["diabetesType"]).isin("type 1", "type 2", "gestational")), "unknown diabetes type")
     )
 
 
+CARE_PLAN_HEAD = (
+    f"Recommend measurements for a person with diabetes. Answer with a JSON array only, of objects with recordType ({', '.join(K.RECORD_TYPES)}), period ({', '.join(K.PERIODS)}), "
+    "subtype or null, and a clinical reason in Vietnamese of at most 150 words.\n\nProfile:\n"
+)
+
+
 def care_plan_prompt(r: dict[str, Column]) -> Column:
     """What to measure, when and why, for one patient; the answer is to be a JSON array of recordType, period, subtype, reason."""
-    periods, types = ", ".join(K.PERIODS), ", ".join(K.RECORD_TYPES)
-    head = f"Recommend measurements for a person with diabetes. Answer with a JSON array only, of objects with recordType ({types}), period ({periods}), subtype or null, and a clinical reason in Vietnamese of at most 150 words.\n\nProfile:\n"
     fields = [("ID", r["patientId"]), ("Age", r["age"].cast("string")), ("Gender", r["gender"]), ("BMI", r["bmi"].cast("string")), ("Diabetes type", r["diabetesType"]), ("Insulin schedule", r["insulinSchedule"]), ("Treatment method", r["treatmentMethod"]), ("Complications", F.array_join(r["complications"], ", ")), ("Past diseases", _or(F.array_join(r["pastDiseases"], ", "), "None")), ("Lifestyle", r["lifestyle"])]
-    return F.concat(F.lit(head), F.concat_ws("\n", *[F.concat(F.lit(f"- {k}: "), F.coalesce(v, F.lit(""))) for k, v in fields]))
+    return F.concat(F.lit(CARE_PLAN_HEAD), F.concat_ws("\n", *[F.concat(F.lit(f"- {k}: "), F.coalesce(v, F.lit(""))) for k, v in fields]))
 
 
 def care_plan_row_error(record_type: Column, period: Column, subtype: Column, reason: Column) -> Column:

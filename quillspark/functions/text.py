@@ -3,13 +3,40 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import constants as K
 
-_ANY_LETTER = f"[a-zA-Z{K.VI_LETTERS}]"
+
+def _char_class(chars: set[str]) -> str:
+    """A character class with neighbours as ranges: each range costs a comparison for each character that isn't in the class."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
+# the first range sorts out nearly all characters of other texts with one comparison
+_MARKED = "(?=[À-ỹ])" + _char_class({x for c in K.VI_LETTERS for x in (c.lower(), c.upper())})
+_MARKED_AS_IS = "(?=[À-ỹ])" + _char_class(set(K.VI_LETTERS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row: Spark shares nothing over the branches of a CASE or within a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _how_many(text: Column, pattern: str) -> Column:
+    """Characters in matches of pattern+. Nothing is made of each match, as regexp_count does."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))).cast("long")
 
 
 def literal(text: str) -> Column:
@@ -41,56 +68,69 @@ def clean(text: Column) -> Column:
 
 
 def has_vietnamese(text: Column) -> Column:
-    return text.rlike(f"(?iu)[{K.VI_LETTERS}]")
+    return text.rlike(_MARKED)
 
 
 def vietnamese_letters(text: Column) -> Column:
     """Case doesn't count here, as it does in letters()."""
-    return F.regexp_count(text, F.lit(f"(?iu)[{K.VI_LETTERS}]")).cast("long")
+    return _how_many(text, _MARKED)
+
+
+def ascii_letters(text: Column) -> Column:
+    return _how_many(text, "[a-zA-Z]")
 
 
 def letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_ANY_LETTER)).cast("long")
+    return ascii_letters(text) + _how_many(text, _MARKED_AS_IS)
+
+
+def _letter_counts(text: Column) -> Column:
+    """struct of ascii, letters and marked ones."""
+    return let(ascii_letters(text), lambda n: F.struct(n.alias("ascii"), (n + _how_many(text, _MARKED_AS_IS)).alias("letters"), vietnamese_letters(text).alias("marked")))
+
+
+def _vietnamese_score(text: Column, counts: Column, words: tuple[str, ...] | list[str], abbreviations: tuple[str, ...]) -> Column:
+    def of(found: Column) -> Column:
+        n = F.size(found)
+        known = F.size(F.filter(found, lambda w: w.isin(*words)))
+        short = F.size(F.filter(found, lambda w: w.isin(*[a for a in abbreviations if a not in words])))
+        word_score = (known + F.when(n > 2, 0.5 * short).otherwise(0.0)) / n
+        char_score = F.when(counts["letters"] > 0, counts["marked"] / counts["letters"]).otherwise(0.0)
+        return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), word_score * 0.7 + char_score * 0.3))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1), of)
 
 
 def vietnamese_score(text: Column, words: tuple[str, ...] | list[str] = K.VI_WORDS, abbreviations: tuple[str, ...] = K.VI_ABBREVIATIONS) -> Column:
     """0 to 1: 70 % the share of known words (abbreviations count half, with over two words), 30 % the share of marked letters."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
-    known = F.size(F.filter(found, lambda w: w.isin(*words)))
-    short = F.size(F.filter(found, lambda w: w.isin(*[a for a in abbreviations if a not in words])))
-    n = F.size(found)
-    word_score = (known + F.when(n > 2, 0.5 * short).otherwise(0.0)) / n
-    all_letters = letters(text)
-    char_score = F.when(all_letters > 0, vietnamese_letters(text) / all_letters).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), word_score * 0.7 + char_score * 0.3))
+    return let(_letter_counts(text), lambda c: _vietnamese_score(text, c, words, abbreviations))
 
 
-def document_language(text: Column) -> Column:
-    """vi, en, mixed or unknown."""
-    all_letters, words = letters(text), count_words(text)
+def _document_language(text: Column, counts: Column, words: Column, score: Column) -> Column:
     markers = F.regexp_count(F.lower(text), F.lit(rf"(?U)\b({'|'.join(K.ENGLISH_MARKERS)})\b"))
-    marked = has_vietnamese(text)
+    marked = counts["marked"] > 0
     return (
-        F.when(text.isNull() | (words == 0) | (all_letters == 0), "unknown")
+        F.when(text.isNull() | (words == 0) | (counts["letters"] == 0), "unknown")
         .when(marked & (markers / words > 0.2), "mixed")
-        .when(marked & (vietnamese_score(text) > 0.1), "vi")
-        .when((F.regexp_count(text, F.lit("[a-zA-Z]")) / all_letters > 0.9) & ~marked, "en")
+        .when(marked & (score > 0.1), "vi")
+        .when((counts["ascii"] / counts["letters"] > 0.9) & ~marked, "en")
         .otherwise("unknown")
     )
 
 
+def document_language(text: Column) -> Column:
+    """vi, en, mixed or unknown."""
+    known = F.struct(_letter_counts(text).alias("c"), count_words(text).alias("words"))
+    return let(known, lambda k: _document_language(text, k["c"], k["words"], _vietnamese_score(text, k["c"], K.VI_WORDS, K.VI_ABBREVIATIONS)))
+
+
 def looks_like_table(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    rows = F.size(F.filter(lines, lambda x: x.rlike(r"(?U)\s{2,}|\t|[|]")))
-    return (F.size(lines) >= 2) & (rows >= F.size(lines) * 0.5)
+    rows = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(r"(?U)\s{2,}|\t|[|]")))
+    return let(F.split(text, "\n", -1), lambda lines: (F.size(lines) >= 2) & (rows(lines) >= F.size(lines) * 0.5))
 
 
 def mentions_image(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for w in K.IMAGE_WORDS:
-        out = out | F.contains(low, F.lit(w))
-    return out
+    return F.lower(text).rlike("|".join(map(re.escape, K.IMAGE_WORDS)))
 
 
 def is_title(text: Column) -> Column:
@@ -103,12 +143,12 @@ def is_upper(text: Column) -> Column:
 
 
 def looks_like_header(text: Column) -> Column:
-    return ~text.rlike(r"(?U)(^|\n)\s*(-|\d+\.|[a-zA-Z]\.)") & (count_words(text) <= 15) & (is_upper(text) | is_title(text))
+    return (count_words(text) <= 15) & ~text.rlike(r"(?U)(^|\n)\s*(-|\d+\.|[a-zA-Z]\.)") & (is_upper(text) | is_title(text))
 
 
 def looks_like_list(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    return F.size(F.filter(lines, lambda x: strip(x).rlike(r"(?U)\A(-|\d+\.|[a-zA-Z]\.)"))) >= F.size(lines) * 0.5
+    items = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(r"(?U)\A\s*(-|\d+\.|[a-zA-Z]\.)")))
+    return let(F.split(text, "\n", -1), lambda lines: items(lines) >= F.size(lines) * 0.5)
 
 
 def content_type(text: Column) -> Column:
@@ -116,31 +156,45 @@ def content_type(text: Column) -> Column:
     return F.when(looks_like_table(text), "table").when(mentions_image(text), "image").when(looks_like_header(text), "header").when(looks_like_list(text), "list").otherwise("text")
 
 
-def document_metadata(text: Column) -> dict[str, Column]:
-    language = document_language(text)
-    return {"length": F.length(text).cast("long"), "words": count_words(text), "content_type": content_type(text), "language": language, "detected": language, "score": vietnamese_score(text)}
+def document_metadata(text: Column) -> Column:
+    """struct of length, words, content_type, language, detected (the same) and score (Vietnamese); everything is counted once."""
+    known = F.struct(_letter_counts(text).alias("c"), count_words(text).alias("words"))
+
+    def of(k: Column) -> Column:
+        score = _vietnamese_score(text, k["c"], K.VI_WORDS, K.VI_ABBREVIATIONS)
+        rated = let(score, lambda s: F.struct(_document_language(text, k["c"], k["words"], s).alias("language"), s.alias("score")))
+        return let(rated, lambda r: F.struct(F.length(text).cast("long").alias("length"), k["words"].alias("words"), content_type(text).alias("content_type"), r["language"].alias("language"), r["language"].alias("detected"), r["score"].alias("score")))
+
+    return let(known, of)
+
+
+def with_document_metadata(rows: DataFrame, text: str = "page_content") -> DataFrame:
+    """rows with the fields of document_metadata() as columns."""
+    return rows.withColumn("_about", document_metadata(F.col(text))).select(*rows.columns, "_about.*")
 
 
 def chunk_language(text: Column) -> Column:
     """struct of language (vietnamese, mixed, english, unknown), vietnamese_ratio and confidence."""
-    all_letters = letters(text)
-    ratio = F.when(all_letters == 0, 0.0).otherwise(vietnamese_letters(text) / all_letters)
-    language = F.when(all_letters == 0, "unknown").when(ratio > 0.20, "vietnamese").when(ratio > 0.05, "mixed").otherwise("english")
-    confidence = F.when(all_letters == 0, 0.0).when(ratio > 0.20, F.least(ratio * 2, F.lit(1.0))).when(ratio > 0.05, 0.7).otherwise(1.0 - ratio)
-    return F.struct(language.alias("language"), ratio.alias("vietnamese_ratio"), confidence.alias("confidence"))
+
+    def of(c: Column) -> Column:
+        n = c["letters"]
+        ratio = F.when(n == 0, 0.0).otherwise(c["marked"] / n)
+        language = F.when(n == 0, "unknown").when(ratio > 0.20, "vietnamese").when(ratio > 0.05, "mixed").otherwise("english")
+        confidence = F.when(n == 0, 0.0).when(ratio > 0.20, F.least(ratio * 2, F.lit(1.0))).when(ratio > 0.05, 0.7).otherwise(1.0 - ratio)
+        return F.struct(language.alias("language"), ratio.alias("vietnamese_ratio"), confidence.alias("confidence"))
+
+    return let(_letter_counts(text), of)
 
 
 def estimated_tokens(text: Column) -> Column:
     """Characters by 3 (Vietnamese), 4 (English) or 3.5, rounded down."""
-    n, language = F.length(text), chunk_language(text)["language"]
-    return F.when(language == "vietnamese", F.floor(n / 3)).when(language == "english", F.floor(n / 4)).otherwise(F.floor(n / 3.5)).cast("long")
+    n = F.length(text)
+    by = lambda c: F.when(c["language"] == "vietnamese", F.floor(n / 3)).when(c["language"] == "english", F.floor(n / 4)).otherwise(F.floor(n / 3.5))
+    return let(chunk_language(text), by).cast("long")
 
 
 def _matches(line: Column, patterns: tuple[str, ...], flags: str) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | line.rlike(f"(?{flags}){p}")
-    return out
+    return line.rlike(f"(?{flags})" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def heading_level(line: Column) -> Column:
@@ -153,17 +207,25 @@ def heading_level(line: Column) -> Column:
 
 def structure(text: Column) -> Column:
     """struct of what lines there are and structure_type: code, hierarchical, tabular, complex or simple."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: strip(x) != "")
-    stripped = F.transform(lines, strip)
-    headings = F.size(F.filter(stripped, lambda x: _matches(x, K.HEADING_PATTERNS, "iUu")))
-    has_code = F.exists(stripped, lambda x: _matches(x, tuple(f"^{re.escape(c)}" for c in K.CODE_STARTS), "U"))
-    has_tables = F.exists(lines, lambda x: x.rlike(r"\|[^|]*\|"))
-    paragraphs = F.size(F.filter(stripped, lambda x: F.length(x) > 10))
-    kind = F.when(has_code, "code").when(headings > paragraphs * 0.2, "hierarchical").when(has_tables, "tabular").when((F.length(text) > 5000) & (paragraphs > 10), "complex").otherwise("simple")
-    return F.struct(
-        (headings > 0).alias("has_headings"), F.exists(stripped, lambda x: _matches(x, K.LIST_PATTERNS, "U")).alias("has_lists"), has_tables.alias("has_tables"), has_code.alias("has_code"),
-        paragraphs.cast("long").alias("paragraph_count"), kind.alias("structure_type"), chunk_language(text).alias("language_info"),
-    )
+
+    def lines_of(lines: Column) -> Column:
+        s = F.transform(lines, strip)
+        return let(s, lambda stripped: F.struct(
+            F.size(F.filter(stripped, lambda x: _matches(x, K.HEADING_PATTERNS, "iUu"))).alias("headings"),
+            F.exists(stripped, lambda x: _matches(x, K.LIST_PATTERNS, "U")).alias("lists"),
+            F.exists(lines, lambda x: x.rlike(r"\|[^|]*\|")).alias("tables"),
+            F.exists(stripped, lambda x: _matches(x, tuple(f"^{re.escape(c)}" for c in K.CODE_STARTS), "U")).alias("code"),
+            F.size(F.filter(stripped, lambda x: F.length(x) > 10)).cast("long").alias("paragraphs"),
+        ))
+
+    def of(s: Column) -> Column:
+        kind = F.when(s["code"], "code").when(s["headings"] > s["paragraphs"] * 0.2, "hierarchical").when(s["tables"], "tabular").when((F.length(text) > 5000) & (s["paragraphs"] > 10), "complex").otherwise("simple")
+        return F.struct(
+            (s["headings"] > 0).alias("has_headings"), s["lists"].alias("has_lists"), s["tables"].alias("has_tables"), s["code"].alias("has_code"),
+            s["paragraphs"].alias("paragraph_count"), kind.alias("structure_type"), chunk_language(text).alias("language_info"),
+        )
+
+    return let(let(F.filter(F.split(text, "\n", -1), lambda x: strip(x) != ""), lines_of), of)
 
 
 def headings(text: Column) -> Column:
@@ -226,18 +288,60 @@ def json_array(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def required_json_array(text: Column) -> Column:
+    """json_array(); the query fails where there is none."""
+    return F.coalesce(json_array(text), F.raise_error(F.lit("no JSON array in the response")))
+
+
 def template_variables(template: Column) -> Column:
     """The names in {{...}}, distinct and sorted."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(template, F.lit(r"\{\{([^}]+)\}\}"), 1), strip)))
 
 
-def bm25_tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+#: Text to words, as a column: a word segmenter goes here, see segmenter().
+Segment = Callable[[Column], Column]
 
 
-def chunk_tokens(text: Column) -> Column:
-    """Tokens without stop words: Vietnamese ones keep their case, all others are in lower case."""
-    vi = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: ~F.lower(w).isin(*K.VI_STOPWORDS))
+def segmenter(split: Callable[[str], list[str]]) -> Segment:
+    """A Python word segmenter as a function of columns; it runs on Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(split(t)) if t is not None else None)
+
+    return run
+
+
+def bm25_tokens(text: Column, segment: Segment | None = None) -> Column:
+    """Lower-case runs of letters, digits and underscores.
+
+    segment: cuts texts with a character beyond ASCII instead; its words in lower case, without blank ones and those of punctuation alone."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    if segment is None:
+        return plain
+    only = "[" + re.escape(K.PUNCTUATION_TOKENS) + "]"
+    own = F.filter(F.transform(segment(text), F.lower), lambda w: (strip(w) != "") & ~w.rlike(rf"\A{only}+\z"))
+    return F.when(text.rlike(r"[^\x00-\x80]"), own).otherwise(plain)
+
+
+def chunk_tokens(text: Column, segment: Segment | None = None) -> Column:
+    """Tokens without stop words: Vietnamese ones keep their case, all others are in lower case. segment: cuts Vietnamese texts, else runs of letters do."""
+    cut = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1) if segment is None else F.filter(segment(text), lambda w: strip(w) != "")
+    vi = F.filter(cut, lambda w: ~F.lower(w).isin(*K.VI_STOPWORDS))
     en = F.filter(bm25_tokens(text), lambda w: ~w.isin(*K.EN_STOPWORDS))
     return F.when(chunk_language(text)["language"] == "vietnamese", vi).otherwise(en)
+
+
+def dictionary_union(json: Column, category: str | None = None) -> Column:
+    """The distinct words, sorted, of a dictionary {category: [words]} in JSON: of all categories but "metadata", or of one. What isn't a list is left out."""
+    kinds = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, _: (k != "metadata") if category is None else (k == category))
+    lists = F.transform(F.map_values(kinds), lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.flatten(lists)))
+
+
+def dictionary_words(spark: SparkSession, path: str, category: str | None = None) -> list[str]:
+    """dictionary_union() of a file, for vietnamese_score(words=..., abbreviations=...); without the file the default list. A dictionary is a setting of some hundred words."""
+    try:
+        return spark.read.text(path, wholetext=True).select(dictionary_union(F.col("value"), category).alias("w")).head()["w"]
+    except AnalysisException:
+        return sorted(K.VI_ABBREVIATIONS if category == "abbreviations" else K.VI_WORDS)

@@ -1,10 +1,10 @@
-"""BM25 over an inverted index held in tables."""
+"""BM25 over an inverted index held in tables, for one body of chunks or for many at once (`by`: their columns, such as collection)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,70 +13,108 @@ from quillspark.functions import text as T
 
 @dataclass(frozen=True)
 class Index:
-    """postings: chunk_id, term, tf; stats: chunk_id, dl of every chunk, also those without terms."""
+    """postings: by, chunk_id, term, tf; stats: by, chunk_id, dl of every chunk, also those without terms; terms: term_stats(), where they are stored.
+
+    Chunks of different values of `by` have statistics of their own."""
 
     postings: DataFrame
     stats: DataFrame
+    by: tuple[str, ...] = ()
+    terms: DataFrame | None = None
 
 
-def build(chunks: DataFrame, content: str = "page_content") -> Index:
-    """The index of chunks (chunk_id, content). One shuffle, by chunk and term, after map-side counting."""
-    tokens = T.bm25_tokens(F.coalesce(F.col(content), F.lit("")))
-    stats = chunks.select("chunk_id", F.size(tokens).cast("long").alias("dl"))
-    postings = chunks.select("chunk_id", F.explode(tokens).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return Index(postings, stats)
+def build(chunks: DataFrame, content: str = "page_content", by: tuple[str, ...] = (), segment: T.Segment | None = None) -> Index:
+    """The index of chunks (by, chunk_id, content). One shuffle, by chunk and term, after map-side counting."""
+    tokens = T.bm25_tokens(F.coalesce(F.col(content), F.lit("")), segment)
+    stats = chunks.select(*by, "chunk_id", F.size(tokens).cast("long").alias("dl"))
+    postings = chunks.select(*by, "chunk_id", F.explode(tokens).alias("term")).groupBy(*by, "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return Index(postings, stats, tuple(by))
 
 
 def append(index: Index, chunks: DataFrame, content: str = "page_content") -> Index:
-    """The index with the chunks it doesn't have yet."""
-    new = build(chunks.join(index.stats, "chunk_id", "left_anti"), content)
-    return Index(index.postings.unionByName(new.postings), index.stats.unionByName(new.stats))
+    """The index with the chunks it doesn't have yet. Their text decides nothing about those it has; see update()."""
+    new = build(chunks.join(index.stats, [*index.by, "chunk_id"], "left_anti"), content, index.by)
+    return Index(index.postings.unionByName(new.postings), index.stats.unionByName(new.stats), index.by)
 
 
-def term_stats(index: Index) -> DataFrame:
-    """term, df and idf; where idf is negative (terms of over half of all chunks) it is a quarter of the mean idf."""
-    n = index.stats.agg(F.count("*").alias("n"))
-    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n: one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def update(index: Index, chunks: DataFrame, content: str = "page_content") -> Index:
+    """The index with the chunks as they are now: those that it has are taken out first."""
+    keys = [*index.by, "chunk_id"]
+    ids, new = chunks.select(*keys), build(chunks, content, index.by)
+    return Index(index.postings.join(ids, keys, "left_anti").unionByName(new.postings), index.stats.join(ids, keys, "left_anti").unionByName(new.stats), index.by)
+
+
+def save(index: Index, path: str) -> None:
+    """Writes the index, postings sorted by term: a search reads only the row groups that have its terms."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    index.stats.write.parquet(f"{path}/stats")
+    stored = replace(index, postings=index.postings.sparkSession.read.parquet(f"{path}/postings"), stats=index.stats.sparkSession.read.parquet(f"{path}/stats"), terms=None)
+    term_stats(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
 
-def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, raw of every chunk that shares a term with a query (query_id, query_text); repeated terms count repeatedly.
+def load(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats")), tuple(by), spark.read.parquet(f"{path}/terms"))
 
-    Queries meet postings by an equi-join on the term."""
+
+def _with(rows: DataFrame, few: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """few: one row for each value of by, or a single one."""
+    return rows.join(few, list(by)) if by else rows.crossJoin(F.broadcast(few))
+
+
+def term_stats(index: Index) -> DataFrame:
+    """by, term, df and idf; where idf is negative (terms of over half of all chunks) it is a quarter of the mean idf."""
+    if index.terms is not None:
+        return index.terms
+    by = index.by
+    n = index.stats.groupBy(*by).agg(F.count("*").alias("n"))
+    df = index.postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    raw = _with(df, n, by).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean"))
+    return _with(raw, mean, by).select(*by, "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int = 1000) -> DataFrame:
+    """query_id, by, chunk_id, raw of every chunk that shares a term with a query (query_id, query_text); repeated terms count repeatedly.
+
+    Queries meet postings by an equi-join on the term. In a stored index the terms, if there are at most most_terms, are pushed to the scan."""
+    by = index.by
     asked = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    means = F.broadcast(index.stats.agg(F.avg("dl").alias("avgdl")))  # one row
-    hits = index.postings.join(asked, "term").join(term_stats(index).select("term", "idf"), "term").join(index.stats, "chunk_id").crossJoin(means)
+    postings, terms = index.postings, term_stats(index)
+    if index.terms is not None:
+        some = [r[0] for r in asked.select("term").distinct().limit(most_terms + 1).collect()]
+        if len(some) <= most_terms:
+            postings, terms = (t.where(F.col("term").isin(some)) for t in (postings, terms))
+    means = index.stats.groupBy(*by).agg(F.avg("dl").alias("avgdl"))
+    hits = _with(postings.join(asked, "term").join(terms.select(*by, "term", "idf"), [*by, "term"]).join(index.stats, [*by, "chunk_id"]), means, by)
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw"))
+    return hits.groupBy("query_id", *by, "chunk_id").agg(F.sum(part).alias("raw"))
 
 
 def normalised(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, constant_is_one: bool = False) -> DataFrame:
-    """Scores brought to 0..1 per query by smallest and largest over all chunks, those that share no term (0) included.
+    """Scores brought to 0..1 per query (and by) by smallest and largest over all chunks, those that share no term (0) included.
 
     Where all are equal they stay as they are, or are 1. Chunks that share no term are in the result only if their score isn't the smallest possible."""
+    by = index.by
     raw = scores(index, queries, k1, b)
-    n = F.broadcast(index.stats.agg(F.count("*").alias("n")))  # one row
-    ends = raw.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).crossJoin(n)
+    n = index.stats.groupBy(*by).agg(F.count("*").alias("n"))
+    ends = _with(raw.groupBy("query_id", *by).agg(F.count("*").alias("hits"), F.min("raw").alias("lo"), F.max("raw").alias("hi")), n, by)
     silent = F.col("hits") < F.col("n")
-    ends = ends.select("query_id", F.when(silent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(silent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
+    ends = ends.select("query_id", *by, F.when(silent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(silent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
     equal = F.lit(1.0) if constant_is_one else F.col("raw")
-    return raw.join(ends, "query_id").select("query_id", "chunk_id", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(equal).alias("score"))
+    return raw.join(ends, ["query_id", *by]).select("query_id", *by, "chunk_id", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(equal).alias("score"))
 
 
-def top_k(scored: DataFrame, k: int = 10, threshold: float | None = None, keep: DataFrame | None = None, threshold_after: bool = False, score: str = "score") -> DataFrame:
-    """The k best rows per query_id with their rank; ties go to the smaller chunk_id.
+def top_k(scored: DataFrame, k: int = 10, threshold: float | None = None, keep: DataFrame | None = None, threshold_after: bool = False, score: str = "score", by: tuple[str, ...] = (), last_of_ties: bool = False) -> DataFrame:
+    """The k best rows per query_id (and by) with their rank; ties go to the smaller chunk_id, or to the larger with last_of_ties.
 
-    threshold: the least score, before the cut or after it. keep: chunk_ids that may be returned; they are applied after
+    threshold: the least score, before the cut or after it. keep: chunk_ids (with by) that may be returned; they are applied after
     the scores are normalised, so that statistics don't depend on them."""
     rows = scored
     if threshold is not None and not threshold_after:
         rows = rows.where(F.col(score) >= threshold)
     if keep is not None:
-        rows = rows.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    best = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "chunk_id")
+        rows = rows.join(keep.select(*by, "chunk_id").distinct(), [*by, "chunk_id"], "left_semi")
+    best = Window.partitionBy("query_id", *by).orderBy(F.round(score, 9).desc(), F.col("chunk_id").desc() if last_of_ties else F.col("chunk_id"))
     rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return rows.where(F.col(score) >= threshold) if threshold is not None and threshold_after else rows
 

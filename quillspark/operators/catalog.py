@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,110 +13,270 @@ from quillspark.functions import text as T
 from quillspark.operators.bm25 import equals
 
 
+@dataclass
+class Store:
+    """Objects by key below a path, on any file system that Spark knows."""
+
+    spark: SparkSession
+    root: str
+
+    def _at(self, key: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}" if key else self.root)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def put(self, key: str, data: bytes) -> str:
+        """Writes an object, in place of one that is there; the folder is made if need be. The path."""
+        fs, p = self._at(key)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        return p.toString()
+
+    def get(self, key: str) -> bytes | None:
+        fs, p = self._at(key)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def remove(self, key: str) -> bool:
+        fs, p = self._at(key)
+        return fs.delete(p, True)
+
+    def names(self, key: str = "") -> list[str]:
+        fs, p = self._at(key)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def claim(self, key: str) -> bool:
+        """Whether the object is made by this call: of several writers one only is told so."""
+        fs, p = self._at(key)
+        fs.mkdirs(p.getParent())
+        try:
+            fs.create(p, False).close()
+            return True
+        except Exception:  # noqa: BLE001  the file system's own kind of "it is there"
+            if fs.exists(p):
+                return False
+            raise
+
+    def has(self, key: str) -> bool:
+        fs, p = self._at(key)
+        return fs.exists(p)
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster, or broke off; see Versions.forget_claims()."""
+
+
+@dataclass
+class Versions:
+    """Folders 0, 1, ... below a path, of which the last that is whole counts. A writer claims the next number first, so that of two
+    writers who read the same version one gets a Conflict. Two old versions stay for readers that are at them."""
+
+    store: Store
+
+    def _numbers(self, suffix: str) -> list[int]:
+        return sorted(int(n.removesuffix(suffix)) for n in self.store.names() if n.endswith(suffix) and n.removesuffix(suffix).isdigit())
+
+    def last(self) -> int | None:
+        whole = [n for n in self._numbers(".done")]
+        return whole[-1] if whole else None
+
+    def path(self, n: int) -> str:
+        return f"{self.store.root}/{n:012d}"
+
+    def write(self, base: int | None, df: DataFrame, single: bool = False) -> None:
+        n = 0 if base is None else base + 1
+        if not self.store.claim(f"{n:012d}.claim"):
+            raise Conflict(f"version {n} of {self.store.root} is being written")
+        (df.coalesce(1) if single else df).write.mode("overwrite").parquet(self.path(n))
+        self.store.put(f"{n:012d}.done", b"")
+        for old in self._numbers(".done")[:-3]:
+            for name in (f"{old:012d}.done", f"{old:012d}.claim", f"{old:012d}"):
+                self.store.remove(name)
+
+    def forget_claims(self) -> None:
+        """Lets others write again after a writer was lost between its claim and the end."""
+        done = set(self._numbers(".done"))
+        for n in self._numbers(".claim"):
+            if n not in done:
+                self.store.remove(f"{n:012d}.claim")
+
+
 @dataclass
 class KeyValueTable:
-    """A small table under a path, replaced as a whole when rows are put or dropped: settings, templates, sessions, catalog rows.
+    """A small table under a path, replaced as a whole when rows are put or dropped: settings, templates, catalog rows.
 
-    Each version is a folder of its own; the newest whole one counts, so a reader never sees half a version."""
+    Readers never see half a version; a writer whose base was replaced meanwhile reads again and tries again."""
 
     spark: SparkSession
     path: str
     schema: str
     key: str
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def __post_init__(self) -> None:
+        self.versions = Versions(Store(self.spark, self.path))
 
-    def _versions(self) -> list[str]:
-        fs, p = self._fs()
-        if not fs.exists(p):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return [n for n in names if fs.exists(done(f"{self.path}/{n}/_SUCCESS"))]
+    def _at(self, version: int | None) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(self.versions.path(version))
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{versions[-1]}")
-
-    def _write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        n = int(versions[-1].split("-")[0]) + 1 if versions else 0
-        df.coalesce(1).write.parquet(f"{self.path}/{n:012d}-{uuid.uuid4().hex[:8]}")
+        return self._at(self.versions.last())
+
+    def _change(self, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> None:
+        for i in range(tries):
+            base = self.versions.last()
+            try:
+                return self.versions.write(base, change(self._at(base)), single=True)
+            except Conflict:
+                if i + 1 == tries:
+                    raise
+                time.sleep(0.2 * 2**i)
 
     def put(self, rows: DataFrame) -> None:
         """Rows by key: new ones are added, known ones replaced."""
-        self._write(self.read().join(rows, self.key, "left_anti").unionByName(rows.select(*self.read().columns)))
+        self._change(lambda old: old.join(rows, self.key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
 
     def patch(self, key: object, **values: object) -> None:
         """Sets the given fields that aren't None."""
-        row = self.read()
-        for k, v in values.items():
-            if v is not None:
-                row = row.withColumn(k, F.when(F.col(self.key) == key, F.lit(v)).otherwise(F.col(k)).cast(row.schema[k].dataType))
-        self._write(row)
+
+        def change(row: DataFrame) -> DataFrame:
+            for k, v in values.items():
+                if v is not None:
+                    row = row.withColumn(k, F.when(F.col(self.key) == key, F.lit(v)).otherwise(F.col(k)).cast(row.schema[k].dataType))
+            return row
+
+        self._change(change)
 
     def get(self, key: object) -> DataFrame:
         return self.read().where(F.col(self.key) == key)
 
     def drop(self, condition: Column) -> None:
-        self._write(self.read().where(~F.coalesce(condition, F.lit(False))))
+        self._change(lambda old: old.where(~F.coalesce(condition, F.lit(False))))
+
+
+#: Fields that searches filter on: rows are sorted by the first ones that there are, and each has a Bloom filter.
+INDEXED = ("source_file", "doc_id", "chunk_id", "embedding_model", "file_extension", "processing_timestamp")
 
 
 @dataclass
 class Collections:
-    """Collections of chunks: Parquet below root/collection=<name>, so that a filter on the name reads no other."""
+    """Collections of chunks: a folder root/collection=<name> with versions of Parquet; a name reads no other collection's files.
+
+    Rows are added to the last version as parts; what replaces or removes rows writes a new version, so a lost writer loses nothing."""
 
     spark: SparkSession
     root: str
 
-    def _path(self, name: str):
+    def _versions(self, name: str) -> Versions:
         if not name or "/" in name or "=" in name:
             raise ValueError(f"bad collection name: {name!r}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/collection={name}")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return Versions(Store(self.spark, f"{self.root}/collection={name}"))
 
     def create(self, name: str, force: bool = False) -> bool:
         """Whether it is new; one that is there stays, or is emptied with force."""
-        p, fs = self._path(name)
-        if fs.exists(p) and not force:
+        store = self._versions(name).store
+        if store.has("") and not force:
             return False
-        fs.delete(p, True)
+        store.remove("")
+        fs, p = store._at()
         return fs.mkdirs(p)
 
     def drop(self, name: str) -> bool:
-        p, fs = self._path(name)
-        return fs.delete(p, True)
+        return self._versions(name).store.remove("")
 
     def names(self) -> list[str]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName().removeprefix("collection=") for s in fs.listStatus(root)) if fs.exists(root) else []
+        return [n.removeprefix("collection=") for n in Store(self.spark, self.root).names() if n.startswith("collection=")]
 
     def missing(self, wanted: list[str]) -> list[str]:
-        return sorted(set(wanted) - set(self.names()))
+        known = self.spark.createDataFrame([(n,) for n in self.names()], "name string")
+        return sorted(r[0] for r in missing(self.spark.createDataFrame([(n,) for n in wanted], "name string"), known).collect())
+
+    def _indexed(self, rows: DataFrame, sort: bool = True):
+        some = [c for c in INDEXED if c in rows.columns]
+        out = (rows.sortWithinPartitions(*some[:2]) if some and sort else rows).write.mode("append")
+        for c in some:
+            if rows.schema[c].dataType.simpleString() in ("string", "int", "bigint"):
+                out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        return out
 
     def add(self, name: str, chunks: DataFrame) -> None:
-        chunks.write.mode("append").parquet(f"{self.root}/collection={name}")
+        """Adds rows as they are; repeated ids are there twice, see put()."""
+        v = self._versions(name)
+        if v.last() is None:
+            v.write(None, chunks.limit(0))
+        self._indexed(chunks).parquet(v.path(v.last()))
+
+    def put(self, name: str, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+        """Rows by id: known ones are replaced, new ones added, of repeated ones one counts. Their ids."""
+        rows, v = chunks.dropDuplicates([key]), self._versions(name)
+        if v.last() is None:
+            self.add(name, rows)
+        else:
+            kept = self.read(name).drop("collection").join(rows.select(key), key, "left_anti")
+            v.write(v.last(), kept.unionByName(rows, allowMissingColumns=True))
+        return self.read(name).join(chunks.select(key).distinct(), key, "left_semi").select(key)
 
     def read(self, *names: str) -> DataFrame:
-        """Known collections among those named, or all of them."""
-        df = self.spark.read.parquet(self.root)
-        return df.where(F.col("collection").isin(*[n for n in names if n in self.names()])) if names else df
+        """Known collections among those named, or all of them, with `collection`."""
+        known, out = self.names(), None
+        for name in [n for n in (dict.fromkeys(names) or known) if n in known]:
+            v = self._versions(name)
+            if v.last() is not None:
+                part = self.spark.read.parquet(v.path(v.last())).withColumn("collection", F.lit(name))
+                out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return self.spark.createDataFrame([], "chunk_id string, collection string") if out is None else out
+
+    def known_ids(self, name: str, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+        """Those of ids that the collection has."""
+        return known(ids, self.read(name), key)
 
     def delete(self, name: str, ids: DataFrame | None = None, conditions: dict[str, object] | None = None) -> bool:
         """Removes chunks by id or by equal fields; without either nothing happens."""
-        if ids is None and not conditions:
-            return True
-        p, fs = self._path(name)
-        new = f"{self.root}/_{uuid.uuid4().hex}"
-        rest = self.spark.read.parquet(f"{self.root}/collection={name}")
-        delete_rows(rest, ids, conditions).write.parquet(new)
-        fs.delete(p, True)
-        return fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(new), p)
+        v = self._versions(name)
+        if (ids is not None or conditions) and v.last() is not None:
+            v.write(v.last(), delete_rows(self.read(name).drop("collection"), ids, conditions))
+        return True
+
+
+def bootstrap(spark: SparkSession, root: str, name: str = "default") -> Collections:
+    """An empty collection to start with; what it held is gone."""
+    c = Collections(spark, root)
+    c.create(name, force=True)
+    return c
+
+
+def missing(wanted: DataFrame, known: DataFrame, key: str = "name") -> DataFrame:
+    """Rows of wanted that known lacks."""
+    return wanted.join(known.select(key).distinct(), key, "left_anti")
+
+
+def known(ids: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Those of ids, each once, that rows have."""
+    return ids.select(key).distinct().join(rows.select(key), key, "left_semi")
+
+
+def file_info(files: DataFrame) -> DataFrame:
+    """What is told about uploaded files (filename, size, content_type): with file_extension, and a content type where none is given."""
+    ext = F.lower(F.regexp_extract(F.coalesce("filename", F.lit("")), r"[^./]+(\.[^.]*)$", 1))
+    return files.select("filename", F.col("size").alias("file_size"), ext.alias("file_extension"), F.when(F.coalesce("content_type", F.lit("")) == "", "application/octet-stream").otherwise(F.col("content_type")).alias("content_type"), F.current_timestamp().alias("upload_time"))
+
+
+def operation_stats(log: DataFrame) -> DataFrame:
+    """One row over a log (operation: index or search, n, seconds): totals, and averages where there were any (else null).
+
+    Statistics begin anew with a log, or with the part of it after some time."""
+    total = lambda op, c: F.coalesce(F.sum(F.when(F.col("operation") == op, F.col(c))), F.lit(0))
+    some = lambda op: F.when(total(op, "n") > 0, total(op, "seconds").cast("double") / total(op, "n"))
+    return log.agg(
+        total("index", "n").alias("total_documents_indexed"), total("index", "seconds").cast("double").alias("total_indexing_time"), total("search", "n").alias("total_searches_performed"),
+        total("search", "seconds").cast("double").alias("total_search_time"), some("search").alias("avg_search_time_per_search"), some("index").alias("avg_indexing_time_per_doc"),
+    )
 
 
 def delete_rows(chunks: DataFrame, ids: DataFrame | None = None, conditions: dict[str, object] | None = None, key: str = "chunk_id") -> DataFrame:

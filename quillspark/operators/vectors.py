@@ -9,8 +9,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
@@ -76,17 +80,77 @@ def search_one(vectors: DataFrame, query: list[float], k: int = 10, threshold: f
     return rows.orderBy(F.round("score", 9).desc(), id_col).limit(k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = DEFAULT_THRESHOLD, most_queries: int = 1000, id_col: str = "chunk_id") -> DataFrame:
-    """query_id, id, score, rank for queries (query_id, query_embedding): a stated set of at most most_queries, scored against all vectors.
-
-    The queries' vectors go along as one broadcast array, so each vector is read once; beyond most_queries an error says so."""
-    asked = queries.select("query_id", "query_embedding").limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise ValueError(f"at most {most_queries} queries at a time; give them in parts")
-    all_queries = F.broadcast(queries.sparkSession.createDataFrame([(asked,)], "qs array<struct<query_id:%s,v:array<double>>>" % dict(queries.dtypes)["query_id"]) if asked else queries.select(F.array(F.struct("query_id", F.col("query_embedding").alias("v"))).alias("qs")))
-    rows = vectors.crossJoin(all_queries).select(id_col, "embedding", F.explode("qs").alias("q"))  # one row on the right
-    rows = rows.select(F.col("q.query_id").alias("query_id"), id_col, cosine(F.col("embedding"), F.col("q.v")).alias("score"))
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), id_col)
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = DEFAULT_THRESHOLD, id_col: str = "chunk_id", by: tuple[str, ...] = (), most_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, by, id, score, rank: the k nearest of all vectors (of each value of by) for each query (query_id, query_embedding).
+
+    Queries of at most most_bytes are broadcast as one matrix, and blocks of vectors are multiplied with it. More queries
+    meet the vectors as a product of tables: the same results without a broadcast. Vectors without length, of another
+    length than the query's or with null in them have no score. Ties go to the smaller id."""
+    long = queries.select("query_id", F.col("query_embedding").cast("array<double>").alias("v"))
+    size = long.agg(F.sum(F.size("v")), F.max(F.size("v")), F.min(F.size("v"))).head()
+    if size[0] is not None and size[0] * 8 <= most_bytes and size[1] == size[2] > 0:
+        scored = _blocked(vectors, long, k, threshold, id_col, by)
+    else:
+        fits = F.size("embedding") == F.size("v")
+        scored = vectors.select(*by, id_col, "embedding").crossJoin(long).select("query_id", *by, id_col, F.when(fits, cosine(F.col("embedding"), F.col("v"))).alias("score"))
+    rows = scored.where("score is not null" if threshold is None else F.col("score") >= threshold)
+    best = Window.partitionBy("query_id", *by).orderBy(F.round("score", 9).desc(), id_col)
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _blocked(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, id_col: str, by: tuple[str, ...]) -> DataFrame:
+    """query_id, by, id, score: of each Arrow batch at least the k best for each query and value of by, ties with the last of them included."""
+    asked = queries.collect()  # at most most_bytes
+    matrix = np.array([r[1] for r in asked], np.float64)
+    matrix[~np.isfinite(matrix).all(axis=1)] = 0  # null in a query: no score
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit, silent = matrix / np.where(norms > 0, norms, 1), norms[:, 0] == 0
+    shared = vectors.sparkSession.sparkContext.broadcast((pa.array([r[0] for r in asked], to_arrow_type(queries.schema["query_id"].dataType)), unit, silent))
+    keys = [queries.schema["query_id"], *[vectors.schema[c] for c in (*by, id_col)]]
+    out = ty.StructType([*keys, ty.StructField("score", ty.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit, silent = shared.value
+        for b in batches:
+            lists = b.column("embedding")
+            fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(lists), unit.shape[1]), False))
+            rows = np.flatnonzero(fits)
+            if not len(rows):
+                continue
+            x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+            norms = np.linalg.norm(x, axis=1)  # NaN where a value is null
+            scores = (x @ unit.T) / np.where(norms > 0, norms, np.nan)[:, None]
+            scores[:, silent] = np.nan
+            groups = _numbers([b.column(c).take(pa.array(rows)) for c in by]) if by else np.zeros(len(rows), np.int64)
+            for g in np.unique(groups):
+                own = np.flatnonzero(groups == g)
+                part = np.nan_to_num(np.round(scores[own], 9), nan=-np.inf)
+                if threshold is not None:
+                    part[part < threshold - 1e-9] = -np.inf
+                least = np.partition(part, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(part.shape[1], -np.inf)
+                hit, q = np.nonzero((part >= least) & (part > -np.inf))
+                if len(hit):
+                    at = pa.array(rows[own[hit]])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *(b.column(c).take(at) for c in (*by, id_col)), pa.array(scores[own[hit], q])], names=[f.name for f in out])
+
+    return vectors.select(*by, id_col, "embedding").mapInArrow(run, out)
+
+
+def _numbers(columns: list[pa.Array]) -> np.ndarray:
+    """A number for each distinct row of values, nulls included."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        codes = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        out = np.unique(out * (codes.max() + 1) + codes, return_inverse=True)[1]
+    return out
+
+
+def embedding_stats(rows: DataFrame, text_col: str = "page_content", batch: int = 16) -> DataFrame:
+    """One row: texts, tokens (words), batches and tokens a text of what embed() takes in."""
+    n = F.count("*")
+    tokens = F.coalesce(F.sum(T.count_words(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0))
+    return rows.agg(n.alias("total_texts_embedded"), tokens.alias("total_tokens_processed"), F.ceil(n / batch).alias("batch_count"), (tokens / F.greatest(n, F.lit(1))).alias("avg_tokens_per_text"))
+
+
+def about(embedder: Embedder, batch: int = 16) -> dict[str, object]:
+    return {"model_name": type(embedder).__name__, "dimension": getattr(embedder, "dimension", None) or 768, "normalize": True, "batch_size": batch}

@@ -10,7 +10,10 @@ from quillspark.functions import llm_calls
 from quillspark.functions import prompts as P
 from quillspark.functions import text as T
 from quillspark.operators import bm25, catalog, chunking, hybrid, vectors
+from quillspark.plans import retrieval
+from quillspark.sources import files
 
+LANGUAGES = ("de", "en", "es", "fr")  # of the test documents; only the SQL needs to know them
 QUERY = "the and thon Heri ation"
 QUERIES_TEXT = ((1, "the and thon Heri ation"), (2, "und das achberach"), (3, "la ciónes que"))
 
@@ -88,18 +91,41 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "rank", "chunk_id", *[F.round(c, 6).alias(c) for c in ("bm25_score", "vector_score", "hybrid_score")])
 
 
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks, with the vector of their number where there is one."""
+    return _chunks(spark, sf_dir).join(_vectors(spark, sf_dir).select("chunk_id", "embedding"), "chunk_id", "left")
+
+
+def _both_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark).join(_vector_queries(spark, sf_dir), "query_id")
+
+
 def hybrid_multi_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, asked, parts = _chunks(spark, sf_dir), _asked(spark), []
-    near = vectors.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 300, None)
-    for name in ("de", "en"):
-        part = chunks.where(F.col("collection") == name)
-        words = bm25.top_k(bm25.normalised(bm25.build(part), asked), 20)
-        own = near.join(part.select("chunk_id"), "chunk_id", "left_semi")
-        parts.append(hybrid.fuse(words, own, threshold=None, top_k=10).withColumn("collection", F.lit(name)))
-    rows = hybrid.over_collections(parts[0].unionByName(parts[1]), {"de": 0.5}, 0.05, 10)
+    rows = retrieval.search(_embedded(spark, sf_dir), _both_queries(spark, sf_dir), 10, {"de": 0.5}, threshold=0.05, vector_threshold=None)
     return rows.select("query_id", "rank", "collection", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _embedded(spark, sf_dir)
+    found = retrieval.search(chunks, _both_queries(spark, sf_dir), 10, {"de": 0.5}, threshold=0.05, vector_threshold=None)
+    rows = retrieval.with_content(found, chunks)
+    return rows.select("query_id", "rank", F.md5("content").alias("content_md5"), F.col("metadata")["source"].alias("source"), F.round("score", 6).alias("score"), "collection_name")
+
+
+def bm25_topk_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut before the threshold, and the last of ties first."""
+    rows = bm25.normalised(bm25.build(_chunks(spark, sf_dir)), _asked(spark), constant_is_one=True)
+    return _ranked(bm25.top_k(rows, 10, threshold=0.3, threshold_after=True, last_of_ties=True))
+
+
+def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of one language, then of all: what was in stays once."""
+    chunks = _chunks(spark, sf_dir)
+    index = bm25.append(bm25.build(chunks.where("collection = 'de'")), chunks)
+    terms = index.postings.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+    return index.stats.join(terms, "chunk_id", "left").select("chunk_id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
@@ -117,8 +143,8 @@ def content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = T.document_metadata(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", m["length"].alias("length"), m["words"].alias("words"), m["language"].alias("language"))
+    rows = T.with_document_metadata(_docs(spark, sf_dir).select("doc_id", "text"), "text")
+    return rows.select("doc_id", "length", "words", "content_type", "language", "detected", F.round("score", 9).alias("score"))
 
 
 def chunk_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +157,13 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.structure(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", *[s[c].alias(c) for c in ("has_lists", "has_tables", "has_code", "paragraph_count", "structure_type")])
+    rows = _docs(spark, sf_dir).select("doc_id", T.structure(F.col("text")).alias("s"))
+    return rows.select("doc_id", *[f"s.{c}" for c in ("has_headings", "has_lists", "has_tables", "has_code", "paragraph_count", "structure_type")], F.col("s.language_info.language").alias("language"))
+
+
+def text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", T.looks_like_table(t).alias("is_table"), T.mentions_image(t).alias("is_image"), T.looks_like_header(t).alias("is_header"), T.looks_like_list(t).alias("is_list"))
 
 
 def heading_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +193,24 @@ def chunk_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", "doc_id", "chunk_index", "strategy", "token_count", F.size("bm25_tokens").alias("n_tokens"))
 
 
+def chunk_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which strategy each text got; parts of long sections count as hierarchical."""
+    rows = chunking.chunk_documents(_pages_content(spark, sf_dir))
+    return rows.select("doc_id", F.regexp_replace("strategy", "_split$", "").alias("strategy"), "original_length").distinct()
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.with_document_index(_docs(spark, sf_dir).select("doc_id", "source")).select("doc_id", "document_index")
+
+
 def tokenize_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = T.bm25_tokens(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n"), F.md5(F.array_join(tokens, " ")).alias("md5"))
 
 
 def tokenize_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.filter(T.bm25_tokens(F.col("text")), lambda w: ~w.isin(*K.EN_STOPWORDS))
-    return _docs(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n"), F.md5(F.array_join(tokens, " ")).alias("md5"))
+    tokens = T.chunk_tokens(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("md5"))
 
 
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,14 +225,51 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = catalog.collection_stats(_files(spark, sf_dir))
-    return s.select("collection", "documents", "total_size", *[F.coalesce(F.col("file_types")[e], F.lit(0)).cast("long").alias(n) for e, n in ((".txt", "txt"), (".md", "md"))])
+    return s.select("collection", "documents", "total_size", "size_mb", *[F.coalesce(F.col("file_types")[e], F.lit(0)).cast("long").alias(n) for e, n in ((".txt", "txt"), (".md", "md"))])
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads: names with all kinds of endings, some missing; sizes to beyond what is taken."""
+    ends = F.array(*[F.lit(e) for e in ("txt", "PDF", "exe", "docx", "tar.gz", "md")])
+    name = F.when(F.col("doc_id") % 11 > 0, F.concat(F.lit("f"), "doc_id", F.lit("."), F.get(ends, (F.col("doc_id") % 6).cast("int"))))
+    return _docs(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), name.alias("filename"), (F.col("n_chars") * 20000).alias("size"), F.when(F.col("doc_id") % 3 == 0, "text/plain").alias("content_type"), F.timestamp_seconds(F.col("doc_id") * 61).alias("uploaded_at"))
+
+
+def upload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploads(spark, sf_dir).select("doc_id", files.upload_error().alias("error"))
+
+
+def file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.file_info(_uploads(spark, sf_dir).where("filename is not null")).drop("upload_time")
+
+
+def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploads(spark, sf_dir).select("doc_id", files.object_key().alias("object_key"))
+
+
+def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_stats(_chunks(spark, sf_dir)).withColumn("avg_tokens_per_text", F.round("avg_tokens_per_text", 6))
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of operations."""
+    log = _t(spark, sf_dir, "events").select(F.when(F.col("value") > 50, "index").otherwise("search").alias("operation"), F.lit(3).cast("long").alias("n"), F.round("value", 2).cast("decimal(18,2)").alias("seconds"))
+    return catalog.operation_stats(log).select("total_documents_indexed", "total_searches_performed", *[F.round(c, 4).alias(c) for c in ("total_indexing_time", "total_search_time", "avg_search_time_per_search", "avg_indexing_time_per_doc")])
+
+
+def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.known(_t(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id")), _docs(spark, sf_dir), "doc_id")
+
+
+def dictionary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    json = F.format_string('{"metadata": {"version": "1"}, "a": ["x", "%s"], "b": ["%s", "x"], "c": "none"}', "source", "lang")
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.dictionary_union(json), ",").alias("words"))
 
 
 def kb_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     names = docs.select(F.col("source").alias("name")).distinct()
-    meta = docs.where("doc_id < 10").select(F.col("source").alias("name"), F.concat(F.lit("about "), "source").alias("description"), F.lit("2024-01-01").alias("created_at"), F.when(F.col("doc_id") % 2 == 0, "2024-02-02").alias("updated_at"))
-    meta = meta.groupBy("name").agg(F.min("description").alias("description"), F.min("created_at").alias("created_at"), F.min("updated_at").alias("updated_at"))
+    meta = docs.groupBy(F.col("source").alias("name")).agg(F.concat(F.lit("about "), F.min("lang")).alias("description"), F.lit("2024-01-01").alias("created_at"), F.when(F.min("doc_id") % 2 == 0, "2024-02-02").alias("updated_at"))
     stats = docs.where("lang = 'en'").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("total_size"), F.when(F.max("doc_id") % 2 == 0, "2024-03-03").alias("updated_at"))
     return catalog.catalog(names, meta, stats)
 
@@ -216,8 +294,10 @@ def delete_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame([("src1",), ("nowhere",), ("src2",), ("lost",)], "name string")
-    return wanted.join(_docs(spark, sf_dir).select(F.col("source").alias("name")), "name", "left_anti")
+    """Of all sources and languages, those that aren't the name of a source of English texts."""
+    docs = _docs(spark, sf_dir)
+    wanted = docs.select(F.col("source").alias("name")).union(docs.select("lang")).distinct()
+    return catalog.missing(wanted, docs.where("lang = 'en'").select(F.col("source").alias("name")))
 
 
 def paginate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +313,40 @@ def chat_history_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.plans.retrieval import chat_prompts
-
+    """All documents are dealt to the conversations as what was found, by doc_id; the best three are a prompt's context."""
     messages = _t(spark, sf_dir, "conversations")
     questions = messages.groupBy("conv_id").agg(F.max_by("text", "turn").alias("query")).withColumn("language", F.when(F.col("conv_id") % 2 == 0, "vi").otherwise("en"))
-    found = _docs(spark, sf_dir).where("doc_id < 40").select((F.col("doc_id") % 8).alias("conv_id"), (F.floor(F.col("doc_id") / 8) + 1).alias("rank"), F.substring("text", 1, 80).alias("page_content"))
-    return chat_prompts(questions, found, messages)
+    n = F.broadcast(messages.agg((F.max("conv_id") + 1).alias("n")))  # one row
+    found = _docs(spark, sf_dir).crossJoin(n).select((F.col("doc_id") % F.col("n")).alias("conv_id"), (F.floor(F.col("doc_id") / F.col("n")) + 1).alias("rank"), F.col("text").alias("page_content"))
+    return retrieval.chat_prompts(questions, found, messages)
+
+
+def response_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _t(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("`"), F.substring("text", 1, 3), F.lit("`"))).otherwise(F.col("text"))
+    return m.select("conv_id", "turn", T.guarded_response(said, F.when(F.col("conv_id") % 2 == 0, "vi").otherwise("en")).alias("answer"))
+
+
+def patient_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit(" "), F.substring("c_name", 1, 2), F.when(F.col("c_custkey") % 3 == 0, "-").otherwise(""), (F.col("c_custkey") % 100).cast("string"), F.lit(" "))
+    return _t(spark, sf_dir, "customer").select("c_custkey", T.valid_patient_id(F.when(F.col("c_custkey") % 7 > 0, made)).alias("valid"))
+
+
+def template_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.when(F.col("doc_id") % 2 == 0, "{a} and {{b}} of {c}").otherwise("{a} {d}")
+    return _docs(spark, sf_dir).select("doc_id", P.format_template(template, {"a": F.col("lang"), "c": F.col("source")}).alias("filled"))
+
+
+def careplan_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    r = {"patientId": F.col("c_name"), "age": c % 100, "gender": F.lit("Nam"), "bmi": (c % 40).cast("int"), "diabetesType": F.lit("Type 1"), "insulinSchedule": F.lit(None).cast("string"), "treatmentMethod": F.lit("diet"), "complications": F.array(F.lit("x"), F.lit("y")), "pastDiseases": F.when(c % 2 == 0, F.array(F.col("c_name"))).otherwise(F.array().cast("array<string>")), "lifestyle": F.lit("calm")}
+    return _t(spark, sf_dir, "customer").select("c_custkey", P.care_plan_prompt(r).alias("prompt"))
+
+
+def measurement_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    r = {"measurementType": F.lit("Blood Glucose"), "value": c % 15, "time": F.lit("noon"), "context": F.when(c % 2 == 0, "after a meal"), "note": F.when(c % 3 == 0, F.col("c_name")).otherwise("")}
+    return _t(spark, sf_dir, "customer").select("c_custkey", P.measurement_prompt(r).alias("prompt"))
 
 
 def clean_llm_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,12 +354,24 @@ def clean_llm_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_response(said).alias("cleaned"))
 
 
-_PLANS = ((1, 'Here: [{"recordType":"BloodGlucose","period":"before_breakfast","subtype":"fasting","reason":"a"},{"recordType":"BloodPressure","period":"noon","subtype":null,"reason":"b"}] done'), (2, "none"), (3, '[ {"recordType":"Weight","period":"noon","subtype":null,"reason":"c"} ]'), (4, '[{"recordType":"BloodGlucose","period":"midnight","subtype":"x","reason":"d"}]'))
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a plan of two rows, right or wrong, or without one."""
+    c = F.col("c_custkey")
+    first = F.format_string('{"recordType":"%s","period":"%s","subtype":"%s","reason":"r%d"}', F.when(c % 5 == 0, "Weight").otherwise("BloodGlucose"), F.when(c % 7 == 0, "midnight").otherwise("noon"), F.when(c % 11 == 0, "sitting").otherwise("fasting"), c)
+    second = F.when(c % 13 == 0, '{"recordType":"BloodPressure","period":"morning","subtype":null,"reason":""}').otherwise('{"recordType":"BloodPressure","period":"morning","subtype":null,"reason":" b "}')
+    return _t(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 4 == 0, "none").otherwise(F.concat(F.lit("Here: ["), first, F.lit(", "), second, F.lit(" ] done"))).alias("response"))
+
+
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir).select("id", T.json_array(F.col("response")).alias("found"))
 
 
 def extract_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = llm_calls.care_plan_rows(spark.createDataFrame(_PLANS, "id int, response string"))
-    return rows.select("id", "item", "recordType", "period", "subtype", "reason", "error")
+    return llm_calls.care_plan_rows(_plans(spark, sf_dir)).select("id", "item", "recordType", "period", "subtype", "reason", "error")
+
+
+def careplan_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return llm_calls.care_plan_lists(_plans(spark, sf_dir)).select("id", F.size("plan").alias("rows"), "error").withColumn("rows", F.when(F.col("error").isNull(), F.col("rows")))
 
 
 def careplan_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +406,16 @@ def measurement_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
-_ALL = (bm25_topk, bm25_minmax, bm25_topk_filtered, term_stats, vector_topk, vector_topk_threshold, vector_batch_topk, hybrid_search, hybrid_multi_collection, clean_text, vi_score, doc_language, content_type, doc_metadata, chunk_language, token_estimate, structure_type, heading_extract, chunk_semantic, chunk_hierarchical, chunk_simple, chunk_dispatch, tokenize_bm25, tokenize_stopwords, html_to_text, collection_stats, kb_catalog, pipeline_stats, collection_info, delete_by_ids, delete_by_filter, missing_collections, paginate_templates, chat_history_prompt, chat_history_template, chat_prompt, clean_llm_response, extract_json_rows, careplan_validate, prompt_variables, sanitize_text, embed_inputs, hash_embed_topk, measurement_ranges)
+_ALL = (
+    bm25_topk, bm25_minmax, bm25_topk_filtered, bm25_topk_alt, bm25_incremental, term_stats, vector_topk, vector_topk_threshold, vector_batch_topk,
+    hybrid_search, hybrid_multi_collection, search_results, clean_text, vi_score, doc_language, content_type, doc_metadata, chunk_language,
+    token_estimate, structure_type, text_checks, heading_extract, chunk_semantic, chunk_hierarchical, chunk_simple, chunk_dispatch, chunk_strategy,
+    document_index, tokenize_bm25, tokenize_stopwords, html_to_text, collection_stats, upload_check, file_info, object_keys, embedding_stats,
+    store_stats, known_ids, dictionary_union, kb_catalog, pipeline_stats, collection_info, delete_by_ids, delete_by_filter, missing_collections,
+    paginate_templates, chat_history_prompt, chat_history_template, chat_prompt, response_guard, patient_ids, template_format, careplan_prompt,
+    measurement_prompt, clean_llm_response, json_arrays, extract_json_rows, careplan_lists, careplan_validate, prompt_variables, sanitize_text,
+    embed_inputs, hash_embed_topk, measurement_ranges,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -333,15 +462,53 @@ def _sql() -> dict[str, str]:
     markers = rf"len(regexp_extract_all(lower(text), '(?:^|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}])({'|'.join(K.ENGLISH_MARKERS)})\b'))"
     fused = """SELECT coalesce(w.query_id, v.query_id) AS query_id, coalesce(w.chunk_id, v.chunk_id) AS chunk_id, coalesce(w.score, 0) AS bm25_score, coalesce(v.score, 0) AS vector_score,
                0.3 * coalesce(w.score, 0) + 0.7 * coalesce(v.score, 0) AS hybrid_score FROM w FULL JOIN v ON w.query_id = v.query_id AND w.chunk_id = v.chunk_id"""
+    inner = blank[1:-1]
+    java = lambda p: p.replace(r"\s+", blank + "+").replace(r"\s", inner).replace(r"\d", r"\p{Nd}")  # noqa: E731  Unicode's blanks and digits
+    headings = "(?i)" + "|".join(f"(?:{java(p)})" for p in K.HEADING_PATTERNS)
+    is_title = r"regexp_matches(text, '\p{Lu}|\p{Lt}') AND NOT regexp_matches(text, '(?:^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}|[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]')"
+    is_upper = r"regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '\p{Ll}|\p{Lt}')"
+    all_lines = "string_split(text, chr(10))"
+    checks = {
+        "is_table": f"len({all_lines}) >= 2 AND len(list_filter({all_lines}, lambda l: regexp_matches(l, '{blank}{{2,}}|\t|[|]'))) >= len({all_lines}) * 0.5",
+        "is_image": f"regexp_matches(lower(text), '{'|'.join(K.IMAGE_WORDS)}')",
+        "is_header": rf"NOT regexp_matches(text, '(?:^|\n){blank}*(?:-|\p{{Nd}}+\.|[a-zA-Z]\.)') AND {n_words} <= 15 AND (({is_upper}) OR ({is_title}))",
+        "is_list": rf"len(list_filter({all_lines}, lambda l: regexp_matches(l, '^{blank}*(?:-|\p{{Nd}}+\.|[a-zA-Z]\.)'))) >= len({all_lines}) * 0.5",
+    }
+    kind_of_text = f"CASE WHEN {checks['is_table']} THEN 'table' WHEN {checks['is_image']} THEN 'image' WHEN {checks['is_header']} THEN 'header' WHEN {checks['is_list']} THEN 'list' ELSE 'text' END"
+    code = "|".join("^" + c.replace(" ", "[ ]") for c in K.CODE_STARTS)
+    structure = rf"""
+        ln AS (SELECT doc_id, l, s FROM (SELECT doc_id, l, {strip.format("l")} AS s FROM (SELECT doc_id, unnest({all_lines}) AS l FROM documents)) WHERE s <> ''),
+        cn AS (SELECT doc_id, sum(CASE WHEN regexp_matches(s, '{headings}') THEN 1 ELSE 0 END) AS headings, bool_or(regexp_matches(s, '{"|".join(f"(?:{java(p)})" for p in K.LIST_PATTERNS)}')) AS lists,
+                      bool_or(regexp_matches(l, '\|[^|]*\|')) AS tables, bool_or(regexp_matches(s, '{code}')) AS code, sum(CASE WHEN length(s) > 10 THEN 1 ELSE 0 END) AS paragraphs FROM ln GROUP BY 1),
+        sx AS (SELECT d.doc_id, coalesce(headings, 0) > 0 AS has_headings, coalesce(lists, false) AS has_lists, coalesce(tables, false) AS has_tables, coalesce(code, false) AS has_code, CAST(coalesce(paragraphs, 0) AS BIGINT) AS paragraph_count,
+                      CASE WHEN code THEN 'code' WHEN headings > paragraphs * 0.2 THEN 'hierarchical' WHEN tables THEN 'tabular' WHEN length(text) > 5000 AND paragraphs > 10 THEN 'complex' ELSE 'simple' END AS structure_type
+               FROM documents d LEFT JOIN cn USING (doc_id))"""
+    estimate_p = f"CASE {lang} WHEN 'vietnamese' THEN floor(n / 3.0) WHEN 'english' THEN floor(n / 4.0) ELSE floor(n / 3.5) END"
+    of_p = lambda sql: sql.replace("(text,", "(p,").replace("length(text)", "length(p)")
+    rows_of_plan = """
+        pl AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'Weight' ELSE 'BloodGlucose' END AS r1, CASE WHEN c_custkey % 7 = 0 THEN 'midnight' ELSE 'noon' END AS p1, CASE WHEN c_custkey % 11 = 0 THEN 'sitting' ELSE 'fasting' END AS s1, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE ' b ' END AS reason2 FROM customer),
+        rs AS (SELECT id, 0 AS item, r1 AS "recordType", p1 AS period, s1 AS subtype, 'r' || id AS reason FROM pl WHERE id % 4 > 0 UNION ALL SELECT id, 1, 'BloodPressure', 'morning', NULL, reason2 FROM pl WHERE id % 4 > 0 UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL FROM pl WHERE id % 4 = 0),
+        er AS (SELECT id, CAST(item AS INTEGER) AS item, "recordType", period, subtype, trim(reason) AS reason, CASE WHEN item IS NULL THEN 'no JSON array in the response' WHEN "recordType" = 'Weight' THEN 'unknown recordType' WHEN period = 'midnight' THEN 'unknown period' WHEN subtype = 'sitting' THEN 'unknown subtype' WHEN reason = '' THEN 'reason is missing' END AS error FROM rs)"""
+    undone = "text"
+    for a, b in (("'\\n'", "chr(10)"), ("'\\t'", "chr(9)"), ("'\\\"'", "'\"'"), ("'\\'" + "''", "''" + "''")):
+        undone = f"replace({undone}, {a}, {b})"
+    for pattern, to in ((r"(?s)```.*?```", ""), ("`([^`]*)`", r"\1"), ("<[^>]+>", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{7F}-\x{9F}]", ""), (blank + "+", " ")):
+        undone = f"regexp_replace({undone}, '{pattern}', '{to}', 'g')"
+    undone = strip.format(undone)
+    uploads = """up AS (SELECT doc_id, source AS collection, CASE WHEN doc_id % 11 > 0 THEN 'f' || doc_id || '.' || (['txt', 'PDF', 'exe', 'docx', 'tar.gz', 'md'])[doc_id % 6 + 1] END AS filename, n_chars * 20000 AS size, CASE WHEN doc_id % 3 = 0 THEN 'text/plain' END AS content_type, doc_id * 61 AS secs FROM documents)"""
     near = f"nv AS (SELECT CAST(b.vec_id + 1 AS INTEGER) AS query_id, a.vec_id AS chunk_id, {cos} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 3)"
 
-    def collection(name: str, weight: float) -> str:
+    def collection(name: str) -> str:
         return rf"""(WITH {index(f"lang = '{name}'")}, {near},
-            v0 AS (SELECT *, {ranked.format("score")} FROM nv), v AS (SELECT * FROM v0 WHERE rank <= 300 AND chunk_id IN (SELECT chunk_id FROM c)),
+            v0 AS (SELECT nv.*, {ranked.format("score")} FROM nv JOIN c USING (chunk_id)), v AS (SELECT * FROM v0 WHERE rank <= 20),
             w0 AS (SELECT *, {ranked.format("score")} FROM norm), w AS (SELECT * FROM w0 WHERE rank <= 20), f AS ({fused}),
-            r AS (SELECT *, {ranked.format("hybrid_score")} FROM f)
-            SELECT query_id, chunk_id, '{name}' AS collection, hybrid_score * {weight} AS weighted FROM r WHERE rank <= 10)"""
+            r AS (SELECT *, {ranked.format("hybrid_score")} FROM f WHERE hybrid_score >= 0.05)
+            SELECT query_id, chunk_id, '{name}' AS collection, hybrid_score * {0.5 if name == "de" else 1.0} AS weighted FROM r WHERE rank <= 10)"""
 
+    multi = f"""u AS ({" UNION ALL ".join(f"SELECT * FROM {collection(x)}" for x in LANGUAGES)}),
+            m AS (SELECT *, min(weighted) OVER (PARTITION BY query_id) AS lo, max(weighted) OVER (PARTITION BY query_id) AS hi FROM u),
+            s AS (SELECT *, CASE WHEN hi > lo THEN (weighted - lo) / (hi - lo) ELSE weighted END AS score FROM m),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, collection, chunk_id) AS INTEGER) AS rank FROM s WHERE score >= 0.05)"""
     clean = "coalesce(text, '')"
     class_ = r"[^\p{L}\p{N}\p{M}\p{Pc}\s\x0B\x{85}\x{A0}\x{2028}\x{2029}À-ɏḀ-ỿ.,!?;:()\[\]\"''\n-]"
     for pattern, to in ((r"[ \t]+", " "), (r"\n{3,}", r"\n\n"), (class_, " "), (rf"(?i)([.!?])\s*([{K.SENTENCE_STARTS}])", r"\1 \2"), (" +", " ")):
@@ -365,11 +532,50 @@ def _sql() -> dict[str, str]:
         "hybrid_search": rf"""WITH {index()}, {near}, v0 AS (SELECT *, {ranked.format("score")} FROM nv), v AS (SELECT * FROM v0 WHERE rank <= 200), w0 AS (SELECT *, {ranked.format("score")} FROM norm), w AS (SELECT * FROM w0 WHERE rank <= 200),
             f AS ({fused}), r AS (SELECT *, {ranked.format("hybrid_score")} FROM f WHERE hybrid_score >= 0.1)
             SELECT query_id, rank, chunk_id, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, round(hybrid_score, 6) AS hybrid_score FROM r WHERE rank <= 20""",
-        "hybrid_multi_collection": f"""WITH u AS (SELECT * FROM {collection("de", 0.5)} UNION ALL SELECT * FROM {collection("en", 1.0)}),
-            m AS (SELECT *, min(weighted) OVER (PARTITION BY query_id) AS lo, max(weighted) OVER (PARTITION BY query_id) AS hi FROM u),
-            s AS (SELECT *, CASE WHEN hi > lo THEN (weighted - lo) / (hi - lo) ELSE weighted END AS score FROM m),
-            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, collection, chunk_id) AS INTEGER) AS rank FROM s WHERE score >= 0.05)
-            SELECT query_id, rank, collection, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+        "hybrid_multi_collection": f"WITH {multi} SELECT query_id, rank, collection, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10",
+        "search_results": f"WITH {multi} SELECT query_id, rank, md5(text) AS content_md5, source, round(score, 6) AS score, collection AS collection_name FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10",
+        "bm25_topk_alt": f"""WITH {index()}, e AS (SELECT query_id, norm.chunk_id, CASE WHEN hi > lo THEN score ELSE 1.0 END AS score FROM norm JOIN ends USING (query_id)),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id DESC) AS INTEGER) AS rank FROM e) SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.3""",
+        "bm25_incremental": f"SELECT doc_id AS chunk_id, len({words}) AS dl, len(list_distinct({words})) AS terms, CAST(len({words}) AS BIGINT) AS tokens FROM documents",
+        "content_type": f"SELECT doc_id, {kind_of_text} AS content_type FROM documents",
+        "text_checks": f"SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in checks.items())} FROM documents",
+        "structure_type": f"WITH {structure} SELECT sx.*, CASE WHEN letters = 0 THEN 'unknown' WHEN r > 0.20 THEN 'vietnamese' WHEN r > 0.05 THEN 'mixed' ELSE 'english' END AS language FROM sx JOIN ({chunk}) USING (doc_id)",
+        "chunk_strategy": f"WITH {structure} SELECT sx.doc_id, CASE structure_type WHEN 'hierarchical' THEN 'hierarchical' WHEN 'complex' THEN 'semantic' WHEN 'tabular' THEN 'semantic' ELSE 'simple' END AS strategy, length(text) AS original_length FROM sx JOIN documents USING (doc_id) WHERE {strip.format('text')} <> ''",
+        "chunk_semantic": rf"""WITH ps AS (SELECT doc_id, i, {strip.format("p")} AS p FROM (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{blank}*\n') AS x FROM documents))),
+            es AS (SELECT doc_id, i, p, {estimate_p} AS t FROM (SELECT *, length(p) AS n, {of_p(n_letters)} AS letters, {of_p(ratio)} AS r FROM ps WHERE p <> '')),
+            fs AS (SELECT doc_id, list_reduce(list({{'done': CAST([] AS VARCHAR[]), 'open': p, 'size': CAST(t AS BIGINT)}} ORDER BY i), lambda a, x: CASE WHEN a.size + x.size > 256 THEN {{'done': list_append(a.done, a.open), 'open': x.open, 'size': x.size}}
+                ELSE {{'done': a.done, 'open': a.open || chr(10) || chr(10) || x.open, 'size': a.size + x.size}} END) AS f FROM es GROUP BY 1)
+            SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS chunk_index, unnest(cs) AS page_content FROM (SELECT doc_id, list_append(f.done, f.open) AS cs FROM fs)""",
+        "chunk_hierarchical": rf"""WITH l0 AS (SELECT doc_id, line_no, line, s, CASE WHEN s <> '' THEN {heading} END AS level FROM ({lines})),
+            l1 AS (SELECT *, min(level) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowest, bool_or(s <> '') OVER (PARTITION BY doc_id ORDER BY line_no) AS filled FROM l0),
+            l2 AS (SELECT *, level IS NOT NULL AND (lowest IS NULL OR level <= lowest) AS opens FROM l1 WHERE filled),
+            l3 AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER w - CAST(first_value(opens) OVER w AS INTEGER) AS section FROM l2 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+            g AS (SELECT doc_id, CAST(section AS INTEGER) AS section, CAST(min(CASE WHEN opens THEN level END) AS INTEGER) AS section_level, string_agg(line, chr(10) ORDER BY line_no) AS content FROM l3 GROUP BY 1, 2)
+            SELECT doc_id, section, section_level, CAST(length(content) AS INTEGER) AS n, md5(content) AS md5 FROM g""",
+        "document_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS document_index FROM documents",
+        "upload_check": f"""WITH {uploads} SELECT doc_id, CASE WHEN filename IS NULL THEN 'a name is needed' WHEN lower(regexp_extract(filename, '[.][^.]+$')) NOT IN ({quoted(K.ALLOWED_EXTENSIONS)}) THEN 'unsupported extension' WHEN size > {K.MAX_UPLOAD_BYTES} THEN 'too large' END AS error FROM up""",
+        "file_info": f"WITH {uploads} SELECT filename, size AS file_size, lower(regexp_extract(filename, '[.][^.]+$')) AS file_extension, coalesce(content_type, 'application/octet-stream') AS content_type FROM up WHERE filename IS NOT NULL",
+        "object_keys": f"WITH {uploads} SELECT doc_id, collection || '/' || strftime(make_timestamp(secs * 1000000), '%Y%m%d_%H%M%S') || '_' || filename AS object_key FROM up",
+        "embedding_stats": f"SELECT count(*) AS total_texts_embedded, CAST(sum({n_words}) AS BIGINT) AS total_tokens_processed, CAST(ceil(count(*) / 16.0) AS BIGINT) AS batch_count, round(sum({n_words}) / CAST(count(*) AS DOUBLE), 6) AS avg_tokens_per_text FROM documents",
+        "store_stats": """WITH g AS (SELECT value > 50 AS i, CAST(round(value, 2) AS DECIMAL(18, 2)) AS s FROM events), t AS (SELECT 3 * count(*) FILTER (i) AS ni, 3 * count(*) FILTER (NOT coalesce(i, false)) AS ns, CAST(coalesce(sum(s) FILTER (i), 0) AS DOUBLE) AS ti, CAST(coalesce(sum(s) FILTER (NOT coalesce(i, false)), 0) AS DOUBLE) AS ts FROM g)
+            SELECT ni AS total_documents_indexed, ns AS total_searches_performed, round(ti, 4) AS total_indexing_time, round(ts, 4) AS total_search_time, round(CASE WHEN ns > 0 THEN ts / ns END, 4) AS avg_search_time_per_search, round(CASE WHEN ni > 0 THEN ti / ni END, 4) AS avg_indexing_time_per_doc FROM t""",
+        "known_ids": "SELECT DISTINCT 3 * doc_id AS doc_id FROM labels WHERE 3 * doc_id IN (SELECT doc_id FROM documents)",
+        "dictionary_union": "SELECT doc_id, array_to_string(list_sort(list_distinct(['x', source, lang])), ',') AS words FROM documents",
+        "doc_metadata": f"""SELECT doc_id, length(text) AS length, CAST({n_words} AS BIGINT) AS words, {kind_of_text} AS content_type, CASE WHEN {n_words} = 0 OR {n_letters} = 0 THEN 'unknown' WHEN {marked} AND CAST({markers} AS DOUBLE) / {n_words} > 0.2 THEN 'mixed' WHEN {marked} AND {score} > 0.1 THEN 'vi'
+            WHEN CAST(len(regexp_extract_all(text, '[a-zA-Z]')) AS DOUBLE) / {n_letters} > 0.9 AND NOT {marked} THEN 'en' ELSE 'unknown' END AS language, language AS detected, round({score}, 9) AS score FROM documents""",
+        "clean_llm_response": f"""SELECT conv_id, turn, {undone} AS cleaned FROM (SELECT conv_id, turn, '<p>"' || text || '\n</p> `x` ```code```\t \"end\"' AS text FROM conversations)""",
+        "response_guard": f"""WITH g AS (SELECT conv_id, turn, {undone} AS cleaned FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '`' || substr(text, 1, 3) || '`' ELSE text END AS text FROM conversations))
+            SELECT conv_id, turn, CASE WHEN coalesce(length(cleaned), 0) < 5 THEN CASE WHEN conv_id % 2 = 0 THEN {text(K.APOLOGY["vi"])} ELSE {text(K.APOLOGY["en"])} END ELSE cleaned END AS answer FROM g""",
+        "patient_ids": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN false ELSE regexp_full_match(trim(' ' || substr(c_name, 1, 2) || CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE '' END || (c_custkey % 100) || ' '), '[\\p{L}\\p{N}]{3,}') END AS valid FROM customer",
+        "template_format": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || ' and {b} of ' || source END AS filled FROM documents",
+        "json_arrays": """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 > 0 THEN format('[{{"recordType":"{}","period":"{}","subtype":"{}","reason":"r{}"}}, {{"recordType":"BloodPressure","period":"morning","subtype":null,"reason":"{}"}} ]', CASE WHEN c_custkey % 5 = 0 THEN 'Weight' ELSE 'BloodGlucose' END,
+            CASE WHEN c_custkey % 7 = 0 THEN 'midnight' ELSE 'noon' END, CASE WHEN c_custkey % 11 = 0 THEN 'sitting' ELSE 'fasting' END, c_custkey, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE ' b ' END) END AS found FROM customer""",
+        "extract_json_rows": f'WITH {rows_of_plan} SELECT id, item, "recordType", period, subtype, reason, error FROM er',
+        "careplan_lists": f"""WITH {rows_of_plan}, b AS (SELECT id, count(*) AS n, min(CASE WHEN error IS NOT NULL THEN coalesce(item, 0) END) AS first FROM er GROUP BY 1)
+            SELECT b.id, CAST(CASE WHEN first IS NULL THEN n END AS INTEGER) AS rows, CASE WHEN first IS NOT NULL THEN 'item ' || first || ': ' || er.error END AS error FROM b LEFT JOIN er ON er.id = b.id AND coalesce(er.item, 0) = b.first""",
+        "careplan_prompt": rf"""SELECT c_custkey, {text(P.CARE_PLAN_HEAD)} || '- ID: ' || c_name || chr(10) || '- Age: ' || (c_custkey % 100) || chr(10) || '- Gender: Nam' || chr(10) || '- BMI: ' || (c_custkey % 40) || chr(10) || '- Diabetes type: Type 1' || chr(10) || '- Insulin schedule: ' || chr(10) || '- Treatment method: diet' || chr(10)
+            || '- Complications: x, y' || chr(10) || '- Past diseases: ' || CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'None' END || chr(10) || '- Lifestyle: calm' AS prompt FROM customer""",
+        "measurement_prompt": f"""SELECT c_custkey, 'Loại đo: Blood Glucose' || chr(10) || 'Giá trị: ' || (c_custkey % 15) || chr(10) || 'Thời điểm: noon' || chr(10) || 'Bối cảnh: ' || CASE WHEN c_custkey % 2 = 0 THEN 'after a meal' ELSE '{K.NO_CONTEXT}' END || chr(10) || 'Ghi chú: ' || CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '{K.NO_NOTE}' END AS prompt FROM customer""",
         "clean_text": f"SELECT doc_id, {strip.format(clean)} AS cleaned FROM documents",
         "vi_score": f"SELECT doc_id, round({score}, 9) AS score, {marked} AS marked FROM documents",
         "doc_language": f"""SELECT doc_id, CASE WHEN {n_words} = 0 OR {n_letters} = 0 THEN 'unknown' WHEN {marked} AND CAST({markers} AS DOUBLE) / {n_words} > 0.2 THEN 'mixed' WHEN {marked} AND {score} > 0.1 THEN 'vi'
@@ -378,10 +584,11 @@ def _sql() -> dict[str, str]:
         "token_estimate": f"SELECT doc_id, CAST(CASE {lang} WHEN 'vietnamese' THEN floor(n / 3.0) WHEN 'english' THEN floor(n / 4.0) ELSE floor(n / 3.5) END AS BIGINT) AS tokens FROM ({chunk})",
         "heading_extract": f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_number, CAST({heading} AS INTEGER) AS level, s AS text FROM ({lines}) WHERE {heading} IS NOT NULL",
         "tokenize_bm25": f"SELECT doc_id, len({words}) AS n, md5(array_to_string({words}, ' ')) AS md5 FROM documents",
-        "tokenize_stopwords": f"SELECT doc_id, len(list_filter({words}, lambda w: w NOT IN ({quoted(K.EN_STOPWORDS)}))) AS n, md5(array_to_string(list_filter({words}, lambda w: w NOT IN ({quoted(K.EN_STOPWORDS)})), ' ')) AS md5 FROM documents",
+        "tokenize_stopwords": rf"""SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS md5 FROM (SELECT doc_id, CASE WHEN r > 0.20 THEN list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w) NOT IN ({quoted(K.VI_STOPWORDS)}))
+            ELSE list_filter({words}, lambda w: w NOT IN ({quoted(K.EN_STOPWORDS)})) END AS t FROM documents JOIN ({chunk}) c USING (doc_id))""",
         "html_to_text": rf"SELECT page_id, trim(regexp_replace({html}, '[ \t\r\n]+', ' ', 'g')) AS content FROM pages",
-        "collection_stats": "SELECT source AS collection, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS total_size, CAST(sum(CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS txt, CAST(sum(CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS md FROM documents GROUP BY 1",
-        "kb_catalog": """WITH m AS (SELECT source AS name, min('about ' || source) AS description, min('2024-01-01') AS created_at, min(CASE WHEN doc_id % 2 = 0 THEN '2024-02-02' END) AS updated_at FROM documents WHERE doc_id < 10 GROUP BY 1),
+        "collection_stats": "SELECT source AS collection, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS total_size, round_even(sum(n_chars) / 1048576.0, 2) AS size_mb, CAST(sum(CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS txt, CAST(sum(CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS md FROM documents GROUP BY 1",
+        "kb_catalog": """WITH m AS (SELECT source AS name, 'about ' || min(lang) AS description, '2024-01-01' AS created_at, CASE WHEN min(doc_id) % 2 = 0 THEN '2024-02-02' END AS updated_at FROM documents GROUP BY 1),
             s AS (SELECT source AS name, count(*) AS documents, sum(n_chars) AS total_size, CASE WHEN max(doc_id) % 2 = 0 THEN '2024-03-03' END AS updated_at FROM documents WHERE lang = 'en' GROUP BY 1)
             SELECT n.name, description, coalesce(documents, 0) AS documents, CAST(coalesce(total_size, 0) AS BIGINT) AS total_size, coalesce(s.updated_at, m.updated_at, created_at) AS updated_at
             FROM (SELECT DISTINCT source AS name FROM documents) n LEFT JOIN m USING (name) LEFT JOIN s USING (name)""",
@@ -391,12 +598,13 @@ def _sql() -> dict[str, str]:
         "collection_info": "SELECT 'label' || label AS collection, count(*) AS points_count, CAST(max(len(embedding)) AS INTEGER) AS vector_size, 'cosine' AS distance, 'ready' AS status FROM embeddings GROUP BY 1",
         "delete_by_ids": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "delete_by_filter": "SELECT doc_id, lang, source FROM documents WHERE NOT (lang = 'en' AND source IN ('src0', 'src1'))",
-        "missing_collections": "SELECT name FROM (VALUES ('src1'), ('nowhere'), ('src2'), ('lost')) v(name) WHERE name NOT IN (SELECT source FROM documents)",
+        "missing_collections": "SELECT name FROM (SELECT source AS name FROM documents UNION SELECT lang FROM documents) WHERE name NOT IN (SELECT source FROM documents WHERE lang = 'en')",
         "paginate_templates": "SELECT item_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview FROM benchmark ORDER BY item_id LIMIT 15 OFFSET 10",
         "chat_history_prompt": past,
         "chat_history_template": history.format(last=4, roles="".join(f" WHEN '{k}' THEN '{v}'" for k, v in K.TEMPLATE_ROLES.items())),
         "chat_prompt": f"""WITH h AS ({past}), q AS (SELECT conv_id, arg_max(text, turn) AS query FROM conversations GROUP BY 1),
-            f AS (SELECT doc_id % 8 AS conv_id, string_agg('- ' || substr(text, 1, 80), chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 24 GROUP BY 1),
+            k AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+            f AS (SELECT doc_id % n AS conv_id, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS context FROM documents, k WHERE doc_id // n < 3 GROUP BY 1),
             j AS (SELECT q.conv_id, query, coalesce(context, '') AS context, coalesce(history, '') AS past FROM q LEFT JOIN f ON f.conv_id = q.conv_id LEFT JOIN h ON h.conv_id = q.conv_id)
             SELECT conv_id, (CASE WHEN conv_id % 2 = 0 THEN {prompt["vi"]} ELSE {prompt["en"]} END) || chr(10) || chr(10) || 'User: ' || query AS prompt FROM j""",
         "careplan_validate": """SELECT c_custkey, CASE WHEN NOT (c_custkey % 150 BETWEEN 1 AND 120) THEN 'age must be from 1 to 120' WHEN NOT (c_custkey % 60 BETWEEN 10 AND 50) THEN 'bmi must be from 10.0 to 50.0'

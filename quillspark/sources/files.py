@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import constants as K
 from quillspark.functions import text as T
+from quillspark.sources import pdf_text
 
 #: bytes -> (text, attributes) of each page or table.
 Extractor = Callable[[bytes], list[tuple[str, dict[str, str]]]]
@@ -96,7 +97,30 @@ def read_docx(data: bytes) -> list[tuple[str, dict[str, str]]]:
     return out
 
 
-EXTRACTORS: dict[str, Extractor] = {".txt": read_text, ".md": read_text, ".csv": read_csv, ".html": read_html, ".htm": read_html, ".docx": read_docx}
+def pdf_extractor(pages: Extractor, fallback: Extractor | None = None, tables: Callable[[bytes], list[list[list[list[str | None]]]]] | None = None) -> Extractor:
+    """An extractor for PDF out of plug-ins: the text of each page that isn't blank; that of another reader where the first fails
+    or finds none; and each table (tables gives those of each page, as rows of cells), cells by tabs and rows by lines."""
+
+    def tried(f: Callable, data: bytes) -> list:
+        try:
+            return f(data) if f is not None else []
+        except Exception:  # noqa: BLE001  the next reader is asked
+            return []
+
+    def run(data: bytes) -> list[tuple[str, dict[str, str]]]:
+        out = []
+        for method, f in (("pages", pages), ("fallback", fallback)):
+            out = [(t, {"page": str(i), **a, "extraction_method": method}) for i, (t, a) in enumerate(tried(f, data)) if t.strip()]
+            if out:
+                break
+        for page, some in enumerate(tried(tables, data)):
+            out += [("\n".join("\t".join(c or "" for c in row) for row in t), {"type": "table", "page": str(page), "table_num": str(n), "extraction_method": "tables"}) for n, t in enumerate(some)]
+        return out
+
+    return run
+
+
+EXTRACTORS: dict[str, Extractor] = {".pdf": pdf_extractor(pdf_text.pages), ".txt": read_text, ".md": read_text, ".csv": read_csv, ".html": read_html, ".htm": read_html, ".docx": read_docx}
 
 
 def load(spark: SparkSession, paths: str | list[str], extractors: dict[str, Extractor] | None = None) -> DataFrame:
@@ -124,10 +148,10 @@ def load(spark: SparkSession, paths: str | list[str], extractors: dict[str, Extr
     return files.mapInPandas(run, DOCUMENT)
 
 
-def documents(loaded: DataFrame) -> DataFrame:
-    """Cleaned texts with their metadata; files with errors are left out."""
-    rows = loaded.where("error is null").withColumn("page_content", T.clean(F.col("page_content")))
-    return rows.withColumns(T.document_metadata(F.col("page_content")))
+def documents(loaded: DataFrame, extra: dict[str, object] | None = None) -> DataFrame:
+    """Cleaned texts with their metadata, the time and the fields of extra, which win over others of their name; files with errors are left out."""
+    rows = T.with_document_metadata(loaded.where("error is null").withColumn("page_content", T.clean(F.col("page_content"))))
+    return rows.withColumns({"processing_timestamp": F.current_timestamp(), **{k: F.lit(v) for k, v in (extra or {}).items()}})
 
 
 def upload_error(name: str = "filename", size: str = "size") -> F.Column:
@@ -140,10 +164,13 @@ def object_key(collection: str = "collection", name: str = "filename", at: str =
     return F.concat(F.col(collection), F.lit("/"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.col(name))
 
 
-def store(files: DataFrame, root: str) -> None:
-    """Files (collection, filename, content, ...) as a table parted by collection."""
-    files.write.mode("append").partitionBy("collection").parquet(root)
+def store(files: DataFrame, root: str) -> DataFrame:
+    """Files (collection, filename, content, uploaded_at) as a table parted by collection, each under its object_key; what is told about each."""
+    rows = files.withColumns({"storage_path": object_key(), "size": F.octet_length("content"), "file_extension": F.lower(F.regexp_extract("filename", r"\.[^.]+$", 0))})
+    rows.write.mode("append").partitionBy("collection").parquet(root)
+    return rows.select("storage_path", F.col("uploaded_at").alias("storage_time"), "size", "file_extension")
 
 
 def stored_file(spark: SparkSession, root: str, collection: str, name: str) -> DataFrame:
-    return spark.read.parquet(root).where((F.col("collection") == collection) & (F.col("filename") == name))
+    """The rows of a file, the newest first."""
+    return spark.read.parquet(root).where((F.col("collection") == collection) & (F.col("filename") == name)).orderBy(F.col("uploaded_at").desc())

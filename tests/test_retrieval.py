@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +66,62 @@ def test_vector_search(spark):
     got = [(r.chunk_id, round(r.score, 6)) for r in vectors.search(v, q, 2, 0.1).orderBy("rank").collect()]
     assert got == [(1, 1.0), (3, 0.707107)]
     assert [r.chunk_id for r in vectors.search_one(v, [2.0, 0.0], 2, 0.1).collect()] == [1, 3]
-    with pytest.raises(ValueError):
-        vectors.search(v, v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_embedding")), most_queries=2)
+    assert [(r.chunk_id, round(r.score, 6)) for r in vectors.search(v, q, 2, 0.1, most_bytes=0).orderBy("rank").collect()] == got
+
+
+@pytest.mark.parametrize("threshold", [None, 0.2])
+def test_vector_search_against_brute_force(spark, threshold):
+    rng = random.Random(5)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, [float(rng.randint(-2, 2)) for _ in range(3)] if i % 9 else None) for i in range(200)]  # many ties
+    queries = [(f"q{j}", [float(rng.randint(-2, 2)) for _ in range(3)]) for j in range(6)]
+    v = spark.createDataFrame(rows, "chunk_id int, collection string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id string, query_embedding array<double>")
+    norm = lambda x: math.sqrt(sum(a * a for a in x))
+    want = set()
+    for name, y in queries:
+        for g in ("a", "b", None):
+            own = [(round(sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), 9), i) for i, c, x in rows if c == g and x and norm(x) and norm(y)]
+            own = sorted([(-s, i) for s, i in own if threshold is None or s >= threshold])[:4]
+            want |= {(name, g, i, r + 1) for r, (_, i) in enumerate(own)}
+    for most in (64 << 20, 0):
+        got = vectors.search(v, q, 4, threshold, by=("collection",), most_bytes=most).collect()
+        assert {(r.query_id, r.collection, r.chunk_id, r["rank"]) for r in got} == want
+
+
+def test_stored_index(spark, tmp_path):
+    chunks = spark.createDataFrame([("x", 1, "a b a"), ("x", 2, "b c"), ("y", 1, "a"), ("y", 3, "")], "collection string, chunk_id int, page_content string")
+    index = bm25.build(chunks, by=("collection",))
+    bm25.save(index, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "a c")], "query_id int, query_text string")
+    hits = lambda i: {(r.collection, r.chunk_id, round(r.raw, 9)) for r in bm25.scores(i, asked).collect()}
+    loaded = bm25.load(spark, str(tmp_path / "i"), ("collection",))
+    assert hits(loaded) == hits(index) and len(hits(index)) == 3
+    one = {(c, r.chunk_id, round(r.raw, 9)) for c in "xy" for r in bm25.scores(bm25.build(chunks.where(F.col("collection") == c)), asked).collect()}
+    assert hits(index) == one
+    changed = bm25.update(index, spark.createDataFrame([("x", 1, "d")], chunks.schema))
+    assert {r.term for r in changed.postings.where("collection = 'x'").collect()} == {"b", "c", "d"} and changed.stats.count() == 4
+
+
+def test_document_index(spark):
+    df = spark.createDataFrame([(x,) for x in [5, 3, None, 8, 3, 100]], "doc_id long").repartition(3)
+    got = sorted((r.document_index, r.doc_id) for r in chunking.with_document_index(df, parts=3).collect())
+    assert got == [(0, None), (1, 3), (2, 3), (3, 5), (4, 8), (5, 100)]
+    assert chunking.with_document_index(df.where("false")).count() == 0
+
+
+def test_chunk_text():
+    rows = chunking.chunk_text("CHAPTER 1\ntext one, here.\nCHAPTER 2\nlast, words.", metadata={"a": 1})
+    assert [(r["metadata"]["strategy"], r["metadata"]["chunk_index"], r["metadata"]["a"]) for r in rows] == [("hierarchical", 0, 1), ("hierarchical", 1, 1)]
+    assert chunking.chunk_text(" ") == [] and chunking.chunk_text(None) == []
+
+
+def test_estimate_as_columns(spark):
+    texts = ["", "abc", "123", "Xin chào, tôi là trợ lý", "ĐÀ NẴNG đẹp", "naïve café", "mostly plain english with one ạ in it " * 3, "日本", "ÀÁ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from quillspark.functions import text as T
+
+    for t, n, kind in df.select("t", T.estimated_tokens(F.col("t")), T.structure(F.col("t"))["structure_type"]).collect():
+        assert (chunking.estimate(t), chunking.structure_type(t)) == (n, kind), t
 
 
 def test_ingest_and_search(spark):
@@ -77,6 +132,21 @@ def test_ingest_and_search(spark):
     rows = retrieval.search(chunks, q, threshold=0.0, vector_threshold=0.0).collect()
     best = min(rows, key=lambda r: r.rank)
     assert best.chunk_id == chunks.where("doc_id = 1").head().chunk_id
+    found = retrieval.with_content(retrieval.search(chunks, q, threshold=0.0, vector_threshold=0.0), chunks).orderBy("rank").head()
+    assert found.content == "the cat sat on the mat, happily" and found.metadata["doc_id"] == "1" and found.collection_name == "c"
+    assert retrieval.check_index(None) == (False, "there is no index") and retrieval.check_index(bm25.build(chunks))[0]
+
+
+def test_process_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.txt": "the cat sat on the mat, happily", "b.md": "dogs bark at night, loudly"}.items():
+        (tmp_path / "in" / name).write_text(text)
+    c = catalog.Collections(spark, str(tmp_path / "c"))
+    for _ in range(2):  # again: the same ids, replaced
+        ids = retrieval.process_files(spark, str(tmp_path / "in"), c, "kb", vectors.HashEmbedder(8), extra={"source_file": "given"})
+        assert ids.count() == 2
+    rows = c.read("kb").collect()
+    assert len(rows) == 2 and {r.source_file for r in rows} == {"given"} and {r.file_extension for r in rows} == {".txt", ".md"}
 
 
 def test_stream_takes_each_chunk_once(spark, tmp_path):
@@ -95,7 +165,22 @@ def test_collections_and_tables(spark, tmp_path):
     c.add("a", spark.createDataFrame([("x", 1), ("y", 2)], "chunk_id string, page int"))
     assert c.read("a", "zzz").count() == 2
     assert c.delete("a") and c.delete("a", conditions={"page": 2}) and [r.chunk_id for r in c.read("a").collect()] == ["x"]
-    assert c.drop("a") and c.names() == []
+    ids = c.put("a", spark.createDataFrame([("x", 7), ("z", 3), ("z", 3)], "chunk_id string, page int"))
+    assert sorted(r[0] for r in ids.collect()) == ["x", "z"] and {(r.chunk_id, r.page) for r in c.read("a").collect()} == {("x", 7), ("z", 3)}
+    assert [r[0] for r in c.known_ids("a", spark.createDataFrame([("x",), ("q",), ("x",)], "chunk_id string")).collect()] == ["x"]
+    v = c._versions("a")
+    with pytest.raises(catalog.Conflict):  # a writer that read an old version
+        v.write(v.last() - 1, c.read("a"))
+    assert v.store.claim(f"{v.last() + 1:012d}.claim") and c.read("a").count() == 2  # a writer broke off: readers don't see it
+    with pytest.raises(catalog.Conflict):
+        c.delete("a", conditions={"page": 3})
+    v.forget_claims()
+    assert c.delete("a", conditions={"page": 3}) and c.read("a").count() == 1
+    assert c.drop("a") and c.names() == [] and c.read().count() == 0
+    assert catalog.bootstrap(spark, str(tmp_path / "c")).names() == ["default"]
+    store = catalog.Store(spark, str(tmp_path / "s"))
+    store.put("k/x.bin", b"\x00\xffa")
+    assert store.get("k/x.bin") == b"\x00\xffa" and store.names("k") == ["x.bin"] and store.remove("k/x.bin") and store.get("k/x.bin") is None
     kv = catalog.KeyValueTable(spark, str(tmp_path / "kv"), "id string, name string, n int", "id")
     kv.put(spark.createDataFrame([("1", "a", 1), ("2", "b", 2)], kv.schema))
     kv.put(spark.createDataFrame([("2", "c", 3)], kv.schema))

@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import vectors
+from quillspark.plans import retrieval
 from quillspark.plans import service as S
 
 
@@ -31,6 +33,31 @@ def test_sessions(spark, tmp_path):
     s.delete("u")
     with pytest.raises(KeyError):
         s.delete("u")
+    s.add("u", "user", "again")
+    assert [(r.turn, r.text) for r in s.messages().collect()] == [(0, "again")]
+
+
+def test_chat(spark, tmp_path):
+    root = str(tmp_path)
+    t = S.Templates(spark, root)
+    key = t.create("x", "{{query}} | {{context}} | {{chat_history}} | {{tone}}", example_values={"tone": "calm"})
+    e = vectors.HashEmbedder(16)
+    chunks = retrieval.ingest(spark.createDataFrame([(1, "the cat sat on the mat, happily")], "doc_id long, page_content string"), "c", e)
+    ask = lambda *qs: spark.createDataFrame(list(qs), "user_id string, query string")
+
+    def model(prompts):
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("no model")
+        return [f"<b>You said</b> {len(p.splitlines())} lines" if "cat" in p else "x" for p in prompts]
+
+    got = {r.user_id: r.answer for r in S.chat(root, ask(("a", "cat on a mat"), ("b", "?"), ("c", "boom")), chunks, e, model, key, threshold=0.0).collect()}
+    assert got["a"].startswith("You said") and got["b"].startswith("Xin lỗi, tôi không thể") and got["c"].startswith("Xin lỗi, tôi gặp sự cố")
+    S.chat(root, ask(("a", "more of the cat")), model=lambda ps: ["the answer is " + str("Trợ lý: You said" in ps[0])]).collect()
+    assert [r.role for r in S.Sessions(spark, root).messages("a").orderBy("turn").collect()] == ["user", "assistant", "user", "assistant"]
+    assert S.Sessions(spark, root).messages("a").orderBy(F.col("turn").desc()).head().text == "the answer is True"
+    with pytest.raises(KeyError):
+        t.settings.set_default_template("nothing")
+    assert S.health(spark, root)["status"] == "healthy"
 
 
 def test_knowledge_bases(spark, tmp_path):
@@ -48,6 +75,9 @@ def test_care_plans(spark):
     schema = "patientId string, age int, gender string, bmi double, diabetesType string, insulinSchedule string, treatmentMethod string, complications array<string>, pastDiseases array<string>, lifestyle string"
     df = spark.createDataFrame([("p1", 40, "Nữ", 22.0, "Type 2", "none", "diet", ["x"], [], "calm"), ("p2", 400, "Nữ", 22.0, "Type 2", "none", "diet", [], [], "calm")], schema)
     model = lambda prompts: [json.dumps([{"recordType": "BloodGlucose", "period": "noon", "subtype": None, "reason": "None" if "Past diseases: None" in p else "?"}]) for p in prompts]
+    lost = {r.patientId: r.error for r in S.care_plans(df, lambda ps: ["no plan"] * len(ps)).collect()}
+    assert lost["p1"] == "no JSON array in the response"
+    assert S.care_plans(df.withColumn("age", F.lit(None).cast("int")), model).where("error is null").count() == 0
     rows = {r.patientId: r for r in S.care_plans(df, model).collect()}
     assert rows["p1"].error is None and rows["p1"].reason == "None" and rows["p2"].error == "age must be from 1 to 120"
 

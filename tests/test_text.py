@@ -11,7 +11,7 @@ def value(spark, column, **cols):
     return df.select(column.alias("v")).head()["v"]
 
 
-@pytest.mark.parametrize("text,want", [("Xin chào, tôi là trợ lý AI", "vietnamese"), ("Hello, I am an AI assistant", "english"), ("123 456 789", "unknown"), ("Việt Nam đang phát triển mạnh mẽ", "vietnamese"), ("Machine learning is the future", "english")])
+@pytest.mark.parametrize("text,want", [("Xin chào, tôi là trợ lý AI", "vietnamese"), ("Hello, I am an AI assistant", "english"), ("123 456 789", "unknown"), ("Việt Nam đang phát triển mạnh mẽ", "vietnamese"), ("Machine learning is the future", "english"), ("Tôi speak English và tiếng Việt", "mixed")])
 def test_chunk_language(spark, text, want):
     assert value(spark, T.chunk_language(F.col("t"))["language"], t=text) == want
 
@@ -49,5 +49,26 @@ def test_small_functions(spark):
 
 def test_care_plan_rows(spark):
     df = spark.createDataFrame([("x [{\"recordType\":\"BloodPressure\",\"period\":\"noon\",\"subtype\":\"fasting\",\"reason\":\"r\"}]",), ("no",)], "response string")
-    (row,) = llm_calls.care_plan_rows(df).collect()
+    row = llm_calls.care_plan_rows(df).where("item = 0").head()
     assert row.error == "unknown subtype" and row.period == "noon"
+    assert sorted((r.error, r.item) for r in llm_calls.care_plan_rows(df).collect())[0] == ("no JSON array in the response", None)
+
+
+def test_segmenter(spark):
+    cut = T.segmenter(lambda t: t.replace("Việt Nam", "Việt_Nam").split(" "))
+    assert value(spark, T.bm25_tokens(F.col("t"), cut), t="Ở Việt Nam , tôi") == ["ở", "việt_nam", "tôi"]
+    assert value(spark, T.bm25_tokens(F.col("t"), cut), t="Plain, text") == ["plain", "text"]
+    assert value(spark, T.chunk_tokens(F.col("t"), cut), t="Tôi ở Việt Nam và đẹp lắm") == ["ở", "Việt_Nam", "đẹp", "lắm"]
+    assert value(spark, T.chunk_tokens(F.col("t")), t="The cats don't sit") == ["cats", "sit"]
+
+
+def test_dictionary(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"metadata": {"v": 1}, "a": ["x", "y"], "abbreviations": ["y", "z"]}', encoding="utf-8")
+    assert T.dictionary_words(spark, str(tmp_path / "d.json")) == ["x", "y", "z"] and T.dictionary_words(spark, str(tmp_path / "d.json"), "abbreviations") == ["y", "z"]
+    assert len(T.dictionary_words(spark, str(tmp_path / "none.json"))) == 43
+
+
+def test_required_json(spark):
+    assert value(spark, T.required_json_array(F.col("t")), t='x [ {"a": 1} ] y') == '[ {"a": 1} ]'
+    with pytest.raises(Exception, match="no JSON array"):
+        value(spark, T.required_json_array(F.col("t")), t="none")
