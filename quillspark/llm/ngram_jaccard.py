@@ -140,7 +140,8 @@ SPARE = 8
 REST = 0.25
 #: Longs of parity bits: each token of a set turns one bit over.
 PARITY = 8
-CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<int>, third array<int>"
+#: Of the second and third prefixes 16 bits of a token are kept: what two sets share they still share, and what they seem to share is verified.
+CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<short>, third array<short>"
 
 
 def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
@@ -164,9 +165,9 @@ def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
                     order = np.argsort((rank << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[:p]
                     cold = int((rank[order] <= hot).sum())
                     parity = np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
-                    prefixes = [parity, s[order].view(np.int64)] + [(np.partition(_mix(s ^ seed), p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for seed in _SEEDS]
+                    prefixes = [parity, s[order].view(np.int64)] + [np.partition(_mix(s ^ seed), p - 1)[:p].astype(np.uint16).view(np.int16) for seed in _SEEDS]
                 rows.append((int.from_bytes(sig[:8], "little", signed=True), sig, n, cold, *prefixes))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int16())]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *cols], names=["doc_id", "tag", *(c.split()[0] for c in CLASS.split(", "))])
 
@@ -184,15 +185,14 @@ def _sets(docs: DataFrame, alike: Alike) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, alike: Alike, name: str) -> DataFrame:
-    """The pairs (x, y) of classes that link, also as sigs a and b.
+    """The pairs (x, y) of classes that link, also as sigs a and b; sizes and parity bits have let them pass.
 
     First the other two orders' prefixes are intersected; only what is left has its texts fetched and its sets compared."""
     # tables of their own: where they are small, Spark knows so and doesn't shuffle all classes and texts to find a few
     needed = pairs.select(F.col("x").alias("cid")).union(pairs.select("y"))
-    about = stored(classes.join(needed, "cid", "left_semi").select("cid", "doc_id", "tag", "n", "parity", "second", "third"), f"jaccard-{name}-about")
-    side = {c: about.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
-    left = pairs.join(side["x"], "x").join(side["y"], "y")
-    left = left.where(alike.near(F.col("n_x"), F.col("n_y"), F.col("p_x"), F.col("p_y")) & F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y"))
+    about = stored(classes.join(needed, "cid", "left_semi").select("cid", "doc_id", "tag", "second", "third"), f"jaccard-{name}-about")
+    side = {c: about.select(F.col("cid").alias(c), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
+    left = pairs.join(side["x"], "x").join(side["y"], "y").where(F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y"))
     left = stored(left.select("x", "y"), f"jaccard-{name}-candidates")
     needed = left.select(F.col("x").alias("cid")).union(left.select("y"))
     texts = stored(about.join(needed, "cid", "left_semi").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), f"jaccard-{name}-needed")
