@@ -186,11 +186,11 @@ def chunk_language(text: Column) -> Column:
     return let(_letter_counts(text), of)
 
 
-def estimated_tokens(text: Column) -> Column:
-    """Characters by 3 (Vietnamese), 4 (English) or 3.5, rounded down."""
+def estimated_tokens(text: Column, about: Column | None = None) -> Column:
+    """Characters by 3 (Vietnamese), 4 (English) or 3.5, rounded down. about: the text's chunk_language(), where it is known."""
     n = F.length(text)
     by = lambda c: F.when(c["language"] == "vietnamese", F.floor(n / 3)).when(c["language"] == "english", F.floor(n / 4)).otherwise(F.floor(n / 3.5))
-    return let(chunk_language(text), by).cast("long")
+    return (let(chunk_language(text), by) if about is None else by(about)).cast("long")
 
 
 def _matches(line: Column, patterns: tuple[str, ...], flags: str) -> Column:
@@ -324,12 +324,13 @@ def bm25_tokens(text: Column, segment: Segment | None = None) -> Column:
     return F.when(text.rlike(r"[^\x00-\x80]"), own).otherwise(plain)
 
 
-def chunk_tokens(text: Column, segment: Segment | None = None) -> Column:
-    """Tokens without stop words: Vietnamese ones keep their case, all others are in lower case. segment: cuts Vietnamese texts, else runs of letters do."""
+def chunk_tokens(text: Column, segment: Segment | None = None, about: Column | None = None) -> Column:
+    """Tokens without stop words: Vietnamese ones keep their case, all others are in lower case. segment: cuts Vietnamese texts, else runs of letters do.
+    about: the text's chunk_language(), where it is known."""
     cut = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1) if segment is None else F.filter(segment(text), lambda w: strip(w) != "")
     vi = F.filter(cut, lambda w: ~F.lower(w).isin(*K.VI_STOPWORDS))
     en = F.filter(bm25_tokens(text), lambda w: ~w.isin(*K.EN_STOPWORDS))
-    return F.when(chunk_language(text)["language"] == "vietnamese", vi).otherwise(en)
+    return F.when((chunk_language(text) if about is None else about)["language"] == "vietnamese", vi).otherwise(en)
 
 
 def dictionary_union(json: Column, category: str | None = None) -> Column:

@@ -244,15 +244,16 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, section (from 0), section_level and content; see section_pieces()."""
     rows = _chunked(docs, lambda text: [Piece(i, level, "section", content) for i, (level, content) in enumerate(section_pieces(text))])
-    return rows.select("doc_id", F.col("chunk_index").alias("section"), "section_level", F.col("page_content").alias("content")).where("content <> ''")
+    return rows.select("doc_id", F.col("chunk_index").alias("section"), "section_level", F.col("page_content").alias("content"))
 
 
 def with_metadata(chunks: DataFrame, segment: T.Segment | None = None) -> DataFrame:
     """Chunks with chunk_id, token_count, language_info and bm25_tokens; segment cuts Vietnamese texts into words."""
-    c = F.col("page_content")
-    return chunks.select(
+    c, about = F.col("page_content"), F.col("language_info")
+    rows = chunks.select(*CHUNK, T.chunk_language(c).alias("language_info"))  # once for all that need it
+    return rows.select(
         F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), c), 256).alias("chunk_id"), *CHUNK,
-        T.estimated_tokens(c).alias("token_count"), T.chunk_language(c).alias("language_info"), T.chunk_tokens(c, segment).alias("bm25_tokens"),
+        T.estimated_tokens(c, about).alias("token_count"), "language_info", T.chunk_tokens(c, segment, about).alias("bm25_tokens"),
     )
 
 
