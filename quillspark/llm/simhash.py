@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,18 @@ def near_rows(prints: DataFrame, is_query: Column, radius: int = RADIUS, blocks:
     return met.groupBy("hi", "lo").agg(F.sum("_n").alias("n_near"))
 
 
+def _place(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are not above the value. Two steps of the root of their number: first the run of cuts, then the place in it."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, isqrt(len(cuts)))
+    runs = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    below = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    run = below(F.lit([r[0] for r in runs]).cast("array<bigint>"))
+    inner = F.get(F.lit(runs).cast("array<array<bigint>>"), run - 1)
+    return F.when(run == 0, 0).otherwise((run - 1) * width + below(inner))
+
+
 def in_order(base: DataFrame, per_bucket: int = 100_000) -> DataFrame:
     """base (doc_id, digest, ...) with _bucket: the rows in order of doc_id and digest, null first, cut into buckets of about equal size,
     and after each bucket's rows, marked _extra, the first row of the next bucket; after the last one, that of the first.
@@ -123,10 +136,10 @@ def in_order(base: DataFrame, per_bucket: int = 100_000) -> DataFrame:
     The cuts are approximate percentiles of the ids; they and one id per bucket of 100,000 rows meet at the driver, some 16 bytes for each."""
     spark = base.sparkSession
     want = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // per_bucket)
-    n = max(1, (want))
+    n = max(1, want)
     cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 40_000)).head()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    bucket = _place(cuts, F.col("doc_id"))
     placed = base.withColumn("_bucket", F.coalesce(F.when(F.col("doc_id").isNotNull(), bucket), F.lit(0))).withColumn("_extra", F.lit(False))
     firsts = sorted(placed.groupBy("_bucket").agg(F.min(F.struct("doc_id", "digest")).alias("f")).collect(), key=lambda r: r[0])
     before = [(firsts[i - 1]["_bucket"], *r["f"]) for i, r in enumerate(firsts)]

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,29 @@ def test_edited_texts(docs):
     assert len({r.fingerprint for r in got if r.doc_id == 6}) == 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 101])
+def test_places_among_cuts(spark, n):
+    import bisect
+
+    cuts = [3 * i - 20 for i in range(n)]
+    rows = spark.createDataFrame([(x,) for x in range(-30, 320, 7)], "v long").select("v", simhash._place(cuts, F.col("v")).alias("p")).collect()
+    assert all(r.p == bisect.bisect_right(cuts, r.v) for r in rows)
+
+
+def test_fingerprints_are_votes(spark):
+    """Each bit by counting, over hashes of the terms that Spark gives one by one."""
+    texts = ["the cat sat on The mat", "a", "a b", "", "x y z " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.hi, r.lo) for r in simhash.fingerprints(df, ["doc_id"], "text").collect()}
+    for i, t in enumerate(texts):
+        ws = t.lower().split()
+        terms = [(ws[j], *(ws[j + k] if j + k < len(ws) else None for k in (1, 2))) for j in range(len(ws))]
+        h = spark.createDataFrame(terms, "t0 string, t1 string, t2 string").select(F.xxhash64("t0", "t1", "t2"), F.xxhash64(F.lit(1), "t0", "t1", "t2")).collect() if terms else []
+        for w in (0, 1):
+            bits = sum(1 << b for b in range(64) if 2 * sum((x[w] >> b) & 1 for x in h) > len(h))
+            assert got[i][w] & (2**64 - 1) == bits
+
+
 @pytest.mark.parametrize("radius,blocks", [(0, 2), (3, 4), (5, 8)])
 def test_radius_search_equals_brute_force(spark, radius, blocks):
     import random

@@ -70,3 +70,51 @@ def test_long_salads_get_a_bad_vote_for_variety(spark, n):
     vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
     docs = spark.createDataFrame([(1, " ".join(rng.choices(vocabulary, k=n)))], "doc_id long, text string")
     assert Q.with_counts(docs).select(Q.rules()["variety"].alias("v")).head().v == 0
+
+
+def test_em_by_hand():
+    """The same model, row by row: what each row's votes say of its quality, then how often each rule votes how for either quality."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        good = rng.random() < 0.8
+        rows.append([2 if rng.random() < 0.5 else int(rng.random() < (0.97 if good else 0.2)) for _ in range(4)])
+    patterns = sorted(set(map(tuple, rows)))
+    weights = [rows.count(list(p)) for p in patterns]
+    model = Q.fit(np.array(patterns), np.array(weights, dtype=float), rounds=40, tolerance=0)
+    belief = {0: [0.30, 0.30, 0.40], 1: [0.001, 0.50, 0.499]}
+    strength = {0: 1.0, 1: max(10.0, 0.1 * len(rows))}
+    acc, prior = {(r, y): belief[y] for r in range(4) for y in (0, 1)}, 0.8
+
+    def quality(votes):
+        p = {0: 1 - prior, 1: prior}
+        for r, v in enumerate(votes):
+            for y in (0, 1):
+                p[y] *= acc[r, y][v]
+        return p[1] / (p[0] + p[1])
+
+    for _ in range(40):
+        q = [quality(v) for v in rows]
+        new = {}
+        for r in range(4):
+            for y in (0, 1):
+                seen = [sum((x if y else 1 - x) for x, v in zip(q, rows, strict=True) if v[r] == k) + belief[y][k] * strength[y] for k in range(3)]
+                new[r, y] = [s / sum(seen) for s in seen]
+        acc, prior = new, (sum(q) + 8) / (len(rows) + 10)
+    assert abs(model.prior - prior) < 1e-9
+    assert all(abs(model.posterior(np.array([p]))[0] - quality(p)) < 1e-9 for p in patterns)
+
+
+def test_kept_is_what_the_posterior_says(spark, sf_dir):
+    counts = Q.with_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 300"), keep=["doc_id"]).cache()
+    model = Q.vote_model(counts)
+    import numpy as np
+
+    votes = {r.doc_id: [r[k] for k in Q.rules()] for r in counts.select("doc_id", *[v.alias(k) for k, v in Q.rules().items()]).collect()}
+    for r in Q.judge(counts, model).collect():
+        odds = np.prod([model.accuracy[i, 1, v] / model.accuracy[i, 0, v] for i, v in enumerate(votes[r.doc_id])]) * model.prior / (1 - model.prior)
+        assert abs(r.quality - odds / (1 + odds)) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
