@@ -109,6 +109,31 @@ def test_document_index(spark):
     assert chunking.with_document_index(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_recursive_split(seed):
+    """Nothing is lost or made up and pieces come in order; with an overlap each piece begins within the one before, or where it ends."""
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["word", "từ", "x" * 40, " ", " ", ".", "\n", "\n\n", "\n\n\n", "。", ";", "12"]) for _ in range(800))
+    plain = lambda t: "".join(t.split())
+    none = chunking.ChunkConfig(chunk_size=30, chunk_overlap=0)
+    assert "".join(map(plain, chunking.split_recursively(text, none))) == plain(text)
+    config = chunking.ChunkConfig(chunk_size=30, chunk_overlap=10)
+    at, whole = 0, plain(text)
+    for p in map(plain, chunking.split_recursively(text, config)):
+        ends = [s + len(p) for s in range(max(0, at - 400), at + 1) if whole.startswith(p, s) and s + len(p) > at]
+        assert ends
+        at = min(ends)
+    assert at == len(whole)
+
+
+def test_small_pieces_join():
+    config = chunking.ChunkConfig(chunk_size=5, chunk_overlap=0, min_chunk_size=12, max_chunk_size=60)
+    joined = chunking.simple_pieces("alpha beta gamma delta epsilon zeta\n\nab", config)
+    assert joined[-1].endswith("\nab") and len(joined[-1]) > 12
+    dropped = chunking.ChunkConfig(min_chunk_size=50, keep_small_chunks=False)
+    assert chunking.simple_pieces("short", dropped) == [] and chunking.simple_pieces("short", chunking.ChunkConfig()) == ["short"]
+
+
 def test_chunk_text():
     rows = chunking.chunk_text("CHAPTER 1\ntext one, here.\nCHAPTER 2\nlast, words.", metadata={"a": 1})
     assert [(r["metadata"]["strategy"], r["metadata"]["chunk_index"], r["metadata"]["a"]) for r in rows] == [("hierarchical", 0, 1), ("hierarchical", 1, 1)]

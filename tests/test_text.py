@@ -21,7 +21,7 @@ def test_document_language(spark, text, want):
     assert value(spark, T.document_language(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("Một câu đơn giản, không có gì.", "simple"), ("CHƯƠNG 1: TỔNG QUAN\n\nNội dung chương 1", "hierarchical"), ("```python\nprint('x')\n```", "code"), ("| a, 1 | b, 2 |\n| c, 3 | d, 4 |", "tabular")])
+@pytest.mark.parametrize("text,want", [("Một câu đơn giản, không có gì.", "simple"), ("CHƯƠNG 1: TỔNG QUAN\n\nNội dung chương 1", "hierarchical"), ("```python\nprint('x')\n```", "code"), ("| a, 1 | b, 2 |\n| c, 3 | d, 4 |", "tabular"), ("# one\n## two\n### three", "hierarchical")])
 def test_structure(spark, text, want):
     assert value(spark, T.structure(F.col("t"))["structure_type"], t=text) == want
 
