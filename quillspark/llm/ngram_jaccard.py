@@ -126,10 +126,11 @@ def frequencies(docs: DataFrame, alike: Alike, bits: int = 22, slices: int = 16)
     merged = some.groupBy("part").applyInArrow(lambda t: merge(t), "part int, counts binary")
     import zlib
 
-    total = np.zeros(size, np.uint32)
-    for r in merged.collect():
-        total[r[0] * (size // slices) : (r[0] + 1) * (size // slices)] = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint32)
-    return np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8)
+    ranks = np.zeros(size, np.uint8)
+    for r in merged.collect():  # compressed; the driver never holds all counts at once
+        total = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint32)
+        ranks[r[0] * (size // slices) : (r[0] + 1) * (size // slices)] = np.minimum(255, np.round(8 * np.log2(1.0 + total)))
+    return ranks
 
 
 #: How many classes of another component a class is compared with in a round, before pairs are.
@@ -139,7 +140,7 @@ SPARE = 8
 #: The rounds end when other tokens' pairs are at most so many for each row of shared tokens.
 REST = 0.25
 #: Longs of parity bits: each token of a set turns one bit over.
-PARITY = 8
+PARITY = 4
 #: Of the second and third prefixes 16 bits of a token are kept: what two sets share they still share, and what they seem to share is verified.
 CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<short>, third array<short>"
 
