@@ -84,10 +84,10 @@ def fit(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, dims: int =
     if not n:
         return Neighbours(idf, np.zeros((counts.shape[1], 1), np.float32), np.zeros((0, 1), np.float32), labels, weights, k, power)
     x = counts * idf
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    values, vectors = np.linalg.eigh(x @ x.T)  # single precision, as the driver's memory is small; what it can't tell from none is left out
     top = np.argsort(-values)[: min(dims, n)]
-    top = top[values[top] > 1e-9 * max(values.max(), 1e-30)]
+    top = top[values[top] > 1e-5 * max(values.max(), 1e-30)]
     basis = (x.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
     model = Neighbours(idf, basis, np.zeros((0, 1), np.float32), labels, weights, k, power)
     return Neighbours(idf, basis, model.project(counts), labels, weights, k, power)
