@@ -98,7 +98,7 @@ def _vietnamese_score(text: Column, counts: Column, words: tuple[str, ...] | lis
         char_score = F.when(counts["letters"] > 0, counts["marked"] / counts["letters"]).otherwise(0.0)
         return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), word_score * 0.7 + char_score * 0.3))
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1), of)
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{M}\p{Pc}]+)"), 1), of)
 
 
 def vietnamese_score(text: Column, words: tuple[str, ...] | list[str] = K.VI_WORDS, abbreviations: tuple[str, ...] = K.VI_ABBREVIATIONS) -> Column:
