@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ngram_jaccard, packing, quality_knn, quality_rules, sentencepiece_scan, simhash, suffix_tree, token_binary, token_counts, warc
+from quillspark.llm import conversations, merkle, ngram_jaccard, packing, quality_knn, quality_rules, sentencepiece_scan, sharding, simhash, suffix_tree, token_binary, token_counts, warc
 from quillspark.llm.common import scratch, table
 from quillspark.llm.tokens import default_path
 
@@ -73,7 +73,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op5_suffix_tree, op6_quality_knn, op7_sentencepiece_scan, op8_simhash, op9_weak_supervision, op10_packing)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = conversations.repair_report(conversations.damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def op12_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards(table(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields, docs = ["doc_id", "source", "lang", "n_chars", "text"], table(spark, sf_dir, "documents")
+    upper = "".join(map(chr, range(65, 91)))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    rows = merkle.proofs(docs, fields, claimed=merkle.leaf(*[F.col(f) for f in fields[:-1]], tampered))
+    folded = merkle.fold(F.col("claimed"), F.col("steps"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("steps")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op5_suffix_tree, op6_quality_knn, op7_sentencepiece_scan, op8_simhash, op9_weak_supervision, op10_packing, op11_conversation_repair, op12_minimax_shards, op13_merkle_manifest)}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
