@@ -14,13 +14,13 @@ _LOCAL_BITS = 33  # monotonically_increasing_id(): the partition above them, the
 def numbered(df: DataFrame, order: list[Column], out: str, name: str, running: dict[str, str] | None = None) -> DataFrame:
     """df with `out`, the place of each row from 0 in the given order, and running sums: {new column: summed column}, the row itself included.
 
-    Rows are dealt by ranges of the order and sorted where they are, so a hot value is split as long as the order tells its rows
+    df is stored first, as ranges take a look at all of it before rows are dealt. Rows are dealt by ranges of the order and sorted where they are, so a hot value is split as long as the order tells its rows
     apart; the sorted rows are stored, and each part's count and sums are added to its rows. What is broadcast is one
     row for each part. Nulls come first. Rows that are equal in the order get places in no certain order."""
     running = running or {}
     keys = [f"_k{i}" for i in range(len(order))]
     rows = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    rows = stored(rows, name).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
     rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()), name)
     part = F.shiftright("_id", _LOCAL_BITS)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_before_part"), *[F.sum(c).alias(f"_s_{o}") for o, c in running.items()])
