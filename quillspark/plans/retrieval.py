@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import prompts as P
-from quillspark.operators import bm25, hybrid, vectors
+from quillspark.operators import bm25, hybrid, postings, vectors
 from quillspark.operators.catalog import Collections
 from quillspark.operators.chunking import ChunkConfig, chunk_documents, with_metadata
 from quillspark.sources import files
@@ -18,14 +18,17 @@ def ingest(docs: DataFrame, collection: str, embedder: vectors.Embedder, config:
     return rows.withColumns({"collection": F.lit(collection), "embedding_model": F.lit(type(embedder).__name__), "embedding_dimension": F.lit(embedder.dimension)})
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, weights: dict[str, float] | None = None, word_weight: float = 0.3, vector_weight: float = 0.7, threshold: float | None = 0.3, vector_threshold: float | None = vectors.DEFAULT_THRESHOLD, where: dict[str, object] | None = None, index: bm25.Index | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10, weights: dict[str, float] | None = None, word_weight: float = 0.3, vector_weight: float = 0.7, threshold: float | None = 0.3, vector_threshold: float | None = vectors.DEFAULT_THRESHOLD, where: dict[str, object] | None = None, index: bm25.Index | postings.Segments | None = None) -> DataFrame:
     """Fused results over the collections of chunks (collection, chunk_id, page_content, embedding) for queries (query_id, query_text, query_embedding).
 
     All collections are searched in one plan; word statistics, candidates and ranks are each collection's own. Filters hold for both searches;
-    for words they come after the collection's statistics. Chunks without an embedding are found by words alone. index: a stored one by collection."""
+    for words they come after the collection's statistics. Chunks without an embedding are found by words alone. index: one by collection; of a stored one (postings.Segments) only the blocks that count are read."""
     cond, many, by = bm25.equals(where), hybrid.candidates(k), ("collection",)
     allowed = None if cond is None else chunks.where(cond)
-    words = bm25.top_k(bm25.normalised(index or bm25.build(chunks, by=by), queries), many, keep=allowed, by=by)
+    if isinstance(index, postings.Segments):
+        words = index.normalised_top_k(queries, many, keep=allowed)
+    else:
+        words = bm25.top_k(bm25.normalised(index or bm25.build(chunks, by=by), queries), many, keep=allowed, by=by)
     near = vectors.search(chunks if allowed is None else allowed, queries, many, vector_threshold, by=by)
     fused = hybrid.fuse(words, near, word_weight, vector_weight, threshold, k, by=("query_id", *by))
     return hybrid.over_collections(fused, weights, threshold, k)

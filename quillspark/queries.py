@@ -9,8 +9,9 @@ from quillspark.functions import constants as K
 from quillspark.functions import llm_calls
 from quillspark.functions import prompts as P
 from quillspark.functions import text as T
-from quillspark.operators import bm25, catalog, chunking, hybrid, vectors
+from quillspark.operators import bm25, catalog, chunking, hybrid, postings, vectors
 from quillspark.plans import retrieval
+from quillspark.shared import scratch
 from quillspark.sources import files
 
 LANGUAGES = ("de", "en", "es", "fr")  # of the test documents; only the SQL needs to know them
@@ -44,6 +45,66 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(bm25.top_k(bm25.scores(index, _asked(spark)).withColumnRenamed("raw", "score"), 10))
 
 
+_INDICES: dict[tuple[str, str, tuple[str, ...]], postings.Segments] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> postings.Segments:
+    """The stored index of all documents, two segments: made by the first search of an application, read by those after it."""
+    key = (spark.sparkContext.applicationId, sf_dir, by)
+    if key not in _INDICES:
+        index = postings.Segments(spark, scratch(spark, "bm25"), by)
+        docs = _chunks(spark, sf_dir).withColumn("doc_id", F.col("chunk_id"))
+        index.add(docs.where("collection <> 'de'"))
+        index.add(docs.where("collection = 'de'"))
+        _INDICES[key] = index
+    return _INDICES[key]
+
+
+def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, over the stored index: only blocks that can hold one of the best are read."""
+    return _ranked(_stored_index(spark, sf_dir).top_k(_asked(spark), 10).withColumnRenamed("raw", "score"))
+
+
+def bm25_stored_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk_filtered, over the stored index."""
+    keep = _chunks(spark, sf_dir).where(bm25.equals({"source": ["src1", "src2", "src3"]}))
+    return _ranked(_stored_index(spark, sf_dir).normalised_top_k(_asked(spark), 10, 0.2, keep))
+
+
+def hybrid_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hybrid_multi_collection, words by the stored index of all collections."""
+    index = _stored_index(spark, sf_dir, ("collection",))
+    rows = retrieval.search(_embedded(spark, sf_dir), _both_queries(spark, sf_dir), 10, {"de": 0.5}, threshold=0.05, vector_threshold=None, index=index)
+    return rows.select("query_id", "rank", "collection", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> postings.Segments:
+    """An index that went through old texts, their edits, and a removal: documents without a line's end had other texts first, French ones went."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("_half"), "lang", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = F.when(F.col("_half") == 0, F.left("text", half)).otherwise(F.substr("text", half + 1))
+    chunks = docs.select("doc_id", (F.col("doc_id") * 2 + F.col("_half")).alias("chunk_id"), "lang", part.alias("page_content"))
+    old = chunks.withColumn("page_content", F.when(F.col("doc_id") % 2 == 0, F.lower(F.reverse("page_content"))).otherwise(F.col("page_content")))
+    index = postings.Segments(spark, scratch(spark, "bm25-kept"))
+    index.add(old)
+    index.add(chunks.where("not (doc_id % 10 = 0 and chunk_id % 2 = 1)"), removed=docs.limit(0).select("doc_id"))
+    index.add(chunks.limit(0), removed=docs.where("lang = 'fr'").select("doc_id"))
+    return index
+
+
+def bm25_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited, shortened and removed documents in an index in segments: what is left of each chunk."""
+    index = _maintained(spark, sf_dir).as_index()
+    terms = index.postings.groupBy("chunk_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+    return index.stats.join(terms, "chunk_id", "left").select("chunk_id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+def bm25_merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index merged to one segment: how many terms have each document frequency, and their weights."""
+    stats = _maintained(spark, sf_dir).merge(scratch(spark, "bm25-merged")).term_stats()
+    return stats.groupBy("df").agg(F.count("*").alias("terms"), F.round(F.max("idf"), 6).alias("idf"))
+
+
 def bm25_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bm25.normalised(bm25.build(_chunks(spark, sf_dir)), _asked(spark))
     return rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
@@ -56,7 +117,9 @@ def bm25_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.term_stats(bm25.build(_chunks(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
+    """How many terms have each document frequency, their weights, and the least and the largest of them."""
+    stats = bm25.term_stats(bm25.build(_chunks(spark, sf_dir)))
+    return stats.groupBy("df").agg(F.count("*").alias("terms"), F.round(F.max("idf"), 6).alias("idf"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +470,7 @@ def measurement_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    bm25_topk, bm25_minmax, bm25_topk_filtered, bm25_topk_alt, bm25_incremental, term_stats, vector_topk, vector_topk_threshold, vector_batch_topk,
+    bm25_topk, bm25_stored_topk, bm25_stored_filtered, hybrid_stored, bm25_maintained, bm25_merged_terms, bm25_minmax, bm25_topk_filtered, bm25_topk_alt, bm25_incremental, term_stats, vector_topk, vector_topk_threshold, vector_batch_topk,
     hybrid_search, hybrid_multi_collection, search_results, clean_text, vi_score, doc_language, content_type, doc_metadata, chunk_language,
     token_estimate, structure_type, text_checks, heading_extract, chunk_semantic, chunk_hierarchical, chunk_simple, chunk_dispatch, chunk_strategy,
     document_index, tokenize_bm25, tokenize_stopwords, html_to_text, collection_stats, upload_check, file_info, object_keys, embedding_stats,
@@ -441,6 +504,10 @@ def _sql() -> dict[str, str]:
             ends AS (SELECT query_id, CASE WHEN count(*) < (SELECT n FROM nn) THEN least(min(raw), 0) ELSE min(raw) END AS lo, CASE WHEN count(*) < (SELECT n FROM nn) THEN greatest(max(raw), 0) ELSE max(raw) END AS hi FROM sc GROUP BY 1),
             norm AS (SELECT query_id, chunk_id, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE raw END AS score FROM sc JOIN ends USING (query_id))"""
 
+    kept = rf"""
+        kc AS (SELECT chunk_id, regexp_extract_all(lower(part), '[\p{{L}}\p{{N}}_]+') AS toks FROM (
+            SELECT doc_id * 2 + h AS chunk_id, CASE WHEN h = 0 THEN left(text, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS part
+            FROM documents, (VALUES (0), (1)) v(h) WHERE lang <> 'fr' AND NOT (doc_id % 10 = 0 AND h = 1)))"""
     ranked = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round({0}, 9) DESC, chunk_id) AS INTEGER) AS rank"
     cos = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
     history = """
@@ -525,7 +592,11 @@ def _sql() -> dict[str, str]:
         "bm25_topk": rf"WITH {index()}, r AS (SELECT query_id, chunk_id, raw, {ranked.format('raw')} FROM sc) SELECT query_id, rank, chunk_id, round(raw, 6) AS score FROM r WHERE rank <= 10",
         "bm25_minmax": f"WITH {index()} SELECT query_id, chunk_id, round(score, 6) AS score FROM norm",
         "bm25_topk_filtered": rf"WITH {index()}, r AS (SELECT query_id, norm.chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, norm.chunk_id) AS INTEGER) AS rank FROM norm JOIN c ON c.chunk_id = norm.chunk_id WHERE score >= 0.2 AND source IN ('src1', 'src2', 'src3')) SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10",
-        "term_stats": f"WITH {index()} SELECT term, df, round(idf, 6) AS idf FROM ts",
+        "term_stats": f"WITH {index()} SELECT df, count(*) AS terms, round(max(idf), 6) AS idf, min(term) AS first_term, max(term) AS last_term FROM ts GROUP BY df",
+        "bm25_maintained": f"""WITH {kept}, t AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM kc) GROUP BY 1, 2), s AS (SELECT chunk_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM t GROUP BY 1)
+            SELECT kc.chunk_id, len(toks) AS dl, coalesce(terms, 0) AS terms, coalesce(tokens, 0) AS tokens FROM kc LEFT JOIN s USING (chunk_id)""",
+        "bm25_merged_terms": f"""WITH {kept}, d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM kc) GROUP BY 1), r AS (SELECT df, ln((SELECT count(*) FROM kc) - df + 0.5) - ln(df + 0.5) AS raw FROM d)
+            SELECT df, count(*) AS terms, round(max(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END), 6) AS idf FROM r GROUP BY df""",
         "vector_topk": f"SELECT a.vec_id AS chunk_id, round({cos}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY round({cos}, 9) DESC, a.vec_id LIMIT 10",
         "vector_topk_threshold": f"SELECT a.vec_id AS chunk_id, round({cos}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label IN (0, 1, 2, 3) AND {cos} >= 0.1 ORDER BY round({cos}, 9) DESC, a.vec_id LIMIT 50",
         "vector_batch_topk": f"WITH {near}, r AS (SELECT *, {ranked.format('score')} FROM nv) SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10",
@@ -617,3 +688,5 @@ def _sql() -> dict[str, str]:
 
 
 ORACLES = _sql()
+# the same results from a stored index
+ORACLES |= {stored: ORACLES[plain] for stored, plain in (("bm25_stored_topk", "bm25_topk"), ("bm25_stored_filtered", "bm25_topk_filtered"), ("hybrid_stored", "hybrid_multi_collection"))}
