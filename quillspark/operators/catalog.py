@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.bm25 import equals
+from quillspark.shared import stored
 
 
 @dataclass
@@ -160,27 +162,58 @@ class KeyValueTable:
         self._change(lambda old: old.where(~F.coalesce(condition, F.lit(False))))
 
 
-#: Fields that searches filter on: rows are sorted by the first ones that there are, and each has a Bloom filter.
+#: Fields that searches filter on. Each has a Bloom filter, and rows lie by a Z-order key of the first ZORDERED ones that there are.
 INDEXED = ("source_file", "doc_id", "chunk_id", "embedding_model", "file_extension", "processing_timestamp")
+ZORDERED = ("source_file", "file_extension", "processing_timestamp")
+#: Values that a field's cuts are made from, and the bits of a place among them.
+SAMPLED, PLACE_BITS = 10_000, 6
+
+
+def zorder_key(rows: DataFrame, fields: list[str], bits: int = PLACE_BITS, most_sampled: int = SAMPLED) -> Column:
+    """A key under which rows near each other in several fields lie together: the bits of each field's percentile rank, interleaved.
+
+    Ranks are places among cuts of a sample of at most most_sampled rows, which decides how rows lie, never which there are. Null ranks first."""
+    n = rows.count()
+    some = rows.select(*fields).sample(min(1.0, most_sampled / max(n, 1)), 11).limit(most_sampled).collect() if fields else []
+    places = []
+    for f in fields:
+        values = sorted(v for v in (r[f] for r in some) if v is not None)
+        cuts = sorted({values[len(values) * i // (1 << bits)] for i in range(1, 1 << bits)}) if values else []
+        kind = rows.schema[f].dataType
+        value = F.col(f)
+        below = sum((F.when(F.lit(c).cast(kind) <= value, 1).otherwise(0) for c in cuts), F.lit(1))
+        places.append(F.when(F.col(f).isNull(), 0).otherwise(below).cast("long"))
+    key = F.lit(0).cast("long")
+    for bit in range(bits + 1):
+        for i, p in enumerate(places):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(p, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(places) + i))
+    return key
 
 
 @dataclass
 class Collections:
-    """Collections of chunks: a folder root/collection=<name> with versions of Parquet; a name reads no other collection's files.
+    """Collections of chunks: Parquet below root/collection=<name>, parted by `bucket`, a hash of the chunk's id.
 
-    Rows are added to the last version as parts; what replaces or removes rows writes a new version, so a lost writer loses nothing."""
+    What replaces or removes rows rewrites the buckets that have them and no other file (dynamic partition overwrite). Every write sorts by a Z-order key of
+    the filter fields and writes Bloom filters, so filters skip row groups after any number of changes. One writer at a time: another gets a Conflict. A writer that is
+    lost before it commits leaves the old buckets; each bucket is moved in as a whole."""
 
     spark: SparkSession
     root: str
+    buckets: int = 32
+    row_group_bytes: int = 32 << 20
 
-    def _versions(self, name: str) -> Versions:
+    def _path(self, name: str) -> str:
         if not name or "/" in name or "=" in name:
             raise ValueError(f"bad collection name: {name!r}")
-        return Versions(Store(self.spark, f"{self.root}/collection={name}"))
+        return f"{self.root}/collection={name}"
+
+    def _store(self, name: str) -> Store:
+        return Store(self.spark, self._path(name))
 
     def create(self, name: str, force: bool = False) -> bool:
         """Whether it is new; one that is there stays, or is emptied with force."""
-        store = self._versions(name).store
+        store = self._store(name)
         if store.has("") and not force:
             return False
         store.remove("")
@@ -188,7 +221,7 @@ class Collections:
         return fs.mkdirs(p)
 
     def drop(self, name: str) -> bool:
-        return self._versions(name).store.remove("")
+        return self._store(name).remove("")
 
     def names(self) -> list[str]:
         return [n.removeprefix("collection=") for n in Store(self.spark, self.root).names() if n.startswith("collection=")]
@@ -197,38 +230,71 @@ class Collections:
         known = self.spark.createDataFrame([(n,) for n in self.names()], "name string")
         return sorted(r[0] for r in missing(self.spark.createDataFrame([(n,) for n in wanted], "name string"), known).collect())
 
-    def _indexed(self, rows: DataFrame, sort: bool = True):
-        some = [c for c in INDEXED if c in rows.columns]
-        out = (rows.sortWithinPartitions(*some[:2]) if some and sort else rows).write.mode("append")
-        for c in some:
-            if rows.schema[c].dataType.simpleString() in ("string", "int", "bigint"):
+    def _rows(self, name: str) -> DataFrame | None:
+        """With bucket; None where nothing was written yet. Columns that some files lack are null there."""
+        if not any(n.startswith("bucket=") for n in self._store(name).names()):
+            return None
+        return self.spark.read.option("mergeSchema", "true").parquet(self._path(name))
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        """rows with bucket, in files of their buckets; several for a large one."""
+        z = zorder_key(rows, [c for c in ZORDERED if c in rows.columns])
+        rows = rows.withColumn("_z", z).repartitionByRange("bucket", "_z").sortWithinPartitions("bucket", "_z").drop("_z")
+        out = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.block.size", str(self.row_group_bytes)).partitionBy("bucket")
+        for c in INDEXED:
+            if c in rows.columns and rows.schema[c].dataType.simpleString() in ("string", "int", "bigint"):
                 out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        return out
+        out.parquet(self._path(name))
+
+    @contextmanager
+    def _alone(self, name: str) -> Iterator[None]:
+        store = self._store(name)
+        if not store.claim("_writing"):
+            raise Conflict(f"{name} is being written")
+        try:
+            yield
+        finally:
+            store.remove("_writing")
 
-    def add(self, name: str, chunks: DataFrame) -> None:
+    def release(self, name: str) -> None:
+        """Lets others write again after a writer was lost."""
+        self._store(name).remove("_writing")
+
+    def add(self, name: str, chunks: DataFrame, key: str = "chunk_id") -> None:
         """Adds rows as they are; repeated ids are there twice, see put()."""
-        v = self._versions(name)
-        if v.last() is None:
-            v.write(None, chunks.limit(0))
-        self._indexed(chunks).parquet(v.path(v.last()))
+        with self._alone(name):
+            self._write(name, chunks.withColumn("bucket", self._bucket(key)), "append")
+
+    def _replace(self, name: str, touched: list[int], rest: DataFrame) -> None:
+        """The touched buckets become what `rest` has of them; those that it has nothing of go."""
+        self._write(name, rest, "overwrite")
+        left = {r[0] for r in rest.select("bucket").distinct().collect()}
+        for b in set(touched) - left:
+            self._store(name).remove(f"bucket={b}")
 
     def put(self, name: str, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-        """Rows by id: known ones are replaced, new ones added, of repeated ones one counts. Their ids."""
-        rows, v = chunks.dropDuplicates([key]), self._versions(name)
-        if v.last() is None:
-            self.add(name, rows)
-        else:
-            kept = self.read(name).drop("collection").join(rows.select(key), key, "left_anti")
-            v.write(v.last(), kept.unionByName(rows, allowMissingColumns=True))
-        return self.read(name).join(chunks.select(key).distinct(), key, "left_semi").select(key)
+        """Rows by id: known ones are replaced, new ones added, of repeated ones one counts. Their ids. Only their buckets are read and written."""
+        rows = stored(chunks.dropDuplicates([key]).withColumn("bucket", self._bucket(key)), "put")
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        with self._alone(name):
+            old = self._rows(name)
+            if old is not None:
+                kept = old.where(F.col("bucket").isin(touched)).join(rows.select(key), key, "left_anti")
+                rows = stored(kept.unionByName(rows, allowMissingColumns=True), "put")
+            if touched:
+                self._write(name, rows, "overwrite")
+        return chunks.select(key).distinct()
 
     def read(self, *names: str) -> DataFrame:
         """Known collections among those named, or all of them, with `collection`."""
         known, out = self.names(), None
         for name in [n for n in (dict.fromkeys(names) or known) if n in known]:
-            v = self._versions(name)
-            if v.last() is not None:
-                part = self.spark.read.parquet(v.path(v.last())).withColumn("collection", F.lit(name))
+            part = self._rows(name)
+            if part is not None:
+                part = part.drop("bucket").withColumn("collection", F.lit(name))
                 out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return self.spark.createDataFrame([], "chunk_id string, collection string") if out is None else out
 
@@ -236,11 +302,21 @@ class Collections:
         """Those of ids that the collection has."""
         return known(ids, self.read(name), key)
 
-    def delete(self, name: str, ids: DataFrame | None = None, conditions: dict[str, object] | None = None) -> bool:
-        """Removes chunks by id or by equal fields; without either nothing happens."""
-        v = self._versions(name)
-        if (ids is not None or conditions) and v.last() is not None:
-            v.write(v.last(), delete_rows(self.read(name).drop("collection"), ids, conditions))
+    def delete(self, name: str, ids: DataFrame | None = None, conditions: dict[str, object] | None = None, key: str = "chunk_id") -> bool:
+        """Removes chunks by id or by equal fields; without either nothing happens. Buckets without such rows are left alone."""
+        if ids is None and not conditions:
+            return True
+        with self._alone(name):
+            old = self._rows(name)
+            if old is None:
+                return True
+            hit = equals(conditions)
+            found = [old.join(ids.select(key).distinct(), key, "left_semi")] if ids is not None else []
+            found += [old.where(F.coalesce(hit, F.lit(False)))] if hit is not None else []
+            touched = sorted({r[0] for f in found for r in f.select("bucket").distinct().collect()})
+            if touched:
+                rest = stored(delete_rows(old.where(F.col("bucket").isin(touched)), ids, conditions, key), "rest")
+                self._replace(name, touched, rest)
         return True
 
 
@@ -313,6 +389,26 @@ def catalog(collections: DataFrame, metadata: DataFrame, stats: DataFrame) -> Da
     return rows.select("name", "description", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("total_size", F.lit(0)).alias("total_size"), F.coalesce("_s", "_m", "created_at").alias("updated_at"))
 
 
+def page_after(rows: DataFrame, order: list[str], after: list[object] | None = None, limit: int = 20) -> DataFrame:
+    """The next rows in the order after a row's values of it (a cursor: the last row of the page before), from the start without one.
+
+    order ends with a column that tells all rows apart. Nulls come first. What is added or taken away before the cursor moves nothing, and the
+    condition reaches the scan, where an offset counts through all rows before it."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be from 1 to 100")
+    if after is not None:
+        if len(after) != len(order):
+            raise ValueError("a cursor has a value for each column of the order")
+        later = F.lit(False)
+        for c, v in reversed(list(zip(order, after, strict=True))):
+            more = F.col(c).isNotNull() if v is None else F.coalesce(F.col(c) > F.lit(v), F.lit(False))
+            later = more | (F.col(c).eqNullSafe(F.lit(v)) & later)
+        if after[0] is not None:
+            rows = rows.where(F.col(order[0]) >= F.lit(after[0]))
+        rows = rows.where(later)
+    return rows.orderBy(*order).limit(limit)
+
+
 def page(rows: DataFrame, order: list[str], skip: int = 0, limit: int = 20) -> DataFrame:
     if skip < 0 or not 1 <= limit <= 100:
         raise ValueError("skip must not be negative and limit be from 1 to 100")

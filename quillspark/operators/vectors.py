@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -62,45 +63,57 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _real(norm: Column) -> Column:
+    """Whether a length is one: above 0 and finite. NaN is above all numbers in Spark, null is null."""
+    return (norm > 0) & (norm < F.lit(float("inf")))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """null for vectors without length."""
+    """null for vectors without length and for those with null, NaN or an infinite value in them."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    return F.when(_real(norm), dot(a, b) / norm)
 
 
 def search_one(vectors: DataFrame, query: list[float], k: int = 10, threshold: float | None = DEFAULT_THRESHOLD, where: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
-    """The k nearest to one vector: a scan with the vector as a literal, and a top-k without a full sort."""
-    size = math.sqrt(sum(x * x for x in query)) or 1.0
-    unit = F.array(*[F.lit(float(x) / size) for x in query])
+    """The k nearest to one vector: a scan with the vector as a literal, and a top-k without a full sort. What has no score in search() has none here."""
+    size = math.sqrt(sum(x * x for x in query)) if all(x is not None and math.isfinite(x) for x in query) else 0.0
+    unit = F.array(*[F.lit(float(x) / size) for x in query]) if size else F.lit(None).cast("array<double>")
     own = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select(id_col, F.when(own > 0, dot(F.col("embedding"), unit) / own).alias("score"))
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
+    rows = rows.select(id_col, F.when(_real(own) & (F.size("embedding") == len(query)), dot(F.col("embedding"), unit) / own).alias("score"))
+    rows = rows.where("score is not null" if threshold is None else F.col("score") >= threshold)
     return rows.orderBy(F.round("score", 9).desc(), id_col).limit(k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = DEFAULT_THRESHOLD, id_col: str = "chunk_id", by: tuple[str, ...] = (), most_bytes: int = 64 << 20) -> DataFrame:
     """query_id, by, id, score, rank: the k nearest of all vectors (of each value of by) for each query (query_id, query_embedding).
 
-    Queries of at most most_bytes are broadcast as one matrix, and blocks of vectors are multiplied with it. More queries
-    meet the vectors as a product of tables: the same results without a broadcast. Vectors without length, of another
-    length than the query's or with null in them have no score. Ties go to the smaller id."""
-    long = queries.select("query_id", F.col("query_embedding").cast("array<double>").alias("v"))
-    size = long.agg(F.sum(F.size("v")), F.max(F.size("v")), F.min(F.size("v"))).head()
-    if size[0] is not None and size[0] * 8 <= most_bytes and size[1] == size[2] > 0:
-        scored = _blocked(vectors, long, k, threshold, id_col, by)
-    else:
-        fits = F.size("embedding") == F.size("v")
-        scored = vectors.select(*by, id_col, "embedding").crossJoin(long).select("query_id", *by, id_col, F.when(fits, cosine(F.col("embedding"), F.col("v"))).alias("score"))
-    rows = scored.where("score is not null" if threshold is None else F.col("score") >= threshold)
-    best = Window.partitionBy("query_id", *by).orderBy(F.round("score", 9).desc(), id_col)
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    Queries are broadcast as matrices of at most most_bytes, and blocks of vectors are multiplied with them; more queries are dealt by their ids to
+    several matrices, each of which sees all vectors. Vectors and queries without length, of another length than the other, or with null, NaN or infinite
+    values in them have no score. Ties go to the smaller id."""
+    long = queries.select("query_id", F.col("query_embedding").cast("array<double>").alias("v")).where(F.size("v") > 0)
+    parts = []
+    for length, count in long.groupBy(F.size("v")).count().collect():  # one row for each length of vectors
+        own, n = long.where(F.size("v") == length), max(1, -(-count * length * 8 // max(most_bytes, length * 8)))
+        parts += [_blocked(vectors, own.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), k, threshold, id_col, by) for i in range(n)]
+    scored = reduce(DataFrame.unionByName, parts) if parts else _nothing(vectors, queries, id_col, by)
+    return best(scored.where("score is not null" if threshold is None else F.col("score") >= threshold), k, id_col, by)
+
+
+def best(scored: DataFrame, k: int, id_col: str = "chunk_id", by: tuple[str, ...] = ()) -> DataFrame:
+    order = Window.partitionBy("query_id", *by).orderBy(F.round("score", 9).desc(), id_col)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nothing(vectors: DataFrame, queries: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame:
+    return vectors.where("false").select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *by, id_col, F.lit(None).cast("double").alias("score"))
 
 
 def _blocked(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, id_col: str, by: tuple[str, ...]) -> DataFrame:
     """query_id, by, id, score: of each Arrow batch at least the k best for each query and value of by, ties with the last of them included."""
-    asked = queries.collect()  # at most most_bytes
+    asked = queries.collect()  # about most_bytes at most
+    if not asked:
+        return _nothing(vectors, queries, id_col, by)
     matrix = np.array([r[1] for r in asked], np.float64)
     matrix[~np.isfinite(matrix).all(axis=1)] = 0  # null in a query: no score
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -119,7 +132,8 @@ def _blocked(vectors: DataFrame, queries: DataFrame, k: int, threshold: float |
                 continue
             x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
             norms = np.linalg.norm(x, axis=1)  # NaN where a value is null
-            scores = (x @ unit.T) / np.where(norms > 0, norms, np.nan)[:, None]
+            real = (norms > 0) & np.isfinite(norms)
+            scores = (np.where(real[:, None], x, 0) @ unit.T) / np.where(real, norms, np.nan)[:, None]
             scores[:, silent] = np.nan
             groups = _numbers([b.column(c).take(pa.array(rows)) for c in by]) if by else np.zeros(len(rows), np.int64)
             for g in np.unique(groups):

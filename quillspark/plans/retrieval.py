@@ -9,6 +9,7 @@ from quillspark.functions import prompts as P
 from quillspark.operators import bm25, hybrid, postings, vectors
 from quillspark.operators.catalog import Collections
 from quillspark.operators.chunking import ChunkConfig, chunk_documents, with_metadata
+from quillspark.shared import stored
 from quillspark.sources import files
 
 
@@ -68,7 +69,7 @@ def process_files(spark: SparkSession, paths: str | list[str], collections: Coll
     docs = files.documents(files.load(spark, paths, extractors), extra)
     kept = [c for c in ("source_file", "file_extension", "language", "content_type", "processing_timestamp", *(extra or {})) if c in docs.columns]
     kept = list(dict.fromkeys(kept))
-    docs = docs.withColumn("doc_id", F.concat_ws("#", "path", F.col("part").cast("string")))
+    docs = stored(docs.withColumn("doc_id", F.concat_ws("#", "path", F.col("part").cast("string"))), "documents")  # each file is parsed once
     chunks = ingest(docs, collection, embedder, ChunkConfig(chunk_size=chunk_size, chunk_overlap=chunk_overlap)).drop("collection")
     rows = chunks.join(docs.select("doc_id", *kept), "doc_id")
     collections.create(collection)
