@@ -31,16 +31,16 @@ def build(chunks: DataFrame, content: str = "page_content", by: tuple[str, ...]
     return Index(postings, stats, tuple(by))
 
 
-def append(index: Index, chunks: DataFrame, content: str = "page_content") -> Index:
+def append(index: Index, chunks: DataFrame, content: str = "page_content", segment: T.Segment | None = None) -> Index:
     """The index with the chunks it doesn't have yet. Their text decides nothing about those it has; see update()."""
-    new = build(chunks.join(index.stats, [*index.by, "chunk_id"], "left_anti"), content, index.by)
+    new = build(chunks.join(index.stats, [*index.by, "chunk_id"], "left_anti"), content, index.by, segment)
     return Index(index.postings.unionByName(new.postings), index.stats.unionByName(new.stats), index.by)
 
 
-def update(index: Index, chunks: DataFrame, content: str = "page_content") -> Index:
+def update(index: Index, chunks: DataFrame, content: str = "page_content", segment: T.Segment | None = None) -> Index:
     """The index with the chunks as they are now: those that it has are taken out first."""
     keys = [*index.by, "chunk_id"]
-    ids, new = chunks.select(*keys), build(chunks, content, index.by)
+    ids, new = chunks.select(*keys), build(chunks, content, index.by, segment)
     return Index(index.postings.join(ids, keys, "left_anti").unionByName(new.postings), index.stats.join(ids, keys, "left_anti").unionByName(new.stats), index.by)
 
 
@@ -73,12 +73,13 @@ def term_stats(index: Index) -> DataFrame:
     return _with(raw, mean, by).select(*by, "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int = 1000) -> DataFrame:
+def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_terms: int = 1000, segment: T.Segment | None = None) -> DataFrame:
     """query_id, by, chunk_id, raw of every chunk that shares a term with a query (query_id, query_text); repeated terms count repeatedly.
+    segment: cuts the queries as it cut the texts.
 
     Queries meet postings by an equi-join on the term. In a stored index the terms, if there are at most most_terms, are pushed to the scan."""
     by = index.by
-    asked = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query_text"), segment)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     postings, terms = index.postings, term_stats(index)
     if index.terms is not None:
         some = [r[0] for r in asked.select("term").distinct().limit(most_terms + 1).collect()]
@@ -90,12 +91,12 @@ def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, m
     return hits.groupBy("query_id", *by, "chunk_id").agg(F.sum(part).alias("raw"))
 
 
-def normalised(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, constant_is_one: bool = False) -> DataFrame:
+def normalised(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, constant_is_one: bool = False, segment: T.Segment | None = None) -> DataFrame:
     """Scores brought to 0..1 per query (and by) by smallest and largest over all chunks, those that share no term (0) included.
 
     Where all are equal they stay as they are, or are 1. Chunks that share no term are in the result only if their score isn't the smallest possible."""
     by = index.by
-    raw = scores(index, queries, k1, b)
+    raw = scores(index, queries, k1, b, segment=segment)
     n = index.stats.groupBy(*by).agg(F.count("*").alias("n"))
     ends = _with(raw.groupBy("query_id", *by).agg(F.count("*").alias("hits"), F.min("raw").alias("lo"), F.max("raw").alias("hi")), n, by)
     silent = F.col("hits") < F.col("n")

@@ -19,7 +19,9 @@ def fuse(words: DataFrame, vectors: DataFrame, word_weight: float = 0.3, vector_
     both = both.fillna(0.0, ["bm25_score", "vector_score"]).withColumn("hybrid_score", word_weight * F.col("bm25_score") + vector_weight * F.col("vector_score"))
     if threshold is not None:
         both = both.where(F.col("hybrid_score") >= threshold)
-    best = Window.partitionBy(*by).orderBy(F.round("hybrid_score", 9).desc(), "chunk_id") if by else None
+    if not by:
+        raise ValueError("results are fused for each query: by names its columns")
+    best = Window.partitionBy(*by).orderBy(F.round("hybrid_score", 9).desc(), "chunk_id")
     both = both.withColumn("rank", F.row_number().over(best))
     return both.where(F.col("rank") <= top_k) if top_k else both
 

@@ -5,7 +5,7 @@ Tables below a path, parted by `segment`; a segment is what one delivery added a
   gone    by, chunk_id                                chunks of earlier segments that it replaced or removed
   blocks  by, term, block, n, front, ids, tfs, dls    postings, the most telling first, BLOCK to a row; sorted by term
   terms   by, term, df                                how many chunks more (or fewer) have the term
-  totals  by, n, dl                                   how many chunks and tokens more (or fewer); written last: without it a segment isn't there
+  totals  by, n, dl, deliveries                       how many chunks and tokens more (or fewer); written last: without it a segment isn't there
 A segment that is written again replaces itself, so a broken-off or repeated delivery does no harm.
 """
 
@@ -53,6 +53,11 @@ class Segments:
             self._schemas[name] = self.spark.read.parquet(f"{self.path}/{name}/segment={some[0]}").schema.add("segment", ty.IntegerType())
         return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}").where(F.col("segment").isin(some))
 
+    def deliveries(self) -> list[str]:
+        """Names of the deliveries that the index has."""
+        rows = self.table("totals")
+        return [] if rows is None else [r[0] for r in rows.select(F.explode("deliveries")).distinct().collect()]
+
     def _write(self, df: DataFrame, name: str, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={number}")
 
@@ -69,12 +74,15 @@ class Segments:
             same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
         return rows.join(last, same, "left_anti")
 
-    def add(self, chunks: DataFrame, number: int | None = None, removed: DataFrame | None = None, content: str = "page_content", segment: T.Segment | None = None) -> int:
+    def add(self, chunks: DataFrame, number: int | None = None, removed: DataFrame | None = None, content: str = "page_content", segment: T.Segment | None = None, delivery: str | None = None) -> int:
         """A segment out of documents as they are now: chunks (by, doc_id, chunk_id, content); its number.
 
         Chunks of the same documents that the index had and that aren't among them go; those that are there with the same text are left
         alone. removed: documents (by, doc_id) of which nothing is left. Chunk ids are not repeated in a delivery. Null texts have no tokens.
-        number: the delivery's own number, above all earlier ones; given again it replaces what it wrote before."""
+        number: the delivery's own number, above all earlier ones; given again it replaces what it wrote before. delivery: its name; one that the index has by
+        that name adds nothing, and one that broke off is written again under its number."""
+        if delivery is not None and delivery in self.deliveries():
+            return self.numbers()[-1]
         number = number if number is not None else max(self.numbers(), default=-1) + 1
         keys = [*self.by, "chunk_id"]
         text = F.coalesce(F.col(content), F.lit(""))
@@ -102,7 +110,8 @@ class Segments:
             totals = totals.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("dl", F.lit(0)).alias("dl"))
         elif totals.isEmpty():  # a segment without rows is a segment still
             totals = self.spark.createDataFrame([(*[None] * len(self.by), 0, 0)], totals.schema)
-        self._write(totals.coalesce(1), "totals", number)
+        names = F.array(F.lit(delivery)) if delivery is not None else F.array().cast("array<string>")
+        self._write(totals.withColumn("deliveries", names).coalesce(1), "totals", number)
         return number
 
     def _blocks(self, new: DataFrame) -> DataFrame:
@@ -138,7 +147,7 @@ class Segments:
         again = each.groupBy(*self.by, "chunk_id", "dl").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("tokens"))
         out._write(self._blocks(again), "blocks", 0)
         out._write(terms.groupBy(*self.by, "term").agg(F.sum("df").alias("df")).where("df > 0").repartitionByRange("term").sortWithinPartitions("term"), "terms", 0)
-        out._write(totals.groupBy(*self.by).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).where("n > 0" if self.by else "true").coalesce(1), "totals", 0)
+        out._write(totals.groupBy(*self.by).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"), F.array_distinct(F.flatten(F.collect_list("deliveries"))).alias("deliveries")).coalesce(1), "totals", 0)
         return out
 
     def term_stats(self) -> DataFrame:

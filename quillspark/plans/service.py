@@ -125,9 +125,11 @@ class Sessions:
     def add(self, user_id: str, role: str, content: str) -> None:
         self.add_all(self.spark.createDataFrame([(user_id, 0, role, content)], "user_id string, seq int, role string, content string").coalesce(1))
 
-    def messages(self, user_id: str | None = None) -> DataFrame:
-        """conv_id, turn, role, text of one user's session or of all."""
+    def messages(self, user_id: str | None = None, of: DataFrame | None = None) -> DataFrame:
+        """conv_id, turn, role, text of one user's session, of those of some (conv_id), or of all."""
         rows = self._rows() if user_id is None else self._rows().where(F.col("id") == f"user_{user_id}")
+        if of is not None:
+            rows = rows.join(of.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
         gone = F.max(F.when(F.col("role") == "deleted", F.col("batch"))).over(Window.partitionBy("id"))
         rows = rows.withColumn("_gone", gone).where("role <> 'deleted' and (_gone is null or batch > _gone)")
         turn = F.row_number().over(Window.partitionBy("id").orderBy("batch", "seq")) - 1
@@ -192,12 +194,12 @@ def chat(root: str, questions: DataFrame, chunks: DataFrame | None = None, embed
         queries = vectors.embed(asked.select(F.col("conv_id").alias("query_id"), F.col("query").alias("query_text")), embedder, "query_text", is_query=True)
         queries = queries.withColumn("query_embedding", F.col("embedding").cast("array<double>")).drop("embedding")
         found = retrieval.with_content(retrieval.search(some, queries, k, threshold=threshold), some, []).select(F.col("query_id").alias("conv_id"), "rank", F.col("content").alias("page_content"))
-    prompts = retrieval.chat_prompts(asked, found, sessions.messages(), template, examples)
+    prompts = retrieval.chat_prompts(asked, found, sessions.messages(of=asked), template, examples)
     said = llm_calls.generate(prompts.join(asked, "conv_id"), model=model, fail=False)
     answer = F.when(F.col("response").isNull(), F.when(F.col("language") == "vi", K.FAILURE["vi"]).otherwise(K.FAILURE["en"])).otherwise(T.guarded_response(F.col("response"), F.col("language")))
     sessions.add_all(said.select("user_id", F.lit(0).alias("seq"), F.lit("assistant").alias("role"), answer.alias("content")))
     # as written: the model isn't asked again when the rows are read
-    last = sessions.messages().groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"))
+    last = sessions.messages(of=asked).groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"))
     return asked.select("conv_id", "user_id").join(last, "conv_id").select("user_id", "answer")
 
 

@@ -1,39 +1,48 @@
-"""Documents that keep coming: chunked and added to an index, each chunk once."""
+"""Documents that keep coming: chunked and added to a stored index, each as it is now."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspark.functions import text as T
 from quillspark.operators import bm25
 from quillspark.operators.chunking import ChunkConfig, chunk_documents, with_metadata
+from quillspark.operators.postings import Segments
+from quillspark.shared import exists, stored
 
 
-def add_batch(docs: DataFrame, index_path: str, config: ChunkConfig = ChunkConfig()) -> None:
-    """Chunks of docs (doc_id, page_content) that the index below index_path lacks are added to its chunks, postings and stats.
+def add_batch(docs: DataFrame, index_path: str, config: ChunkConfig = ChunkConfig(), segment: T.Segment | None = None, delivery: str | None = None) -> Segments:
+    """docs (doc_id, page_content) as they are now are one segment of the index below index_path, and their chunks one of its `texts`.
 
-    Chunk ids come from the content, so a batch that is run again adds nothing; stats go last, as they say which chunks are in."""
-    spark = docs.sparkSession
-    chunks = with_metadata(chunk_documents(docs, config)).dropDuplicates(["chunk_id"])
-    stats_path = spark._jvm.org.apache.hadoop.fs.Path(f"{index_path}/stats")
-    if stats_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stats_path):
-        chunks = chunks.join(spark.read.parquet(f"{index_path}/stats").select("chunk_id"), "chunk_id", "left_anti")
-    chunks = chunks.persist()
-    new = bm25.build(chunks)
-    chunks.write.mode("append").parquet(f"{index_path}/chunks")
-    new.postings.write.mode("append").parquet(f"{index_path}/postings")
-    new.stats.write.mode("append").parquet(f"{index_path}/stats")
-    chunks.unpersist()
+    Chunks that a document had before and has no more leave the index; those that stay as they were are left alone. A document that comes twice in a batch counts once, as
+    either. delivery: the batch's name; one that the index has by that name adds nothing."""
+    spark, index = docs.sparkSession, Segments(docs.sparkSession, index_path)
+    if delivery is not None and delivery in index.deliveries():
+        return index
+    docs = docs.dropDuplicates(["doc_id"])
+    chunks = stored(with_metadata(chunk_documents(docs, config), segment).dropDuplicates(["chunk_id"]), "chunks")
+    number = max(index.numbers(), default=-1) + 1
+    chunks.write.mode("overwrite").parquet(f"{index_path}/texts/segment={number}")
+    index.add(chunks, number, removed=docs.select("doc_id"), segment=segment, delivery=delivery)
+    return index
 
 
-def stream(spark: SparkSession, source: str, schema: str, index_path: str, checkpoint: str) -> StreamingQuery:
-    """Takes in all files of a folder that aren't taken in yet, and stops."""
+def stream(spark: SparkSession, source: str, schema: str, index_path: str, checkpoint: str, segment: T.Segment | None = None) -> StreamingQuery:
+    """Takes in all files of a folder that aren't taken in yet, and stops. A batch that is run again is known by the checkpoint's name and its number."""
     docs = spark.readStream.schema(schema).parquet(source)
-    return docs.writeStream.foreachBatch(lambda df, _: add_batch(df, index_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    add = lambda df, n: add_batch(df, index_path, segment=segment, delivery=f"{checkpoint}#{n}")
+    return docs.writeStream.foreachBatch(lambda df, n: add(df, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_index(spark: SparkSession, index_path: str) -> bm25.Index:
-    """The index below a path; rows that a broken-off batch left twice count once."""
-    postings = spark.read.parquet(f"{index_path}/postings").groupBy("chunk_id", "term").agg(F.max("tf").alias("tf"))
-    return bm25.Index(postings, spark.read.parquet(f"{index_path}/stats").dropDuplicates(["chunk_id"]))
+    """The live postings below a path."""
+    return Segments(spark, index_path).as_index()
+
+
+def read_chunks(spark: SparkSession, index_path: str) -> DataFrame | None:
+    """The live chunks with their texts and metadata; None where there are none."""
+    live = Segments(spark, index_path).live()
+    if live is None or not exists(spark, f"{index_path}/texts"):
+        return None
+    return spark.read.parquet(f"{index_path}/texts").join(live.select("chunk_id", "segment"), ["chunk_id", "segment"], "left_semi").drop("segment")

@@ -185,6 +185,26 @@ def test_stream_takes_each_chunk_once(spark, tmp_path):
     assert index.stats.count() == 2 and index.postings.count() == 6
 
 
+def test_stream_forgets_what_a_document_was(spark, tmp_path):
+    """An edited text's old chunks go, an emptied document goes, and the index is that of the texts as they are."""
+    at = {k: str(tmp_path / k) for k in ("in", "index", "cp")}
+    texts = {1: "alpha beta, gamma", 2: "delta, words", 3: "stays, as it is"}
+    for step in ({}, {1: "other beta, here", 2: ""}):
+        spark.createDataFrame(list((step or texts).items()), "doc_id long, page_content string").coalesce(1).write.mode("append").parquet(at["in"])
+        ingest.stream(spark, at["in"], "doc_id long, page_content string", at["index"], at["cp"]).awaitTermination()
+        texts |= step
+    chunks = ingest.read_chunks(spark, at["index"])
+    assert {(r.doc_id, r.page_content) for r in chunks.collect()} == {(1, texts[1]), (3, texts[3])}
+    fresh, index = bm25.build(chunks), ingest.read_index(spark, at["index"])
+    assert sorted(map(tuple, index.postings.select("chunk_id", "term", "tf").collect())) == sorted(map(tuple, fresh.postings.select("chunk_id", "term", "tf").collect()))
+    index = ingest.Segments(spark, at["index"])
+    assert len(index.deliveries()) == 2 and index.merge(str(tmp_path / "m")).live().count() == 2
+    docs = spark.createDataFrame([(9, "new, words")], "doc_id long, page_content string")
+    for _ in range(2):
+        ingest.add_batch(docs, at["index"], delivery="by hand")
+    assert len(index.numbers()) == 3
+
+
 def test_changes_leave_other_files_alone(spark, tmp_path):
     """An upsert and deletes rewrite the buckets that they touch; all other files keep their names; new columns are null in old rows."""
     c = catalog.Collections(spark, str(tmp_path / "c"), buckets=8)
