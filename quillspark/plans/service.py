@@ -15,7 +15,7 @@ from quillspark.functions import constants as K
 from quillspark.functions import llm_calls
 from quillspark.functions import prompts as P
 from quillspark.functions import text as T
-from quillspark.operators import bm25, vectors
+from quillspark.operators import fields, vectors
 from quillspark.operators.catalog import Collections, KeyValueTable, Store, page
 from quillspark.plans import retrieval
 
@@ -62,10 +62,10 @@ class Templates:
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """Templates by word search over name, description and text, the best first."""
-        rows = self.rows.read().withColumn("chunk_id", F.col("id")).withColumn("page_content", F.concat_ws(" ", "name", "description", "template"))
+        rows = self.rows.read()
         asked = self.spark.createDataFrame([(1, query)], "query_id int, query_text string")
-        best = bm25.top_k(bm25.scores(bm25.build(rows), asked).withColumnRenamed("raw", "score"), limit)
-        return best.join(rows.drop("page_content"), "chunk_id").drop("chunk_id", "query_id").orderBy("rank")
+        best = fields.search(rows, asked, {"name": 1.0, "description": 1.0, "template": 1.0}, limit)
+        return best.join(rows, "id").drop("query_id").orderBy("rank")
 
     def generate(self, key: str, values: dict[str, str]) -> str:
         """The template with its variables filled in; an error names what is missing."""

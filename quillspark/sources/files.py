@@ -123,29 +123,32 @@ def pdf_extractor(pages: Extractor, fallback: Extractor | None = None, tables: C
 EXTRACTORS: dict[str, Extractor] = {".pdf": pdf_extractor(pdf_text.pages), ".txt": read_text, ".md": read_text, ".csv": read_csv, ".html": read_html, ".htm": read_html, ".docx": read_docx}
 
 
+def parse(path: str, data: bytes, known: dict[str, Extractor]) -> list[tuple]:
+    """DOCUMENT rows of one file: none for an unknown kind, one with `error` for a file that can't be read."""
+    name = path.rsplit("/", 1)[-1]
+    ext = (re.search(r"\.[^.]+$", name) or [""])[0].lower()
+    if ext not in known:
+        return []
+    try:
+        parts = [(t, a) for t, a in known[ext](data) if t.strip()]
+        return [(path, name, ext, i, t, a, None) for i, (t, a) in enumerate(parts)]
+    except Exception as e:  # noqa: BLE001  any reader's fault concerns its file alone
+        return [(path, name, ext, 0, None, {}, f"{type(e).__name__}: {e}")]
+
+
 def load(spark: SparkSession, paths: str | list[str], extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """DOCUMENT rows of all files: one per text file, page, paragraph or table. A file that can't be read gives a row with `error`, unknown kinds give none.
 
-    extractors: more kinds, or others; a PDF library goes here as {".pdf": f}."""
+    extractors: more kinds, or others; a PDF library goes here as {".pdf": f}. sources.raw has the same as a source for spark.read and readStream."""
     known = {**EXTRACTORS, **(extractors or {})}
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
-                ext = (re.search(r"\.[^.]+$", name) or [""])[0].lower()
-                if ext not in known:
-                    continue
-                try:
-                    parts = [(t, a) for t, a in known[ext](bytes(content)) if t.strip()]
-                    rows += [(path, name, ext, i, t, a, None) for i, (t, a) in enumerate(parts)]
-                except Exception as e:  # noqa: BLE001  any reader's fault concerns its file alone
-                    rows.append((path, name, ext, 0, None, {}, f"{type(e).__name__}: {e}"))
+            rows = [r for path, content in zip(b["path"], b["content"], strict=True) for r in parse(path, bytes(content), known)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOCUMENT.replace("map<string,string>", "map").split(", ")])
 
-    return files.mapInPandas(run, DOCUMENT)
+    return found.mapInPandas(run, DOCUMENT)
 
 
 def documents(loaded: DataFrame, extra: dict[str, object] | None = None) -> DataFrame:
