@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 from typing import Protocol
@@ -32,7 +32,7 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Deterministic stand-in for a model: words hashed to signed dimensions, to unit length."""
+    """Deterministic stand-in for a model: words to signed dimensions by the first 32 bits of their MD5, to unit length."""
 
     def __init__(self, dimension: int = 768):
         self.dimension = dimension
@@ -41,7 +41,7 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dimension))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = zlib.crc32(w.encode())
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 out[i, h % self.dimension] += 1 if h >> 31 else -1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms > 0, norms, 1)).astype("float32").tolist()

@@ -9,10 +9,12 @@ from quillspark.functions import constants as K
 from quillspark.functions import llm_calls
 from quillspark.functions import prompts as P
 from quillspark.functions import text as T
-from quillspark.operators import bm25, catalog, chunking, hybrid, postings, vectors
+from quillspark.operators import bm25, catalog, chunking, fields, hybrid, postings, results, runs, vectors
+from quillspark.operators.vector_lists import Lists
 from quillspark.plans import retrieval
 from quillspark.shared import scratch
 from quillspark.sources import files
+from quillspark.streaming import history
 
 LANGUAGES = ("de", "en", "es", "fr")  # of the test documents; only the SQL needs to know them
 QUERY = "the and thon Heri ation"
@@ -333,7 +335,7 @@ def kb_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     names = docs.select(F.col("source").alias("name")).distinct()
     meta = docs.groupBy(F.col("source").alias("name")).agg(F.concat(F.lit("about "), F.min("lang")).alias("description"), F.lit("2024-01-01").alias("created_at"), F.when(F.min("doc_id") % 2 == 0, "2024-02-02").alias("updated_at"))
-    stats = docs.where("lang = 'en'").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("total_size"), F.when(F.max("doc_id") % 2 == 0, "2024-03-03").alias("updated_at"))
+    stats = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("total_size"), F.when(F.max("doc_id") % 2 == 0, "2024-03-03").alias("updated_at"))
     return catalog.catalog(names, meta, stats)
 
 
@@ -459,7 +461,95 @@ def embed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedder = vectors.HashEmbedder(64)
     rows = vectors.embed(_chunks(spark, sf_dir), embedder)
-    return vectors.search_one(rows, embedder.encode(["query: " + QUERY])[0], 10, None)
+    found = vectors.search_one(rows, embedder.encode(["query: " + QUERY])[0], 10, None)
+    return found.select("chunk_id", F.round("score", 4).alias("score"))
+
+
+def vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vector_batch_topk, over stored lists of vectors."""
+    lists = Lists.build(_vectors(spark, sf_dir), scratch(spark, "lists"))
+    return _ranked(lists.search(_vector_queries(spark, sf_dir), 10))
+
+
+def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a collection of chunks; every third one is put again, some new ones come, the badly rated and then one source's English ones go."""
+    c = catalog.Collections(spark, scratch(spark, "collections"))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.col("lang").alias("file_extension"), "n_chars", F.md5("text").alias("digest"))
+    c.put("kb", rows.where("chunk_id % 5 > 0"))
+    c.put("kb", rows.where("chunk_id % 3 = 0").withColumns({"n_chars": -F.col("n_chars"), "note": F.lit("again")}))
+    c.delete("kb", _t(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("chunk_id")))
+    c.delete("kb", conditions={"source_file": "src1", "file_extension": "en"})
+    return c.read("kb").select("chunk_id", "source_file", "file_extension", "n_chars", "digest", "note", "collection")
+
+
+def page_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language and id, twenty after a row of the second language."""
+    docs = _docs(spark, sf_dir).select("lang", "doc_id", "source")
+    first = catalog.page_after(docs, ["lang", "doc_id"], ["de", 0], 20).collect()
+    return catalog.page_after(docs, ["lang", "doc_id"], [first[-1]["lang"], first[-1]["doc_id"]], 20)
+
+
+def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their text, language and source at once."""
+    rows = _docs(spark, sf_dir).select("doc_id", "lang", "source", "text")
+    asked = spark.createDataFrame([(1, "de und src3 the"), (2, "es la que")], "query_id int, query_text string")
+    found = fields.search(rows, asked, {"text": 1.0, "lang": 2.0, "source": 0.5}, 10, id_col="doc_id")
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat history as keyed state over the stream of all messages; of each conversation the newest."""
+    path, source = scratch(spark, "history"), _t(spark, sf_dir, "conversations")
+    source.repartition(6).write.parquet(f"{path}/in")  # turns are dealt at random, so they come out of order
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    told = history.histories(stream, expires_ms=None)
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/told/batch={n}")
+    told.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/told").groupBy("conv_id").agg(F.max_by("history", F.struct("newest", "batch")).alias("history"))
+    return last.where("history is not null")
+
+
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their vectors are written, and what is told of them is observed by the same job; a first run is reset."""
+    rows, log = _embedded(spark, sf_dir), runs.Runs(spark, scratch(spark, "runs"))
+    log.write(rows.limit(0), scratch(spark, "ingested"))
+    log.reset()
+    log.write(rows, scratch(spark, "ingested"))
+    return log.metrics().select("operation", "metric", F.col("total").cast("long").alias("total"))
+
+
+def embed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are embedded in two deliveries over one table of results: how many inputs, and how many were encoded."""
+    at, docs = scratch(spark, "results"), _chunks(spark, sf_dir)
+    e = vectors.HashEmbedder(16)
+    results.embed(docs.where("collection = 'de'"), e, at, "hash").write.format("noop").mode("overwrite").save()
+    rows = results.embed(docs, e, at, "hash")
+    held = spark.read.parquet(f"{at}/model=hash").agg(F.count("*").alias("encoded"))
+    asked = rows.agg(F.count("*").alias("rows"), F.count("embedding").alias("embedded"), F.countDistinct(T.embedding_input(F.col("page_content"))).alias("distinct_inputs"))
+    return asked.crossJoin(held)  # one row each
+
+
+def _content(chunks: DataFrame) -> DataFrame:
+    """How many characters but blanks a document's chunks hold, and which: their sorted sequence. Parts of a long section have one index, so their order isn't told."""
+    text = F.array_join(F.collect_list(F.regexp_replace("page_content", r"(?U)\s+", "")), "")
+    held = chunks.groupBy("doc_id").agg(text.alias("t"))
+    return held.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort(F.split("t", "")), "")).alias("md5"))
+
+
+_NO_OVERLAP = chunking.ChunkConfig(chunk_overlap=0)
+
+
+def chunk_simple_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without overlap nothing of a text is lost, doubled or moved."""
+    return _content(chunking.chunk_simple(_pages_content(spark, sf_dir), _NO_OVERLAP))
+
+
+def chunk_hierarchical_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _content(chunking.chunk_hierarchical(_pages_content(spark, sf_dir), _NO_OVERLAP))
+
+
+def chunk_dispatch_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _content(chunking.chunk_documents(_pages_content(spark, sf_dir), _NO_OVERLAP))
 
 
 def measurement_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,7 +567,8 @@ _ALL = (
     store_stats, known_ids, dictionary_union, kb_catalog, pipeline_stats, collection_info, delete_by_ids, delete_by_filter, missing_collections,
     paginate_templates, chat_history_prompt, chat_history_template, chat_prompt, response_guard, patient_ids, template_format, careplan_prompt,
     measurement_prompt, clean_llm_response, json_arrays, extract_json_rows, careplan_lists, careplan_validate, prompt_variables, sanitize_text,
-    embed_inputs, hash_embed_topk, measurement_ranges,
+    embed_inputs, hash_embed_topk, measurement_ranges, vector_lists_topk, collection_upsert, page_keyset, field_search, history_stream, ingest_stats,
+    embed_once, chunk_simple_content, chunk_hierarchical_content, chunk_dispatch_content,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -660,7 +751,7 @@ def _sql() -> dict[str, str]:
         "html_to_text": rf"SELECT page_id, trim(regexp_replace({html}, '[ \t\r\n]+', ' ', 'g')) AS content FROM pages",
         "collection_stats": "SELECT source AS collection, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS total_size, round_even(sum(n_chars) / 1048576.0, 2) AS size_mb, CAST(sum(CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS txt, CAST(sum(CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS md FROM documents GROUP BY 1",
         "kb_catalog": """WITH m AS (SELECT source AS name, 'about ' || min(lang) AS description, '2024-01-01' AS created_at, CASE WHEN min(doc_id) % 2 = 0 THEN '2024-02-02' END AS updated_at FROM documents GROUP BY 1),
-            s AS (SELECT source AS name, count(*) AS documents, sum(n_chars) AS total_size, CASE WHEN max(doc_id) % 2 = 0 THEN '2024-03-03' END AS updated_at FROM documents WHERE lang = 'en' GROUP BY 1)
+            s AS (SELECT source AS name, count(*) AS documents, sum(n_chars) AS total_size, CASE WHEN max(doc_id) % 2 = 0 THEN '2024-03-03' END AS updated_at FROM documents GROUP BY 1)
             SELECT n.name, description, coalesce(documents, 0) AS documents, CAST(coalesce(total_size, 0) AS BIGINT) AS total_size, coalesce(s.updated_at, m.updated_at, created_at) AS updated_at
             FROM (SELECT DISTINCT source AS name FROM documents) n LEFT JOIN m USING (name) LEFT JOIN s USING (name)""",
         "pipeline_stats": """SELECT count(*) AS files, CAST(sum(doc_id % 3) AS BIGINT) AS documents, CAST(sum(doc_id % 7) AS BIGINT) AS chunks, CAST(sum(doc_id % 7) AS BIGINT) AS vectors, round(sum(doc_id % 3) / CAST(count(*) AS DOUBLE), 6) AS documents_per_file,
@@ -670,6 +761,36 @@ def _sql() -> dict[str, str]:
         "delete_by_ids": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "delete_by_filter": "SELECT doc_id, lang, source FROM documents WHERE NOT (lang = 'en' AND source IN ('src0', 'src1'))",
         "missing_collections": "SELECT name FROM (SELECT source AS name FROM documents UNION SELECT lang FROM documents) WHERE name NOT IN (SELECT source FROM documents WHERE lang = 'en')",
+        "collection_upsert": """
+            WITH first AS (SELECT doc_id AS chunk_id, source AS source_file, lang AS file_extension, n_chars, md5(text) AS digest, NULL AS note FROM documents WHERE doc_id % 5 > 0),
+            again AS (SELECT doc_id AS chunk_id, source AS source_file, lang AS file_extension, -n_chars AS n_chars, md5(text) AS digest, 'again' AS note FROM documents WHERE doc_id % 3 = 0),
+            merged AS (SELECT * FROM again UNION ALL SELECT * FROM first WHERE chunk_id NOT IN (SELECT chunk_id FROM again))
+            SELECT *, 'kb' AS collection FROM merged WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND NOT (source_file = 'src1' AND file_extension = 'en')""",
+        "page_keyset": "SELECT lang, doc_id, source FROM documents WHERE (lang = 'de' AND doc_id > 0) OR lang > 'de' ORDER BY lang, doc_id LIMIT 20 OFFSET 20",
+        "field_search": rf"""
+            WITH f AS (SELECT doc_id, unnest([{{'field': 'text', 'w': 1.0, 't': {words}}}, {{'field': 'lang', 'w': 2.0, 't': [lang]}}, {{'field': 'source', 'w': 0.5, 't': [source]}}]) AS x FROM documents),
+            m AS (SELECT x.field AS field, avg(len(x.t)) AS mean FROM f GROUP BY 1),
+            q(query_id, term) AS (VALUES (1, 'de'), (1, 'und'), (1, 'src3'), (1, 'the'), (2, 'es'), (2, 'la'), (2, 'que')),
+            h AS (SELECT doc_id, field, w, len, term, count(*) AS tf FROM (SELECT doc_id, x.field AS field, x.w AS w, len(x.t) AS len, unnest(x.t) AS term FROM f) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+            g AS (SELECT doc_id, term, sum(w * tf / (0.25 + 0.75 * len / mean)) AS f FROM h JOIN m USING (field) GROUP BY 1, 2),
+            d AS (SELECT term, count(*) AS df FROM g GROUP BY 1),
+            s AS (SELECT query_id, doc_id, sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * f / (1.2 + f)) AS score FROM g JOIN d USING (term) JOIN q USING (term) GROUP BY 1, 2),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+        "history_stream": past,
+        "ingest_stats": f"""
+            WITH c AS (SELECT text, {n_words} AS n, vec_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+            t AS (SELECT count(*) AS rows, count(*) AS texts, sum(n) AS tokens, count(vec_id) AS vectors, max(length(text)) AS longest FROM c)
+            SELECT 'index' AS operation, metric, CAST(total AS BIGINT) AS total FROM (UNPIVOT t ON COLUMNS(*) INTO NAME metric VALUE total)""",
+        "embed_once": "SELECT count(*) AS rows, count(*) AS embedded, count(DISTINCT substr(text, 1, 2048)) AS distinct_inputs, count(DISTINCT substr(text, 1, 2048)) AS encoded FROM documents",
+        "hash_embed_topk": rf"""
+            WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower('passage: ' || substr(text, 1, 2048)), '[^{inner}]+')) AS w FROM documents UNION ALL SELECT NULL, unnest(string_split(lower({text("query: " + QUERY)}), ' '))),
+            h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM w),
+            v AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1.0 ELSE -1.0 END) AS x FROM h GROUP BY 1, 2),
+            n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),
+            s AS (SELECT a.doc_id AS chunk_id, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.i = b.i AND b.doc_id IS NULL WHERE a.doc_id IS NOT NULL GROUP BY 1)
+            SELECT chunk_id, round(score, 4) AS score FROM (SELECT chunk_id, dot / n / (SELECT n FROM n WHERE doc_id IS NULL) AS score FROM s JOIN n ON n.doc_id = chunk_id) ORDER BY round(score, 6) DESC, chunk_id LIMIT 10""",
+        **dict.fromkeys(("chunk_simple_content", "chunk_hierarchical_content", "chunk_dispatch_content"), f"SELECT doc_id, length(t) AS n, md5(array_to_string(list_sort(string_split(t, '')), '')) AS md5 FROM (SELECT doc_id, regexp_replace(text, '{blank}+', '', 'g') AS t FROM documents) WHERE t <> ''"),
         "paginate_templates": "SELECT item_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview FROM benchmark ORDER BY item_id LIMIT 15 OFFSET 10",
         "chat_history_prompt": past,
         "chat_history_template": history.format(last=4, roles="".join(f" WHEN '{k}' THEN '{v}'" for k, v in K.TEMPLATE_ROLES.items())),
@@ -689,4 +810,4 @@ def _sql() -> dict[str, str]:
 
 ORACLES = _sql()
 # the same results from a stored index
-ORACLES |= {stored: ORACLES[plain] for stored, plain in (("bm25_stored_topk", "bm25_topk"), ("bm25_stored_filtered", "bm25_topk_filtered"), ("hybrid_stored", "hybrid_multi_collection"))}
+ORACLES |= {stored: ORACLES[plain] for stored, plain in (("bm25_stored_topk", "bm25_topk"), ("bm25_stored_filtered", "bm25_topk_filtered"), ("hybrid_stored", "hybrid_multi_collection"), ("vector_lists_topk", "vector_batch_topk"))}
