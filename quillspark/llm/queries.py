@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import conversations, merkle, ngram_jaccard, packing, quality_knn, quality_rules, sentencepiece_scan, sharding, simhash, suffix_tree, token_binary, token_counts, warc
 from quillspark.llm.common import scratch, table
+from quillspark.llm.oracles import ORACLES
 from quillspark.llm.tokens import default_path
 
 
@@ -96,15 +97,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_token_binary, op3_ngram_jaccard, op4_token_counts, op5_suffix_tree, op6_quality_knn, op7_sentencepiece_scan, op8_simhash, op9_weak_supervision, op10_packing, op11_conversation_repair, op12_minimax_shards, op13_merkle_manifest)}
-ORACLES: dict[str, str] = {
-    "op1_warc_transactions": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
-        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_page FROM d)
-        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> last_page THEN last_page END AS refers_to,
-               CAST(1 AS INTEGER) AS n_requests
-        FROM w""",
-}
