@@ -76,10 +76,28 @@ def process_files(spark: SparkSession, paths: str | list[str], collections: Coll
     return collections.put(collection, rows)
 
 
-def check_index(index: bm25.Index | None, collections: list[str] | None = None) -> tuple[bool, str]:
+def check_index(index: bm25.Index | postings.Segments | None, collections: list[str] | None = None) -> tuple[bool, str]:
     """Whether a search can start, and why not."""
     if index is None:
         return False, "there is no index"
+    if isinstance(index, postings.Segments) and not index.numbers():
+        return False, "the index is empty"
+    if not isinstance(index, bm25.Index | postings.Segments):
+        return False, f"not an index: {type(index).__name__}"
     if index.by and not collections:
         return False, "no collection is named"
     return True, ""
+
+
+def describe_index(index: object) -> dict[str, object]:
+    """What kind of index it is: its type, whether it is stored, whether collections have statistics of their own, and whether there is anything in it to search."""
+    stored_index = isinstance(index, postings.Segments)
+    known = stored_index or isinstance(index, bm25.Index)
+    return {"type": type(index).__name__, "is_stored": stored_index, "is_multi_collection": known and bool(index.by), "has_chunks": known and (bool(index.numbers()) if stored_index else not index.stats.isEmpty())}
+
+
+def chunks_of(collections: Collections, name: str | None = None) -> DataFrame | None:
+    """The chunks of a named collection, of the first one without a name; None where there is none."""
+    known = collections.names()
+    pick = name if name is not None else (known[0] if known else None)
+    return collections.read(pick) if pick in known else None

@@ -163,6 +163,21 @@ def test_ingest_and_search(spark):
     assert retrieval.check_index(None) == (False, "there is no index") and retrieval.check_index(bm25.build(chunks))[0]
 
 
+def test_what_an_index_is(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 1, "1", "x y")], "collection string, doc_id int, chunk_id string, page_content string")
+    plain, many, stored_index = bm25.build(chunks), bm25.build(chunks, by=("collection",)), ingest.Segments(spark, str(tmp_path / "i"), ("collection",))
+    assert retrieval.check_index(stored_index, ["a"]) == (False, "the index is empty")
+    stored_index.add(chunks)
+    assert retrieval.check_index(stored_index, ["a"]) == retrieval.check_index(plain) == (True, "")
+    assert retrieval.check_index(many) == (False, "no collection is named") and not retrieval.check_index("x")[0]
+    assert retrieval.describe_index(stored_index) == {"type": "Segments", "is_stored": True, "is_multi_collection": True, "has_chunks": True}
+    assert retrieval.describe_index(plain)["is_multi_collection"] is False and retrieval.describe_index(None) == {"type": "NoneType", "is_stored": False, "is_multi_collection": False, "has_chunks": False}
+    c = catalog.Collections(spark, str(tmp_path / "c"))
+    assert retrieval.chunks_of(c) is None
+    c.add("kb", chunks.drop("collection"))
+    assert retrieval.chunks_of(c).count() == retrieval.chunks_of(c, "kb").count() == 1 and retrieval.chunks_of(c, "other") is None
+
+
 def test_process_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in {"a.txt": "the cat sat on the mat, happily", "b.md": "dogs bark at night, loudly"}.items():
