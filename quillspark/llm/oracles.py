@@ -87,6 +87,33 @@ def _merkle() -> str:
     SELECT doc_id, h AS leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM pl JOIN sr USING (tree) JOIN ed USING (doc_id) LEFT JOIN pf USING (doc_id), rt"""
 
 
+def _shards() -> str:
+    # the groups' running sums are one list, l; a shard from s on ends greedily at the largest sum that isn't above s + its capacity
+    last = lambda limit, start: f"coalesce(list_max(list_filter(l, lambda x: x <= {limit})), {start})"
+    first = lambda least: f"CASE WHEN {least} <= 0 THEN 0 ELSE list_min(list_filter(l, lambda x: x >= {least})) END"
+    fits = f"list_reduce(range(8), lambda s, i: {last('s + mid', 's')}, CAST(0 AS BIGINT)) = total"
+    bytes_of = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    bits = f"flatten(list_transform({bytes_of}, lambda c: [c, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(4294967295, coalesce(list_reduce({bits}, lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), CAST(4294967295 AS BIGINT)), 4294967295))"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {crc} AS text_crc32 FROM documents),
+    g AS (SELECT t, min(doc_id) AS f, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY 1),
+    u AS (SELECT t, bytes, CAST(sum(bytes) OVER (ORDER BY f NULLS FIRST, md5(t)) AS BIGINT) AS upto FROM g),
+    k AS (SELECT list(upto ORDER BY upto) AS l, max(upto) AS total, max(bytes) AS largest FROM u),
+    b(low, high) AS (SELECT greatest((total + 7) // 8, largest) - 1, (total + 7) // 8 + largest FROM k
+        UNION ALL SELECT CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END FROM (SELECT low, high, mid, {fits} AS ok FROM (SELECT low, high, (low + high) // 2 AS mid FROM b WHERE high - low > 1), k)),
+    c AS (SELECT min(high) AS cap FROM b),
+    r(left_over, pos) AS (SELECT 0, total FROM k UNION ALL SELECT left_over + 1, {first("pos - cap")} FROM r, c, k WHERE left_over < 7),
+    p(left_over, pos) AS (SELECT 8, CAST(0 AS BIGINT) UNION ALL
+        SELECT left_over - 1, CASE WHEN pos = total THEN pos ELSE list_sort(list_transform(list_filter([below, above, fit], lambda x: x >= greatest(need, pos + 1) AND x <= pos + cap), lambda x: {{'d': abs(x - share), 'x': x}}))[1].x END FROM (
+            SELECT *, CASE WHEN share < fit THEN least({first("share + 1")}, fit) ELSE fit END AS above FROM (
+                SELECT *, {last("greatest(share, pos)", "pos")} AS below, {last("least(pos + cap, total)", "pos")} AS fit FROM (
+                    SELECT p.left_over, p.pos, r.pos AS need, p.pos + (total - p.pos) // p.left_over AS share, l, total, cap FROM p JOIN r ON r.left_over = p.left_over - 1, k, c WHERE p.left_over > 1)))),
+    e AS (SELECT pos FROM p WHERE left_over < 8),
+    s AS (SELECT t, upto, CAST((SELECT count(*) FROM e WHERE e.pos < u.upto) AS INTEGER) AS shard FROM u)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM d JOIN s USING (t)"""
+
+
 def _jaccard() -> str:
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \\t-\\r]+')"
     return f"""
@@ -102,4 +129,4 @@ def _jaccard() -> str:
     SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id FROM n LEFT JOIN m ON a = doc_id"""
 
 
-ORACLES = {"op1_warc_transactions": WARC, "op3_ngram_jaccard": _jaccard(), "op11_conversation_repair": _conversations(), "op13_merkle_manifest": _merkle()}
+ORACLES = {"op1_warc_transactions": WARC, "op3_ngram_jaccard": _jaccard(), "op11_conversation_repair": _conversations(), "op12_minimax_shards": _shards(), "op13_merkle_manifest": _merkle()}
