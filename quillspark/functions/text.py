@@ -89,7 +89,13 @@ def _letter_counts(text: Column) -> Column:
     return let(ascii_letters(text), lambda n: F.struct(n.alias("ascii"), (n + _how_many(text, _MARKED_AS_IS)).alias("letters"), vietnamese_letters(text).alias("marked")))
 
 
-def _vietnamese_score(text: Column, counts: Column, words: tuple[str, ...] | list[str], abbreviations: tuple[str, ...]) -> Column:
+def _lower_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{M}\p{Pc}]+)"), 1)
+
+
+def _vietnamese_score(found: Column, counts: Column, words: tuple[str, ...] | list[str], abbreviations: tuple[str, ...]) -> Column:
+    """found: _lower_words() of the text, counts: its _letter_counts()."""
+
     def of(found: Column) -> Column:
         n = F.size(found)
         known = F.size(F.filter(found, lambda w: w.isin(*words)))
@@ -98,16 +104,16 @@ def _vietnamese_score(text: Column, counts: Column, words: tuple[str, ...] | lis
         char_score = F.when(counts["letters"] > 0, counts["marked"] / counts["letters"]).otherwise(0.0)
         return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), word_score * 0.7 + char_score * 0.3))
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{M}\p{Pc}]+)"), 1), of)
+    return let(found, of)
 
 
 def vietnamese_score(text: Column, words: tuple[str, ...] | list[str] = K.VI_WORDS, abbreviations: tuple[str, ...] = K.VI_ABBREVIATIONS) -> Column:
     """0 to 1: 70 % the share of known words (abbreviations count half, with over two words), 30 % the share of marked letters."""
-    return let(_letter_counts(text), lambda c: _vietnamese_score(text, c, words, abbreviations))
+    return let(_letter_counts(text), lambda c: _vietnamese_score(_lower_words(text), c, words, abbreviations))
 
 
-def _document_language(text: Column, counts: Column, words: Column, score: Column) -> Column:
-    markers = F.regexp_count(F.lower(text), F.lit(rf"(?U)\b({'|'.join(K.ENGLISH_MARKERS)})\b"))
+def _document_language(text: Column, found: Column, counts: Column, words: Column, score: Column) -> Column:
+    markers = F.size(F.filter(found, lambda w: w.isin(*K.ENGLISH_MARKERS)))
     marked = counts["marked"] > 0
     return (
         F.when(text.isNull() | (words == 0) | (counts["letters"] == 0), "unknown")
@@ -120,8 +126,8 @@ def _document_language(text: Column, counts: Column, words: Column, score: Colum
 
 def document_language(text: Column) -> Column:
     """vi, en, mixed or unknown."""
-    known = F.struct(_letter_counts(text).alias("c"), count_words(text).alias("words"))
-    return let(known, lambda k: _document_language(text, k["c"], k["words"], _vietnamese_score(text, k["c"], K.VI_WORDS, K.VI_ABBREVIATIONS)))
+    known = F.struct(_letter_counts(text).alias("c"), count_words(text).alias("words"), _lower_words(text).alias("found"))
+    return let(known, lambda k: _document_language(text, k["found"], k["c"], k["words"], _vietnamese_score(k["found"], k["c"], K.VI_WORDS, K.VI_ABBREVIATIONS)))
 
 
 def looks_like_table(text: Column) -> Column:
@@ -142,8 +148,9 @@ def is_upper(text: Column) -> Column:
     return text.rlike(r"\p{Lu}") & ~text.rlike(r"\p{Ll}|\p{Lt}")
 
 
-def looks_like_header(text: Column) -> Column:
-    return (count_words(text) <= 15) & ~text.rlike(r"(?U)(^|\n)\s*(-|\d+\.|[a-zA-Z]\.)") & (is_upper(text) | is_title(text))
+def looks_like_header(text: Column, words: Column | None = None) -> Column:
+    """words: count_words() of the text, where it is known."""
+    return ((count_words(text) if words is None else words) <= 15) & ~text.rlike(r"(?U)(^|\n)\s*(-|\d+\.|[a-zA-Z]\.)") & (is_upper(text) | is_title(text))
 
 
 def looks_like_list(text: Column) -> Column:
@@ -151,19 +158,19 @@ def looks_like_list(text: Column) -> Column:
     return let(F.split(text, "\n", -1), lambda lines: items(lines) >= F.size(lines) * 0.5)
 
 
-def content_type(text: Column) -> Column:
+def content_type(text: Column, words: Column | None = None) -> Column:
     """table, image, header, list or text: the first that fits."""
-    return F.when(looks_like_table(text), "table").when(mentions_image(text), "image").when(looks_like_header(text), "header").when(looks_like_list(text), "list").otherwise("text")
+    return F.when(looks_like_table(text), "table").when(mentions_image(text), "image").when(looks_like_header(text, words), "header").when(looks_like_list(text), "list").otherwise("text")
 
 
 def document_metadata(text: Column) -> Column:
     """struct of length, words, content_type, language, detected (the same) and score (Vietnamese); everything is counted once."""
-    known = F.struct(_letter_counts(text).alias("c"), count_words(text).alias("words"))
+    known = F.struct(_letter_counts(text).alias("c"), count_words(text).alias("words"), _lower_words(text).alias("found"))
 
     def of(k: Column) -> Column:
-        score = _vietnamese_score(text, k["c"], K.VI_WORDS, K.VI_ABBREVIATIONS)
-        rated = let(score, lambda s: F.struct(_document_language(text, k["c"], k["words"], s).alias("language"), s.alias("score")))
-        return let(rated, lambda r: F.struct(F.length(text).cast("long").alias("length"), k["words"].alias("words"), content_type(text).alias("content_type"), r["language"].alias("language"), r["language"].alias("detected"), r["score"].alias("score")))
+        score = _vietnamese_score(k["found"], k["c"], K.VI_WORDS, K.VI_ABBREVIATIONS)
+        rated = let(score, lambda s: F.struct(_document_language(text, k["found"], k["c"], k["words"], s).alias("language"), s.alias("score")))
+        return let(rated, lambda r: F.struct(F.length(text).cast("long").alias("length"), k["words"].alias("words"), content_type(text, k["words"]).alias("content_type"), r["language"].alias("language"), r["language"].alias("detected"), r["score"].alias("score")))
 
     return let(known, of)
 
