@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.bm25 import equals
-from quillspark.shared import stored
+from quillspark.shared import forget, stored
 
 
 @dataclass
@@ -277,7 +277,7 @@ class Collections:
 
     def put(self, name: str, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
         """Rows by id: known ones are replaced, new ones added, of repeated ones one counts. Their ids. Only their buckets are read and written."""
-        rows = stored(chunks.dropDuplicates([key]).withColumn("bucket", self._bucket(key)), "put")
+        new = rows = stored(chunks.dropDuplicates([key]).withColumn("bucket", self._bucket(key)), "put")
         touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
         with self._alone(name):
             old = self._rows(name)
@@ -286,7 +286,9 @@ class Collections:
                 rows = stored(kept.unionByName(rows, allowMissingColumns=True), "put")
             if touched:
                 self._write(name, rows, "overwrite")
-        return chunks.select(key).distinct()
+        ids = stored(new.select(key), "ids")
+        forget(*([new] if rows is new else [new, rows]))
+        return ids
 
     def read(self, *names: str) -> DataFrame:
         """Known collections among those named, or all of them, with `collection`."""
@@ -317,6 +319,7 @@ class Collections:
             if touched:
                 rest = stored(delete_rows(old.where(F.col("bucket").isin(touched)), ids, conditions, key), "rest")
                 self._replace(name, touched, rest)
+                forget(rest)
         return True
 
 

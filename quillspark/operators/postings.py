@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators import bm25
-from quillspark.shared import exists, folders, small, stored
+from quillspark.shared import exists, folders, forget, small, stored
 
 #: Postings of a block.
 BLOCK = 128
@@ -87,7 +87,7 @@ class Segments:
         keys = [*self.by, "chunk_id"]
         text = F.coalesce(F.col(content), F.lit(""))
         new = stored(chunks.select(*self.by, "doc_id", "chunk_id", F.md5(text).alias("digest"), T.bm25_tokens(text, segment).alias("tokens")), "segment-new")
-        old = self.live(number)
+        held_back, old = [new], self.live(number)
         if old is None:
             gone = new.limit(0).select(*keys, F.array().cast("array<string>").alias("terms"), F.lit(0).cast("long").alias("dl"))
         else:
@@ -97,6 +97,7 @@ class Segments:
             same = held.join(new, [*keys, "doc_id", "digest"], "left_semi").select(*keys)
             gone = stored(held.join(same, keys, "left_anti").select(*keys, "terms", "dl"), "segment-gone")
             new = stored(new.join(same, keys, "left_anti"), "segment-added")
+            held_back += [gone, new]
         new = new.withColumns({"dl": F.size("tokens").cast("long"), "terms": F.array_distinct("tokens")})
         self._write(new.select(*self.by, "doc_id", "chunk_id", "digest", "dl", "terms"), "chunks", number)
         self._write(gone.select(*keys), "gone", number)
@@ -112,6 +113,7 @@ class Segments:
             totals = self.spark.createDataFrame([(*[None] * len(self.by), 0, 0)], totals.schema)
         names = F.array(F.lit(delivery)) if delivery is not None else F.array().cast("array<string>")
         self._write(totals.withColumn("deliveries", names).coalesce(1), "totals", number)
+        forget(*held_back)
         return number
 
     def _blocks(self, new: DataFrame) -> DataFrame:

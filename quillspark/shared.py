@@ -38,6 +38,13 @@ def remove(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of stored() tables, once what was made of them is written itself."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """df as a local table if it has at most so many rows, which then meets others by broadcast; else stored()."""
     table = df.limit(rows + 1).toArrow()
