@@ -176,7 +176,11 @@ def quality_rows(docs: DataFrame, text_col: str = "text", keep: list[str] = ("do
     """One row per row of docs: the columns `keep`, the COUNTS of its text, quality, base_failed and kept.
 
     The texts are read once, measured in Arrow batches without a shuffle; the counts alone are stored and judged. Empty and
-    null texts have no words and so fail; null or repeated ids are carried along."""
+    null texts have no words and so fail; null or repeated ids are carried along. `keep` can't name what is made here: a ValueError; other columns
+    may have any name. A very long text is measured whole in one worker."""
+    made = {*(c.split()[0] for c in COUNTS.split(", ")), "quality", "base_failed", "kept"}
+    if made & set(keep):
+        raise ValueError(f"columns of the result can't be kept too: {sorted(made & set(keep))}")
     counts = stored(with_counts(docs, text_col, list(keep)), "quality-counts")
     return judge(counts, vote_model(counts))
 

@@ -153,7 +153,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Edited: the last floor(n_chars/2) code points are replaced by the first as many, or all, of the next document, by doc_id.
     Null texts count as empty. Rows with equal doc_id follow each other by the digest of their texts; null is an id like any other, the
-    smallest. An empty table gives no rows; other columns aren't looked at. n_near, for rows whose id is divisible by
+    smallest. A very long text takes some times its size in one task, see fingerprints(). An empty table gives no rows; other columns aren't looked at. n_near, for rows whose id is divisible by
     20: how many rows' fingerprints lie within `radius` bits, its own row included.
 
     Whole texts are shuffled once, into buckets of neighbouring ids; the next text is then the next row, and the

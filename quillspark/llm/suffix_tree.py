@@ -276,6 +276,7 @@ def score_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     with the distinct entries of blocks, and a word as frequent as may be is an entry per block and next word. Nothing but N and V meets at the driver.
     The blocks lie in buckets, so they aren't shuffled to meet the answers.
 
+    A text longer than block_bytes is a block of its own in one worker, some ten bytes for each of its tokens.
     Null texts count as empty: their score is that of an end. Repeated and null ids stay; an empty table gives no rows; other columns are not looked at."""
     spark = docs.sparkSession
     small_batches(spark)

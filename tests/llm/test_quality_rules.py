@@ -118,3 +118,10 @@ def test_kept_is_what_the_posterior_says(spark, sf_dir):
     for r in Q.judge(counts, model).collect():
         odds = np.prod([model.accuracy[i, 1, v] / model.accuracy[i, 0, v] for i, v in enumerate(votes[r.doc_id])]) * model.prior / (1 - model.prior)
         assert abs(r.quality - odds / (1 + odds)) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
+def test_kept_columns_have_names_of_their_own(spark):
+    df = spark.createDataFrame([(1, "some words", 7)], "doc_id long, text string, n_words int")
+    assert Q.quality_rows(df).head().n_words == 2
+    with pytest.raises(ValueError, match="n_words"):
+        Q.quality_rows(df, keep=["doc_id", "n_words"])
