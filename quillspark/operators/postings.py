@@ -1,7 +1,7 @@
 """A stored BM25 index in segments, with the best chunks found without reading all of it.
 
 Tables below a path, parted by `segment`; a segment is what one delivery added and took away:
-  chunks  by, doc_id, chunk_id, digest, dl, terms     the chunks it added
+  chunks  by, doc_id, chunk_id, digest, dl, tokens    the chunks it added
   gone    by, chunk_id                                chunks of earlier segments that it replaced or removed
   blocks  by, term, block, n, front, ids, tfs, dls    postings, the most telling first, BLOCK to a row; sorted by term
   terms   by, term, df                                how many chunks more (or fewer) have the term
@@ -11,8 +11,13 @@ A segment that is written again replaces itself, so a broken-off or repeated del
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -24,6 +29,10 @@ from quillspark.shared import exists, folders, forget, small, stored
 
 #: Postings of a block.
 BLOCK = 128
+#: So many times k chunks are scored as a whole for a first bound.
+AHEAD = 4
+#: Tokens that are counted at once, if a chunk hasn't more.
+TOKENS = 500_000
 #: Scores are compared after rounding to nine digits.
 SLACK = 2e-9
 #: The order of postings within a term is that of scores with these constants; bounds hold for any.
@@ -89,20 +98,21 @@ class Segments:
         new = stored(chunks.select(*self.by, "doc_id", "chunk_id", F.md5(text).alias("digest"), T.bm25_tokens(text, segment).alias("tokens")), "segment-new")
         held_back, old = [new], self.live(number)
         if old is None:
-            gone = new.limit(0).select(*keys, F.array().cast("array<string>").alias("terms"), F.lit(0).cast("long").alias("dl"))
+            gone = new.limit(0).select(*keys, F.array().cast("array<string>").alias("tokens"), F.lit(0).cast("long").alias("dl"))
         else:
             touched = new.select(*self.by, "doc_id")
             touched = (touched if removed is None else touched.unionByName(removed.select(*self.by, "doc_id"))).distinct()
-            held = old.join(touched, [*self.by, "doc_id"], "left_semi").select(*keys, "doc_id", "digest", "terms", "dl")
+            held = old.join(touched, [*self.by, "doc_id"], "left_semi").select(*keys, "doc_id", "digest", "tokens", "dl")
             same = held.join(new, [*keys, "doc_id", "digest"], "left_semi").select(*keys)
-            gone = stored(held.join(same, keys, "left_anti").select(*keys, "terms", "dl"), "segment-gone")
+            gone = stored(held.join(same, keys, "left_anti").select(*keys, "tokens", "dl"), "segment-gone")
             new = stored(new.join(same, keys, "left_anti"), "segment-added")
             held_back += [gone, new]
-        new = new.withColumns({"dl": F.size("tokens").cast("long"), "terms": F.array_distinct("tokens")})
-        self._write(new.select(*self.by, "doc_id", "chunk_id", "digest", "dl", "terms"), "chunks", number)
+        new = new.withColumn("dl", F.size("tokens").cast("long"))
+        self._write(new.select(*self.by, "doc_id", "chunk_id", "digest", "dl", "tokens"), "chunks", number)
         self._write(gone.select(*keys), "gone", number)
         self._write(self._blocks(new), "blocks", number)
-        delta = new.select(*self.by, F.explode("terms").alias("term"), F.lit(1).alias("_d")).unionByName(gone.select(*self.by, F.explode("terms").alias("term"), F.lit(-1).alias("_d")))
+        terms = F.explode(F.array_distinct("tokens")).alias("term")
+        delta = new.select(*self.by, terms, F.lit(1).alias("_d")).unionByName(gone.select(*self.by, terms, F.lit(-1).alias("_d")))
         delta = delta.groupBy(*self.by, "term").agg(F.sum("_d").alias("df")).where("df <> 0")
         self._write(delta.repartitionByRange("term").sortWithinPartitions("term"), "terms", number)
         totals = new.select(*self.by, F.lit(1).alias("_d"), "dl").unionByName(gone.select(*self.by, F.lit(-1).alias("_d"), (-F.col("dl")).alias("dl")))
@@ -117,37 +127,71 @@ class Segments:
         return number
 
     def _blocks(self, new: DataFrame) -> DataFrame:
-        """Postings in the order of term and score are dealt by ranges, so a frequent term is split, and cut in rows of BLOCK."""
-        means = new.groupBy(*self.by).agg(F.avg("dl").alias("_avg"))
-        tf = new.select(*self.by, "chunk_id", "dl", F.explode("tokens").alias("term")).groupBy(*self.by, "term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        rows = bm25._with(tf, means, self.by)
-        score = F.col("tf") / (F.col("tf") + ORDER_K1 * (1 - ORDER_B + ORDER_B * F.col("dl") / F.col("_avg")))
-        order = [*self.by, "term", "_less", "chunk_id"]
-        rows = rows.withColumn("_less", -score).repartitionByRange(*order).sortWithinPartitions(*order)
-        rows = rows.withColumn("_id", F.monotonically_increasing_id())
-        posting = F.struct("_id", "chunk_id", "tf", F.col("dl").cast("int").alias("dl"))
-        cut = rows.groupBy(*self.by, "term", F.call_function("div", F.col("_id"), F.lit(BLOCK)).alias("block")).agg(F.array_sort(F.collect_list(posting)).alias("p"))
+        """Blocks out of chunks with tokens, by one shuffle: terms are counted where the tokens are, and cut into blocks where the postings are sorted.
+
+        Postings are dealt by ranges of term and score, so a frequent term is split. Within a term they come by score in steps of a thousandth, the largest first."""
+        by, block = list(self.by), BLOCK
+        means = new.groupBy(*by).agg(F.avg("dl").alias("_avg"))
+        rows = bm25._with(new.select(*by, "chunk_id", "dl", "tokens"), means, self.by).select(*by, "chunk_id", "dl", "_avg", "tokens")
+        keys = [ty.StructField(c, new.schema[c].dataType) for c in by]
+        posting = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("_less", ty.ShortType()), ty.StructField("chunk_id", new.schema["chunk_id"].dataType), ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])
+        cut = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("block", ty.LongType()), ty.StructField("ids", ty.ArrayType(new.schema["chunk_id"].dataType)), ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("dls", ty.ArrayType(ty.IntegerType()))])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("tokens")), 0).to_numpy(zero_copy_only=False))
+                at = 0
+                while at < whole.num_rows:
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+                    b, at = whole.slice(at, to - at), to
+                    coded = b.column("tokens").flatten().dictionary_encode()
+                    if not len(coded):
+                        continue
+                    lengths = pc.fill_null(pc.list_value_length(b.column("tokens")), 0).to_numpy(zero_copy_only=False)
+                    pairs, tf = np.unique(np.repeat(np.arange(b.num_rows), lengths) * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+                    row, term = np.divmod(pairs, len(coded.dictionary))
+                    dl, take = b.column("dl").to_numpy()[row], pa.array(row)
+                    score = tf / (tf + ORDER_K1 * (1 - ORDER_B + ORDER_B * dl / b.column("_avg").to_numpy()[row]))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), coded.dictionary.take(pa.array(term)).cast(pa.string()), pa.array(np.round(-1000 * score).astype(np.int16)), b.column("chunk_id").take(take), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32))], names=posting.names)
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 33
+            for b in batches:
+                n = b.num_rows
+                if not n:
+                    continue
+                new_run = np.ones(n, bool)
+                new_run[1:] = False
+                for c in (*by, "term"):
+                    codes = pc.fill_null(b.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                    new_run[1:] |= codes[1:] != codes[:-1]
+                starts = np.flatnonzero(new_run)
+                place = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
+                cuts = np.flatnonzero(place % block == 0)
+                offsets, take = pa.array([*cuts, n], pa.int32()), pa.array(cuts)
+                lists = [pa.ListArray.from_arrays(offsets, b.column(c)) for c in ("chunk_id", "tf", "dl")]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), b.column("term").take(take), pa.array(np.arange(number, number + len(cuts))), *lists], names=cut.names)
+                number += len(cuts)
+
+        order = [*by, "term", "_less", "chunk_id"]
+        out = rows.mapInArrow(count, posting).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, cut)
         # of equal and higher counts only the shortest chunks can have the largest score
         steep = F.aggregate(
-            F.array_sort(F.transform("p", lambda x: F.struct((-x["tf"]).alias("less"), x["dl"].alias("dl")))), F.array().cast("array<struct<tf:int,dl:int>>"),
+            F.array_sort(F.transform(F.arrays_zip("tfs", "dls"), lambda x: F.struct((-x["tfs"]).alias("less"), x["dls"].alias("dl")))), F.array().cast("array<struct<tf:int,dl:int>>"),
             lambda front, x: F.when((F.size(front) == 0) | (x["dl"] < F.element_at(front, -1)["dl"]), F.concat(front, F.array(F.struct((-x["less"]).alias("tf"), x["dl"].alias("dl"))))).otherwise(front),
         )
-        out = cut.select(*self.by, "term", "block", F.size("p").alias("n"), steep.alias("front"), F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-        return out.repartitionByRange("term", *self.by, "block").sortWithinPartitions("term", *self.by, "block")
+        return out.select(*by, "term", "block", F.size("ids").alias("n"), steep.alias("front"), "ids", "tfs", "dls")
 
     def merge(self, into: str) -> Segments:
         """One segment, below another path, with what is live: dead postings are left out and blocks are full again. Readers of this path are not disturbed."""
         out = Segments(self.spark, into, self.by)
-        chunks, blocks, terms, totals = (self.table(t) for t in ("chunks", "blocks", "terms", "totals"))
-        if chunks is None:
+        terms, totals = self.table("terms"), self.table("totals")
+        if terms is None:
             return out
         live = self.live()
         out._write(live.drop("segment"), "chunks", 0)
         out._write(live.select(*self.by, "chunk_id").limit(0), "gone", 0)
-        each = self._alive(blocks.select(*self.by, "segment", "term", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))), self.table("gone"))
-        # as many tokens as the term was counted, so that blocks are cut by the same code as new ones
-        again = each.groupBy(*self.by, "chunk_id", "dl").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("tokens"))
-        out._write(self._blocks(again), "blocks", 0)
+        out._write(self._blocks(live.select(*self.by, "chunk_id", "dl", "tokens")), "blocks", 0)
         out._write(terms.groupBy(*self.by, "term").agg(F.sum("df").alias("df")).where("df > 0").repartitionByRange("term").sortWithinPartitions("term"), "terms", 0)
         out._write(totals.groupBy(*self.by).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"), F.array_distinct(F.flatten(F.collect_list("deliveries"))).alias("deliveries")).coalesce(1), "totals", 0)
         return out
@@ -192,7 +236,8 @@ class Segments:
         """Which blocks a top-k reads: query_id, by, term, segment, block, w, avgdl, bound, read; and the lower bound theta of each (query_id, by).
 
         A block's bound is the largest score that its postings can have, exact for any mean length by its front. First the best blocks of each
-        term are read: the k-th best of what their chunks have so far is a score that the result can't fall short of. Then a block is read only if
+        term are read; some times k of their chunks, those with most so far, are scored as a whole by their own tokens: the k-th best of them is a score that the
+        result can't fall short of. Then a block is read only if
         its bound and the largest bounds of the query's other terms reach it. A chunk of the result has all its postings in
         such blocks, so its score is whole; others can only come out lower. Terms with a negative weight are always read."""
         by, keys = list(self.by), ["query_id", *self.by]
@@ -206,16 +251,28 @@ class Segments:
         best = Window.partitionBy(*keys, "term").orderBy(F.col("bound").desc(), "segment", "block")
         first = small(meta.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= -(-k // BLOCK) + 1))
         sure = self._scored(first, keep, few, k1, b)
-        low = first.where("w < 0").groupBy(*keys, "term").agg(F.min(F.col("w") * (k1 + 1)).alias("l")).groupBy(*keys).agg(F.sum("l").alias("below"))
         nth = Window.partitionBy(*keys).orderBy(F.col("raw").desc())
-        theta = sure.withColumn("_r", F.row_number().over(nth)).where(F.col("_r") == k).select(*keys, F.col("raw").alias("theta")).join(low, keys, "left")
-        theta = small(theta.select(*keys, (F.col("theta") + F.coalesce("below", F.lit(0.0))).alias("theta")))
+        ahead = small(sure.withColumn("_r", F.row_number().over(nth)).where(F.col("_r") <= AHEAD * k).select(*keys, "chunk_id"))
+        whole = self._whole(ahead, asked, k1, b, most_terms)
+        theta = small(whole.withColumn("_r", F.row_number().over(nth)).where(F.col("_r") == k).select(*keys, F.col("raw").alias("theta")))
         peaks = first.where("_r = 1").select(*keys, "term", F.col("bound").alias("peak"))
         every = peaks.groupBy(*keys).agg(F.sum("peak").alias("all"))
         lines = small(peaks.join(every, keys).join(theta, keys, "left").select(*keys, "term", (F.col("theta") - F.col("all") + F.col("peak") - SLACK).alias("least")))
         reach = meta.join(lines, [*keys, "term"]).withColumn("read", F.col("least").isNull() | (F.col("w") < 0) | (F.col("bound") >= F.col("least")))
         return reach.drop("least"), theta
 
+    def _whole(self, some: DataFrame, asked: DataFrame, k1: float, b: float, most_ids: int) -> DataFrame:
+        """query_id, by, chunk_id, raw: the whole scores of some chunks (query_id, by, chunk_id), by their tokens."""
+        by, chunks = list(self.by), self.table("chunks")
+        ids = [r[0] for r in some.select("chunk_id").distinct().limit(most_ids + 1).collect()]
+        if len(ids) <= most_ids:
+            chunks = chunks.where(F.col("chunk_id").isin(ids))
+        rows = self._alive(chunks.select(*by, "chunk_id", "dl", "tokens", "segment"), self.table("gone")).join(some, [*by, "chunk_id"])
+        rows = rows.join(asked.select("query_id", *by, "term", "w", "avgdl"), ["query_id", *by])
+        tf = F.size(F.filter("tokens", lambda t: t == F.col("term")))
+        score = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        return rows.groupBy("query_id", *by, "chunk_id").agg(F.sum(score).alias("raw"))
+
     def _scored(self, wanted: DataFrame, keep: DataFrame | None, few: list[str] | None, k1: float, b: float) -> DataFrame:
         """query_id, by, chunk_id, raw: sums over the postings of the wanted blocks, of live chunks and, with keep, of those alone."""
         by, blocks = list(self.by), self.table("blocks")

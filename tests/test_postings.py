@@ -58,8 +58,9 @@ def test_segments_equal_a_fresh_build(spark, tmp_path, monkeypatch, queries, by)
         assert ranks(way(), by) == ranks(bm25.top_k(bm25.scores(fresh, queries), 5, score="raw", keep=keep, by=by), by)
 
 
-def test_blocks_are_skipped(spark, tmp_path, sf_dir):
+def test_blocks_are_skipped(spark, tmp_path, sf_dir, monkeypatch):
     """On the test documents fewer blocks are read than the asked terms have, and the result is that of the whole search."""
+    monkeypatch.setattr(postings, "BLOCK", 16)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("page_content"))
     index = Segments(spark, str(tmp_path / "i"))
     index.add(docs)
