@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import constants as K
 from quillspark.functions import llm_calls
 from quillspark.functions import prompts as P
+from quillspark.functions import segmentation
 from quillspark.functions import text as T
 from quillspark.operators import bm25, catalog, chunking, fields, hybrid, postings, results, runs, vectors
 from quillspark.operators.vector_lists import Lists
@@ -536,6 +537,12 @@ def _content(chunks: DataFrame) -> DataFrame:
     return held.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort(F.split("t", "")), "")).alias("md5"))
 
 
+def word_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a segmenter learns from all documents: single syllables and pairs that keep together, with their costs."""
+    cost = segmentation.costs(_docs(spark, sf_dir), longest=2)
+    return spark.createDataFrame(list(cost.items()), "word string, cost double").select("word", F.round("cost", 6).alias("cost"))
+
+
 _NO_OVERLAP = chunking.ChunkConfig(chunk_overlap=0)
 
 
@@ -568,7 +575,7 @@ _ALL = (
     paginate_templates, chat_history_prompt, chat_history_template, chat_prompt, response_guard, patient_ids, template_format, careplan_prompt,
     measurement_prompt, clean_llm_response, json_arrays, extract_json_rows, careplan_lists, careplan_validate, prompt_variables, sanitize_text,
     embed_inputs, hash_embed_topk, measurement_ranges, vector_lists_topk, collection_upsert, page_keyset, field_search, history_stream, ingest_stats,
-    embed_once, chunk_simple_content, chunk_hierarchical_content, chunk_dispatch_content,
+    embed_once, word_costs, chunk_simple_content, chunk_hierarchical_content, chunk_dispatch_content,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -778,6 +785,13 @@ def _sql() -> dict[str, str]:
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s)
             SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
         "history_stream": past,
+        "word_costs": r"""
+            WITH p AS (SELECT regexp_extract_all(p, '\p{L}+') AS s FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\s]+')) AS p FROM documents)),
+            w AS (SELECT unnest(s) AS w FROM p UNION ALL SELECT unnest(list_transform(list_zip(s, s[2:], true), lambda x: x[1] || ' ' || x[2])) FROM p WHERE len(s) > 1),
+            c AS (SELECT w, count(*) AS c FROM w GROUP BY 1 HAVING count(*) >= 5),
+            t AS (SELECT sum(c) AS total FROM c WHERE w NOT LIKE '% %'),
+            k AS (SELECT c.w, c.c FROM c LEFT JOIN c a ON a.w = split_part(c.w, ' ', 1) LEFT JOIN c b ON b.w = split_part(c.w, ' ', 2), t WHERE c.w NOT LIKE '% %' OR ln(c.c * total / (a.c * b.c)) >= 2.0)
+            SELECT w AS word, round(ln(total) - ln(c), 6) AS cost FROM k, t""",
         "ingest_stats": f"""
             WITH c AS (SELECT text, {n_words} AS n, vec_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
             t AS (SELECT count(*) AS rows, count(*) AS texts, sum(n) AS tokens, count(vec_id) AS vectors, max(length(text)) AS longest FROM c)

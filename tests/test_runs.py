@@ -83,6 +83,8 @@ def test_ranking_over_fields_by_hand(spark):
             want[r[0]] = score
     order = sorted(want, key=lambda i: (-round(want[i], 9), i))
     assert got == {(1, i): (order.index(i) + 1, round(want[i], 9)) for i in want}
+    joined = fields.search(df, spark.createDataFrame([(1, "Plan diet plan")], "query_id int, query_text string"), weights, most_terms=1)
+    assert {(r.query_id, r.id): (r["rank"], round(r.score, 9)) for r in joined.collect()} == got
 
 
 def test_cuts_are_the_cheapest():
