@@ -68,7 +68,7 @@ class Segments:
         return [] if rows is None else [r[0] for r in rows.select(F.explode("deliveries")).distinct().collect()]
 
     def _write(self, df: DataFrame, name: str, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={number}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/segment={number}")
 
     def live(self, before: int | None = None) -> DataFrame | None:
         """Chunks that no later segment took away, with their segment."""
@@ -95,20 +95,22 @@ class Segments:
         number = number if number is not None else max(self.numbers(), default=-1) + 1
         keys = [*self.by, "chunk_id"]
         text = F.coalesce(F.col(content), F.lit(""))
-        new = stored(chunks.select(*self.by, "doc_id", "chunk_id", F.md5(text).alias("digest"), T.bm25_tokens(text, segment).alias("tokens")), "segment-new")
-        held_back, old = [new], self.live(number)
-        if old is None:
-            gone = new.limit(0).select(*keys, F.array().cast("array<string>").alias("tokens"), F.lit(0).cast("long").alias("dl"))
-        else:
-            touched = new.select(*self.by, "doc_id")
+        asked = chunks.select(*self.by, "doc_id", "chunk_id", text.alias("_text"), F.md5(text).alias("digest"))
+        old, held_back = self.live(number), []
+        if old is not None:
+            have = stored(asked.drop("_text"), "segment-new")
+            touched = have.select(*self.by, "doc_id")
             touched = (touched if removed is None else touched.unionByName(removed.select(*self.by, "doc_id"))).distinct()
             held = old.join(touched, [*self.by, "doc_id"], "left_semi").select(*keys, "doc_id", "digest", "tokens", "dl")
-            same = held.join(new, [*keys, "doc_id", "digest"], "left_semi").select(*keys)
-            gone = stored(held.join(same, keys, "left_anti").select(*keys, "tokens", "dl"), "segment-gone")
-            new = stored(new.join(same, keys, "left_anti"), "segment-added")
-            held_back += [gone, new]
-        new = new.withColumn("dl", F.size("tokens").cast("long"))
-        self._write(new.select(*self.by, "doc_id", "chunk_id", "digest", "dl", "tokens"), "chunks", number)
+            same = held.join(have, [*keys, "doc_id", "digest"], "left_semi").select(*keys)
+            gone, same = (stored(x, "segment-gone") for x in (held.join(same, keys, "left_anti").select(*keys, "tokens", "dl"), same))
+            asked, held_back = asked.join(same, keys, "left_anti"), [have, gone, same]
+        tokens = T.bm25_tokens(F.col("_text"), segment)
+        # the tokens are stored once, as the index's own
+        self._write(asked.select(*self.by, "doc_id", "chunk_id", "digest", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")), "chunks", number)
+        new = self.spark.read.parquet(f"{self.path}/chunks/segment={number}")
+        if old is None:
+            gone = new.limit(0).select(*keys, "tokens", "dl")
         self._write(gone.select(*keys), "gone", number)
         self._write(self._blocks(new), "blocks", number)
         terms = F.explode(F.array_distinct("tokens")).alias("term")
@@ -135,7 +137,7 @@ class Segments:
         rows = bm25._with(new.select(*by, "chunk_id", "dl", "tokens"), means, self.by).select(*by, "chunk_id", "dl", "_avg", "tokens")
         keys = [ty.StructField(c, new.schema[c].dataType) for c in by]
         posting = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("_less", ty.ShortType()), ty.StructField("chunk_id", new.schema["chunk_id"].dataType), ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])
-        cut = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("block", ty.LongType()), ty.StructField("ids", ty.ArrayType(new.schema["chunk_id"].dataType)), ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("dls", ty.ArrayType(ty.IntegerType()))])
+        cut = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("block", ty.LongType()), ty.StructField("ids", ty.ArrayType(new.schema["chunk_id"].dataType)), ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("dls", ty.ArrayType(ty.IntegerType())), ty.StructField("front", ty.ArrayType(ty.StructType([ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])))])
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -170,17 +172,19 @@ class Segments:
                 cuts = np.flatnonzero(place % block == 0)
                 offsets, take = pa.array([*cuts, n], pa.int32()), pa.array(cuts)
                 lists = [pa.ListArray.from_arrays(offsets, b.column(c)) for c in ("chunk_id", "tf", "dl")]
+                # of equal and higher counts only the shortest chunks can have the largest score
+                own, tf, dl = np.repeat(np.arange(len(cuts)), np.diff([*cuts, n])), b.column("tf").to_numpy(), b.column("dl").to_numpy()
+                by_tf = np.lexsort((dl, -tf, own))
+                fall = dl[by_tf] - own[by_tf] * (1 << 32)  # lower in each block than in all before it
+                steep = by_tf[fall < np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(fall)[:-1]])]
+                points = pa.StructArray.from_arrays([pa.array(tf[steep], pa.int32()), pa.array(dl[steep], pa.int32())], ["tf", "dl"])
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(own[steep], np.arange(len(cuts) + 1)), pa.int32()), points))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), b.column("term").take(take), pa.array(np.arange(number, number + len(cuts))), *lists], names=cut.names)
                 number += len(cuts)
 
         order = [*by, "term", "_less", "chunk_id"]
         out = rows.mapInArrow(count, posting).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, cut)
-        # of equal and higher counts only the shortest chunks can have the largest score
-        steep = F.aggregate(
-            F.array_sort(F.transform(F.arrays_zip("tfs", "dls"), lambda x: F.struct((-x["tfs"]).alias("less"), x["dls"].alias("dl")))), F.array().cast("array<struct<tf:int,dl:int>>"),
-            lambda front, x: F.when((F.size(front) == 0) | (x["dl"] < F.element_at(front, -1)["dl"]), F.concat(front, F.array(F.struct((-x["less"]).alias("tf"), x["dl"].alias("dl"))))).otherwise(front),
-        )
-        return out.select(*by, "term", "block", F.size("ids").alias("n"), steep.alias("front"), "ids", "tfs", "dls")
+        return out.select(*by, "term", "block", F.size("ids").alias("n"), "front", "ids", "tfs", "dls")
 
     def merge(self, into: str) -> Segments:
         """One segment, below another path, with what is live: dead postings are left out and blocks are full again. Readers of this path are not disturbed."""
