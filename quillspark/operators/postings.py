@@ -113,8 +113,8 @@ class Segments:
             gone = new.limit(0).select(*keys, "tokens", "dl")
         self._write(gone.select(*keys), "gone", number)
         self._write(self._blocks(new), "blocks", number)
-        terms = F.explode(F.array_distinct("tokens")).alias("term")
-        delta = new.select(*self.by, terms, F.lit(1).alias("_d")).unionByName(gone.select(*self.by, terms, F.lit(-1).alias("_d")))
+        more = self.spark.read.parquet(f"{self.path}/blocks/segment={number}").select(*self.by, "term", F.col("n").alias("_d"))  # a posting is a chunk that has the term
+        delta = more.unionByName(gone.select(*self.by, F.explode(F.array_distinct("tokens")).alias("term"), F.lit(-1).alias("_d")))
         delta = delta.groupBy(*self.by, "term").agg(F.sum("_d").alias("df")).where("df <> 0")
         self._write(delta.repartitionByRange("term").sortWithinPartitions("term"), "terms", number)
         totals = new.select(*self.by, F.lit(1).alias("_d"), "dl").unionByName(gone.select(*self.by, F.lit(-1).alias("_d"), (-F.col("dl")).alias("dl")))
