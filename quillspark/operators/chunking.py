@@ -103,7 +103,8 @@ def _joined(pieces: list[tuple[str, int]], config: ChunkConfig) -> list[str]:
     for i, (_, n) in enumerate(pieces):
         if i > first and total + n > config.chunk_size:
             out.append("".join(p for p, _ in pieces[first:i]).strip())
-            while first < i and (total > config.chunk_overlap or total + n > config.chunk_size):
+            # pieces of one or two characters count as no tokens: without overlap they go as well
+            while first < i and (total > config.chunk_overlap or total + n > config.chunk_size or not config.chunk_overlap):
                 total -= pieces[first][1]
                 first += 1
         total += n

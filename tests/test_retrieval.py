@@ -127,6 +127,14 @@ def test_recursive_split(seed):
     assert at == len(whole)
 
 
+def test_nothing_is_doubled_without_overlap():
+    """Marks that count as no tokens before and after a cut."""
+    config = chunking.ChunkConfig(chunk_size=12, chunk_overlap=0, min_chunk_size=1)
+    text = " ".join(f"{'word' * (i % 5 + 2)}{'!' * (i % 4)}?" for i in range(200))
+    for cut in (chunking.split_recursively, chunking.simple_pieces):
+        assert "".join("".join(cut(text, config)).split()) == "".join(text.split())
+
+
 def test_small_pieces_join():
     config = chunking.ChunkConfig(chunk_size=5, chunk_overlap=0, min_chunk_size=12, max_chunk_size=60)
     joined = chunking.simple_pieces("alpha beta gamma delta epsilon zeta\n\nab", config)
