@@ -539,8 +539,7 @@ def _content(chunks: DataFrame) -> DataFrame:
 
 def word_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a segmenter learns from all documents: single syllables and pairs that keep together, with their costs."""
-    cost = segmentation.costs(_docs(spark, sf_dir), longest=2)
-    return spark.createDataFrame(list(cost.items()), "word string, cost double").select("word", F.round("cost", 6).alias("cost"))
+    return segmentation.cost_table(_docs(spark, sf_dir), longest=2).select("word", F.round("cost", 6).alias("cost"))
 
 
 _NO_OVERLAP = chunking.ChunkConfig(chunk_overlap=0)

@@ -127,3 +127,14 @@ def test_words_are_learned_and_cut_alike(spark, tmp_path):
     key = lambda df: [(r["rank"], r.chunk_id, round(r.raw, 8)) for r in df.orderBy("rank").collect()]
     assert len(key(plain)) == 5 and key(index.top_k(asked, 5, segment=cut)) == key(plain)
     assert S.costs(df.limit(0)) == {} and S.split("", {}) == []
+
+
+def test_all_words_have_costs(spark):
+    """The table has every word, also where the dictionary of a segmenter ends."""
+    texts = [" ".join(f"{a}{b}" for b in "abcdefgh" for _ in range(2)) for a in "abcdefgh" for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = {r.word: r.cost for r in S.cost_table(df).collect()}
+    assert {w for w in table if " " not in w} == {a + b for a in "abcdefgh" for b in "abcdefgh"}
+    assert all(c == pytest.approx(math.log(64)) for w, c in table.items() if " " not in w)
+    few = S.costs(df, most_words=10)
+    assert len(few) == 10 and all(table[w] == c for w, c in few.items()) and S.costs(df) == table
