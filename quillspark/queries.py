@@ -120,9 +120,8 @@ def bm25_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many terms have each document frequency, their weights, and the least and the largest of them."""
-    stats = bm25.term_stats(bm25.build(_chunks(spark, sf_dir)))
-    return stats.groupBy("df").agg(F.count("*").alias("terms"), F.round(F.max("idf"), 6).alias("idf"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    """Every term with its document frequency and weight."""
+    return bm25.term_stats(bm25.build(_chunks(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -689,7 +688,7 @@ def _sql() -> dict[str, str]:
         "bm25_topk": rf"WITH {index()}, r AS (SELECT query_id, chunk_id, raw, {ranked.format('raw')} FROM sc) SELECT query_id, rank, chunk_id, round(raw, 6) AS score FROM r WHERE rank <= 10",
         "bm25_minmax": f"WITH {index()} SELECT query_id, chunk_id, round(score, 6) AS score FROM norm",
         "bm25_topk_filtered": rf"WITH {index()}, r AS (SELECT query_id, norm.chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, norm.chunk_id) AS INTEGER) AS rank FROM norm JOIN c ON c.chunk_id = norm.chunk_id WHERE score >= 0.2 AND source IN ('src1', 'src2', 'src3')) SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10",
-        "term_stats": f"WITH {index()} SELECT df, count(*) AS terms, round(max(idf), 6) AS idf, min(term) AS first_term, max(term) AS last_term FROM ts GROUP BY df",
+        "term_stats": f"WITH {index()} SELECT term, df, round(idf, 6) AS idf FROM ts",
         "bm25_maintained": f"""WITH {kept}, t AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM kc) GROUP BY 1, 2), s AS (SELECT chunk_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM t GROUP BY 1)
             SELECT kc.chunk_id, len(toks) AS dl, coalesce(terms, 0) AS terms, coalesce(tokens, 0) AS tokens FROM kc LEFT JOIN s USING (chunk_id)""",
         "bm25_merged_terms": f"""WITH {kept}, d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM kc) GROUP BY 1), r AS (SELECT df, ln((SELECT count(*) FROM kc) - df + 0.5) - ln(df + 0.5) AS raw FROM d)
