@@ -9,7 +9,7 @@ from quillspark.functions import prompts as P
 from quillspark.operators import bm25, hybrid, postings, vectors
 from quillspark.operators.catalog import Collections
 from quillspark.operators.chunking import ChunkConfig, chunk_documents, with_metadata
-from quillspark.shared import stored
+from quillspark.shared import small, stored
 from quillspark.sources import files
 
 
@@ -41,6 +41,9 @@ def with_content(results: DataFrame, chunks: DataFrame, metadata: list[str] | No
     names = [c for c in chunks.columns if c not in hidden] if metadata is None else metadata
     pairs = [x for c in names for x in (F.lit(c), F.col(c).cast("string"))]
     about = chunks.select(F.col("collection").alias("_c"), F.col("chunk_id").alias("_i"), F.col("page_content").alias("content"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("metadata"))
+    results = small(results)  # some rows a query: texts don't go through a shuffle for them
+    asked = results.select(F.col("collection").alias("_c"), F.col("chunk_id").alias("_i")).distinct()
+    about = about.join(asked, ["_c", "_i"], "left_semi")
     rows = results.join(about, (F.col("collection") == F.col("_c")) & (F.col("chunk_id") == F.col("_i")), "left")
     return rows.select("query_id", "rank", "chunk_id", "content", "metadata", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("collection", F.lit("unknown")).alias("collection_name"))
 

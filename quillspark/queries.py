@@ -166,14 +166,18 @@ def _both_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_multi_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieval.search(_embedded(spark, sf_dir), _both_queries(spark, sf_dir), 10, {"de": 0.5}, threshold=0.05, vector_threshold=None)
+    rows = _found(spark, sf_dir)
     return rows.select("query_id", "rank", "collection", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word search over the chunks as they lie: joined to their vectors, whole texts would go through a shuffle."""
+    index = bm25.build(_chunks(spark, sf_dir), by=("collection",))
+    return retrieval.search(_embedded(spark, sf_dir), _both_queries(spark, sf_dir), 10, {"de": 0.5}, threshold=0.05, vector_threshold=None, index=index)
+
+
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _embedded(spark, sf_dir)
-    found = retrieval.search(chunks, _both_queries(spark, sf_dir), 10, {"de": 0.5}, threshold=0.05, vector_threshold=None)
-    rows = retrieval.with_content(found, chunks)
+    rows = retrieval.with_content(_found(spark, sf_dir), _chunks(spark, sf_dir))
     return rows.select("query_id", "rank", F.md5("content").alias("content_md5"), F.col("metadata")["source"].alias("source"), F.round("score", 6).alias("score"), "collection_name")
 
 

@@ -1,10 +1,13 @@
+import dataclasses
 import math
 import random
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import queries
 from quillspark.operators import bm25, catalog, chunking, hybrid, vectors
 from quillspark.plans import retrieval
 from quillspark.streaming import ingest
@@ -42,6 +45,27 @@ def test_bm25_by_hand(spark):
     assert bigger.stats.count() == 5
 
 
+def test_every_term_has_statistics(spark, sf_dir):
+    got = queries.term_stats(spark, sf_dir)
+    assert set(got.columns) == {"term", "df", "idf"} and got.count() == got.select("term").distinct().count() > 10_000
+
+
+@pytest.mark.parametrize("by", [(), ("collection",)])
+def test_searches_without_an_index_of_all_terms(spark, by):
+    """Only asked terms are counted and the others' frequencies summed, with the scores of the stored form; postings of all terms are not made."""
+    rng = random.Random(3)
+    rows = [("xy"[i % 2], i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    index = bm25.build(spark.createDataFrame(rows, "collection string, chunk_id int, page_content string"), by=by)
+    asked = spark.createDataFrame([(1, "a bb a"), (2, "h zz"), (3, "aa b c dd e f g h")], "query_id int, query_text string")
+    key = lambda df, c: sorted((r.query_id, r.chunk_id, round(r[c], 9)) for r in df.collect())
+    plain = dataclasses.replace(index, texts=None)
+    assert key(bm25.scores(index, asked), "raw") == key(bm25.scores(plain, asked), "raw") == key(bm25.scores(index, asked, most_terms=1), "raw")
+    assert key(bm25.normalised(index, asked), "score") == key(bm25.normalised(plain, asked), "score")
+    assert "MapInArrow" not in bm25.normalised(index, asked)._jdf.queryExecution().toString()
+    counts = Counter((r.chunk_id, r.term, r.tf) for r in index.postings.collect())
+    assert counts == Counter((i, t, n) for _, i, x in rows for t, n in Counter(x.split()).items())
+
+
 def test_chunking(spark):
     docs = spark.createDataFrame([(1, ""), (2, "   "), (3, None), (4, "A"), (5, "CHAPTER 1\n\ntext one, here.\n# two\nCHAPTER 2\nlast, words."), (6, "\n\n".join(f"paragraph {i}, " + "word " * 60 for i in range(80))), (7, "word. " * 3000)], "doc_id int, page_content string")
     rows = chunking.with_metadata(chunking.chunk_documents(docs)).orderBy("doc_id", "chunk_index").collect()
