@@ -31,8 +31,6 @@ from quillspark.shared import exists, folders, forget, small, stored
 BLOCK = 128
 #: So many times k chunks are scored as a whole for a first bound.
 AHEAD = 4
-#: Tokens that are counted at once, if a chunk hasn't more.
-TOKENS = 500_000
 #: Scores are compared after rounding to nine digits.
 SLACK = 2e-9
 #: The order of postings within a term is that of scores with these constants; bounds hold for any.
@@ -81,7 +79,7 @@ class Segments:
         same = (F.col("chunk_id") == F.col("_gone")) & (F.col("_until") > F.col("segment"))
         for c in self.by:
             same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        return rows.join(last, same, "left_anti")
+        return rows.join(last.hint("shuffle_hash"), same, "left_anti")  # no task sorts the rows
 
     def add(self, chunks: DataFrame, number: int | None = None, removed: DataFrame | None = None, content: str = "page_content", segment: T.Segment | None = None, delivery: str | None = None) -> int:
         """A segment out of documents as they are now: chunks (by, doc_id, chunk_id, content); its number.
@@ -136,26 +134,8 @@ class Segments:
         means = new.groupBy(*by).agg(F.avg("dl").alias("_avg"))
         rows = bm25._with(new.select(*by, "chunk_id", "dl", "tokens"), means, self.by).select(*by, "chunk_id", "dl", "_avg", "tokens")
         keys = [ty.StructField(c, new.schema[c].dataType) for c in by]
-        posting = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("_less", ty.ShortType()), ty.StructField("chunk_id", new.schema["chunk_id"].dataType), ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])
         cut = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("block", ty.LongType()), ty.StructField("ids", ty.ArrayType(new.schema["chunk_id"].dataType)), ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("dls", ty.ArrayType(ty.IntegerType())), ty.StructField("front", ty.ArrayType(ty.StructType([ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])))])
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("tokens")), 0).to_numpy(zero_copy_only=False))
-                at = 0
-                while at < whole.num_rows:
-                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
-                    b, at = whole.slice(at, to - at), to
-                    coded = b.column("tokens").flatten().dictionary_encode()
-                    if not len(coded):
-                        continue
-                    lengths = pc.fill_null(pc.list_value_length(b.column("tokens")), 0).to_numpy(zero_copy_only=False)
-                    pairs, tf = np.unique(np.repeat(np.arange(b.num_rows), lengths) * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
-                    row, term = np.divmod(pairs, len(coded.dictionary))
-                    dl, take = b.column("dl").to_numpy()[row], pa.array(row)
-                    score = tf / (tf + ORDER_K1 * (1 - ORDER_B + ORDER_B * dl / b.column("_avg").to_numpy()[row]))
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), coded.dictionary.take(pa.array(term)).cast(pa.string()), pa.array(np.round(-1000 * score).astype(np.int16)), b.column("chunk_id").take(take), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32))], names=posting.names)
-
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = TaskContext.get().partitionId() << 33
             for b in batches:
@@ -183,7 +163,9 @@ class Segments:
                 number += len(cuts)
 
         order = [*by, "term", "_less", "chunk_id"]
-        out = rows.mapInArrow(count, posting).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, cut)
+        score = F.col("tf") / (F.col("tf") + ORDER_K1 * (1 - ORDER_B + ORDER_B * F.col("dl") / F.col("_avg")))
+        found = bm25.counted(rows).select(*by, "term", F.round(-1000 * score).cast("short").alias("_less"), "chunk_id", "tf", F.col("dl").cast("int").alias("dl"))
+        out = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, cut)
         return out.select(*by, "term", "block", F.size("ids").alias("n"), "front", "ids", "tfs", "dls")
 
     def merge(self, into: str) -> Segments:
@@ -195,7 +177,8 @@ class Segments:
         live = self.live()
         out._write(live.drop("segment"), "chunks", 0)
         out._write(live.select(*self.by, "chunk_id").limit(0), "gone", 0)
-        out._write(self._blocks(live.select(*self.by, "chunk_id", "dl", "tokens")), "blocks", 0)
+        kept = self.spark.read.parquet(f"{into}/chunks/segment=0")  # what is live is told from the rest once
+        out._write(self._blocks(kept.select(*self.by, "chunk_id", "dl", "tokens")), "blocks", 0)
         out._write(terms.groupBy(*self.by, "term").agg(F.sum("df").alias("df")).where("df > 0").repartitionByRange("term").sortWithinPartitions("term"), "terms", 0)
         out._write(totals.groupBy(*self.by).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"), F.array_distinct(F.flatten(F.collect_list("deliveries"))).alias("deliveries")).coalesce(1), "totals", 0)
         return out
@@ -214,9 +197,10 @@ class Segments:
         return t.select(*self.by, "n", (F.col("dl") / F.col("n")).alias("avgdl"))
 
     def as_index(self) -> bm25.Index:
-        """The live postings as bm25.Index."""
-        rows = self._alive(self.table("blocks").select(*self.by, "segment", "term", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf")))), self.table("gone"))
-        return bm25.Index(rows.select(*self.by, "chunk_id", "term", F.col("tf").cast("long").alias("tf")), self.live().select(*self.by, "chunk_id", "dl"), self.by)
+        """The live postings as bm25.Index, counted from the live chunks' tokens: a chunk that went is left out once, not posting by posting."""
+        live = self.live().select(*self.by, "chunk_id", "dl", "tokens")
+        rows = bm25.counted(live.select(*self.by, "chunk_id", "tokens"))
+        return bm25.Index(rows.select(*self.by, "chunk_id", "term", F.col("tf").cast("long").alias("tf")), live.select(*self.by, "chunk_id", "dl"), self.by, None, live.drop("dl"))
 
     # search
 
