@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import small_batches, stored, texts_of
 
 CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
+#: Words of 64 bits in the filter that keeps texts which aren't needed out of the shuffle: 8 MB, whatever the table.
+WORDS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -45,14 +47,24 @@ def empty_cache(spark: SparkSession, path: str, version: str) -> None:
     spark.createDataFrame([], "content_digest binary, n_tokens long").write.mode("ignore").parquet(_part(path, version))
 
 
+def _likely(keyed: DataFrame, misses: DataFrame) -> DataFrame:
+    """The rows of keyed that are in misses (content_digest, _id), and a few others: a row stays if its bit is set, one of WORDS * 64 that each miss sets one of."""
+    place = lambda id_col: F.xxhash64("content_digest", id_col)
+    word, bit = (lambda h: h.bitwiseAND(F.lit(WORDS - 1)).cast("int")), (lambda h: F.shiftrightunsigned(h, 58).cast("int"))
+    bits = misses.select(word(place("_id")).alias("_word"), bit(place("_id")).alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    rows = keyed.withColumns({"_word": word(place("doc_id")), "_bit": bit(place("doc_id"))})
+    return rows.join(F.broadcast(bits), "_word").where(F.getbit("_bits", F.col("_bit")) == 1).select(*keyed.columns)
+
+
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and content_digest of every row, encoding each distinct text that the cache lacks once.
 
     Content is normalised only by taking null as empty: anything more could change a count. Digests of the content
     (SHA-256) and of the tokenizer's file are the key of the cache, a Parquet folder of CACHE rows in a folder for each tokenizer; its
     misses are encoded and appended by Spark's committed writer before this returns. An append that runs twice adds equal rows, which
-    count as one. Digests are made distinct before they are joined with the cache, and texts are shuffled only for misses, by digest and id, so
-    no task gets all copies of a text; the counts go back by an equi-join that AQE splits where a digest is hot. Null and repeated ids stay; other columns are not looked at."""
+    count as one. Digests are made distinct before they are joined with the cache, and texts are shuffled once, only those that a filter of
+    fixed size takes for the one chosen row of a miss: what the cache has stays where it lies, and so do other copies of a text. The counts go back by an equi-join that AQE splits
+    where a digest is hot. Null and repeated ids stay; other columns are not looked at."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     small_batches(spark)
     empty_cache(spark, cache_path, version)
@@ -67,9 +79,10 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
 
     # digests alone are compared with the cache; then one row of each miss has its text fetched
     digests = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("_id"))
-    misses = stored(digests.join(known.select("content_digest"), "content_digest", "left_anti").withColumnRenamed("content_digest", "_digest"), "token-misses")
-    wanted = (F.col("content_digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    distinct = keyed.join(misses, wanted, "left_semi").dropDuplicates(["content_digest", "doc_id"]).select("content_digest", "text")
+    misses = stored(digests.join(known.select("content_digest"), "content_digest", "left_anti"), "token-misses")
+    likely = _likely(keyed, misses)
+    # a row that passes the filter wrongly has the text of another miss or one that the cache has; copies go before the shuffle and after it
+    distinct = likely.select("content_digest", "text").dropDuplicates(["content_digest"]).join(misses.select("content_digest"), "content_digest", "left_semi")
     counted = distinct.mapInArrow(run, "content_digest binary, n_tokens long")
     counted.select("content_digest", "n_tokens").write.mode("append").parquet(_part(cache_path, version))
 

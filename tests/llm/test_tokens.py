@@ -132,3 +132,25 @@ def test_packing_is_tight(spark, sf_dir):
 def test_packing_empty(spark, docs, tmp_path):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
     assert len(token_binary.token_digests(docs.limit(0), str(tmp_path / "t"), PATH).collect()) == 0
+
+
+def test_known_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """A delivery whose texts the cache has shuffles digests and counts alone; new ones among them, and copies, are still found."""
+    import random
+
+    rng, path, cache = random.Random(4), default_path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=5000)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:50])]
+    written = lambda: sum(e.totalShuffleWrite() for e in (some.apply(i) for some in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for i in range(some.size())))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), cache, path).collect()}
+        before = written()
+        more = spark.createDataFrame([*rows, (2000, "new text"), (2001, "new text")], "doc_id long, text string")
+        again = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(more, cache, path).collect()}
+        assert written() - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert first == {i: again[i] for i in first} and again[2000] == again[2001]
+    assert spark.read.parquet(cache).count() == len(texts) + 1
