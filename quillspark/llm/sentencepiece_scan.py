@@ -8,7 +8,8 @@ and neighbours that would merge add minus infinity; that path is the only finite
 A giant text is cut into chunks at fixed places. A state at a boundary is the piece that holds the character before it. A
 chunk's transfer matrix has the best score from each state at its left boundary to each at its right one; matrices are
 combined associatively, boundary states follow from the products, and then each chunk traces its own path. No piece has a blank after
-another character, so all paths meet where a word begins, and whole words within a chunk are encoded once and kept.
+another character, so all paths meet where a word begins, and whole words within a chunk are encoded once and kept. Texts of up to a run
+of chunks are scanned where they lie; the chunks of longer ones are dealt out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, stored
+from quillspark.llm.common import slices, small_batches, stored
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -59,9 +60,11 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Pieces:
-    """A model's pieces with their scores. Models that merge otherwise, normalise or hold user-defined pieces are refused."""
+    """A model's pieces with their scores. Models that merge otherwise, normalise or hold user-defined pieces are refused.
 
-    def __init__(self, path: str, most_words: int = 900_000):
+    most_words: so many words, and as many pairs of neighbours, are kept with what was found for them, some 0.2 KB each; others are encoded each time."""
+
+    def __init__(self, path: str, most_words: int = 400_000):
         self.names: list[str] = []
         self.score: dict[str, tuple[int, float]] = {}
         self.byte: dict[int, int] = {}
@@ -99,7 +102,10 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.unknown = min(s for _, s in self.score.values()) - 10.0
         self.starts = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
-        self.words: dict[str, tuple[bytes, float]] = {}
+        self.rank = {p: s for p, (_, s) in self.score.items()}
+        #: What each id adds to a score: a run of bytes counts as its characters.
+        self.adds = np.array([self.rank.get(n, 0.0) if k == NORMAL else self.unknown if k == UNKNOWN or i in self.byte_of and self.byte_of[i] & 192 != 128 else 0.0 for i, (n, k) in enumerate(zip(self.names, kinds, strict=True))])
+        self.words = _Words(self, most_words)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.most_words = most_words
 
@@ -109,21 +115,17 @@ class Pieces:
 
     def merged(self, s: str) -> list[str]:
         """The pieces that merging leaves of a short string."""
-        parts, score = list(s), self.score
-        found = [score.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = LOW, -1
-            for i, f in enumerate(found):
-                if f is not None and f[1] > best:
-                    best, at = f[1], i
-            if at < 0:
-                return parts
+        parts, rank = list(s), self.rank.get
+        found = [rank(a + b, LOW) for a, b in zip(parts, parts[1:], strict=False)]
+        while found and (best := max(found)) > LOW:
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del found[at]
             if at:
-                found[at - 1] = score.get(parts[at - 1] + parts[at])
+                found[at - 1] = rank(parts[at - 1] + parts[at], LOW)
             if at < len(found):
-                found[at] = score.get(parts[at] + parts[at + 1])
+                found[at] = rank(parts[at] + parts[at + 1], LOW)
+        return parts
 
     def stay(self, a: str | None, b: str) -> bool:
         """Whether two neighbours stay as they are; without a, whether b alone is one piece."""
@@ -164,28 +166,21 @@ class Pieces:
             j = back[j]
         return [x for part in reversed(out) for x in part]
 
-    def word(self, w: str) -> tuple[bytes, float]:
-        """Ids and score of a word; a long one is one path, a short one is merged outright."""
-        found = self.words.get(w)
-        if found is None:
-            parts = self.merged(w) if len(w) <= 64 else None
-            ids = [x for p in parts for x in self.ids_of(p)] if parts else self.path(w, 0, len(w))
-            score = sum(self.score.get(p, (0, self.unknown))[1] for p in parts) if parts else self.total(ids)
-            found = np.asarray(ids, "<u4").tobytes(), score
-            if len(self.words) < self.most_words:
-                self.words[w] = found
-        return found
+    def word(self, w: str) -> bytes:
+        """Ids of a word; a long one is one path, a short one is merged outright."""
+        return np.asarray([x for p in self.merged(w) for x in self.ids_of(p)] if len(w) <= 64 else self.path(w, 0, len(w)), "<u4").tobytes()
 
-    def total(self, ids: list[int]) -> float:
-        """The score of ids; each run of bytes counts as its characters."""
-        text = b"".join(b"\0" if i in self.byte_of and self.byte_of[i] & 192 == 128 else b"\1" if i in self.byte_of else b"" for i in ids)
-        return text.count(b"\1") * self.unknown + sum(self.score[self.names[i]][1] for i in ids if i not in self.byte_of and self.names[i] in self.score)
+    def in_words(self, s: str) -> bytes:
+        """Ids of whole words."""
+        return b"".join(map(self.words.__getitem__, _WORD.findall(s)))
+
+    def total(self, ids: bytes) -> float:
+        """The score of ids."""
+        return float(self.adds[np.frombuffer(ids, "<u4")].sum())
 
     def encode(self, text: str) -> tuple[bytes, float]:
-        if not text:
-            return b"", 0.0
-        found = [self.word(w) for w in _WORD.findall(self.normalised(text))]
-        return b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
+        ids = self.in_words(self.normalised(text))
+        return ids, self.total(ids)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 are replaced."""
@@ -198,9 +193,15 @@ class Pieces:
             return [(0, 0)]
         return [(i, j) for i in range(max(0, at - self.longest), at) for j, _ in self.after(s, i) if j >= at]
 
-    def meetings(self, s: str, lo: int, hi: int) -> list[int]:
-        """Where words begin from lo to hi, hi not included; no piece lies across such a place."""
-        return [m.start() + 1 for m in _BEGIN.finditer(s, max(0, lo - 1), hi) if m.start() + 1 < hi]
+    def meetings(self, s: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """The first and the last place where a word begins from lo to hi, hi not included; no piece lies across such a place."""
+        m = _BEGIN.search(s, max(0, lo - 1), hi)
+        if not m or m.start() + 1 >= hi:
+            return None
+        last = s.rfind(SPACE, m.start() + 1, hi)
+        while s[last - 1] == SPACE:
+            last -= 1
+        return m.start() + 1, last
 
     def walk(self, s: str, live: dict[tuple[int, int], np.ndarray], lo: int, hi: int) -> dict[tuple[int, int], np.ndarray]:
         """From pieces with the scores of the paths that lead to them, to the pieces that hold the character before hi."""
@@ -221,33 +222,68 @@ class Pieces:
                         put((p, q), v + score)
         return out
 
+    def middle(self, s: str, lo: int, hi: int) -> tuple[int, int, bytes, float] | None:
+        """Of the chunk from lo to hi: where its first and its last word begin, and ids and score of the words between. None if no word begins in it."""
+        places = self.meetings(s, lo, hi)
+        if not places:
+            return None
+        ids = self.in_words(s[places[0] : places[1]])
+        return *places, ids, self.total(ids)
+
     def transfer(self, s: str, lo: int, hi: int) -> np.ndarray:
         """Of the chunk from lo to hi of s: the best score from each state at lo to each at hi."""
-        left, right = self.across(s, lo), self.across(s, hi)
+        return self._transfer(s, lo, hi, self.across(s, lo), self.across(s, hi), self.middle(s, lo, hi))
+
+    def _transfer(self, s: str, lo: int, hi: int, left: list[tuple[int, int]], right: list[tuple[int, int]], middle: tuple[int, int, bytes, float] | None) -> np.ndarray:
         eye = np.where(np.eye(len(left), dtype=bool), 0.0, LOW)
         out = np.full((len(left), len(right)), LOW)
-        live, places = dict(zip(left, eye, strict=True)), self.meetings(s, lo, hi)
-        if places:
-            first, last = places[0], places[-1]
+        live = dict(zip(left, eye, strict=True))
+        if middle:
+            first, last, _, score = middle
             met = np.full(len(left), LOW)
             for v in self.walk(s, live, lo, first).values():
                 met = np.maximum(met, v)
-            met = met + sum([self.word(w)[1] for w in _WORD.findall(s[first:last])])
-            live, lo = {(last, last): met}, last
+            live, lo = {(last, last): met + score}, last
+        at = {piece: i for i, piece in enumerate(right)}
         for piece, v in self.walk(s, live, lo, hi).items():
-            out[:, right.index(piece)] = v
+            out[:, at[piece]] = v
         return np.maximum(out, LOW)
 
     def trace(self, s: str, lo: int, hi: int, begin: int, end: int) -> bytes:
         """Ids of the pieces after the state `begin` at lo up to the state `end` at hi, which is included."""
-        (i, a), (_, z) = self.across(s, lo)[begin], self.across(s, hi)[end]
-        places = self.meetings(s, max(lo, a), hi)
-        if not places:
+        return self._trace(s, self.across(s, lo)[begin], self.across(s, hi)[end], self.middle(s, lo, hi))
+
+    def _trace(self, s: str, begin: tuple[int, int], end: tuple[int, int], middle: tuple[int, int, bytes, float] | None) -> bytes:
+        (i, a), (_, z) = begin, end
+        if not middle:
             return np.asarray(self.path(s, a, z, s[i:a] or None), "<u4").tobytes()
-        first, last = places[0], places[-1]
-        words = b"".join([self.word(w)[0] for w in _WORD.findall(s[first:last])])
+        first, last, words, _ = middle
         return np.asarray(self.path(s, a, first, s[i:a] or None), "<u4").tobytes() + words + np.asarray(self.path(s, last, z), "<u4").tobytes()
 
+    def scan(self, text: str, chunk_chars: int) -> tuple[bytes, float]:
+        """Ids and score of a text, by the transfer matrices of its chunks."""
+        s = self.normalised(text)
+        cuts = [*range(0, max(1, len(s) // chunk_chars) * chunk_chars, chunk_chars), len(s)]  # the last one takes what is left
+        states, chunks = [self.across(s, c) for c in cuts], list(zip(cuts, cuts[1:], strict=False))
+        middles = [self.middle(s, lo, hi) for lo, hi in chunks]
+        ms = [self._transfer(s, lo, hi, *states[c : c + 2], middles[c]) for c, (lo, hi) in enumerate(chunks)]
+        found = _states(ms, 0, None)
+        ids = [self._trace(s, states[c][found[c]], states[c + 1][found[c + 1]], middles[c]) for c in range(len(chunks))]
+        return b"".join(ids), float(sum([m[a, b] for m, a, b in zip(ms, found, found[1:], strict=False)]))
+
+
+class _Words(dict):
+    """word -> its ids as little-endian unsigned 32-bit integers; the first `most` stay."""
+
+    def __init__(self, pieces: Pieces, most: int):
+        self.pieces, self.most = pieces, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.pieces.word(word)
+        if len(self) < self.most:
+            self[word] = ids
+        return ids
+
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product."""
@@ -347,7 +383,8 @@ def encode(docs: DataFrame, path: str, giant_chars: int = 1 << 13, chunk_chars:
     """doc_id, ids (little-endian unsigned 32-bit integers), score and decoded (the ids' text) of every row of docs (doc_id, text).
 
     The ids are the library's for the same model. Texts of more than giant_chars characters are cut into chunks of chunk_chars; the
-    ids don't depend on either, and scores only by the order of sums. A word of any length is one path. Null texts count as empty and give no ids. Copies of a giant text are encoded once. Repeated and null ids
+    ids don't depend on either, and scores only by the order of sums. Texts of more than `run` chunks are dealt out, and copies of one are encoded once; others stay
+    where they lie. A word of any length is one path. Null texts count as empty and give no ids. Repeated and null ids
     stay; an empty table gives no rows; other columns aren't looked at."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -356,20 +393,22 @@ def encode(docs: DataFrame, path: str, giant_chars: int = 1 << 13, chunk_chars:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = "doc_id long, ids binary, score double, decoded string"
 
-    def run_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                found = [p.encode(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array([p.decode(f[0]) for f in found], pa.string())], names=["doc_id", "ids", "score", "decoded"])
+            at = 0
+            for texts in slices(b.column("text"), 1 << 20):
+                found = [p.scan(x, chunk_chars) if len(x) > giant_chars else p.encode(x) for x in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array([p.decode(f[0]) for f in found], pa.string())], names=["doc_id", "ids", "score", "decoded"])
+                at += len(texts)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.decode(x) for x in b.column("ids").to_pylist()], pa.string())], names=[*b.schema.names, "decoded"])
 
-    small = base.where(F.length("text") <= giant_chars).mapInArrow(run_small, out)
-    large = base.where(F.length("text") > giant_chars).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    most = max(giant_chars, run * chunk_chars)
+    small = base.where(F.length("text") <= most).mapInArrow(in_place, out)
+    large = base.where(F.length("text") > most).withColumn("digest", F.unhex(F.sha2("text", 256)))
     found = _giants(large.groupBy("digest").agg(F.first("text").alias("text")), path, chunk_chars, run)
     return small.unionByName(large.select("doc_id", "digest").join(found, "digest").select("doc_id", "ids", "score").mapInArrow(decoded, out))

@@ -71,3 +71,20 @@ def test_other_models_are_refused(tmp_path):
 
 def test_empty_table(spark):
     assert S.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_scans_in_place(spark, library):
+    """Texts of up to a run of chunks are scanned without a shuffle; cut anywhere, their ids are those of the whole; what is kept is bounded."""
+    texts = some(3, 5) + ["".join(some(400, 6)), "x" * 9000, "den the that ing " * 1200, " " * 500 + "tion" * 300]
+    written = lambda: sum(e.totalShuffleWrite() for e in (found.apply(i) for found in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for i in range(found.size())))
+    before = written()
+    rows = S.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert written() == before
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: library.encode(t) for i, t in enumerate(texts)}
+    p = S.Pieces(PATH, most_words=50)
+    for t in texts:
+        whole = p.encode(t)
+        for chars in (17, 100, 4096):
+            ids, score = p.scan(t, chars)
+            assert ids == whole[0] and np.isclose(score, whole[1])
+    assert len(p.words) == 50 and len(p.pairs) <= 50
