@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import constants as K
 from quillspark.functions import text as T
+from quillspark.shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -201,6 +202,7 @@ _FLUSH_CHARS = 4 << 20
 
 def _chunked(docs: DataFrame, cut, *args: object) -> DataFrame:  # cut: text, *args -> pieces
     """CHUNK rows of docs (doc_id, page_content); what is made of a batch leaves in batches of some 4 million characters."""
+    small_batches(docs.sparkSession)
     kinds = [ty.IntegerType(), ty.IntegerType(), ty.StringType(), ty.LongType(), ty.StringType()]
     out = ty.StructType([docs.schema["doc_id"], *[ty.StructField(c, k) for c, k in zip(CHUNK[1:], kinds, strict=True)]])
 
