@@ -19,8 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.shared import small_batches
 
 DEFAULT_THRESHOLD = 0.7
+#: Rows of which a worker holds the vectors at once.
+HELD = 256
 
 
 class Embedder(Protocol):
@@ -48,13 +51,17 @@ class HashEmbedder:
 
 
 def embed(rows: DataFrame, embedder: Embedder, text_col: str = "page_content", is_query: bool = False, batch: int = 16) -> DataFrame:
-    """rows with `embedding`; the embedder is loaded once per task and gets prefixed, cut texts in batches."""
+    """rows with `embedding`; the embedder is loaded once per task and gets prefixed, cut texts in batches. Of its vectors a worker holds those of some batches, as 32-bit floats."""
+    small_batches(rows.sparkSession)
+    held = max(1, HELD // batch) * batch
 
     @F.pandas_udf("array<float>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             values = s.tolist()
-            yield pd.Series([v for i in range(0, len(values), batch) for v in embedder.encode(values[i : i + batch])])
+            for at in range(0, len(values), held) or [0]:
+                some = values[at : at + held]
+                yield pd.Series([np.asarray(v, np.float32) for i in range(0, len(some), batch) for v in embedder.encode(some[i : i + batch])], dtype=object)
 
     return rows.withColumn("embedding", run(T.embedding_input(F.coalesce(F.col(text_col), F.lit("")), is_query)))
 

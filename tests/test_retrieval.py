@@ -343,3 +343,36 @@ def test_collections_and_tables(spark, tmp_path):
     assert {tuple(r) for r in kv.read().collect()} == {("1", "z", 1), ("2", "c", 3)}
     kv.drop(F.col("id") == "1")
     assert kv.get("1").isEmpty() and kv.read().count() == 1
+
+
+def test_workers_hold_small_batches(spark):
+    """Texts go to Python in batches of some MB, whatever the session's default."""
+    from quillspark.operators import chunking, vectors
+
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+    rows = spark.range(1500).selectExpr("id as doc_id", "concat('text ', id) as page_content").coalesce(1)
+    for make in (lambda: chunking.chunk_documents(rows), lambda: vectors.embed(rows, vectors.HashEmbedder(8))):
+        for k in keys:
+            spark.conf.unset(k)
+        found = make()
+        assert all(int(spark.conf.get(k).rstrip("b")) <= most for k, most in keys.items())
+        assert found.count() == 1500
+
+
+def test_vectors_are_made_some_at_a_time(spark):
+    """No more than HELD vectors are made before the first of them leave; all come, in their order."""
+    import os
+
+    from quillspark.operators import vectors
+
+    class Counting:
+        dimension = 2
+
+        def encode(self, texts):
+            self.made = getattr(self, "made", 0) + len(texts)
+            return [[float(self.made), float(os.getpid() > 0)] for _ in texts]
+
+    rows = spark.range(1000).selectExpr("id", "concat('text ', id) as page_content").coalesce(1)
+    got = vectors.embed(rows, Counting(), batch=10).orderBy("id").collect()
+    assert [r.embedding[0] for r in got] == [10.0 * (i // 10 + 1) for i in range(1000)]
+    assert vectors.HELD < 1000 and vectors.embed(rows.limit(0), Counting()).count() == 0
