@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators import bm25
-from quillspark.shared import exists, folders, forget, small, stored
+from quillspark.shared import exists, folders, forget, small, small_batches, stored
 
 #: Postings of a block.
 BLOCK = 128
@@ -33,6 +33,8 @@ BLOCK = 128
 AHEAD = 4
 #: Scores are compared after rounding to nine digits.
 SLACK = 2e-9
+#: Postings that a map task puts into lists at once, and how many steps of score a list spans.
+HELD, STEP = 500_000, 8
 #: The order of postings within a term is that of scores with these constants; bounds hold for any.
 ORDER_K1, ORDER_B = 1.5, 0.75
 
@@ -110,7 +112,7 @@ class Segments:
         if old is None:
             gone = new.limit(0).select(*keys, "tokens", "dl")
         self._write(gone.select(*keys), "gone", number)
-        self._write(self._blocks(new), "blocks", number)
+        self._write_blocks(new, number)
         more = self.spark.read.parquet(f"{self.path}/blocks/segment={number}").select(*self.by, "term", F.col("n").alias("_d"))  # a posting is a chunk that has the term
         delta = more.unionByName(gone.select(*self.by, F.explode(F.array_distinct("tokens")).alias("term"), F.lit(-1).alias("_d")))
         delta = delta.groupBy(*self.by, "term").agg(F.sum("_d").alias("df")).where("df <> 0")
@@ -126,28 +128,68 @@ class Segments:
         forget(*held_back)
         return number
 
-    def _blocks(self, new: DataFrame) -> DataFrame:
-        """Blocks out of chunks with tokens, by one shuffle: terms are counted where the tokens are, and cut into blocks where the postings are sorted.
+    def _write_blocks(self, new: DataFrame, number: int) -> None:
+        """Blocks out of chunks with tokens: terms are counted where the tokens are and leave as lists, one for each term and range of scores, so what is shuffled and sorted is lists.
 
-        Postings are dealt by ranges of term and score, so a frequent term is split. Within a term they come by score in steps of a thousandth, the largest first."""
+        Lists are stored before they are dealt by ranges of term and score, so texts are counted once, and a frequent term is split. Within a term postings come by score in steps of a thousandth, the largest first."""
         by, block = list(self.by), BLOCK
+        small_batches(self.spark)
         means = new.groupBy(*by).agg(F.avg("dl").alias("_avg"))
-        rows = bm25._with(new.select(*by, "chunk_id", "dl", "tokens"), means, self.by).select(*by, "chunk_id", "dl", "_avg", "tokens")
+        rows = bm25._with(new.select(*by, "chunk_id", "dl", "tokens"), means, self.by).select(*by, "chunk_id", F.col("dl").cast("int").alias("dl"), "_avg", "tokens")
         keys = [ty.StructField(c, new.schema[c].dataType) for c in by]
         cut = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("block", ty.LongType()), ty.StructField("ids", ty.ArrayType(new.schema["chunk_id"].dataType)), ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("dls", ty.ArrayType(ty.IntegerType())), ty.StructField("front", ty.ArrayType(ty.StructType([ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])))])
 
+        numbers = [ty.StructField(c, ty.ArrayType(ty.IntegerType())) for c in ("tf", "dl")]
+        listed = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("_step", ty.IntegerType()), ty.StructField("_avg", ty.DoubleType()), ty.StructField("chunk_id", ty.ArrayType(new.schema["chunk_id"].dataType)), *numbers])
+        count = bm25.counter([*by, "chunk_id", "dl", "_avg"])
+
+        def less(tf: np.ndarray, dl: np.ndarray, avg: np.ndarray) -> np.ndarray:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.round(-1000 * tf / (tf + ORDER_K1 * (1 - ORDER_B + ORDER_B * dl / avg))).astype(np.int32)
+
+        def changes(columns: list) -> np.ndarray:
+            out = np.arange(len(columns[0])) == 0
+            for c in columns:
+                codes = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                out[1:] |= codes[1:] != codes[:-1]
+            return out
+
+        def in_lists(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(some).combine_chunks()
+            step = less(t["tf"].to_numpy(), t["dl"].to_numpy(), t["_avg"].to_numpy()) // STEP
+            codes = [pc.fill_null(t[c].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in (*by, "term")]
+            order = np.lexsort((step, *codes))
+            t, step = t.take(pa.array(order)), step[order]
+            starts = np.flatnonzero(changes([*(t[c].combine_chunks() for c in (*by, "term")), pa.array(step)]))
+            offsets, first = pa.array([*starts, len(step)], pa.int32()), t.take(pa.array(starts))
+            lists = [pa.ListArray.from_arrays(offsets, t[c].combine_chunks()) for c in ("chunk_id", "tf", "dl")]
+            return pa.RecordBatch.from_arrays([*(first[c].combine_chunks() for c in (*by, "term")), pa.array(step[starts], pa.int32()), first["_avg"].combine_chunks(), *lists], names=listed.names)
+
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in count(batches):
+                held.append(b)
+                n += b.num_rows
+                if n >= HELD:
+                    yield in_lists(held)
+                    held, n = [], 0
+            if n:
+                yield in_lists(held)
+
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = TaskContext.get().partitionId() << 33
-            for b in batches:
-                n = b.num_rows
-                if not n:
+            for rows in batches:
+                if not rows.num_rows:
                     continue
-                new_run = np.ones(n, bool)
-                new_run[1:] = False
-                for c in (*by, "term"):
-                    codes = pc.fill_null(b.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-                    new_run[1:] |= codes[1:] != codes[:-1]
-                starts = np.flatnonzero(new_run)
+                own = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("chunk_id")).to_numpy(zero_copy_only=False))
+                tf, dl = (rows.column(c).flatten() for c in ("tf", "dl"))
+                group = np.cumsum(changes([rows.column(c) for c in (*by, "term")]))[own]
+                flat = pa.table({"group": group, "less": less(tf.to_numpy(), dl.to_numpy(), rows.column("_avg").to_numpy()[own]), "chunk_id": rows.column("chunk_id").flatten()})
+                order = pc.sort_indices(flat, sort_keys=[(c, "ascending") for c in flat.column_names])
+                take = pa.array(own).take(order)
+                b = pa.RecordBatch.from_arrays([*(rows.column(c).take(take) for c in (*by, "term")), rows.column("chunk_id").flatten().take(order), tf.take(order), dl.take(order)], names=[*by, "term", "chunk_id", "tf", "dl"])
+                n = b.num_rows
+                starts = np.flatnonzero(changes([b.column(c) for c in (*by, "term")]))
                 place = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
                 cuts = np.flatnonzero(place % block == 0)
                 offsets, take = pa.array([*cuts, n], pa.int32()), pa.array(cuts)
@@ -162,11 +204,11 @@ class Segments:
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), b.column("term").take(take), pa.array(np.arange(number, number + len(cuts))), *lists], names=cut.names)
                 number += len(cuts)
 
-        order = [*by, "term", "_less", "chunk_id"]
-        score = F.col("tf") / (F.col("tf") + ORDER_K1 * (1 - ORDER_B + ORDER_B * F.col("dl") / F.col("_avg")))
-        found = bm25.counted(rows).select(*by, "term", F.round(-1000 * score).cast("short").alias("_less"), "chunk_id", "tf", F.col("dl").cast("int").alias("dl"))
+        order = [*by, "term", "_step"]
+        found = stored(rows.mapInArrow(lists, listed), "segment-lists")
         out = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, cut)
-        return out.select(*by, "term", "block", F.size("ids").alias("n"), "front", "ids", "tfs", "dls")
+        self._write(out.select(*by, "term", "block", F.size("ids").alias("n"), "front", "ids", "tfs", "dls"), "blocks", number)
+        forget(found)
 
     def merge(self, into: str) -> Segments:
         """One segment, below another path, with what is live: dead postings are left out and blocks are full again. Readers of this path are not disturbed."""
@@ -178,7 +220,7 @@ class Segments:
         out._write(live.drop("segment"), "chunks", 0)
         out._write(live.select(*self.by, "chunk_id").limit(0), "gone", 0)
         kept = self.spark.read.parquet(f"{into}/chunks/segment=0")  # what is live is told from the rest once
-        out._write(self._blocks(kept.select(*self.by, "chunk_id", "dl", "tokens")), "blocks", 0)
+        out._write_blocks(kept, 0)
         out._write(terms.groupBy(*self.by, "term").agg(F.sum("df").alias("df")).where("df > 0").repartitionByRange("term").sortWithinPartitions("term"), "terms", 0)
         out._write(totals.groupBy(*self.by).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"), F.array_distinct(F.flatten(F.collect_list("deliveries"))).alias("deliveries")).coalesce(1), "totals", 0)
         return out

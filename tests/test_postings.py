@@ -91,3 +91,15 @@ def test_negative_weights(spark, tmp_path, monkeypatch):
     fresh = bm25.build(as_chunks(spark, docs))
     assert min(r.idf for r in bm25.term_stats(fresh).collect()) < 0
     assert ranks(index.top_k(asked, 6), ()) == ranks(bm25.top_k(bm25.scores(fresh, asked), 6, score="raw"), ())
+
+
+def test_lists_of_any_size(spark, tmp_path, monkeypatch):
+    """Postings that leave a map task in many small lists make the same index."""
+    monkeypatch.setattr(postings, "HELD", 7)
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    rnd = random.Random(8)
+    chunks = as_chunks(spark, {("ab"[d % 2], d): [words(rnd, 12)] for d in range(40)})
+    index = Segments(spark, str(tmp_path / "i"), ("collection",))
+    index.add(chunks)
+    rows = index.table("blocks").select("collection", "term", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"))))
+    assert sorted(map(tuple, rows.collect())) == sorted((r.collection, r.term, r.chunk_id, r.tf) for r in bm25.build(chunks, by=("collection",)).postings.collect())
