@@ -2,11 +2,14 @@
 
 If two sets are alike to the degree t, then under *any* order of all tokens the first n - ceil(t*n) + 1 tokens of
 either share one. So a pair is a candidate only if it shares prefix tokens under each of three orders: by frequency, and
-by two hashes. The first makes the candidates, the other two are intersected with it before any set is fetched.
+by a hash upwards and downwards. The first makes the candidates, the other two are intersected with it. Both are read from
+a set's image, 16 bits of each of its tokens in a byte or so, which nearly always tells whether two sets link. Only where it
+doesn't are texts fetched and sets compared, so that whole sets stay out of the shuffles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +24,6 @@ from quillspark.llm.common import drop_stored, slices, small_batches, split_word
 from quillspark.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +86,41 @@ class Alike:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both)
 
+    def judged(self, a: np.ndarray, b: np.ndarray) -> bool | None:
+        """Whether sets with these images link; None if only the sets can tell.
+
+        Images share at least what their sets share, so a no is certain. They share more only where tokens that the sets don't
+        share have equal images: for a wrong yes, so many pairs of them that the chance is below 2^-64, that of equal hashes."""
+        n = len(a) + len(b)
+        p, q = self.prefix(len(a)), self.prefix(len(b))
+        if not (len(np.intersect1d(a[:p], b[:q])) and len(np.intersect1d(a[-p:], b[-q:]))):
+            return False
+        both, need = len(np.intersect1d(_numbered(a), _numbered(b), assume_unique=True)), -(-self.percent * n // (100 + self.percent))
+        if both < need:
+            return False
+        over = both - need + 1
+        chance = (len(a) - need + 1) * (len(b) - need + 1) / 65536
+        return True if chance <= 0 or over * math.log(chance) - math.lgamma(over + 1) < -64 * math.log(2) else None
+
+
+def _numbered(image: np.ndarray) -> np.ndarray:
+    """Equal numbers of an ascending image are told apart by their places among them."""
+    return (image << 32) | (np.arange(len(image)) - np.searchsorted(image, image))
+
+
+def image_bytes(s: np.ndarray) -> bytes:
+    """The image of an ascending set, the upper 16 bits of its tokens: their steps, in bytes of which 255 is carried on."""
+    steps = np.diff((s >> np.uint64(48)).astype(np.int64), prepend=0)
+    ends = np.cumsum(steps // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = steps % 255
+    return out.tobytes()
+
+
+def image(raw: pa.Buffer | bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
 
 def _bytes(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
@@ -141,12 +178,11 @@ SPARE = 8
 REST = 0.25
 #: Longs of parity bits: each token of a set turns one bit over.
 PARITY = 4
-#: Of the second and third prefixes 16 bits of a token are kept: what two sets share they still share, and what they seem to share is verified.
-CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, second array<short>, third array<short>"
+CLASS = "cid long, sig binary, n long, cold int, parity array<long>, first array<long>, image binary"
 
 
 def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
-    """The docs' doc_id and tag, and of each text's set: its hash, size, and prefixes under the three orders."""
+    """The docs' doc_id and tag, and of each text's set: its hash, size, prefix by frequency and image."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     cut = np.uint64(64 - int(np.log2(len(ranks))))
     hot = float(np.percentile(ranks, 99.9)) + 16  # four times what a usual bucket holds
@@ -159,16 +195,16 @@ def measured(docs: DataFrame, alike: Alike, ranks: np.ndarray) -> DataFrame:
             for s in shingle_sets(b.column("text"), alike.k):
                 raw, n = s.tobytes(), len(s)
                 sig = xxhash.xxh3_128_digest(raw)
-                prefixes, cold = [None] * 4, 0
+                about, cold = [None] * 3, 0
                 if n >= least:
                     p = alike.prefix(n)
                     rank = ranks[(s >> cut).astype(np.int64)].astype(np.uint64)
                     order = np.argsort((rank << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[:p]
                     cold = int((rank[order] <= hot).sum())
                     parity = np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
-                    prefixes = [parity, s[order].view(np.int64)] + [np.partition(_mix(s ^ seed), p - 1)[:p].astype(np.uint16).view(np.int16) for seed in _SEEDS]
-                rows.append((int.from_bytes(sig[:8], "little", signed=True), sig, n, cold, *prefixes))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int16())]
+                    about = [parity, s[order].view(np.int64), image_bytes(s)]
+                rows.append((int.from_bytes(sig[:8], "little", signed=True), sig, n, cold, *about))
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *cols], names=["doc_id", "tag", *(c.split()[0] for c in CLASS.split(", "))])
 
@@ -179,24 +215,44 @@ def _sets(docs: DataFrame, alike: Alike) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [x.tobytes() for x in shingle_sets(b.column("text"), alike.k)]
-            sigs = [xxhash.xxh3_128_digest(x) for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs], pa.int64()), _bytes(sigs), _bytes(raw)], names=["cid", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([_bytes([xxhash.xxh3_128_digest(x) for x in raw]), _bytes(raw)], names=["sig", "set"])
 
-    return docs.mapInArrow(run, "cid long, sig binary, set binary")
+    return docs.mapInArrow(run, "sig binary, set binary")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, alike: Alike, name: str) -> DataFrame:
     """The pairs (x, y) of classes that link, also as sigs a and b; sizes and parity bits have let them pass.
 
-    First the other two orders' prefixes are intersected; only what is left has its texts fetched and its sets compared."""
+    First their images are compared; only what these leave open has its texts fetched and its sets compared."""
     # tables of their own: where they are small, Spark knows so and doesn't shuffle all classes and texts to find a few
-    needed = pairs.select(F.col("x").alias("cid")).union(pairs.select("y"))
-    about = stored(classes.join(needed, "cid", "left_semi").select("cid", "doc_id", "tag", "second", "third"), f"jaccard-{name}-about")
-    side = {c: about.select(F.col("cid").alias(c), F.col("second").alias(f"s_{c}"), F.col("third").alias(f"t_{c}")) for c in "xy"}
-    left = pairs.join(side["x"], "x").join(side["y"], "y").where(F.arrays_overlap("s_x", "s_y") & F.arrays_overlap("t_x", "t_y"))
-    left = stored(left.select("x", "y"), f"jaccard-{name}-candidates")
-    needed = left.select(F.col("x").alias("cid")).union(left.select("y"))
-    texts = stored(about.join(needed, "cid", "left_semi").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), f"jaccard-{name}-needed")
+    needed = stored(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct(), f"jaccard-{name}-ids")
+    about = stored(classes.join(needed, "cid", "left_semi").select("cid", "sig", "doc_id", "tag", "image"), f"jaccard-{name}-about")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            view = lambda c: [image(x.as_buffer()) for x in b.column(c)]
+            found = [alike.judged(p, q) for p, q in zip(view("image_x"), view("image_y"), strict=True)]
+            b, sure = b.filter(pa.array([x is not False for x in found], pa.bool_())), pa.array([x is True for x in found if x is not False], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "a", "b")), sure], names=["x", "y", "a", "b", "sure"])
+
+    x = about.select(F.col("cid").alias("x"), F.col("sig").alias("a"), F.col("image").alias("image_x"))
+    y = about.select(F.col("cid").alias("y"), F.col("sig").alias("b"), F.col("image").alias("image_y"))
+    seen = pairs.select("x", "y").join(y, "y").join(x, "x").select("x", "y", "a", "b", "image_x", "image_y")
+    seen = stored(seen.mapInArrow(judge, "x long, y long, a binary, b binary, sure boolean"), f"jaccard-{name}-judged")
+    links, left = seen.where("sure").drop("sure"), stored(seen.where("not sure").drop("sure"), f"jaccard-{name}-candidates")
+    done = [needed, about]
+    if left.head(1):
+        links = stored(links.union(_compared_sets(left, about, docs, alike, name)), f"jaccard-{name}-links")
+        done.append(seen)
+    for old in [*done, left]:
+        drop_stored(old)
+    return links
+
+
+def _compared_sets(pairs: DataFrame, about: DataFrame, docs: DataFrame, alike: Alike, name: str) -> DataFrame:
+    """Those of the pairs (x, y, and the sigs a and b) whose sets link."""
+    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+    texts = stored(about.join(needed, "sig", "left_semi").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), f"jaccard-{name}-needed")
     fetched = docs.join(texts, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["tag"] == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "tag"])
     sets = stored(_sets(fetched.select("text"), alike), f"jaccard-{name}-sets")
 
@@ -206,12 +262,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, alike: Alik
             ok = pa.array([alike.links(p, q) for p, q in zip(view("set_x"), view("set_y"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("x", "y", "a", "b")], names=["x", "y", "a", "b"])
 
-    x = sets.select(F.col("cid").alias("x"), F.col("sig").alias("a"), F.col("set").alias("set_x"))
-    y = sets.select(F.col("cid").alias("y"), F.col("sig").alias("b"), F.col("set").alias("set_y"))
-    out = stored(left.join(y, "y").join(x, "x").select("x", "y", "a", "b", "set_x", "set_y").mapInArrow(run, "x long, y long, a binary, b binary"), f"jaccard-{name}-links")
-    for done in (about, left, texts, sets):
-        drop_stored(done)
-    return out
+    x, y = (sets.select(F.col("sig").alias(c), F.col("set").alias(f"set_{n}")) for c, n in ("ax", "by"))
+    return pairs.join(y, "b").join(x, "a").select("x", "y", "a", "b", "set_x", "set_y").mapInArrow(run, "x long, y long, a binary, b binary")
 
 
 def _hubs(turn: int) -> list[Column]:
@@ -247,8 +299,8 @@ def linked_rows(docs: DataFrame, alike: Alike = Alike(), most_turns: int = 8) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     whole = stored(measured(base, alike, frequencies(base, alike)), "jaccard-whole")
-    one = whole.where("first is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag", "cid", "n", "cold", "parity", "first", "second", "third")).alias("r"))
-    classes = stored(one.select("r.*"), "jaccard-classes")
+    one = whole.where("first is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag", "cid", "n", "cold", "parity", "first", "image")).alias("r"))
+    classes = stored(one.select("r.*", "sig"), "jaccard-classes")
     rows = stored(whole.select("doc_id", "tag", "cid", "sig", "n", F.col("first").isNotNull().alias("meets")), "jaccard-rows")
     drop_stored(whole)
 

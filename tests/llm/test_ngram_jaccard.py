@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillspark.llm import ngram_jaccard as J
@@ -87,3 +88,42 @@ def test_long_chain_and_hot_node(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {**{i: 100 for i in range(100, 161)}, **{i: 0 for i in range(60)}}
+
+
+def test_images_tell_what_sets_tell():
+    """Sets of 1 to 3,000 tokens about the threshold: an image's yes and no are those of the sets, and few stay open."""
+    rng, alike, n_open = np.random.default_rng(3), J.Alike(4, 85), 0
+    for _ in range(600):
+        n = int(rng.integers(1, 3000))
+        both, rest = rng.integers(0, 1 << 64, n, np.uint64), int(n * rng.uniform(0, 0.12))
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, rest, np.uint64)])) for _ in "ab")
+        x, y = J.image(J.image_bytes(a)), J.image(J.image_bytes(b))
+        assert x.tolist() == (a >> np.uint64(48)).tolist()
+        told = alike.judged(x, y)
+        assert told is None or told == alike.links(a, b)
+        n_open += told is None
+    assert n_open < 90
+    assert J.image(J.image_bytes(a[:0])).tolist() == []
+
+
+def test_near_copies_need_no_sets(spark, monkeypatch):
+    """Whole sets of shingles of texts that clearly link aren't fetched, stored or shuffled."""
+    rng, real, sets = random.Random(8), J.stored, []
+
+    def stored(df, name):
+        out = real(df, name)
+        if name.endswith("-sets"):
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stored", stored)
+    rows = []
+    for i in range(20):
+        base = [f"g{i}w{j}" for j in range(300)]
+        for _ in range(4):
+            w = list(base)
+            w[rng.randrange(300)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    got = J.linked(spark.createDataFrame(rows, "doc_id long, text string"), J.Alike(4, 85)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 4 * 4) for i in range(80)]
+    assert sum(sets) == 0
