@@ -108,7 +108,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 1000, label_col: str = "quality") -> Neighbours:
     """Learns from at most `most` labelled texts of each label, those with the smallest hash of their id, where `learns` holds.
 
-    Only doc_id and text are looked at; of rows with the same id the smallest text counts. Rows without a label other than 0 and 1 don't count; of several labels for an id the
+    Only doc_id, of any type that can be joined on, and text are looked at; of rows with the same id the smallest text counts. Rows without a label other than 0 and 1 don't count; of several labels for an id the
     smallest does. A label's texts count in proportion to how many such rows there are, sampled or not."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 1000,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array([_packed(term_counts(x)) for x in texts_of(b)], pa.binary())], names=["doc_id", "_label", "counts"])
 
-    rows = sorted(((r[0], r[1], bytes(r[2])) for r in chosen.mapInArrow(run, "doc_id long, _label int, counts binary").collect()), key=lambda r: (r[0], r[2]))
+    rows = sorted(((r[0], r[1], bytes(r[2])) for r in chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, _label int, counts binary").collect()), key=lambda r: (r[0], r[2]))
     y = np.array([r[1] for r in rows], dtype=np.float64)
     counts = np.array([_unpacked(r[2]) for r in rows], dtype=np.float32).reshape(len(rows), TERMS)
     share = {v: totals.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1)}

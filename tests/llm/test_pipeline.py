@@ -79,3 +79,18 @@ def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
             out = f(spark, rows, sf_dir)
             assert out.columns == odd.columns and out.count() <= n
         assert (P.STAGES[-1][1](spark, rows, sf_dir).count() > 0) == (n > 0)
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(20,0)", "string"])
+def test_classifier_on_ids_of_other_types(spark, tmp_path, kind):
+    """Copies of the tables may have ids of another type; the same rows stay."""
+    docs, labels = (table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "labels"))
+    kept = {}
+    for k in ("long", kind):
+        at = str(tmp_path / k[:3])
+        docs.withColumn("doc_id", F.col("doc_id").cast(k)).write.parquet(f"{at}/documents.parquet")
+        labels.withColumn("doc_id", F.col("doc_id").cast(k)).write.parquet(f"{at}/labels.parquet")
+        rows = P.pass_classifier(spark, table(spark, at, "documents"), at)
+        assert dict(rows.dtypes)["doc_id"] == k.replace("long", "bigint")
+        kept[k] = {int(r.doc_id) for r in rows.collect()}
+    assert kept[kind] == kept["long"]
