@@ -1,7 +1,7 @@
 """A stored BM25 index in segments, with the best chunks found without reading all of it.
 
 Tables below a path, parted by `segment`; a segment is what one delivery added and took away:
-  chunks  by, doc_id, chunk_id, digest, dl, tokens    the chunks it added
+  chunks  by, doc_id, chunk_id, digest, dl, tokens    the chunks it added, the tokens of each sorted, so that they take little room
   gone    by, chunk_id                                chunks of earlier segments that it replaced or removed
   blocks  by, term, block, n, front, ids, tfs, dls    postings, the most telling first, BLOCK to a row; sorted by term
   terms   by, term, df                                how many chunks more (or fewer) have the term
@@ -11,12 +11,16 @@ A segment that is written again replaces itself, so a broken-off or repeated del
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators import bm25
-from quillspark.shared import exists, folders, forget, small, small_batches, stored
+from quillspark.shared import exists, folders, forget, scratch, small, small_batches
 
 #: Postings of a block.
 BLOCK = 128
@@ -33,12 +37,30 @@ BLOCK = 128
 AHEAD = 4
 #: Scores are compared after rounding to nine digits.
 SLACK = 2e-9
-#: Postings that a map task puts into lists at once, and how many steps of score a list spans.
-HELD, STEP = 500_000, 8
+#: Postings that a map task packs at once, those of a part of the index, and the fewest for which there is one more part; how many thousandths of score aren't parted.
+HELD, PART, LEAST, STEP = 1_000_000, 1_000_000, 50_000, 8
+#: Chunks, about, by whose postings the parts' bounds are set.
+SAMPLED = 4096
+#: Rows of a file of which a bitmap tells.
+BITS = 32_768
+#: Sorted strings are written as what they have more than their predecessor.
+SORTED = {"parquet.writer.version": "v2", "parquet.enable.dictionary#tokens.list.element": "false"}
 #: The order of postings within a term is that of scores with these constants; bounds hold for any.
 ORDER_K1, ORDER_B = 1.5, 0.75
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files: else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass(frozen=True)
 class Segments:
     """The index below a path; by: columns whose values have statistics of their own, such as collection."""
@@ -68,20 +90,45 @@ class Segments:
         return [] if rows is None else [r[0] for r in rows.select(F.explode("deliveries")).distinct().collect()]
 
     def _write(self, df: DataFrame, name: str, number: int) -> None:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/segment={number}")
+        with _cleaned(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").options(**SORTED if name == "chunks" else {}).parquet(f"{self.path}/{name}/segment={number}")
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As shared.stored(), smaller and without what was shuffled for it."""
+        path = scratch(self.spark, name)
+        with _cleaned(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @staticmethod
+    def _placed(rows: DataFrame) -> DataFrame:
+        """Rows of files, with the file and their number in it."""
+        return rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+    def _at(self, rows: DataFrame, places: DataFrame, there: bool = True) -> DataFrame:
+        """Rows of files that are at the places (_file, _row), or those that aren't. Texts and tokens stay where they lie: a bit for each row is sent to them."""
+        part, bit = F.floor(F.col("_row") / BITS).alias("_part"), F.col("_row") % BITS
+        marks = places.select("_file", part, bit.alias("_bit")).groupBy("_file", "_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        marked = self._placed(rows).withColumn("_part", part).join(F.broadcast(marks), ["_file", "_part"], "left")
+        return marked.where(F.coalesce(F.getbit(byte, (bit % 8).cast("int")), F.lit(0)) == int(there)).select(*rows.columns)
 
     def live(self, before: int | None = None) -> DataFrame | None:
         """Chunks that no later segment took away, with their segment."""
-        chunks, gone = self.table("chunks", before), self.table("gone", before)
-        return None if chunks is None else self._alive(chunks, gone)
+        chunks = self.table("chunks", before)
+        if chunks is None:
+            return None
+        ids = self._placed(chunks).select(*self.by, "chunk_id", "segment", "_file", "_row")
+        return self._at(chunks, self._alive(ids, self.table("gone", before), "left_semi"), there=False)
 
-    def _alive(self, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    def _alive(self, rows: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+        """Rows whose chunk no later segment took away; with left_semi the others."""
         last = gone.groupBy(*self.by, F.col("chunk_id").alias("_gone")).agg(F.max("segment").alias("_until"))
         last = last.withColumnsRenamed({c: f"_{c}" for c in self.by})
         same = (F.col("chunk_id") == F.col("_gone")) & (F.col("_until") > F.col("segment"))
         for c in self.by:
             same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        return rows.join(last.hint("shuffle_hash"), same, "left_anti")  # no task sorts the rows
+        return rows.join(last.hint("shuffle_hash"), same, how)  # no task sorts the rows
 
     def add(self, chunks: DataFrame, number: int | None = None, removed: DataFrame | None = None, content: str = "page_content", segment: T.Segment | None = None, delivery: str | None = None) -> int:
         """A segment out of documents as they are now: chunks (by, doc_id, chunk_id, content); its number.
@@ -96,26 +143,31 @@ class Segments:
         keys = [*self.by, "chunk_id"]
         text = F.coalesce(F.col(content), F.lit(""))
         asked = chunks.select(*self.by, "doc_id", "chunk_id", text.alias("_text"), F.md5(text).alias("digest"))
-        old, held_back = self.live(number), []
+        old, held_back = self.table("chunks", number), []
         if old is not None:
-            have = stored(asked.drop("_text"), "segment-new")
+            # what is left, what goes and what stays as it is are told by ids; texts and tokens are found by their places then
+            texts = self._stored(asked, "segment-new")
+            have = self._placed(texts).drop("_text")
+            ids = self._placed(old.select(*keys, "doc_id", "digest", "dl", "segment", "_metadata")).drop("_metadata")
             touched = have.select(*self.by, "doc_id")
             touched = (touched if removed is None else touched.unionByName(removed.select(*self.by, "doc_id"))).distinct()
-            held = old.join(touched, [*self.by, "doc_id"], "left_semi").select(*keys, "doc_id", "digest", "tokens", "dl")
-            same = held.join(have, [*keys, "doc_id", "digest"], "left_semi").select(*keys)
-            gone, same = (stored(x, "segment-gone") for x in (held.join(same, keys, "left_anti").select(*keys, "tokens", "dl"), same))
-            asked, held_back = asked.join(same, keys, "left_anti"), [have, gone, same]
-        tokens = T.bm25_tokens(F.col("_text"), segment)
+            held = self._stored(self._alive(ids, self.table("gone", number)).join(touched, [*self.by, "doc_id"], "left_semi"), "segment-held")
+            same = self._stored(held.join(have, [*keys, "doc_id", "digest"], "left_semi").select(*keys), "segment-same")
+            gone = self._stored(held.join(same, keys, "left_anti").select(*keys, "dl", "_file", "_row"), "segment-gone")
+            asked, held_back = self._at(texts, have.join(same, keys, "left_semi").select("_file", "_row"), there=False), [held, same, texts]
+        tokens = F.array_sort(T.bm25_tokens(F.col("_text"), segment))
         # the tokens are stored once, as the index's own
         self._write(asked.select(*self.by, "doc_id", "chunk_id", "digest", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")), "chunks", number)
+        forget(*held_back)
         new = self.spark.read.parquet(f"{self.path}/chunks/segment={number}")
         if old is None:
-            gone = new.limit(0).select(*keys, "tokens", "dl")
+            gone, lost = new.limit(0).select(*keys, "dl"), None
+        else:
+            lost = self._at(old, gone).select(*self.by, F.explode(F.array_distinct("tokens")).alias("term"), F.lit(-1).alias("_d"))
         self._write(gone.select(*keys), "gone", number)
         self._write_blocks(new, number)
         more = self.spark.read.parquet(f"{self.path}/blocks/segment={number}").select(*self.by, "term", F.col("n").alias("_d"))  # a posting is a chunk that has the term
-        delta = more.unionByName(gone.select(*self.by, F.explode(F.array_distinct("tokens")).alias("term"), F.lit(-1).alias("_d")))
-        delta = delta.groupBy(*self.by, "term").agg(F.sum("_d").alias("df")).where("df <> 0")
+        delta = (more if lost is None else more.unionByName(lost)).groupBy(*self.by, "term").agg(F.sum("_d").alias("df")).where("df <> 0")
         self._write(delta.repartitionByRange("term").sortWithinPartitions("term"), "terms", number)
         totals = new.select(*self.by, F.lit(1).alias("_d"), "dl").unionByName(gone.select(*self.by, F.lit(-1).alias("_d"), (-F.col("dl")).alias("dl")))
         totals = totals.groupBy(*self.by).agg(F.sum("_d").alias("n"), F.sum("dl").alias("dl"))
@@ -125,90 +177,134 @@ class Segments:
             totals = self.spark.createDataFrame([(*[None] * len(self.by), 0, 0)], totals.schema)
         names = F.array(F.lit(delivery)) if delivery is not None else F.array().cast("array<string>")
         self._write(totals.withColumn("deliveries", names).coalesce(1), "totals", number)
-        forget(*held_back)
+        if old is not None:
+            forget(gone)
         return number
 
     def _write_blocks(self, new: DataFrame, number: int) -> None:
-        """Blocks out of chunks with tokens: terms are counted where the tokens are and leave as lists, one for each term and range of scores, so what is shuffled and sorted is lists.
+        """Blocks out of chunks with tokens: terms are counted where the tokens are, once, and leave as packets, Parquet files in memory, one for each part of the index.
 
-        Lists are stored before they are dealt by ranges of term and score, so texts are counted once, and a frequent term is split. Within a term postings come by score in steps of a thousandth, the largest first."""
-        by, block = list(self.by), BLOCK
+        Parts are ranges of term and score, so a frequent term is split; a sample sets their bounds alone. Within a term postings come by score in steps of a thousandth, the largest first."""
+        by, block, held_most, part_most = list(self.by), BLOCK, HELD, PART
         small_batches(self.spark)
         means = new.groupBy(*by).agg(F.avg("dl").alias("_avg"))
         rows = bm25._with(new.select(*by, "chunk_id", "dl", "tokens"), means, self.by).select(*by, "chunk_id", F.col("dl").cast("int").alias("dl"), "_avg", "tokens")
         keys = [ty.StructField(c, new.schema[c].dataType) for c in by]
         cut = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("block", ty.LongType()), ty.StructField("ids", ty.ArrayType(new.schema["chunk_id"].dataType)), ty.StructField("tfs", ty.ArrayType(ty.IntegerType())), ty.StructField("dls", ty.ArrayType(ty.IntegerType())), ty.StructField("front", ty.ArrayType(ty.StructType([ty.StructField("tf", ty.IntegerType()), ty.StructField("dl", ty.IntegerType())])))])
-
-        numbers = [ty.StructField(c, ty.ArrayType(ty.IntegerType())) for c in ("tf", "dl")]
-        listed = ty.StructType([*keys, ty.StructField("term", ty.StringType()), ty.StructField("_step", ty.IntegerType()), ty.StructField("_avg", ty.DoubleType()), ty.StructField("chunk_id", ty.ArrayType(new.schema["chunk_id"].dataType)), *numbers])
         count = bm25.counter([*by, "chunk_id", "dl", "_avg"])
 
-        def less(tf: np.ndarray, dl: np.ndarray, avg: np.ndarray) -> np.ndarray:
+        def less(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+            tf, dl, avg = (t.column(c).to_numpy() for c in ("tf", "dl", "_avg"))
             with np.errstate(divide="ignore", invalid="ignore"):
                 return np.round(-1000 * tf / (tf + ORDER_K1 * (1 - ORDER_B + ORDER_B * dl / avg))).astype(np.int32)
 
-        def changes(columns: list) -> np.ndarray:
-            out = np.arange(len(columns[0])) == 0
-            for c in columns:
-                codes = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-                out[1:] |= codes[1:] != codes[:-1]
-            return out
+        def codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            return pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
 
-        def in_lists(some: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(some).combine_chunks()
-            step = less(t["tf"].to_numpy(), t["dl"].to_numpy(), t["_avg"].to_numpy()) // STEP
-            codes = [pc.fill_null(t[c].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in (*by, "term")]
-            order = np.lexsort((step, *codes))
-            t, step = t.take(pa.array(order)), step[order]
-            starts = np.flatnonzero(changes([*(t[c].combine_chunks() for c in (*by, "term")), pa.array(step)]))
-            offsets, first = pa.array([*starts, len(step)], pa.int32()), t.take(pa.array(starts))
-            lists = [pa.ListArray.from_arrays(offsets, t[c].combine_chunks()) for c in ("chunk_id", "tf", "dl")]
-            return pa.RecordBatch.from_arrays([*(first[c].combine_chunks() for c in (*by, "term")), pa.array(step[starts], pa.int32()), first["_avg"].combine_chunks(), *lists], names=listed.names)
+        def places(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+            """The place of each term among the distinct ones, and these, sorted."""
+            coded = column.combine_chunks().cast(pa.large_binary()).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            return place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
 
-        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in count(batches):
+                yield pa.RecordBatch.from_arrays([b.column("term"), pa.array(less(b) // STEP, pa.int32())], names=["term", "_step"])
+
+        every = max(1, new.count() // SAMPLED)
+        with _cleaned(self.spark):
+            some = rows.where(F.expr(f"pmod(xxhash64(chunk_id), {every}) = 0")).mapInArrow(steps, "term string, _step int").groupBy("term", "_step").agg(F.count("*").alias("n")).toArrow()
+        n = (pc.sum(some["n"]).as_py() or 0) * every
+        parts = max(1, math.ceil(n / PART), min(n // LEAST, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        some = some.set_column(0, "term", some["term"].cast(pa.large_binary())).sort_by([("term", "ascending"), ("_step", "ascending")])
+        ends = np.cumsum(some["n"].to_numpy())
+        first = pa.array(sorted({int(i) for i in np.searchsorted(ends, np.arange(1, parts) * (n / every / parts), "right")} - {len(ends)}), pa.int64())
+        bounds = list(zip(some["term"].take(first).to_pylist(), some["_step"].take(first).to_pylist()))  # the least of each part but the first
+        strings = [f.name for f in keys if isinstance(f.dataType, ty.StringType)]
+        coding = {"term": "DELTA_BYTE_ARRAY", "dl": "DELTA_BINARY_PACKED"}
+        match new.schema["chunk_id"].dataType:
+            case ty.StringType():
+                coding["chunk_id"] = "DELTA_BYTE_ARRAY"
+            case ty.IntegerType() | ty.LongType():
+                coding["chunk_id"] = "DELTA_BINARY_PACKED"
+        coded = ["tf", "_avg", *strings]
+
+        def packets(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            step, (term, words) = less(t) // STEP, places(t["term"])
+            least = step.min()
+            width = int(step.max()) - int(least) + 2
+            own = term * width + (step - least)
+            limits = []
+            for word, s in bounds:
+                i = bisect_left(words, word, key=lambda x: x.as_py())
+                limits.append(i * width + (min(max(s - int(least), 0), width - 1) if i < len(words) and words[i].as_py() == word else 0))
+            order = np.lexsort((*(codes(t[c]) for c in by), own))
+            t, own = t.take(pa.array(order)), own[order]
+            cuts = [0, *np.searchsorted(own, limits, "left"), len(own)]
+            for p, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                if j > i:
+                    sink = pa.BufferOutputStream()
+                    pq.write_table(t.slice(i, j - i).combine_chunks(), sink, compression="zstd", use_dictionary=coded, column_encoding=coding, write_statistics=False, store_schema=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "packet"])
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
             for b in count(batches):
                 held.append(b)
                 n += b.num_rows
-                if n >= HELD:
-                    yield in_lists(held)
+                if n >= held_most:
+                    yield from packets(held)
                     held, n = [], 0
             if n:
-                yield in_lists(held)
+                yield from packets(held)
+
+        def in_blocks(t: pa.Table, number: int) -> pa.RecordBatch:
+            term, _ = places(t["term"])
+            ids = t["chunk_id"].combine_chunks()
+            ids_at = np.empty(len(ids), np.int64)
+            ids_at[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((ids_at, less(t), term, *(codes(t[c]) for c in by)))
+            n, t = len(order), t.take(pa.array(order)).combine_chunks()
+            changes = np.arange(n) == 0
+            for c in (*by, "term"):
+                own = codes(t[c])
+                changes[1:] |= own[1:] != own[:-1]
+            starts = np.flatnonzero(changes)
+            place = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
+            cuts = np.flatnonzero(place % block == 0)
+            offsets, take = pa.array([*cuts, n], pa.int32()), pa.array(cuts)
+            lists = [pa.ListArray.from_arrays(offsets, t[c].combine_chunks()) for c in ("chunk_id", "tf", "dl")]
+            # of equal and higher counts only the shortest chunks can have the largest score
+            own, tf, dl = np.repeat(np.arange(len(cuts)), np.diff([*cuts, n])), t["tf"].to_numpy(), t["dl"].to_numpy()
+            by_tf = np.lexsort((dl, -tf, own))
+            fall = dl[by_tf] - own[by_tf] * (1 << 32)  # lower in each block than in all before it
+            steep = by_tf[fall < np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(fall)[:-1]])]
+            points = pa.StructArray.from_arrays([pa.array(tf[steep], pa.int32()), pa.array(dl[steep], pa.int32())], ["tf", "dl"])
+            lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(own[steep], np.arange(len(cuts) + 1)), pa.int32()), points))
+            heads = [t[c].take(take).combine_chunks() for c in (*by, "term")]
+            return pa.RecordBatch.from_arrays([*heads, pa.array(np.arange(number, number + len(cuts))), *lists], names=cut.names)
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 33
-            for rows in batches:
-                if not rows.num_rows:
-                    continue
-                own = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("chunk_id")).to_numpy(zero_copy_only=False))
-                tf, dl = (rows.column(c).flatten() for c in ("tf", "dl"))
-                group = np.cumsum(changes([rows.column(c) for c in (*by, "term")]))[own]
-                flat = pa.table({"group": group, "less": less(tf.to_numpy(), dl.to_numpy(), rows.column("_avg").to_numpy()[own]), "chunk_id": rows.column("chunk_id").flatten()})
-                order = pc.sort_indices(flat, sort_keys=[(c, "ascending") for c in flat.column_names])
-                take = pa.array(own).take(order)
-                b = pa.RecordBatch.from_arrays([*(rows.column(c).take(take) for c in (*by, "term")), rows.column("chunk_id").flatten().take(order), tf.take(order), dl.take(order)], names=[*by, "term", "chunk_id", "tf", "dl"])
-                n = b.num_rows
-                starts = np.flatnonzero(changes([b.column(c) for c in (*by, "term")]))
-                place = np.arange(n) - np.repeat(starts, np.diff([*starts, n]))
-                cuts = np.flatnonzero(place % block == 0)
-                offsets, take = pa.array([*cuts, n], pa.int32()), pa.array(cuts)
-                lists = [pa.ListArray.from_arrays(offsets, b.column(c)) for c in ("chunk_id", "tf", "dl")]
-                # of equal and higher counts only the shortest chunks can have the largest score
-                own, tf, dl = np.repeat(np.arange(len(cuts)), np.diff([*cuts, n])), b.column("tf").to_numpy(), b.column("dl").to_numpy()
-                by_tf = np.lexsort((dl, -tf, own))
-                fall = dl[by_tf] - own[by_tf] * (1 << 32)  # lower in each block than in all before it
-                steep = by_tf[fall < np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(fall)[:-1]])]
-                points = pa.StructArray.from_arrays([pa.array(tf[steep], pa.int32()), pa.array(dl[steep], pa.int32())], ["tf", "dl"])
-                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(own[steep], np.arange(len(cuts) + 1)), pa.int32()), points))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), b.column("term").take(take), pa.array(np.arange(number, number + len(cuts))), *lists], names=cut.names)
-                number += len(cuts)
-
-        order = [*by, "term", "_step"]
-        found = stored(rows.mapInArrow(lists, listed), "segment-lists")
-        out = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, cut)
+            part, number, held, n = -1, 0, [], 0
+            for b in batches:
+                for p, packet in zip(b.column("part").to_pylist(), b.column("packet")):
+                    if n and (p != part or n >= 4 * part_most):  # a part that many equal scores make large is cut into blocks in several goes
+                        done = in_blocks(pa.concat_tables(held), number)
+                        yield done
+                        number, held, n = number + done.num_rows, [], 0
+                    if p != part:
+                        part, number = p, p << 33
+                    held.append(pq.read_table(pa.BufferReader(packet.as_buffer())))
+                    n += held[-1].num_rows
+            if n:
+                yield in_blocks(pa.concat_tables(held), number)
+
+        out = rows.mapInArrow(packed, "part int, packet binary").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part").mapInArrow(blocks, cut)
         self._write(out.select(*by, "term", "block", F.size("ids").alias("n"), "front", "ids", "tfs", "dls"), "blocks", number)
-        forget(found)
 
     def merge(self, into: str) -> Segments:
         """One segment, below another path, with what is live: dead postings are left out and blocks are full again. Readers of this path are not disturbed."""
